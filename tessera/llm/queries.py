@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pstable import near_vectors
 from .scratch import read
 from .simhash import simhash_components
+from .vptree import nearest
+
+
+def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = read(spark, sf_dir, "embeddings")
+    return nearest(vecs, vecs.where("vec_id % 100 = 0"))
+
+
+def op6_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +26,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_vptree": op4_vptree,
+    "op6_pstable": op6_pstable,
     "op7_simhash": op7_simhash,
 }
 
