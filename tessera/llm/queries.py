@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .pstable import near_vectors
+from .quality import quality_scores
 from .scratch import read
 from .simhash import simhash_components
 from .vptree import nearest
@@ -25,10 +26,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vptree": op4_vptree,
     "op6_pstable": op6_pstable,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
 }
 
 #: Hashing, searching and training have no equivalent in SQL; tests/llm compares these queries with brute force.
