@@ -16,7 +16,7 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, held_out: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``per_class`` labelled rows of each class, in hash order, none from the held-out fold.
+    """``docs`` with label: at most ``per_class`` labelled rows of each class, in hash order, none from the held-out fold.
 
     Only the chosen ids, bounded by that parameter, are broadcast; texts are not shuffled. Labels other than 0 and 1 don't count; rows
     that repeat an id count once.
@@ -26,7 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value in (0, 1):
         part = usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.join(F.broadcast(chosen), "doc_id")
 
 
 def class_rate(labels: DataFrame, label: str, folds: int, held_out: int) -> float:

@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, seed: int = 4
                 x = pooled(part.column("text"), sent.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    sample = labelled_sample(docs, labels, "quality", per_class, 3, 1).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "label")
+    sample = labelled_sample(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels, "quality", per_class, 3, 1)
     rows = sample.mapInArrow(run, "doc_id long, label int, x binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     x = np.stack([np.frombuffer(r.x) for r in rows]) if rows else np.zeros((0, DIM + 1))
     return vectors, train(x, np.array([r.label for r in rows], dtype=float), class_rate(labels, "quality", 3, 1), seed=seed)

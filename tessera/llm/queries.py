@@ -10,9 +10,14 @@ from .pstable import near_vectors
 from .quality import quality_scores
 from .scratch import read
 from .simhash import simhash_components
+from .toxicity import toxicity_scores
 from .vptree import nearest
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = read(spark, sf_dir, "embeddings")
     return nearest(vecs, vecs.where("vec_id % 100 = 0"))
@@ -31,6 +36,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_vptree": op4_vptree,
     "op6_pstable": op6_pstable,
     "op7_simhash": op7_simhash,
