@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .mixing import mixed
+from .packing import pack
 from .pstable import near_vectors
 from .quality import quality_scores
 from .scratch import read
@@ -35,12 +38,23 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).drop("text")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixed(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_vptree": op4_vptree,
     "op6_pstable": op6_pstable,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
 
 #: Hashing, searching and training have no equivalent in SQL; tests/llm compares these queries with brute force.
