@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import scan_licences
+from .lines import dedup_lines
 from .lm import score_texts
 from .mixing import mixed
 from .packing import pack
@@ -26,11 +28,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(read(spark, sf_dir, "documents"))
+
+
 def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = read(spark, sf_dir, "embeddings")
     return nearest(vecs, vecs.where("vec_id % 100 = 0"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -55,7 +65,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_toxicity": op2_toxicity,
+    "op3_licences": op3_licences,
     "op4_vptree": op4_vptree,
+    "op5_line_dedup": op5_line_dedup,
     "op6_pstable": op6_pstable,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
