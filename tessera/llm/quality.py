@@ -160,7 +160,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 6000, th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = fitted.value
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", 1 << 19):
                 score = net.scores(pooled(part.column("__text"), vectors))
                 keep = [i for i, name in enumerate(part.schema.names) if name != "__text"]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + [pa.array(score)], [part.schema.names[i] for i in keep] + ["score"])
