@@ -26,6 +26,8 @@ LEVEL_BASE, LEVELS = 1.5, 96
 BITS_PER_ENTRY, BITS_SET = 10, 4
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 UNI, BI, TRI, AFTER_1, AFTER_2 = range(5)
+#: The filter's kind for contexts of either length, whose keys differ already.
+AFTER = AFTER_1
 DISCOUNT = 1.5
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 #: Values that level 0, 1, 2, ... stand for: the geometric middle of the integers that have it.
@@ -120,27 +122,49 @@ def filter_part(entries: list[tuple[int, np.ndarray, np.ndarray]]) -> bytes:
 FILTER, COUNTS, TAIL = 10, 11, 12
 
 
-def count_ngrams(docs: DataFrame, buckets: int, flush: int = 1 << 22) -> DataFrame:
-    """(bucket, kind, blob): by bucket a filter part, the exact word counts, and by bucket of contexts the discounted counts that follow."""
+def counted_sorted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs; sorts ``names`` in place."""
+    names.sort()
+    head = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+    return names[head], np.diff(head, append=len(names))
+
+
+def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 1 << 22) -> DataFrame:
+    """(bucket, kind, blob): by bucket a filter part, the exact word counts, and by bucket of contexts the discounted counts that follow.
+
+    Contexts have fewer buckets than n-grams, since each bucket of n-grams emits a blob for each bucket of contexts.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list[np.ndarray]] = [[], [], []]
 
         def out() -> Iterator[pa.RecordBatch]:
             for kind in (UNI, BI, TRI):
-                yield blobs(list(encoded(*np.unique(np.concatenate([h[kind] for h in held]), return_counts=True), buckets, kind)))
-            held.clear()
-
+                names = np.concatenate(held[kind])
+                held[kind].clear()
+                rows = []
+                for row in encoded(*counted_sorted(names), buckets, kind):
+                    rows.append(row)
+                    if len(rows) == 64:
+                        yield blobs(rows)
+                        rows = []
+                if rows:
+                    yield blobs(rows)
+
+        size = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                held.append(keys(*sequence(Words(part.column("text")))[:3]))
-                if sum(len(h[0]) for h in held) >= flush:
+                for own, names in zip(held, keys(*sequence(Words(part.column("text")))[:3]), strict=True):
+                    own.append(names)
+                size += len(held[0][-1])
+                if size >= flush:
                     yield from out()
-        if held:
+                    size = 0
+        if size:
             yield from out()
 
     def merge(group: tuple, rows: pa.Table) -> pa.Table:
-        bucket, found, out = group[0].as_py(), [], []
+        bucket, found, out, sums = group[0].as_py(), [], [], []
         for kind in (UNI, BI, TRI):
             parts = [decoded(b) for k, b in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True) if k == kind]
             names, counts = merged(parts)
@@ -152,8 +176,8 @@ def count_ngrams(docs: DataFrame, buckets: int, flush: int = 1 << 22) -> DataFra
             names, counts = names[often], counts[often]
             found.append((kind, names, counts - 1))
             context = AFTER_1 if kind == BI else AFTER_2
-            sums = merged([(after(names, context), (2 * counts - round(2 * DISCOUNT)))])
-            out += encoded(*sums, buckets, context)
+            sums.append((after(names, context), (2 * counts - round(2 * DISCOUNT))))
+        out += encoded(*merged(sums), context_buckets, AFTER)
         out.append((bucket, FILTER, filter_part(found)))
         return pa.Table.from_batches([blobs(out)])
 
@@ -165,10 +189,10 @@ def context_parts(counted: DataFrame, buckets: int) -> DataFrame:
     """Filter parts of the contexts' discounted totals, numbered after the n-grams' parts."""
 
     def merge(group: tuple, rows: pa.Table) -> pa.Table:
-        parts = {kind: [decoded(b) for k, b in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True) if k == kind] for kind in (AFTER_1, AFTER_2)}
-        return pa.Table.from_batches([blobs([(buckets + group[0].as_py(), FILTER, filter_part([(kind, *merged(p)) for kind, p in parts.items()]))])])
+        sums = merged([decoded(b) for b in rows.column("blob").to_pylist()])
+        return pa.Table.from_batches([blobs([(buckets + group[0].as_py(), FILTER, filter_part([(AFTER, *sums)]))])])
 
-    return counted.where(F.col("kind").isin(AFTER_1, AFTER_2)).groupBy("bucket").applyInArrow(merge, "bucket int, kind int, blob binary")
+    return counted.where(F.col("kind") == AFTER).groupBy("bucket").applyInArrow(merge, "bucket int, kind int, blob binary")
 
 
 @dataclass
@@ -179,6 +203,7 @@ class Model:
     begin: np.ndarray
     size: np.ndarray
     edges: np.ndarray
+    context_edges: np.ndarray
     often: np.ndarray
     often_counts: np.ndarray
     n: int
@@ -188,7 +213,7 @@ class Model:
     def probe(self, key: np.ndarray, kind: int, levels: np.ndarray | None = None) -> np.ndarray:
         """The level of each key: probes of 1, 2, ... until the first miss. Keys of parts that another round holds stay as they are."""
         found = np.zeros(len(key), np.int8) if levels is None else levels
-        part = np.searchsorted(self.edges, key, "right") + (len(self.edges) + 1 if kind in (AFTER_1, AFTER_2) else 0)
+        part = np.searchsorted(self.context_edges, key, "right") + len(self.edges) + 1 if kind == AFTER else np.searchsorted(self.edges, key, "right")
         active = np.flatnonzero(self.size[part] > 0)
         q = 1
         while len(active):
@@ -213,8 +238,8 @@ class Model:
         c1[rare] = self.probe_distinct(w[rare], UNI, c1[rare])
         c2 = self.probe(b, BI, c2)
         c3 = self.probe(t, TRI, c3)
-        a1 = self.probe_distinct(after(b, AFTER_1), AFTER_1, a1)
-        a2 = self.probe(after(t, AFTER_2), AFTER_2, a2)
+        a1 = self.probe_distinct(after(b, AFTER_1), AFTER, a1)
+        a2 = self.probe(after(t, AFTER_2), AFTER, a2)
         return np.stack([c1, c2, c3, a1, a2])
 
     def exact(self, key: np.ndarray) -> np.ndarray:
@@ -256,9 +281,10 @@ def score_texts(
     empty table gives an empty one.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, context_buckets = buckets or max(16, 4 * partitions), max(8, partitions // 2)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold("doc_id", folds) == held_out).alias("held_out"))
-    counted = save(count_ngrams(docs.where(~F.col("held_out")).select("text"), buckets), "ngrams")
+    counted = save(count_ngrams(docs.where(~F.col("held_out")).select("text"), buckets, context_buckets), "ngrams")
     contexts = save(context_parts(counted, buckets), "contexts")
     n, v, often, often_counts = word_totals(counted.where(F.col("kind") == COUNTS), often_words)
     end = mix(np.array([END]))
@@ -274,12 +300,12 @@ def score_texts(
     found = docs.withColumn("levels", F.lit(None).cast("binary"))
     for k, own in enumerate(rounds):
         table = parts.where(F.col("bucket").between(own[0], own[-1])).toArrow() if own else None
-        begin, size = np.zeros(2 * buckets, np.int64), np.zeros(2 * buckets, np.int64)
+        begin, size = np.zeros(buckets + context_buckets, np.int64), np.zeros(buckets + context_buckets, np.int64)
         names = table.column("bucket").to_pylist() if own else []
         lengths = np.array([sizes[b] // 8 for b in names], np.int64)
         begin[names], size[names] = np.cumsum(lengths) - lengths, lengths
         words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("blob")]) if own else np.zeros(0, np.uint64)
-        model = Model(words, begin, size, bucket_edges(buckets), often, often_counts, n, v, damping)
+        model = Model(words, begin, size, bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping)
         texts = int(model.exact(end)[0])
         sent = spark.sparkContext.broadcast(model)
         del words, model, table
