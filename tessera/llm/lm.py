@@ -129,7 +129,7 @@ def counted_sorted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[head], np.diff(head, append=len(names))
 
 
-def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 1 << 22) -> DataFrame:
+def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 1 << 21) -> DataFrame:
     """(bucket, kind, blob): by bucket a filter part, the exact word counts, and by bucket of contexts the discounted counts that follow.
 
     Contexts have fewer buckets than n-grams, since each bucket of n-grams emits a blob for each bucket of contexts.
