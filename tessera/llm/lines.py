@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .bloom import bloom_filter
 from .lm import COUNTS, blobs, bucket_edges, encoded, merged, decoded, word_totals
 from .scratch import save
-from .tokens import Words, mix, slices, span_hashes
+from .tokens import Lookup, Words, mix, prefix_sums, slices, span_hashes
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
@@ -51,6 +51,7 @@ class Lines:
     name: np.ndarray
     start: np.ndarray
     words: Words
+    total: np.ndarray
 
     @staticmethod
     def of(column: pa.Array) -> Lines:
@@ -67,7 +68,8 @@ class Lines:
         inner[first + n - 1] = False
         end[first + n - 1], end[inner] = offsets[1:], breaks
         doc = np.repeat(np.arange(len(column)), n)
-        return Lines(doc, np.arange(len(start)) - first[doc], span_hashes(data, start, end), start, words)
+        total = prefix_sums(data)
+        return Lines(doc, np.arange(len(start)) - first[doc], span_hashes(data, start, end, total), start, words, total)
 
     def earliest(self, doc_id: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the lines ``some``, one for each distinct line, the earliest by doc_id and number; and the others but those in its place."""
@@ -77,21 +79,25 @@ class Lines:
         same = (doc_id[self.doc[order]] == doc_id[self.doc[own]]) & (self.number[order] == self.number[own])
         return order[head], order[~same]
 
-    def sets(self, some: np.ndarray, often: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sets(self, some: np.ndarray, often: Lookup, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words of the lines ``some``, rarest first, one line after another, and each line's number of them.
 
-        Words outside ``often`` (sorted keys, with ranks by count) come first, by hash; any order that is the same everywhere is right.
+        Words outside ``often`` (with ranks by count) come first, by hash; any order that is the same everywhere is right.
         """
         place = np.full(len(self.start), -1)
         place[some] = np.arange(len(some))
-        line = place[np.searchsorted(self.start, self.words.start, "right") - 1]
+        words = np.diff(np.searchsorted(self.words.start, self.start), append=len(self.words.start))
+        line = np.repeat(place, words)
         used = np.flatnonzero(line >= 0)
         line = line[used]
-        word = mix(span_hashes(self.words.data, self.words.start[used], self.words.end[used]))
-        at = np.minimum(np.searchsorted(often, word), max(len(often) - 1, 0))
-        known = often[at] == word if len(often) else np.zeros(len(word), bool)
-        key = np.where(known, rank[at] | np.uint64(1 << 63), word >> np.uint64(1)) if len(often) else word >> np.uint64(1)
-        order = np.lexsort((key, line))
+        word = mix(span_hashes(self.words.data, self.words.start[used], self.words.end[used], self.total))
+        at, known = often.find(word)
+        key = np.where(known, (rank[at] << np.uint64(40)) | np.uint64(1 << 63), word >> np.uint64(1)) if len(rank) else word >> np.uint64(1)
+        bits = max(1, len(some)).bit_length()
+        if bits <= 20:  # one sort of line and leading bits of the key; these tell the words of a line apart
+            order = np.argsort((line.astype(np.uint64) << np.uint64(64 - bits)) | (key >> np.uint64(bits)))
+        else:
+            order = np.lexsort((key, line))
         line, key = line[order], key[order]
         new = np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])]) if len(line) else np.zeros(0, bool)
         return key[new], np.bincount(line[new], minlength=len(some))
@@ -179,17 +185,17 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     _, _, often, counts = word_totals(save(count_words(docs, buckets), "words"), often_words)
     rank = np.argsort(np.lexsort((often, counts))).astype(np.uint64)
-    table = spark.sparkContext.broadcast((often, rank))
+    table = spark.sparkContext.broadcast((Lookup(often), rank))
     edges = bucket_edges(buckets)
 
     def bucketed(key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         cut = np.concatenate([[0], np.searchsorted(key[order], edges), [len(key)]])
         return order, [(b, slice(int(cut[b]), int(cut[b + 1]))) for b in np.flatnonzero(np.diff(cut)).tolist()]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 out = []
                 lines, doc_id = Lines.of(part.column("text")), part.column("doc_id").to_numpy()
                 one, _ = lines.earliest(doc_id, np.arange(len(lines.name)))

@@ -84,7 +84,7 @@ def decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys with the sums of their counts."""
     names, counts = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((), ()), (np.uint64, np.int64), strict=True))
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     names, counts = names[order], counts[order]
     head = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
     return names[head], np.add.reduceat(counts, head) if len(head) else counts

@@ -94,9 +94,40 @@ class Words:
         return span_hashes(self.data, self.start, self.end)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, from prefix sums of a polynomial: the cost doesn't depend on the lengths."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=total[1:])
+    return total
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte ranges, from prefix sums of a polynomial (``total``, if at hand): the cost doesn't depend on the lengths."""
+    total = prefix_sums(data) if total is None else total
     h = (total[end] - total[start]) * _power("down", len(data) + 1)[start]
     return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted array of them: a table by leading bits leads to the few that share these."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.shift = np.uint64(64 - max(8, len(names).bit_length() + 3))
+        self.begin = np.searchsorted(names >> self.shift, np.arange(1 << int(64 - self.shift), dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.begin, append=len(names)).max(initial=0))
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key its place, and whether it is there."""
+        at = self.begin[key >> self.shift].astype(np.int64)
+        if not len(self.names):
+            return at, np.zeros(len(key), bool)
+        at = np.minimum(at, len(self.names) - 1)
+        found = self.names[at] == key
+        left = np.flatnonzero(~found)
+        for k in range(1, self.most):
+            place = at[left] + k
+            left, place = left[place < len(self.names)], place[place < len(self.names)]
+            hit = self.names[place] == key[left]
+            at[left[hit]], found[left[hit]] = place[hit], True
+            left = left[~hit]
+        return at, found
