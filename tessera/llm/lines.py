@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter
-from .lm import COUNTS, blobs, bucket_edges, encoded, merged, decoded, word_totals
+from .lm import COUNTS, blobs, bucket_edges, counted_sorted, decoded, encoded, merged, word_totals
 from .scratch import save
 from .tokens import Lookup, Words, mix, prefix_sums, slices, span_hashes
 
@@ -135,7 +135,7 @@ def sketches(key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.bitwise_xor.reduceat(np.where(high == side, one, np.uint64(0)), begin) if len(begin) else np.zeros(0, np.uint64) for side in (0, 1))
 
 
-def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of postings (sorted by token, then size) that pass the prefix, length and positional filters, in blocks."""
     if not len(token):
         return
@@ -157,16 +157,20 @@ def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, block: int = 1
 
 
 def count_words(docs: DataFrame, buckets: int) -> DataFrame:
+    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names = np.concatenate(held)
+        held.clear()
+        yield blobs(list(encoded(*counted_sorted(names), buckets, COUNTS)))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                held.append(np.unique(mix(Words(part.column("text")).hashes()), return_counts=True))
-                if sum(len(h[0]) for h in held) > 1 << 22:
-                    yield blobs(list(encoded(*merged(held), buckets, COUNTS)))
-                    held = []
-        if held and sum(len(h[0]) for h in held):
-            yield blobs(list(encoded(*merged(held), buckets, COUNTS)))
+                held.append(mix(Words(part.column("text")).hashes()))
+                if sum(map(len, held)) > 1 << 22:
+                    yield from out(held)
+        if sum(map(len, held)):
+            yield from out(held)
 
     def merge(group: tuple, rows: pa.Table) -> pa.Table:
         names, counts = merged([decoded(b) for b in rows.column("blob").to_pylist()])
@@ -195,7 +199,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 3 << 19):
                 out = []
                 lines, doc_id = Lines.of(part.column("text")), part.column("doc_id").to_numpy()
                 one, _ = lines.earliest(doc_id, np.arange(len(lines.name)))

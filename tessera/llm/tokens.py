@@ -86,9 +86,9 @@ class Words:
         after[offsets] = False
         self.start = np.flatnonzero(inside & ~before[:-1])
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
-        self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self.count = np.bincount(self.doc, minlength=len(column)).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        self.first = np.searchsorted(self.start, offsets)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(column)), self.count)
 
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.start, self.end)
