@@ -283,27 +283,39 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
                 begin = np.cumsum(size) - size
                 order, cuts = bucketed(token)
                 out = []
-                for b, s in cuts:
+                for b, s in cuts:  # each line's set goes to a bucket once, however many postings it has there
                     o = order[s]
-                    w = owner[o]
-                    head = np.stack([token[o].view(np.int64), lines.name[one[w]].view(np.int64), doc_id[lines.doc[one[w]]], lines.number[one[w]], size[w], place[o]])
-                    out.append((b, len(o), head.tobytes() + key[ranges(begin[w], size[w])].tobytes()))
+                    own, line = np.unique(owner[o], return_inverse=True)
+                    at = one[own]
+                    head = np.stack([lines.name[at].view(np.int64), doc_id[lines.doc[at]], lines.number[at], size[own]])
+                    body = np.stack([token[o].view(np.int64), line, place[o]])
+                    out.append((b, len(own), np.int64(len(o)).tobytes() + head.tobytes() + body.tobytes() + key[ranges(begin[own], size[own])].tobytes()))
+                    if len(out) == 32:
+                        yield blobs(out)
+                        out = []
                 if out:
                     yield blobs(out)
 
     def verify(group: tuple, rows: pa.Table) -> pa.Table:
-        heads, sets = [], []
-        for n, blob in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True):
-            flat = np.frombuffer(blob, np.int64)
-            heads.append(flat[: 6 * n].reshape(6, n))
-            sets.append(flat[6 * n :].view(np.uint64))
-        head, flat = np.concatenate(heads, axis=1), np.concatenate(sets)
-        begin = np.cumsum(head[4]) - head[4]
-        order = np.lexsort((head[3], head[2], head[1], head[4], head[0].view(np.uint64)))
-        token, name = head[0][order], head[1][order]
-        order = order[np.concatenate([[True], (token[1:] != token[:-1]) | (name[1:] != name[:-1])])]
-        token, name, doc, number, size, place = head[:, order]
-        begin, before = begin[order], np.zeros(len(order), bool)
+        heads, bodies, sets, lines = [], [], [], 0
+        for m, blob in zip(rows.column("kind").to_pylist(), rows.column("blob"), strict=True):
+            flat = np.frombuffer(blob.as_buffer(), np.int64)
+            n, flat = int(flat[0]), flat[1:]
+            body = flat[4 * m : 4 * m + 3 * n].reshape(3, n)
+            heads.append(flat[: 4 * m].reshape(4, m))
+            bodies.append(body + np.array([[0], [lines], [0]]))
+            sets.append(flat[4 * m + 3 * n :].view(np.uint64))
+            lines += m
+        head, body, flat = np.concatenate(heads, axis=1), np.concatenate(bodies, axis=1), np.concatenate(sets)
+        del heads, bodies, sets
+        begin = np.cumsum(head[3]) - head[3]
+        token, line, place = body[0], body[1], body[2]
+        order = np.lexsort((head[2][line], head[1][line], head[0][line], head[3][line], token.view(np.uint64)))
+        token, line, place = token[order], line[order], place[order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (head[0][line[1:]] != head[0][line[:-1]])])
+        token, line, place = token[new], line[new], place[new]
+        _, doc, number, size = head[:, line]
+        begin, before = begin[line], np.zeros(len(line), bool)
         for i, j in pairs(token, size, place):
             earlier = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (number[i] < number[j]))
             later_first = (doc[j] < doc[i]) | ((doc[i] == doc[j]) & (number[j] < number[i]))
@@ -336,16 +348,19 @@ def unfold(n: int, names: tuple[str, ...]):
     return run
 
 
-def shared_words(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 20_000) -> np.ndarray:
-    """Sizes of the intersections of sets a and b."""
+def shared_words(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """Sizes of the intersections of sets a and b, taken in blocks of about ``block`` words."""
     out = np.zeros(len(a), np.int64)
-    for start in range(0, len(a), block):
-        x, y = a[start : start + block], b[start : start + block]
+    upto, start = np.cumsum(size[a] + size[b]), 0
+    while start < len(a):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + block, "right")))
+        x, y = a[start:end], b[start:end]
         pair = np.concatenate([np.repeat(np.arange(len(x)), size[x]), np.repeat(np.arange(len(x)), size[y])])
         word = np.concatenate([flat[ranges(begin[x], size[x])], flat[ranges(begin[y], size[y])]])
         order = np.lexsort((word, pair))
         pair, word = pair[order], word[order]
-        out[start : start + block] = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (word[1:] == word[:-1])], minlength=len(x))
+        out[start:end] = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (word[1:] == word[:-1])], minlength=len(x))
+        start = end
     return out
 
 
