@@ -330,11 +330,11 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
                 before[b[shared >= overlap(size[a] + size[b])]] = True
                 old, new = old[~turn], new[~turn]
         gone = np.unique(np.stack([doc[before], number[before]]), axis=1)
-        return pa.Table.from_batches([blobs([(group[0].as_py(), REMOVED, gone.tobytes())])])
+        return pa.table({"doc_id": gone[0], "line": gone[1]})
 
-    similar = docs.mapInArrow(repost, SCHEMA).groupBy("bucket").applyInArrow(verify, SCHEMA)
-    gone = met.where(F.col("kind") == REMOVED).unionByName(similar)
-    return gone.mapInArrow(unfold(2, ("doc_id", "line")), "doc_id long, line long")
+    schema = "doc_id long, line long"
+    similar = docs.mapInArrow(repost, SCHEMA).groupBy("bucket").applyInArrow(verify, schema)
+    return met.where(F.col("kind") == REMOVED).mapInArrow(unfold(2, ("doc_id", "line")), schema).unionByName(similar)
 
 
 def unfold(n: int, names: tuple[str, ...]):
