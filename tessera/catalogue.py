@@ -1,11 +1,449 @@
-"""Registered queries over the test tables, by name, and their SQL for DuckDB."""
+"""Registered queries over the test tables, by name, and their SQL for DuckDB; each runs over its whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES = {
-    "flagship_avg_by_type": lambda spark, d: spark.read.parquet(f"{d}/events.parquet")
-    .where("event_type <> 'error'").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("avg_value"), F.count(F.lit(1)).alias("n")),
-}
-ORACLE_SQL = {}
+from tessera.functions import numbers as N
+from tessera.functions import texts as X
+from tessera.operators import evaluation, grounding, privacy, retrieval, timeline
+from tessera.plans.query_plan import Aggregate, Computed, Filter, QueryPlan, Sort, execute, profile
+from tessera.sources.sections import pages_to_markdown, url_allowed
+from tessera.sources.sinks import full_markdown, markdown_rows, safe_cells
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def plan_query(name: str, source: str, plan: QueryPlan, sql: str, position: list[str] | None = None) -> None:
+    QUERIES[name] = lambda spark, d: execute(table(spark, d, source), plan, position)
+    ORACLE_SQL[name] = sql
+
+
+# --- tabular plans -------------------------------------------------------------------------------------------------------------------
+
+plan_query(
+    "flagship_avg_by_type", "events",
+    QueryPlan(filters=[Filter("event_type", "!=", "error")], group_by="event type", aggregates=[Aggregate("avg", "value", "avg_value"), Aggregate("count", "", "n")], sort=[Sort("avg_value")], limit=3),
+    "select event_type, round(avg(value), 4) as avg_value, count(*) as n from events where event_type <> 'error' group by 1 order by 2 desc limit 3", ["event_id"],
+)
+plan_query("plan_equals_text", "customer", QueryPlan(filters=[Filter("c_mktsegment", "==", "building")], select=["c_custkey", "c_name"]), "select c_custkey, c_name from customer where lower(c_mktsegment) = 'building'")
+plan_query("plan_not_equal", "orders", QueryPlan(filters=[Filter("o_orderstatus", "!=", "F")], select=["o_orderkey"]), "select o_orderkey from orders where lower(o_orderstatus) <> 'f' or o_orderstatus is null")
+plan_query(
+    "plan_five_filters", "lineitem",
+    QueryPlan(filters=[Filter("l_quantity", ">", "10"), Filter("l_discount", "<=", "0.05"), Filter("l_shipdate", ">=", "1997-01-01"), Filter("l_returnflag", "!=", "R"), Filter("l_tax", "<", "0.06")], select=["l_orderkey", "l_linenumber", "l_quantity"]),
+    "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 10 and l_discount <= 0.05 and l_shipdate >= timestamp '1997-01-01' and l_returnflag <> 'R' and l_tax < 0.06",
+)
+plan_query("plan_contains", "part", QueryPlan(filters=[Filter("p_name", "contains", "Bolt"), Filter("p_name", "not_contains", "small")], select=["p_partkey", "p_name"]), "select p_partkey, p_name from part where contains(lower(p_name), 'bolt') and not contains(lower(p_name), 'small')")
+plan_query("plan_starts_with", "part", QueryPlan(filters=[Filter("p_brand", "starts_with", "brand#1")], select=["p_partkey", "p_brand"]), "select p_partkey, p_brand from part where starts_with(lower(p_brand), 'brand#1')")
+plan_query("plan_in_list", "customer", QueryPlan(filters=[Filter("c_mktsegment", "in", "Building, machinery")], group_by="c_mktsegment", aggregates=[Aggregate("count", "", "n")]), "select c_mktsegment, count(*) as n from customer where lower(c_mktsegment) in ('building', 'machinery') group by 1")
+plan_query("plan_in_numbers_as_text", "part", QueryPlan(filters=[Filter("p_size", "in", "5, 10, 15")], select=["p_partkey", "p_size"]), "select p_partkey, p_size from part where cast(p_size as varchar) in ('5', '10', '15')")
+plan_query("plan_time_after_day", "orders", QueryPlan(filters=[Filter("o_orderdate", ">", "1997-06-01"), Filter("o_orderdate", "<=", "1997-09-01")], select=["o_orderkey", "o_orderdate"]), "select o_orderkey, o_orderdate from orders where o_orderdate >= timestamp '1997-06-01' and o_orderdate < timestamp '1997-09-01'")
+plan_query(
+    "plan_computed_charge", "lineitem", QueryPlan(computed=[Computed("charge", "l_extendedprice * (1 - l_discount) * (1 + l_tax)")], select=["l_orderkey", "l_linenumber", "charge"]),
+    "select l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 10000 + 0.5) / 10000 as charge from lineitem",
+)
+plan_query(
+    "plan_computed_division_by_zero", "lineitem", QueryPlan(computed=[Computed("per", "l_quantity / (l_linenumber - 1)")], select=["l_orderkey", "l_linenumber", "per"]),
+    "select l_orderkey, l_linenumber, case when l_linenumber <> 1 then floor(l_quantity / (l_linenumber - 1) * 10000 + 0.5) / 10000 end as per from lineitem",
+)
+plan_query(
+    "plan_computed_chain", "lineitem",
+    QueryPlan(computed=[Computed("net", "l_extendedprice - l_extendedprice * l_discount"), Computed("double_net", "-net * 2 + l_linenumber")], filters=[Filter("net", ">", "50000")], select=["l_orderkey", "l_linenumber", "net", "double_net"]),
+    "with c as (select *, floor((l_extendedprice - l_extendedprice * l_discount) * 10000 + 0.5) / 10000 as net from lineitem) select l_orderkey, l_linenumber, net, floor((-net * 2 + l_linenumber) * 10000 + 0.5) / 10000 as double_net from c where net > 50000",
+)
+plan_query("plan_computed_whole", "orders", QueryPlan(computed=[Computed("odd", "o_custkey * 2 + 1")], select=["o_orderkey", "odd"]), "select o_orderkey, o_custkey * 2 + 1 as odd from orders")
+plan_query(
+    "plan_group_five_functions", "lineitem",
+    QueryPlan(group_by="l_returnflag", aggregates=[Aggregate("count", "", "n"), Aggregate("sum", "l_quantity"), Aggregate("avg", "l_extendedprice"), Aggregate("min", "l_discount"), Aggregate("max", "l_tax", "max_tax")]),
+    "select l_returnflag, count(*) as n, round(sum(l_quantity), 4) as sum_l_quantity, round(avg(l_extendedprice), 4) as avg_l_extendedprice, min(l_discount) as min_l_discount, max(l_tax) as max_tax from lineitem group by 1",
+)
+plan_query(
+    "plan_group_first_member", "orders", QueryPlan(group_by="o_custkey", aggregates=[Aggregate("sum", "o_totalprice", "total")], select=["o_custkey", "total", "o_orderstatus", "o_orderkey"]),
+    "select o_custkey, round(sum(o_totalprice), 4) as total, arg_min(o_orderstatus, o_orderkey) as o_orderstatus, min(o_orderkey) as o_orderkey from orders group by 1", ["o_orderkey"],
+)
+plan_query(
+    "plan_groups_by_appearance", "orders", QueryPlan(group_by="o_custkey", aggregates=[Aggregate("count", "", "n")], limit=10),
+    "select o_custkey, count(*) as n from orders group by 1 order by min(o_orderkey) limit 10", ["o_orderkey"],
+)
+plan_query("plan_aggregate_all", "lineitem", QueryPlan(aggregates=[Aggregate("count", "", "n"), Aggregate("sum", "l_quantity", "q"), Aggregate("avg", "l_discount", "d"), Aggregate("min", "l_tax", "lo"), Aggregate("max", "l_extendedprice", "hi")]), "select count(*) as n, round(sum(l_quantity), 4) as q, round(avg(l_discount), 4) as d, min(l_tax) as lo, max(l_extendedprice) as hi from lineitem")
+plan_query("plan_aggregate_nothing", "lineitem", QueryPlan(filters=[Filter("l_quantity", "<", "0")], aggregates=[Aggregate("count", "", "n"), Aggregate("sum", "l_quantity", "q"), Aggregate("max", "l_tax", "hi")]), "select 0 as n, null::double as q, null::double as hi")
+plan_query("plan_text_has_no_sum", "customer", QueryPlan(group_by="c_mktsegment", aggregates=[Aggregate("sum", "c_name", "s"), Aggregate("count", "c_name", "n")]), "select c_mktsegment, null::double as s, count(*) as n from customer group by 1")
+plan_query(
+    "plan_sort_two_keys", "supplier", QueryPlan(sort=[Sort("s_nationkey", False), Sort("s_acctbal")], limit=25, select=["s_suppkey", "s_nationkey", "s_acctbal"]),
+    "select s_suppkey, s_nationkey, s_acctbal from supplier order by s_nationkey, s_acctbal desc, s_suppkey limit 25", ["s_suppkey"],
+)
+plan_query("plan_top_ten", "orders", QueryPlan(sort=[Sort("o_totalprice")], limit=10, select=["o_orderkey", "o_totalprice"]), "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10", ["o_orderkey"])
+plan_query("plan_sort_text", "part", QueryPlan(sort=[Sort("p_name", False)], limit=20, select=["p_partkey", "p_name"]), "select p_partkey, p_name from part order by lower(p_name), p_partkey limit 20", ["p_partkey"])
+plan_query("plan_loose_names", "lineitem", QueryPlan(group_by="Return Flag", aggregates=[Aggregate("sum", "L Quantity", "q")], filters=[Filter("linestatus", "==", "O")]), "select l_returnflag, round(sum(l_quantity), 4) as q from lineitem where l_linestatus = 'O' group by 1")
+
+
+@query("select count(*) as total_rows from lineitem where l_quantity > 49")
+def plan_total_rows(spark, d):
+    return execute(table(spark, d, "lineitem"), QueryPlan(filters=[Filter("l_quantity", ">", "49")])).agg(F.count(F.lit(1)).alias("total_rows"))
+
+
+@query("select 'p_size' as \"column\", 'number' as kind, count(*) as rows, count(*) - count(p_size) as missing, min(p_size)::double as low, max(p_size)::double as high from part union all select 'p_brand', 'text', count(*), count(*) - count(p_brand), null, null from part")
+def table_profile(spark, d):
+    return profile(table(spark, d, "part").select("p_size", "p_brand")).drop("about_distinct")
+
+
+@query("select greatest(max(y), 0) as top, least(min(y), 0) as bottom, greatest(max(y), 0) - least(min(y), 0) as span, count(*) as points from (select avg(c_acctbal) as y from customer group by c_mktsegment) where y is not null")
+def chart_bounds(spark, d):
+    y = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("y")).where("y is not null")
+    return y.agg(F.greatest(F.max("y"), F.lit(0)).alias("top"), F.least(F.min("y"), F.lit(0)).alias("bottom"), (F.greatest(F.max("y"), F.lit(0)) - F.least(F.min("y"), F.lit(0))).alias("span"), F.count(F.lit(1)).alias("points"))
+
+
+# --- numbers -------------------------------------------------------------------------------------------------------------------------
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Order prices in five notations, by key."""
+    whole, cents = F.floor("o_totalprice").cast("bigint"), F.lpad(F.round((F.col("o_totalprice") - F.floor("o_totalprice")) * 100).cast("int").cast("string"), 2, "0")
+    grouped = lambda mark: F.regexp_replace(whole.cast("string"), r"(?<=[0-9])(?=(?:[0-9]{3})+$)", mark)
+    k = F.col("o_orderkey") % 5
+    text = (
+        F.when(k == 0, F.concat(whole.cast("string"), F.lit("."), cents)).when(k == 1, F.concat(whole.cast("string"), F.lit(","), cents)).when(k == 2, F.concat(grouped(" "), F.lit(","), cents))
+        .when(k == 3, F.concat(grouped(","), F.lit("."), cents, F.lit(" %"))).otherwise(F.concat(F.lit("−"), grouped("."), F.lit(","), cents))
+    )
+    return df.where("round((o_totalprice - floor(o_totalprice)) * 100) < 100").select("o_orderkey", text.alias("written"))
+
+
+@query("select o_orderkey, round(case when o_orderkey % 5 = 4 then -o_totalprice else o_totalprice end, 2) as value from orders where round((o_totalprice - floor(o_totalprice)) * 100) < 100")
+def numbers_read(spark, d):
+    return _written(table(spark, d, "orders")).select("o_orderkey", F.round(N.read_number(F.col("written")), 2).alias("value"))
+
+
+@query("select o_orderkey % 5 as notation, case o_orderkey % 5 when 0 then false when 3 then false else true end as decimal_comma from orders group by 1, 2")
+def numbers_vote(spark, d):
+    return _written(table(spark, d, "orders")).groupBy((F.col("o_orderkey") % 5).alias("notation")).agg(N.decimal_comma_vote(F.col("written")).alias("decimal_comma"))
+
+
+@query("select p_partkey, case p_partkey % 3 when 0 then '''=' || p_name when 1 then '-' || p_partkey else p_name end as cell from part")
+def cells_made_safe(spark, d):
+    p = F.col("p_partkey") % 3
+    cell = F.when(p == 0, F.concat(F.lit("="), "p_name")).when(p == 1, F.concat(F.lit("-"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
+    return safe_cells(table(spark, d, "part").select("p_partkey", cell.alias("cell"))).withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
+
+
+@query("select o_orderkey, list_value(cast(o_custkey as varchar), printf('%.1f', floor(o_totalprice) + 0.5)) as tokens from orders")
+def number_tokens_in_text(spark, d):
+    text = F.format_string("Customer %d paid %.1f euros.", "o_custkey", F.floor("o_totalprice") + 0.5)
+    return table(spark, d, "orders").select("o_orderkey", N.number_tokens(text).alias("tokens"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then list_value('99999991') else []::varchar[] end as unsupported from orders")
+def unsupported_numbers(spark, d):
+    extra = F.when(F.col("o_orderkey") % 3 == 0, " About 99999991 remain.").otherwise("")
+    answer = F.concat(F.format_string("1. Order %d of customer %d has 3 parts [S1: Page 77].", "o_orderkey", "o_custkey"), extra)
+    known = F.array(F.col("o_orderkey").cast("double"), F.col("o_custkey").cast("double"))
+    return table(spark, d, "orders").select("o_orderkey", N.unsupported_numbers(answer, known).alias("unsupported"))
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as n_words, trim(regexp_replace(lower(text[:200]), '[^a-z0-9]+', ' ', 'g')) as plain from documents")
+def text_plain(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("bigint").alias("n_words"), X.plain(F.substring("text", 1, 200)).alias("plain"))
+
+
+def _answers(spark, d) -> DataFrame:
+    """Answers with citations, refusals, thinking and lists, made of nations and regions."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    k = F.col("n_nationkey") % 5
+    cite = F.format_string("[S%d: %s]", F.col("n_regionkey") + 1, F.col("n_name"))
+    answer = (
+        F.when(k == 0, F.concat(F.lit("<think>x 5</think>The nation is number "), F.col("n_nationkey").cast("string"), F.lit(" in the list "), cite, F.lit(".")))
+        .when(k == 1, F.lit("The documents do not mention this at all."))
+        .when(k == 2, F.concat(F.lit("This nation lies in a region of the world. "), F.lit("It is the best known of them all. "), cite))
+        .when(k == 3, F.concat(F.lit("The total is about 987654 in this nation [S9: Nowhere].")))
+        .otherwise(F.concat(F.lit("- One item that is long enough here\n- Another item that cites its source "), F.lower(cite)))
+    )
+    docs = r.orderBy("r_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("r_regionkey"))), lambda x: x["r_regionkey"].cast("bigint")).alias("doc_ids"))
+    return n.crossJoin(F.broadcast(docs)).select(F.col("n_nationkey").cast("bigint").alias("answer_id"), answer.alias("answer"), F.lit("Which nation?").alias("question"), "doc_ids")
+
+
+def _nation_sections(spark, d) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.select(F.col("n_regionkey").cast("bigint").alias("doc_id"), F.col("n_nationkey").alias("section_id"), F.col("n_name").alias("locator"), F.col("n_name").alias("title"), F.concat(F.lit("Nation number "), F.col("n_nationkey").cast("string")).alias("markdown"))
+
+
+@query(
+    "select n_nationkey::bigint as answer_id, case n_nationkey % 5 when 0 then 'ok' when 1 then 'not_in_documents' when 2 then 'partly_cited' when 3 then 'review' else 'partly_cited' end as status, "
+    "case n_nationkey % 5 when 0 then 1 when 2 then 1 when 3 then 1 else 0 end as citations_total from nation"
+)
+def answer_check(spark, d):
+    return grounding.check_answers(_answers(spark, d), _nation_sections(spark, d)).select("answer_id", "status", F.col("citations_total").cast("int").alias("citations_total"))
+
+
+@query(
+    "select n_nationkey::bigint as answer_id, n_nationkey % 5 in (0, 2) as found, case when n_nationkey % 5 in (0, 2) then n_name end as resolved_locator from nation where n_nationkey % 5 in (0, 2, 3)"
+)
+def citations_resolved(spark, d):
+    return grounding.resolve_citations(_answers(spark, d), _nation_sections(spark, d)).select("answer_id", "found", "resolved_locator")
+
+
+@query("select n_nationkey::bigint as answer_id, 1::bigint as total, (n_nationkey % 5 <> 3)::int::bigint as resolved from nation where n_nationkey % 5 in (0, 2, 3)")
+def citation_totals(spark, d):
+    return grounding.citation_stats(grounding.resolve_citations(_answers(spark, d), _nation_sections(spark, d))).drop("unresolved")
+
+
+@query(
+    "select user_id, count_if(event_type = 'purchase') as supported, count_if(event_type = 'click') as partially_supported, count_if(event_type = 'view') as unsupported, count_if(event_type = 'error') as contradicted, "
+    "round(100 * (count_if(event_type = 'purchase') + 0.5 * count_if(event_type = 'click')) / count(*))::int as score from events group by 1"
+)
+def claim_scores(spark, d):
+    verdict = F.create_map(*(F.lit(x) for x in ("purchase", "supported", "click", "partially_supported", "view", "unsupported", "error", "contradicted", "signup", "other")))
+    return grounding.grounding_score(table(spark, d, "events").select("user_id", F.element_at(verdict, F.col("event_type")).alias("verdict")), "user_id")
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------------------------
+
+
+def _documents_as_passages(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.lit(0).alias("order"), "text", retrieval.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+_TOKENS = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: len(w) > 1 and w not in ({_STOPS}))"
+
+
+@query(f"select doc_id, len({_TOKENS}) as n_tokens from documents")
+def token_counts(spark, d):
+    return _documents_as_passages(spark, d).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query(f"with t as (select distinct doc_id, unnest({_TOKENS}) as term from documents), n as (select count(*) as n from documents) select term, count(*) as df, round(ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from t, n group by term")
+def term_statistics(spark, d):
+    docs = _documents_as_passages(spark, d)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    df = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+
+
+@query(
+    f"with c as (select doc_id, {_TOKENS} as tokens from documents), s as (select count(*) as n, avg(greatest(len(tokens), 1)) as a from c), "
+    f"q as (select item_id, unnest(list_distinct({_TOKENS})) as term from benchmark), "
+    "p as (select doc_id, greatest(len(tokens), 1) as length, unnest(tokens) as term from c), "
+    "tf as (select doc_id, term, any_value(length) as length, count(*) as tf from p where term in (select term from q) group by 1, 2), df as (select term, count(*) as df from tf group by 1), "
+    "scored as (select q.item_id as query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) as score from q join df using (term) join tf using (term), s group by 1, 2), "
+    "ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored where score > 0) select query_id, rank::int as rank, doc_id, round(score, 4) as score from ranked where rank <= 8"
+)
+def bm25_top(spark, d):
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
+    hits = retrieval.bm25(queries, _documents_as_passages(spark, d), 8)
+    return hits.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
+def _paragraphed(spark, d) -> DataFrame:
+    """Documents as one section, each line a paragraph."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n"))
+    return table(spark, d, "documents").select("doc_id", F.lit(1).alias("section_id"), F.lit("Text").alias("locator"), text.alias("markdown"))
+
+
+@query()
+def passages(spark, d):
+    return retrieval.passages(_paragraphed(spark, d))
+
+
+@query()
+def passages_for_questions(spark, d):
+    chunks = retrieval.passages(_paragraphed(spark, d)).withColumn("tokens", retrieval.tokens(F.col("text")))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
+    return retrieval.fill_budget(retrieval.with_neighbours(retrieval.bm25(queries, chunks, 8), chunks))
+
+
+@query(
+    "with w as (select doc_id, regexp_extract_all(lower(text[:20000]), '[\\p{L}\\p{N}]+') as w from documents), n as (select doc_id, "
+    + ", ".join(f"len(list_filter(w, lambda x: x in ({', '.join(repr(m) for m in ms)}))) as {k}" for k, ms in retrieval.MARKERS.items())
+    + " from w) select doc_id, case when en >= 3 and en >= fi then 'en' when fi >= 3 and fi > en then 'fi' end as language from n"
+)
+def language_guess(spark, d):
+    return table(spark, d, "documents").select("doc_id", retrieval.language(F.col("text")).alias("language"))
+
+
+# --- personal data -------------------------------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as n from documents where text like '%@%'")
+def emails_by_document(spark, d):
+    return table(spark, d, "documents").where(F.col("text").contains("@")).select("doc_id", F.regexp_count("text", F.lit(privacy.PATTERNS[0][1])).cast("bigint").alias("n"))
+
+
+@query()
+def personal_data(spark, d):
+    return privacy.scan(table(spark, d, "documents"))
+
+
+@query(
+    "select doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda x: lower(x))))::bigint as findings, "
+    "len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))::bigint as matches from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')"
+)
+def email_findings(spark, d):
+    return privacy.scan(table(spark, d, "documents")).where("category = 'email'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("findings"), F.sum("count").alias("matches"))
+
+
+@query()
+def redacted(spark, d):
+    docs = table(spark, d, "documents")
+    w = Window.partitionBy("doc_id").orderBy("text")
+    items = privacy.scan(docs).select("doc_id", "text", "category", F.lit("").alias("replacement")).withColumn("place", F.row_number().over(w))
+    return privacy.redact(docs.select("doc_id", "text"), items).where("mapping is not null")
+
+
+@query("with x as (select o_orderkey, lpad(cast(o_orderkey as varchar), 16, '4') as s from orders), y as (select o_orderkey, list_transform(range(1, 17), lambda i: case when (17 - i) % 2 = 0 then 2 * cast(s[i] as int) else cast(s[i] as int) end) as v from x) select o_orderkey, list_sum(list_transform(v, lambda t: case when t > 9 then t - 9 else t end)) % 10 = 0 as valid from y")
+def luhn_check(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", privacy.luhn(F.lpad(F.col("o_orderkey").cast("string"), 16, "4")).alias("valid"))
+
+
+# --- timeline ------------------------------------------------------------------------------------------------------------------------
+
+
+def _order_events(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Orders as dated events, a third each right, on another day's page, and not a date; and sections that tell of the orders."""
+    names = F.array(*(F.lit(m.capitalize()) for m in timeline.EN_MONTHS))
+    written = F.concat(F.dayofmonth("o_orderdate").cast("string"), F.lit(" "), F.element_at(names, F.month("o_orderdate")), F.lit(" "), F.year("o_orderdate").cast("string"))
+    thing = F.concat(F.lit("shipment"), F.translate(F.col("o_orderkey").cast("string"), "0123456789", "abcdefghij"))
+    sections = orders.select("o_orderkey", F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("section_id"), F.lit("").alias("title"), F.concat(F.lit("On "), written, F.lit(" the goods left.\n\nOther news.")).alias("markdown"))
+    k = F.col("o_orderkey") % 3
+    events = orders.select(
+        F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("place"), F.when(k == 2, "soon").when(k == 1, "1901-02-03").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
+        F.when(k == 0, written).otherwise("").alias("date_text"), thing.alias("title"), F.lit("goods left").alias("detail"), F.lit("the goods left").alias("quote"), F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("section_id"),
+    )
+    return events, sections
+
+
+@query("select o_orderkey as place, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then '1901-02-03' else 'soon' end as iso, case o_orderkey % 3 when 0 then 'verified' when 1 then 'date_not_in_source' else 'invalid_date' end as status from orders")
+def timeline_checked(spark, d):
+    return timeline.verify_events(*_order_events(table(spark, d, "orders"))).select("place", "iso", "status")
+
+
+@query("with s as (select case o_orderkey % 3 when 0 then 'verified' when 1 then 'date_not_in_source' else 'invalid_date' end as status from orders) select coalesce(status, 'total') as status, count(*) as n from s group by rollup (status)")
+def timeline_counts(spark, d):
+    checked = timeline.verify_events(*_order_events(table(spark, d, "orders")))
+    return checked.rollup("status").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("status", F.lit("total")).alias("status"), "n")
+
+
+@query("select o_orderkey, extract(year from o_orderdate)::int as y, extract(month from o_orderdate)::int as m, extract(day from o_orderdate)::int as d from orders")
+def dates_read(spark, d):
+    k = F.col("o_orderkey") % 3
+    day, month, year = F.dayofmonth("o_orderdate"), F.month("o_orderdate"), F.year("o_orderdate")
+    fi = F.element_at(F.array(*map(F.lit, timeline.FI_MONTHS)), month)
+    text = F.when(k == 0, F.format_string("%d.%d.%d", day, month, year)).when(k == 1, F.format_string("on %d-%d-%d", year, month, day)).otherwise(F.format_string("%d. %sta %d", day, fi, year))
+    return table(spark, d, "orders").select("o_orderkey", timeline.parse_date_text(text).alias("p")).select("o_orderkey", "p.y", "p.m", "p.d")
+
+
+@query("with e as (select o_custkey, o_orderkey, extract(year from o_orderdate) as y, lag(extract(year from o_orderdate)) over (partition by o_custkey order by o_orderkey) as before from orders) select o_custkey, count(*)::bigint as islands from e where before is null or before <> y group by 1")
+def year_islands(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    e = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    return e.withColumn("new", (~F.lag("y").over(w).eqNullSafe(F.col("y"))).cast("int")).withColumn("island", F.sum("new").over(w)).groupBy("o_custkey").agg(F.max("island").alias("islands"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------------------------
+
+
+def _case_rows(spark, d) -> DataFrame:
+    k = F.col("event_id")
+    category = F.when(k % 3 == 0, "detail").when(k % 3 == 1, "list").otherwise("unanswerable")
+    return table(spark, d, "events").select(
+        category.alias("category"), F.when(k % 2 == 0, "standard").otherwise("hard").alias("difficulty"), F.col("event_type").alias("strategy"), ((k % 10) / 10.0).alias("score"), F.when(k % 3 == 1, (k % 4) / 4.0).alias("precision"),
+        (k % 5 == 0).alias("abstained"), (k % 7).cast("int").alias("unsupported"), (k % 11 == 0).alias("derived"), (k % 13 == 0).alias("prompt_leak"), F.when(k % 2 == 0, k % 4 == 0).alias("citation_hit"), F.col("value").alias("seconds"), F.when(k % 17 == 0, "x").alias("error"),
+    )
+
+
+_METRICS = (
+    "count(*) as cases, count(error) as errors, round(avg(score), 3) as overall, round(avg(score) filter (category = 'detail'), 3) as detail_accuracy, round(avg(score) filter (category = 'list'), 3) as list_recall, "
+    "round(avg(\"precision\") filter (category = 'list'), 3) as list_precision, round(avg(abstained::int) filter (category = 'unanswerable'), 3) as abstention, round(avg(abstained::int) filter (category <> 'unanswerable'), 3) as false_abstention, "
+    "round(avg((unsupported > 0)::int) filter (not derived), 3) as unsupported_numbers, round(avg(prompt_leak::int), 3) as prompt_leaks, round(avg(citation_hit::int) filter (category <> 'unanswerable'), 3) as citation_accuracy, round(avg(seconds), 3) as mean_seconds"
+)
+_CASES = (
+    "with r as (select case event_id % 3 when 0 then 'detail' when 1 then 'list' else 'unanswerable' end as category, case when event_id % 2 = 0 then 'standard' else 'hard' end as difficulty, event_type as strategy, (event_id % 10) / 10.0::double as score, "
+    "case when event_id % 3 = 1 then (event_id % 4) / 4.0::double end as \"precision\", event_id % 5 = 0 as abstained, event_id % 7 as unsupported, event_id % 11 = 0 as derived, event_id % 13 = 0 as prompt_leak, case when event_id % 2 = 0 then event_id % 4 = 0 end as citation_hit, value as seconds, case when event_id % 17 = 0 then 'x' end as error from events) "
+)
+
+
+@query(_CASES + f"select 'all' as grouping, 'all' as key, {_METRICS} from r union all select 'category', category, {_METRICS} from r group by category union all select 'tier', difficulty || ' / ' || strategy, {_METRICS} from r group by difficulty, strategy")
+def run_summary(spark, d):
+    return evaluation.summarize(_case_rows(spark, d), {"all": [], "category": ["category"], "tier": ["difficulty", "strategy"]})
+
+
+def _questions(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 4).alias("category"), F.col("item_id").alias("place"), (F.col("item_id") % 5 == 0).alias("cross"))
+
+
+@query("select b.item_id as question_id, c as corpus_language, q as question_language, s as strategy from benchmark b, (values ('en'), ('fi')) x(c), (values ('en'), ('fi')) y(q), (values ('full'), ('retrieval')) z(s) where c = q or b.item_id % 5 = 0")
+def evaluation_cases(spark, d):
+    return evaluation.cases(_questions(spark, d), ["en", "fi"], ["full", "retrieval"]).select(*evaluation.CASE_KEY)
+
+
+@query("select item_id as question_id, category from (select item_id, item_id % 4 as category, row_number() over (partition by item_id % 4 order by item_id) as n from benchmark) where n <= 2")
+def first_questions(spark, d):
+    return evaluation.first_per_category(_questions(spark, d), 2).select("question_id", "category")
+
+
+@query("select b.item_id as question_id, c as corpus_language, c as question_language, s as strategy from benchmark b, (values ('en'), ('fi')) x(c), (values ('full'), ('retrieval')) z(s) where not (c = 'en' and b.item_id % 3 = 0)")
+def cases_left(spark, d):
+    wanted = evaluation.cases(_questions(spark, d).withColumn("cross", F.lit(False)), ["en", "fi"], ["full", "retrieval"]).select(*evaluation.CASE_KEY)
+    done = wanted.where("corpus_language = 'en' and question_id % 3 in (0, 1)").withColumn("error", F.when(F.col("question_id") % 3 == 1, "timeout"))
+    return evaluation.remaining(wanted, done)
+
+
+@query("select item_id as id, case item_id % 3 when 0 then 1.0 when 1 then 0.5 else 1.0 end::double as score, item_id % 3 <> 1 as correct from benchmark")
+def answers_scored(spark, d):
+    k = F.col("item_id") % 3
+    item = lambda name, *p: F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, p)).alias("match"))
+    rows = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("id"), F.when(k == 0, "detail").when(k == 1, "list").otherwise("unanswerable").alias("category"),
+        F.when(k == 0, "It was 1 148,5 tonnes.").when(k == 1, "- Alpha\n- Gamma ray").otherwise("The documents do not mention it.").alias("answer"), F.array(F.lit("num:1148.5")).alias("accept"),
+        F.array(item("A", "alpha"), item("B", "re:bet[ao]")).alias("items"), F.array(item("A", "alpha"), item("B", "beta"), item("C", "gamma")).alias("universe"),
+    )
+    return evaluation.score_answers(rows).select("id", "score", "correct")
+
+
+# --- readers and sinks ---------------------------------------------------------------------------------------------------------------
+
+
+@query("select page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&', 'g')) as title from pages")
+def page_titles(spark, d):
+    return pages_to_markdown(table(spark, d, "pages")).select("page_id", "title")
+
+
+@query()
+def pages_as_markdown(spark, d):
+    return pages_to_markdown(table(spark, d, "pages"))
+
+
+@query("select page_id, regexp_matches(url, '^https?://') and not regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)') as allowed from pages")
+def urls_allowed(spark, d):
+    return table(spark, d, "pages").select("page_id", url_allowed(F.col("url")).alias("allowed"))
+
+
+@query("select '| ' || n_nationkey || ' | ' || replace(n_name, '|', '\\|') || ' |' as line from nation")
+def nations_as_markdown(spark, d):
+    return markdown_rows(table(spark, d, "nation").select("n_nationkey", "n_name"))
+
+
+@query("select n_regionkey::bigint as doc_id, string_agg('## ' || n_name || chr(10) || chr(10) || 'Nation number ' || n_nationkey, chr(10) || chr(10) order by n_nationkey) as full_markdown, sum(length('## ' || n_name || '  Nation number ' || n_nationkey) + 2)::bigint - 2 as character_count from nation group by 1")
+def full_markdown_by_region(spark, d):
+    return full_markdown(_nation_sections(spark, d)).withColumn("character_count", F.col("character_count").cast("bigint"))

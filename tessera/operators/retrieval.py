@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,14 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda w: ((F.length(w) > 1) | w.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")) & ~w.isin(STOP_WORDS))
 
 
+def among(words: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(words)
+
+
 def language(text: Column, most: int = 20_000) -> Column:
     """en, fi or null: the language with more function words among the first characters, three at least; ties are English."""
     found = F.regexp_extract_all(F.substring(F.lower(text), 1, most), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    n = {k: F.size(F.filter(found, lambda w, m=m: w.isin(m))) for k, m in MARKERS.items()}
+    n = {k: F.size(F.filter(found, among(m))) for k, m in MARKERS.items()}
     return F.when((n["en"] >= 3) & (n["en"] >= n["fi"]), "en").when((n["fi"] >= 3) & (n["fi"] > n["en"]), "fi")
 
 

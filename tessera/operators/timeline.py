@@ -37,7 +37,7 @@ def parse_date_text(text: Column) -> Column:
 
 def iso_text(date: Column) -> Column:
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.concat_ws("-", date["y"].cast("string"), two(date["m"]), two(date["d"]))
+    return F.when(date.isNotNull(), F.concat_ws("-", date["y"].cast("string"), two(date["m"]), two(date["d"])))
 
 
 def precision(date: Column) -> Column:
