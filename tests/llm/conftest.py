@@ -1,26 +1 @@
-import os
-
-import pytest
-from pyspark.sql import SparkSession
-
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g")
-        .getOrCreate()
-    )
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
-
-@pytest.fixture(scope="session")
-def sf_dir():
-    return SF
+"""The session and the test tables are those of tests/conftest.py."""
