@@ -247,12 +247,12 @@ def term_statistics(spark, d):
     "p as (select doc_id, greatest(len(tokens), 1) as length, unnest(tokens) as term from c), "
     "tf as (select doc_id, term, any_value(length) as length, count(*) as tf from p where term in (select term from q) group by 1, 2), df as (select term, count(*) as df from tf group by 1), "
     "scored as (select q.item_id as query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) as score from q join df using (term) join tf using (term), s group by 1, 2), "
-    "ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored where score > 0) select query_id, rank::int as rank, doc_id, round(score, 4) as score from ranked where rank <= 8"
+    "ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored where score > 0) select query_id, rank::int as rank, doc_id, floor(score * 10000 + 0.5) / 10000 as score from ranked where rank <= 8"
 )
 def bm25_top(spark, d):
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
     hits = retrieval.bm25(queries, _documents_as_passages(spark, d), 8)
-    return hits.select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return hits.select("query_id", "rank", "doc_id", (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
 
 
 def _paragraphed(spark, d) -> DataFrame:
