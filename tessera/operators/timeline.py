@@ -63,6 +63,13 @@ def has_date(unit: Column, written: Column, date: Column) -> Column:
     return ((F.length(said) >= 4) & hay.contains(said)) | by_form
 
 
+def may_hold_date(markdown: Column, written: Column, date: Column) -> Column:
+    """What any text with the date must hold: its year, its day and month in figures, or the words of the date; cheaper than ``has_date``."""
+    hay, said = F.regexp_replace(F.lower(markdown), r"(?U)\s+", " "), F.trim(F.regexp_replace(F.lower(written), r"(?U)\s+", " "))
+    figures = F.concat(date["d"].cast("string"), F.lit("."), date["m"].cast("string"), F.lit("."))
+    return hay.contains(date["y"].cast("string")) | F.coalesce(hay.contains(figures), F.lit(False)) | F.coalesce((F.length(said) >= 4) & hay.contains(said), F.lit(False))
+
+
 def stems(text: Column) -> Column:
     """First five letters of the distinct content words of four letters or more."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}{4,}"), F.lit(0))
@@ -93,6 +100,7 @@ def verify_events(events: DataFrame, sections: DataFrame) -> DataFrame:
     """
     parsed = events.withColumn("parsed", F.coalesce(parse_iso(F.col("date")), parse_date_text(F.col("date_text"))))
     joined = parsed.where("parsed is not null and doc_id is not null").join(sections.select("doc_id", F.col("section_id").alias("at"), F.col("title").alias("heading"), "markdown"), "doc_id")
+    joined = joined.where(may_hold_date(F.col("markdown"), F.col("date_text"), F.col("parsed")))
     joined = joined.withColumn("quote_stems", stems(F.col("quote"))).withColumn("event_stems", stems(F.concat_ws(" ", "quote", "title", "detail"))).withColumn("heading_stems", stems(F.col("heading")))
     dated = F.filter(paragraph_units(F.col("markdown")), lambda u: has_date(u, F.col("date_text"), F.col("parsed")))
     joined = joined.withColumn("dated", dated).withColumn("near", F.exists("dated", lambda u: beside(u, F.col("quote_stems"), F.col("event_stems"), F.col("heading_stems"))))
