@@ -15,9 +15,15 @@ GENERIC = (
 
 def _valid(y: Column, m: Column, d: Column) -> Column:
     """struct<y, m, d> of a date that the calendar has, with null for parts not given."""
-    m, d = F.nullif(m, F.lit(0)), F.nullif(d, F.lit(0))
-    good = F.when(d.isNotNull(), F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date").isNotNull()).otherwise(m.isNull() | m.between(1, 12))
-    return F.when(y.isNotNull() & good, F.struct(y.alias("y"), m.alias("m"), d.alias("d")))
+
+    def checked(s: Column) -> Column:
+        two = lambda x: F.lpad(x.cast("string"), 2, "0")
+        day = F.concat_ws("-", F.lpad(s["y"].cast("string"), 4, "0"), two(s["m"]), two(s["d"])).try_cast("date").isNotNull()
+        good = F.when(s["d"].isNotNull(), day).otherwise(s["m"].isNull() | s["m"].between(1, 12))
+        return F.when(s["y"].isNotNull() & good, s)
+
+    parts = F.struct(y.alias("y"), F.nullif(m, F.lit(0)).alias("m"), F.nullif(d, F.lit(0)).alias("d"))
+    return F.get(F.transform(F.array(parts), checked), F.lit(0))  # the parts are computed once, not wherever they are used
 
 
 def parse_iso(text: Column) -> Column:
