@@ -13,6 +13,7 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes that end a word: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+INSIDE = ~SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -82,15 +83,13 @@ class Words:
         data, offsets = utf8(column)
         self.data = LOWER[data] if lower else data
         self.offsets = offsets
-        inside = ~SPACE[data]
-        before = np.zeros(len(data) + 1, bool)
-        before[1:] = inside
-        before[offsets] = False
-        after = np.zeros(len(data) + 1, bool)
-        after[:-1] = inside
-        after[offsets] = False
-        self.start = np.flatnonzero(inside & ~before[:-1])
-        self.end = np.flatnonzero(inside & ~after[1:]) + 1
+        inside, n = INSIDE[data], len(data)
+        start, end = inside.copy(), inside.copy()
+        np.greater(inside[1:], inside[:-1], out=start[1:])
+        np.greater(inside[:-1], inside[1:], out=end[:-1])
+        heads, tails = offsets[offsets < n], offsets[offsets > 0] - 1  # words end with their text
+        start[heads], end[tails] = inside[heads], inside[tails]
+        self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(column)), self.count)
