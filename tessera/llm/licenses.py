@@ -1,14 +1,16 @@
 """License scans by sentence rules: normalised sentences map to identifiers, and identifier sequences to licences.
 
-A document's sentences are normalised (case, comment marks, spelling, quotes, spaces) and looked up among known licence sentences; a
-sentence may carry parameters such as a version. The sequence of identifiers is then matched against ordered rules, the
+A document's sentences are normalised (case, comment marks, spelling, quotes, spaces) and looked up among known licence sentences, however
+they are wrapped over lines; a sentence may carry parameters such as a version. The sequence of identifiers is then matched against ordered rules, the
 longest and most specific first; what a rule has matched is taken out before the next is tried.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ HINT = re.compile(rb"licen[sc]|copyright|warrant|redistribut|permission|public d
 SENTENCES = [
     ("SPDX", r"spdx-license-identifier:? (?P<spdx>[a-z0-9.+-]+)"),
     ("CCBY", r"(this (work|document|text|page) is )?licensed under (the )?(cc|creative commons) (?P<cc>by(-nc)?(-nd|-sa)?|zero|0) ?(license )?(version )?(?P<ccv>\d\.\d)?( (international|unported))?( license)?"),
-    ("CCLONG", r"this work is licensed under (a|the) creative commons (?P<ccl>attribution[a-z -]*?) (?P<cclv>\d\.\d)( [a-z]+)? license"),
+    ("CCLONG", r"this work is licensed under (a|the) creative commons (?P<ccl>attribution[a-z\s-]*?) (?P<cclv>\d\.\d)( [a-z]+)? license"),
     ("PUBDOM", r"this (work|file|software|is free and unencumbered software) (is|has been)? ?(released|placed|dedicated)? ?(in|into|to) the public domain"),
     ("APACHEREF", r"((this work|this file|this software) is )?(licensed|released|distributed) under the apache license, version (?P<av>\d(\.\d)?)( \(the license\))?"),
     ("APACHEUSE", r"you may not use this file except in compliance with the license"),
@@ -49,12 +51,16 @@ SENTENCES = [
     ("GPLHOPE", r"(this program|this library|.{1,60}) is distributed in the hope that it will be useful, but without any warranty.*"),
     ("GPLSEE", r"see the gnu (lesser |library |affero )?general public license for more details"),
     ("GPLCOPY", r"you should have received a copy of the gnu (lesser |library |affero )?general public license along with .*"),
-    ("MPLREF", r"this source code form is subject to the terms of the mozilla public license, v\. ?(?P<mv>\d\.\d)"),
+    ("MPLREF", r"this source code form is subject to the terms of the mozilla public license, (v\. ?|version )(?P<mv>\d\.\d)"),
     ("MPLCOPY", r"if a copy of the mpl was not distributed with this file, you can obtain one at .*"),
     ("COPYRIGHT", r"copyright (\(c\) |© )?.*\d{4}.*"),
     ("RIGHTS", r"all rights reserved"),
 ]
-_KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+#: In a sentence of joined lines, words are parted by a space or, at a line's end, by a mark; a known sentence ends before such a mark.
+BREAK = "\x1f"
+_KNOWN = [(name, re.compile(rf"(?:{pattern.replace('.*', '.*?').replace(' ', chr(92) + 's')})[ .;!*/]*(?={BREAK}|\Z)")) for name, pattern in SENTENCES]
+#: Known sentences that hold any words at all, and those that go on with any words.
+_WILD, _OPEN = {name for name, p in SENTENCES if ".*" in p or ".{" in p}, {name for name, p in SENTENCES if p.endswith(".*")}
 
 #: Ordered rules, identifiers in sequence and the licence; braces take a sentence's parameters.
 RULES = [
@@ -87,30 +93,70 @@ NEUTRAL = {"COPYRIGHT", "RIGHTS"}
 _GPL = {"lesser ": "L", "library ": "L", "affero ": "A"}
 _CC = {"attribution": "BY", "noncommercial": "NC", "sharealike": "SA", "noderivatives": "ND", "noderivs": "ND"}
 
-_END = re.compile(r"(?<=[.!?;])(?=\s)|\n\s*\n|(?<=[.!?])\n|\n")
+_OPEN -= NEUTRAL
+_COMMENT = re.compile(r"\s*(?:(?://+!?|/?\*+/?|#+|;+|--+|%+|>+|<!--+|dnl\b|rem\b)\s*)*", re.I)
+_LIST = re.compile(r"(?:\(?(?:\d{1,2}|[abd-h])[.)]|[-•–])\s+")
+_CUT = re.compile(r"[.!?;](?=\s)")
+_SHORT = re.compile(r"\b(?:[a-z]|vs|ver|vol|no|cf|inc|ltd|corp|co|llc|dr|mrs?|ms|st)\.$", re.I)
+_ADDRESS = re.compile(r"<?(?:https?://|www\.)")
+_VERSION_BEFORE = re.compile(r"\bv(?:ersion|\.)?$")
 _SPACE = re.compile(r"\s+")
+_VERSION = re.compile(rf"\b(?:version[ {BREAK}])?v\.?[ {BREAK}]?(?=\d)")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of the sentences: they end at a mark before white space or at a line's end."""
-    cuts = [0] + sorted({m.end() for m in _END.finditer(text)}) + [len(text)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if text[a:b].strip()]
+@dataclass
+class Piece:
+    """A line, or a part of one up to a mark, of a sentence: its span and normalised text."""
 
+    start: int
+    end: int
+    plain: str
 
-def normalise(sentence: str) -> str:
-    s = sentence.lower().replace("licence", "license").replace("’", "'")
-    s = re.sub(r"[\"'`“”„«»]", "", s)
-    s = re.sub(r"(^|\n)\s*(//+|/?\*+/?|#+|;+|--+|%+|>+)\s?", " ", s)
-    s = re.sub(r"\bv\.? ?(?=\d)", "version ", s).replace("version version", "version").replace("non-commercial", "noncommercial")
-    return _SPACE.sub(" ", s).strip(" \t\n.;!*/")
 
+def normalise(piece: str) -> str:
+    s = piece.lower().replace("licence", "license").replace("’", "'")
+    s = re.sub(r"[\"'`“”„«»]", "", s).replace("non-commercial", "noncommercial")
+    s = re.sub(r"\s[*#|/]+\s*$", "", s)  # a box's right side
+    return _SPACE.sub(" ", s).strip().lstrip(" .;!*/")
 
-def identify(sentence: str) -> tuple[str, dict[str, str]] | None:
-    """The identifier and parameters of a normalised sentence."""
-    for name, pattern in _KNOWN:
-        if m := pattern.fullmatch(sentence):
-            return name, {k: v for k, v in m.groupdict().items() if v}
-    return None
+
+def sentences(text: str) -> list[list[Piece]]:
+    """The sentences, each as its pieces.
+
+    A sentence ends at a mark before white space, unless that stands after an abbreviation, at a blank line (one of comment marks alone
+    too) without an address after it, and before a list's item. Inside it, pieces end at line feeds, semicolons and abbreviations.
+    """
+    out, own, blank = [], [], False
+    for line in re.finditer(r"[^\n]*\n?", text):
+        start, end = line.span()
+        at = _COMMENT.match(text, start, end).end()
+        if not re.search(r"\w", text[at:end]):
+            blank = True
+            continue
+        if item := _LIST.match(text, at, end):
+            at = item.end()
+        if own and ((blank and not _ADDRESS.match(text, at, end)) or (item and not _VERSION_BEFORE.search(own[-1].plain))):
+            out.append(own)
+            own = []
+        blank = False
+        for cut in [*(m.end() for m in _CUT.finditer(text, at, end)), end]:
+            if plain := normalise(text[at:cut]):
+                own.append(Piece(start, cut, plain))
+            if own and text[cut - 1] in ".!?" and not _SHORT.search(text, max(at, cut - 8), cut):
+                out.append(own)
+                own = []
+            start, at = cut, _COMMENT.match(text, cut, end).end()
+    return [*out, own] if own else out
+
+
+def identify(joined: str, begins: list[int]) -> list[tuple[str, dict[str, str], int] | None]:
+    """For each piece of a joined sentence the known one that begins there: identifier, parameters, and its last piece."""
+    found = []
+    for at in begins:
+        hits = ((name, m) for name, pattern in _KNOWN if (m := pattern.match(joined, at)))
+        name, m = next(hits, (None, None))
+        found.append(m and (name, {k: v.replace(BREAK, " ") for k, v in m.groupdict().items() if v}, bisect_left(begins, m.end()) - 1))
+    return found
 
 
 def licence_name(template: str, values: dict[str, str]) -> str:
@@ -138,13 +184,26 @@ def licence_name(template: str, values: dict[str, str]) -> str:
 def find_licences(text: str) -> tuple[list[tuple[str, int, int]], int, int]:
     """(licence, start, end) in the text's order, how many sentences are known, and how many speak of licences but are not."""
     known, unknown = [], 0
-    for start, end in sentences(text):
-        plain = normalise(text[start:end])
-        found = identify(plain)
-        if found:
-            known.append((*found, start, end))
-        elif HINT.search(plain.encode()):
-            unknown += 1
+    for pieces in sentences(text):
+        joined = _VERSION.sub(lambda m: "version" + (BREAK * m[0].count(BREAK) or " "), BREAK.join(p.plain for p in pieces))
+        begins = [0, *(m.end() for m in re.finditer(BREAK, joined))]
+        found, left, i = identify(joined, begins), [], 0
+        while i <= len(pieces):
+            here = found[i] if i < len(pieces) else None
+            if here and here[0] in _WILD and any(found[k] and found[k][2] <= here[2] for k in range(i + 1, here[2] + 1)):
+                here = None  # any words would take in another known sentence
+            if here or i == len(pieces):
+                unknown += bool(HINT.search(" ".join(left).encode()))
+                left = []
+            elif i < len(pieces):
+                left.append(pieces[i].plain)
+            if here:
+                last = here[2]
+                while here[0] in _OPEN and last + 1 < len(pieces) and not found[last + 1]:
+                    last += 1
+                known.append((here[0], here[1], pieces[i].start, pieces[last].end))
+                i = last
+            i += 1
     n = len(known)
     sequence, licences = [k for k in known if k[0] not in NEUTRAL], []
     for ids, template in RULES:
