@@ -1,6 +1,6 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training texts' n-grams up to order three are counted exactly. A count enters the filter as its logarithmic level q: the n-gram is inserted
+Training texts' n-grams up to order three are counted exactly. Every count, of one too, enters the filter as its logarithmic level q: the n-gram is inserted
 with each of 1..q, and a lookup probes 1, 2, ... until the first miss. The filter is built in parts, one for each bucket of n-grams, in the
 tasks that count the bucket, and parts are broadcast to the workers in rounds of bounded size. Probabilities are
 interpolated with absolute discounting from the probed counts.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .learn import fold
 from .scratch import save
-from .tokens import Words, mix, slices, unmix
+from .tokens import Words, give_back, mix, slices, unmix
 
 LEVEL_BASE, LEVELS = 1.5, 96
 #: Bits of the filter for each inserted (n-gram, level), and bits set for it, all in one 64-bit word.
@@ -28,7 +28,8 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 UNI, BI, TRI, AFTER_1, AFTER_2 = range(5)
 #: The filter's kind for contexts of either length, whose keys differ already.
 AFTER = AFTER_1
-DISCOUNT = 1.5
+#: Off each count seen, of one too; a multiple of a quarter, so that what follows a context adds up in whole quarters.
+DISCOUNT = 0.75
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 #: Values that level 0, 1, 2, ... stand for: the geometric middle of the integers that have it.
 VALUE = np.concatenate([[0.0], [float(np.exp(np.log(ints).mean())) if len(ints := np.arange(np.ceil(LEVEL_BASE ** (q - 1)), LEVEL_BASE**q)) else LEVEL_BASE ** (q - 1) for q in range(1, 25)], LEVEL_BASE ** (np.arange(25, LEVELS + 1) - 0.5)])
@@ -132,7 +133,7 @@ def counted_sorted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 1 << 21) -> DataFrame:
     """(bucket, kind, blob): by bucket a filter part, the exact word counts, and by bucket of contexts the discounted counts that follow.
 
-    Contexts have fewer buckets than n-grams, since each bucket of n-grams emits a blob for each bucket of contexts.
+    Contexts have half as many buckets as n-grams, since each bucket of n-grams emits a blob for each bucket of contexts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +173,13 @@ def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int
                 out.append((bucket, COUNTS, names.tobytes() + counts.tobytes()))
                 found.append((kind, names, counts))
                 continue
-            often = counts > 1
-            names, counts = names[often], counts[often]
-            found.append((kind, names, counts - 1))
+            found.append((kind, names, counts))
             context = AFTER_1 if kind == BI else AFTER_2
-            sums.append((after(names, context), (2 * counts - round(2 * DISCOUNT))))
+            sums.append((after(names, context), 4 * counts - round(4 * DISCOUNT)))
         out += encoded(*merged(sums), context_buckets, AFTER)
         out.append((bucket, FILTER, filter_part(found)))
+        del found, sums
+        give_back()
         return pa.Table.from_batches([blobs(out)])
 
     schema = "bucket int, kind int, blob binary"
@@ -190,7 +191,10 @@ def context_parts(counted: DataFrame, buckets: int) -> DataFrame:
 
     def merge(group: tuple, rows: pa.Table) -> pa.Table:
         sums = merged([decoded(b) for b in rows.column("blob").to_pylist()])
-        return pa.Table.from_batches([blobs([(buckets + group[0].as_py(), FILTER, filter_part([(AFTER, *sums)]))])])
+        part = filter_part([(AFTER, *sums)])
+        del sums
+        give_back()
+        return pa.Table.from_batches([blobs([(buckets + group[0].as_py(), FILTER, part)])])
 
     return counted.where(F.col("kind") == AFTER).groupBy("bucket").applyInArrow(merge, "bucket int, kind int, blob binary")
 
@@ -259,11 +263,10 @@ class Model:
         prior = np.concatenate([[0.0], count[:-1]])
         prior[head] = texts
         pair = np.concatenate([[0.0], c2[:-1]])
-        pair = np.where(pair > 0, pair + 1, 1)
         pair[head] = texts
         for seen, follow, context, damp in ((c2, a1, prior, self.damping[0]), (c3, a2, pair, self.damping[1])):
-            seen = np.where(seen > 0, seen + 1 - DISCOUNT, 0)
-            follow = np.maximum(follow / 2, seen)
+            seen = np.where(seen > 0, seen - DISCOUNT, 0)
+            follow = np.maximum(follow / 4, seen)
             context = np.maximum(context, follow) + damp
             p = (seen + (context - follow) * p) / context
         return np.log10(p)
@@ -282,7 +285,7 @@ def score_texts(
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, context_buckets = buckets or max(16, 4 * partitions), max(8, partitions // 2)
+    buckets, context_buckets = buckets or max(16, 4 * partitions), max(16, 2 * partitions)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold("doc_id", folds) == held_out).alias("held_out"))
     counted = save(count_ngrams(docs.where(~F.col("held_out")).select("text"), buckets, context_buckets), "ngrams")
     contexts = save(context_parts(counted, buckets), "contexts")

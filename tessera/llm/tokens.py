@@ -72,7 +72,12 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
-    if _trim:  # workers outlive their tasks: what a batch has left free goes back to the system
+    give_back()
+
+
+def give_back() -> None:
+    """Workers outlive their tasks: what a batch or a group has left free goes back to the system."""
+    if _trim:
         _trim(0)
 
 
