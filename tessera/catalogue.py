@@ -167,6 +167,12 @@ def text_plain(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("bigint").alias("n_words"), X.plain(F.substring("text", 1, 200)).alias("plain"))
 
 
+@query("select doc_id, length(plain) as n_chars, md5(plain) as digest from (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as plain from documents)")
+def text_plain_whole(spark, d):
+    plain = table(spark, d, "documents").select("doc_id", X.plain(F.col("text")).alias("plain"))
+    return plain.select("doc_id", F.length("plain").cast("bigint").alias("n_chars"), F.md5("plain").alias("digest"))
+
+
 def _answers(spark, d) -> DataFrame:
     """Answers with citations, refusals, thinking and lists, made of nations and regions."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
