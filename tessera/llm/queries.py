@@ -38,7 +38,7 @@ def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
 def op6_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
