@@ -1,7 +1,8 @@
 """Embedding near-duplicates with Euclidean p-stable hashing.
 
 Unit vectors are projected on Gaussian directions, and the projections are quantised in steps of ``width``; the k steps of a table
-name a bucket. Vectors that share a bucket in one of the tables get an exact cosine check in double precision.
+name a bucket. A first pass moves ids with 128-bit sketches alone and finds the rows that share a bucket with one that may be near; a second
+moves the vectors of these rows only, and takes exact cosines in double precision.
 """
 
 from __future__ import annotations
@@ -11,11 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .groups import cells, components, local_roots
-from .scratch import save
+from .scratch import drop, save
+
+#: Random signs of a sketch, and the standard deviations that a pair at the least cosine may differ in more of them than expected.
+SIGNS, SLACK = 128, 6.0
+#: Tables that a bucket's number has room for; thousands of billions of vectors stay below it.
+MOST_TABLES = 1024
 
 
 def collision_rate(distance: float, width: float) -> float:
@@ -25,19 +31,29 @@ def collision_rate(distance: float, width: float) -> float:
     return 1 - 2 * cdf - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def table_shape(n: int, cosine: float, width: float, recall: float) -> tuple[int, int]:
-    """(k, tables): k keeps unrelated (orthogonal) vectors to about one in a bucket of each, by log n; tables reach the recall
-    at the least cosine that links."""
+def table_shape(n: int, cosine: float, width: float, recall: float, strangers: int = 64) -> tuple[int, int]:
+    """(k, tables): k leaves about ``strangers`` unrelated (orthogonal) vectors in a bucket, by log n, which sketches tell apart; tables
+    reach the recall at the least cosine that links."""
     near, far = collision_rate(math.sqrt(2 - 2 * cosine), width), collision_rate(math.sqrt(2), width)
-    k = max(2, math.ceil(math.log(max(n, 2)) / -math.log(far)))
-    return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
+    k = max(2, math.ceil(math.log(max(n / strangers, 2)) / -math.log(far)))
+    return k, min(MOST_TABLES, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k))))
+
+
+def differing_signs(cosine: float) -> int:
+    """Most signs of a sketch that count as near: those expected at ``cosine`` and ``SLACK`` standard deviations."""
+    p = math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    return math.ceil(SIGNS * p + SLACK * math.sqrt(SIGNS * p * (1 - p)))
+
+
+def finite(v: Column) -> Column:
+    """Whether a vector has a direction: not null, no null or non-finite component, not all zero."""
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(v.isNotNull() & sound & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def vectors(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, vec array<float or double>): rows whose vector has a direction: not null, no null or non-finite component, not all zero."""
-    v = F.col(column)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return df.select(F.col(key).cast("long").alias("id"), v.alias("vec")).where(v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
+    """(id, vec array<float or double>): rows whose vector has a direction."""
+    return df.select(F.col(key).cast("long").alias("id"), F.col(column).alias("vec")).where(finite(F.col("vec")))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -46,6 +62,42 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """Rows of one vector length at a time, the length, and the unit vectors."""
+    for batch in batches:
+        lengths = np.diff(batch.column("vec").offsets.to_numpy())
+        for dim in np.unique(lengths).tolist():
+            part = batch.filter(pa.array(lengths == dim)) if (lengths != dim).any() else batch
+            x = matrix(part.column("vec"))
+            yield part, dim, x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def bucket_codes(x: np.ndarray, k: int, tables: int, width: float, seed: int) -> np.ndarray:
+    """(rows, tables) int32: the bucket of each unit vector in each table."""
+    rng = np.random.default_rng([seed, x.shape[1]])
+    steps = np.floor((x @ rng.standard_normal((x.shape[1], tables * k))) / width + rng.random(tables * k)).astype(np.int64)
+    mixed = (steps.reshape(-1, tables, k) * rng.integers(1, 1 << 62, (tables, k))).sum(2)
+    return (mixed ^ (mixed >> 31)).astype(np.int32)
+
+
+def sketches(x: np.ndarray, seed: int) -> np.ndarray:
+    """(rows, 2) int64: signs of ``SIGNS`` Gaussian projections."""
+    rng = np.random.default_rng([seed + 1, x.shape[1]])
+    return np.packbits(x @ rng.standard_normal((x.shape[1], SIGNS)) > 0, axis=1).view(np.int64)
+
+
+def in_cells(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int]]] | None:
+    """A task's rows in order of cell and rep, and (begin, rows) of the cells that hold two or more."""
+    own = list(batches)
+    if not own:
+        return None
+    rows = pa.Table.from_batches(own).sort_by([("cell", "ascending"), ("rep", "ascending")]).combine_chunks()
+    cell = rows.column("cell").to_numpy()
+    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    size = np.diff(np.append(begin, len(cell)))
+    return rows, list(zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True))
+
+
 def near_vectors(
     df: DataFrame, key: str = "vec_id", column: str = "embedding", cosine: float = 0.95, width: float = 2.0, recall: float = 0.98, group_rows: int = 1024, seed: int = 42
 ) -> DataFrame:
@@ -60,54 +112,55 @@ def near_vectors(
     exact = F.xxhash64("vec").alias("h")
     reps = save(valid.groupBy(exact, "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
     k, tables = table_shape(reps.count(), cosine, width, recall)
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = np.diff(batch.column("vec").offsets.to_numpy())
-            for dim in np.unique(lengths):
-                part = batch.filter(pa.array(lengths == dim)) if len(np.unique(lengths)) > 1 else batch
-                x = matrix(part.column("vec"))
-                x /= np.sqrt((x * x).sum(1))[:, None]
-                rng = np.random.default_rng([seed, int(dim)])
-                steps = np.floor((x @ rng.standard_normal((dim, tables * k))) / width + rng.random(tables * k)).astype(np.int64)
-                mixed = (steps.reshape(-1, tables, k) * rng.integers(1, 1 << 62, (tables, k))).sum(2)
-                codes = (mixed ^ (mixed >> 31)).astype(np.int32)
-                n = part.num_rows
-                table = np.tile(np.arange(tables), n)
-                take = pa.array(np.repeat(np.arange(n), tables))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("rep").take(take),
-                        part.column("copies").take(take),
-                        part.column("vec").take(take),
-                        pa.array(table.astype(np.int32)),
-                        pa.array((table << 40) ^ (int(dim) << 50) ^ codes.ravel().astype(np.int64)),
-                        pa.array([row.tobytes() for row in codes], pa.binary()).take(take),
-                    ],
-                    ["rep", "copies", "vec", "table", "bucket", "codes"],
-                )
-
-    kind = dict(reps.dtypes)["vec"]
-    dealt = save(
-        reps.select("rep", "copies", "vec").mapInArrow(buckets, f"rep long, copies long, vec {kind}, table int, bucket long, codes binary"), "buckets"
-    )
+    apart = differing_signs(cosine)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, dim, x in by_length(batches):
+            codes, signs = bucket_codes(x, k, tables, width, seed), sketches(x, seed)
+            table = np.tile(np.arange(tables), len(x))
+            bucket = (dim % (1 << 13) << 50) | (table << 40) | (codes.ravel().astype(np.int64) & 0xFFFFFFFF)
+            rep = np.repeat(part.column("rep").to_numpy(), tables)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(bucket), *(pa.array(np.repeat(s, tables)) for s in signs.T)], ["rep", "bucket", "low", "high"])
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = in_cells(batches)
+        if found is None:
+            return
+        rows, groups = found
+        low, high, chunk, left, right = (rows.column(c).to_numpy() for c in ("low", "high", "chunk", "left", "right"))
+        hit = np.zeros(rows.num_rows, bool)
+        for b, n in groups:
+            s = slice(b, b + n)
+            near = np.bitwise_count(low[s, None] ^ low[s]).astype(np.int16) + np.bitwise_count(high[s, None] ^ high[s]) <= apart
+            if left[b] != right[b]:
+                near &= chunk[s, None] != chunk[s]
+            np.fill_diagonal(near, False)
+            hit[s] = near.any(1)
+        if hit.any():
+            yield from rows.filter(pa.array(hit)).select(["rep", "bucket", "cell", "chunk", "left", "right"]).to_batches()
+
+    signed = reps.select("rep", "vec").mapInArrow(sketched, "rep long, bucket long, low long, high long")
+    dealt = cells(signed, "bucket", "rep", group_rows)
+    near = save(dealt.repartition("cell").mapInArrow(suspects, "rep long, bucket long, cell long, chunk int, left int, right int"), "suspects")
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, x in by_length(batches):
+            codes = [row.tobytes() for row in bucket_codes(x, k, tables, width, seed)]
+            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("vec"), pa.array(codes, pa.binary())], ["rep", "copies", "vec", "codes"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = list(batches)
-        if not own:
+        found = in_cells(batches)
+        if found is None:
             return
-        rows = pa.Table.from_batches(own).combine_chunks()
-        order = rows.column("cell").to_numpy().argsort(kind="stable")
-        cell = rows.column("cell").to_numpy()[order]
-        begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        size = np.diff(np.append(begin, len(cell)))
-        for b, n in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            part = rows.take(pa.array(order[b : b + n])).combine_chunks().sort_by("rep")
-            if len(set(np.diff(part.column("vec").combine_chunks().offsets.to_numpy()).tolist())) > 1:
+        rows, groups = found
+        for b, n in groups:
+            part = rows.slice(b, n).combine_chunks()
+            vec = part.column("vec").combine_chunks()
+            if len(np.unique(np.diff(vec.offsets.to_numpy()))) > 1:
                 continue  # a clash of cell hashes between lengths
             rep, copies, chunk = (part.column(c).to_numpy() for c in ("rep", "copies", "chunk"))
-            left, right, table = (part.column(c)[0].as_py() for c in ("left", "right", "table"))
-            x = matrix(part.column("vec").combine_chunks())
+            left, right, table = part.column("left")[0].as_py(), part.column("right")[0].as_py(), (part.column("bucket")[0].as_py() >> 40) & 1023
+            x = matrix(vec)
             codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int32).reshape(n, -1)
             norm = np.sqrt((x * x).sum(1))
             linked = (x @ x.T) / (norm[:, None] * norm) >= cosine
@@ -122,17 +175,16 @@ def near_vectors(
                 root = local_roots(n, *np.nonzero(linked))
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[root[some]]), pa.array(count[some])], ["a", "b", "n"])
 
-    found = save(
-        cells(dealt, "bucket", "rep", group_rows).repartition("cell").mapInArrow(links, "a long, b long, n long"), "links"
-    )
+    kind = dict(reps.dtypes)["vec"]
+    whole = reps.join(near.select("rep").distinct(), "rep", "left_semi").select("rep", "copies", "vec").mapInArrow(coded, f"rep long, copies long, vec {kind}, codes binary")
+    found = save(near.join(whole, "rep").repartition("cell").mapInArrow(links, "a long, b long, n long"), "links")
+    drop(near)
     label = components(found)
     total = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     members = valid.select("id", exact, "vec").join(
         reps.join(total, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h", "vec", "rep", "copies", "n", "component"), ["h", "vec"]
     )
     done = members.select(F.col("id").alias(key), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rest = df.select(F.col(key).cast("long").alias("id"), F.col(column).alias("vec"))
-    v = F.col("vec")
-    finite = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rest = rest.where(v.isNull() | ~finite).select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    rest = df.select(F.col(key).cast("long").alias("id"), F.col(column).alias("vec")).where(~finite(F.col("vec")))
+    rest = rest.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return done.unionByName(rest).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder; a local one only where the session names none (tests)."""
+    """A new path in the shared checkpoint folder; a local one only in local mode, where the session names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows may be blobs of megabytes, so sizes are looked at after every row: pages and row groups stay near their limits.
+WRITING = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 100, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 100, "parquet.block.size": 32 << 20}
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and returns it as read again, so that later jobs start from files all executors share."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**WRITING).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

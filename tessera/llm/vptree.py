@@ -1,9 +1,8 @@
-"""Approximate nearest neighbours: a vantage-point tree for each shard of the vectors, written as an index and searched in query blocks."""
+"""Approximate nearest neighbours: a vantage-point tree for each shard of the vectors, written as an index that blocks of queries meet."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,10 @@ from .pstable import matrix, vectors
 from .scratch import save
 
 LEAF = 32
+#: Most tasks that a search is dealt to; each takes whole shards.
+MOST_TASKS = 1 << 14
+#: Pruning factors to choose from.
+FACTORS = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 16.0, 24.0)
 
 
 def build(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -56,14 +59,24 @@ class Nearest:
 
     def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
         self.queries, self.ids, self.k = queries, ids, k
+        self.square = (queries * queries).sum(1)
         self.distance = np.full((len(ids), k), np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.compared = 0
 
     def reach(self, q: np.ndarray) -> np.ndarray:
         return self.distance[q, -1]
 
     def offer(self, q: np.ndarray, points: np.ndarray, ids: np.ndarray, step: int = 1 << 21) -> None:
-        """Compares the queries ``q`` with points (their ids ascending within equal points)."""
+        """Compares the queries ``q`` with points (their ids ascending within equal points).
+
+        A matrix product tells which queries have a point within reach, with room for its rounding; these alone take exact distances.
+        """
+        self.compared += len(q) * len(ids)
+        square = (points * points).sum(1)
+        near = self.square[q][:, None] + square - 2 * (self.queries[q] @ points.T)
+        room = 1e-9 * (self.square[q][:, None] + square)
+        q = q[(near - room <= (self.reach(q) ** 2)[:, None]).any(1)]
         rows = max(1, step // max(1, points.size))
         for start in range(0, len(q), rows):
             some = q[start : start + rows]
@@ -117,42 +130,71 @@ def build_index(df: DataFrame, key: str, column: str, shard_rows: int, seed: int
     return save(points.groupBy("shard", "dim").applyInArrow(trees, "shard int, dim int, ids binary, vecs binary, order binary, nodes binary"), "vptrees")
 
 
+def share_found(x: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: np.ndarray, asked: np.ndarray, k: int, factor: float) -> tuple[float, float]:
+    """Recall of a tree's search for some of its own points, against all distances, and the share of points compared."""
+    near, whole = (Nearest(x[asked], ids[asked], k) for _ in range(2))
+    search(x, ids, order, nodes, near, factor)
+    whole.offer(np.arange(len(asked)), x, ids)
+    hits = sum(len(np.intersect1d(a, b)) for a, b in zip(near.found, whole.found, strict=True))
+    return hits / max(1, len(asked) * min(k, len(ids) - 1)), near.compared / max(1, len(asked) * len(ids))
+
+
+def sample_factor(index: DataFrame, k: int, recall: float, sample: int = 128, seed: int = 42) -> float:
+    """The greatest of ``FACTORS`` at which ``sample`` points of one shard keep ``recall`` of their nearest in it; a sample of fixed size.
+
+    Other shards hold farther points for a query, so they prune less, and the whole search finds at least about as much.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree in batch.to_pylist():
+                ids, order, nodes = np.frombuffer(tree["ids"], np.int64), np.frombuffer(tree["order"], np.int64), np.frombuffer(tree["nodes"], np.float64).reshape(-1, 6)
+                x = np.frombuffer(tree["vecs"], np.float64).reshape(len(ids), -1)
+                asked = np.random.default_rng(seed).permutation(len(ids))[:sample]
+                good = [f for f in FACTORS if share_found(x, ids, order, nodes, asked, k, f)[0] >= recall]
+                yield pa.RecordBatch.from_arrays([pa.array([max(good, default=1.0)], pa.float64())], ["factor"])
+
+    first = index.orderBy("shard", "dim").limit(1).mapInArrow(run, "factor double").first()
+    return first.factor if first else 1.0
+
+
 def nearest(
-    df: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 10, factor: float = 1.2, shard_rows: int = 4096, block_rows: int = 2048, seed: int = 42
+    df: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 10, factor: float | None = None, recall: float = 0.98, shard_rows: int = 4096, block_rows: int = 2048, seed: int = 42
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows of ``df`` found, itself left out, by Euclidean distance.
 
-    ``factor`` >= 1 prunes harder than the triangle inequality allows; 1 gives the exact result. Vectors null, zero or holding null or
-    non-finite components take no part; vectors are compared with those of their own length. Queries are searched in blocks of
-    about ``block_rows``, the only thing that is broadcast; each block reads the index once. Ties go to the smaller id; rows repeated
-    under an id are candidates each; extra columns are ignored; an empty table gives an empty one.
+    ``factor`` >= 1 prunes harder than the triangle inequality allows; 1 gives the exact result, None takes the greatest that keeps ``recall``
+    on a sample. Vectors null, zero or holding null or non-finite components take no part; vectors are compared with those of their
+    own length. Queries are packed into blocks of about ``block_rows``, which Spark moves to every shard; nothing is broadcast or
+    collected. Ties go to the smaller id; rows repeated under an id are candidates each; extra columns are ignored; an empty table
+    gives an empty one.
     """
-    spark = df.sparkSession
     index = build_index(df, key, column, shard_rows, seed)
+    factor = sample_factor(index, k, recall, seed=seed) if factor is None else factor
     asked = vectors(queries, key, column)
     blocks = max(1, -(-asked.count() // block_rows))
-    asked = save(asked.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks))), "queries")
-
-    def searched(block: int) -> DataFrame:
-        rows = asked.where(F.col("block") == block).select("id", "vec").toArrow()
-        sent = spark.sparkContext.broadcast((rows.column("id").to_numpy(), [np.asarray(v, np.float64) for v in rows.column("vec").to_pylist()]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, vecs = sent.value
-            for batch in batches:
-                for tree in batch.to_pylist():
-                    own = np.array([i for i, v in enumerate(vecs) if len(v) == tree["dim"]], int)
-                    if not len(own):
-                        continue
-                    ids, order = np.frombuffer(tree["ids"], np.int64), np.frombuffer(tree["order"], np.int64)
-                    x = np.frombuffer(tree["vecs"], np.float64).reshape(len(ids), -1)
-                    near = Nearest(np.stack([vecs[i] for i in own]), names[own], k)
-                    search(x, ids, order, np.frombuffer(tree["nodes"], np.float64).reshape(-1, 6), near, factor)
-                    q, r = np.nonzero(np.isfinite(near.distance))
-                    yield pa.RecordBatch.from_arrays([pa.array(near.ids[q]), pa.array(near.found[q, r]), pa.array(near.distance[q, r])], ["query_id", "vec_id", "score"])
-
-        return index.mapInArrow(run, "query_id long, vec_id long, score double")
-
-    found = reduce(DataFrame.unionAll, [searched(b) for b in range(blocks)])
+    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks))).withColumn("dim", F.size("vec"))
+
+    def packed(group: tuple, rows: pa.Table) -> pa.Table:
+        vecs = matrix(rows.column("vec").combine_chunks())
+        return pa.table({"dim": pa.array([group[1].as_py()], pa.int32()), "names": pa.array([rows.column("id").to_numpy().tobytes()], pa.binary()), "asked": pa.array([vecs.tobytes()], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tree = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+                ids, names = np.frombuffer(tree["ids"], np.int64), np.frombuffer(tree["names"], np.int64)
+                x = np.frombuffer(tree["vecs"], np.float64).reshape(len(ids), -1)
+                near = Nearest(np.frombuffer(tree["asked"], np.float64).reshape(len(names), -1), names, k)
+                search(x, ids, np.frombuffer(tree["order"], np.int64), np.frombuffer(tree["nodes"], np.float64).reshape(-1, 6), near, factor)
+                q, r = np.nonzero(np.isfinite(near.distance))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ids[q]), pa.array(near.found[q, r]), pa.array(near.distance[q, r])], ["query_id", "vec_id", "score"])
+
+    shards = index.agg(F.max("shard")).first()[0]
+    asked = save(asked.groupBy("block", "dim").applyInArrow(packed, "dim int, names binary, asked binary"), "queries")
+    spread = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0))))
+    # a number of its own, since adaptive execution would put small shards into one task, and the work is in the comparing
+    met = index.repartition(min((shards or 0) + 1, MOST_TASKS), "shard", "dim").join(spread.hint("merge"), ["shard", "dim"])
+    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
