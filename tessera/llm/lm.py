@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learn import fold
-from .scratch import save
+from .scratch import drop, save
 from .tokens import Words, give_back, mix, slices, unmix
 
 LEVEL_BASE, LEVELS = 1.5, 96
@@ -30,6 +30,8 @@ UNI, BI, TRI, AFTER_1, AFTER_2 = range(5)
 AFTER = AFTER_1
 #: Off each count seen, of one too; a multiple of a quarter, so that what follows a context adds up in whole quarters.
 DISCOUNT = 0.75
+#: Bytes of text for each bucket of n-grams, and bytes of the filter that the driver collects at once.
+BUCKET_BYTES, COLLECT_BYTES = 8 << 20, 16 << 20
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 #: Values that level 0, 1, 2, ... stand for: the geometric middle of the integers that have it.
 VALUE = np.concatenate([[0.0], [float(np.exp(np.log(ints).mean())) if len(ints := np.arange(np.ceil(LEVEL_BASE ** (q - 1)), LEVEL_BASE**q)) else LEVEL_BASE ** (q - 1) for q in range(1, 25)], LEVEL_BASE ** (np.arange(25, LEVELS + 1) - 0.5)])
@@ -213,10 +215,11 @@ class Model:
     n: int
     v: int
     damping: tuple[float, float]
+    texts: int = 0
 
-    def probe(self, key: np.ndarray, kind: int, levels: np.ndarray | None = None) -> np.ndarray:
-        """The level of each key: probes of 1, 2, ... until the first miss. Keys of parts that another round holds stay as they are."""
-        found = np.zeros(len(key), np.int8) if levels is None else levels
+    def probe(self, key: np.ndarray, kind: int) -> np.ndarray:
+        """The level of each key: probes of 1, 2, ... until the first miss; 0 for keys of parts that another round holds."""
+        found = np.zeros(len(key), np.int8)
         part = np.searchsorted(self.context_edges, key, "right") + len(self.edges) + 1 if kind == AFTER else np.searchsorted(self.edges, key, "right")
         active = np.flatnonzero(self.size[part] > 0)
         q = 1
@@ -228,23 +231,14 @@ class Model:
             q += 1
         return found
 
-    def probe_distinct(self, key: np.ndarray, kind: int, levels: np.ndarray | None) -> np.ndarray:
+    def probe_distinct(self, key: np.ndarray, kind: int) -> np.ndarray:
         names, inverse = np.unique(key, return_inverse=True)
-        found = self.probe(names, kind)[inverse]
-        return found if levels is None else np.maximum(found, levels)
+        return self.probe(names, kind)[inverse]
 
-    def levels(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, before: np.ndarray | None) -> np.ndarray:
-        """(7, tokens): levels of the word, the word before, bigram, the bigram before, trigram, and of what follows either context."""
+    def levels(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """(5, tokens): levels of the word, bigram, trigram, and of what follows either context; 0 for what other rounds hold."""
         w, b, t = keys(token, one, two)
-        old = [None] * 5 if before is None else list(before)
-        c1, c2, c3, a1, a2 = (np.zeros(len(w), np.int8) if x is None else x for x in old)
-        rare = np.flatnonzero(self.exact(w) == 0)
-        c1[rare] = self.probe_distinct(w[rare], UNI, c1[rare])
-        c2 = self.probe(b, BI, c2)
-        c3 = self.probe(t, TRI, c3)
-        a1 = self.probe_distinct(after(b, AFTER_1), AFTER, a1)
-        a2 = self.probe(after(t, AFTER_2), AFTER, a2)
-        return np.stack([c1, c2, c3, a1, a2])
+        return np.stack([self.probe_distinct(w, UNI), self.probe(b, BI), self.probe(t, TRI), self.probe_distinct(after(b, AFTER_1), AFTER), self.probe(after(t, AFTER_2), AFTER)])
 
     def exact(self, key: np.ndarray) -> np.ndarray:
         """Counts of frequent words, 0 for others."""
@@ -253,80 +247,103 @@ class Model:
         at = np.minimum(np.searchsorted(self.often, key), len(self.often) - 1)
         return np.where(self.often[at] == key, self.often_counts[at], 0)
 
-    def log_probability(self, token: np.ndarray, first: np.ndarray, levels: np.ndarray, exact: np.ndarray, texts: int) -> np.ndarray:
-        """log10 of each token's probability: trigram over bigram over word, each discounted mass going to the next."""
-        c1, c2, c3, a1, a2 = VALUE[levels.astype(np.int64)]
-        head = np.zeros(len(token), bool)
-        head[first[:-1]] = True
-        count = np.where(exact > 0, exact, c1)
-        p = (count + 0.1) / (self.n + 0.1 * (self.v + 1))
-        prior = np.concatenate([[0.0], count[:-1]])
-        prior[head] = texts
-        pair = np.concatenate([[0.0], c2[:-1]])
-        pair[head] = texts
-        for seen, follow, context, damp in ((c2, a1, prior, self.damping[0]), (c3, a2, pair, self.damping[1])):
-            seen = np.where(seen > 0, seen - DISCOUNT, 0)
-            follow = np.maximum(follow / 4, seen)
-            context = np.maximum(context, follow) + damp
-            p = (seen + (context - follow) * p) / context
-        return np.log10(p)
+    def log_probability(self, first: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        return log_probability(first, levels, self.n, self.v, self.texts, self.damping)
+
+
+def log_probability(first: np.ndarray, levels: np.ndarray, n: int, v: int, texts: int, damping: tuple[float, float]) -> np.ndarray:
+    """log10 of each token's probability: trigram over bigram over word, each discounted mass going to the next.
+
+    All counts are those that the levels stand for; only the number of tokens, words and texts is known exactly.
+    """
+    c1, c2, c3, a1, a2 = VALUE[levels.astype(np.int64)]
+    head = np.zeros(levels.shape[1], bool)
+    head[first[:-1]] = True
+    p = (c1 + 0.1) / (n + 0.1 * (v + 1))
+    prior, pair = (np.concatenate([[0.0], c[:-1]]) for c in (c1, c2))
+    prior[head] = pair[head] = texts
+    for seen, follow, context, damp in ((c2, a1, prior, damping[0]), (c3, a2, pair, damping[1])):
+        seen = np.where(seen > 0, seen - DISCOUNT, 0)
+        follow = np.maximum(follow / 4, seen)
+        context = np.maximum(context, follow) + damp
+        p = (seen + (context - follow) * p) / context
+    return np.log10(p)
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 192, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
+    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 128, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
     Texts (null: empty) of the fold ``held_out`` (crc32 of the id as text, modulo ``folds``) are not learned from. Words are told apart by
-    64-bit hashes. base_score has exact counts: those of the ``often_words`` most frequent words are broadcast, the other words' join by bucket.
-    The filter is broadcast in rounds of at most ``round_mb``; in all but the last the probed levels are written beside the texts.
-    Words not seen in training get the smoothed mass of a count of zero. Repeated rows are scored each, extra columns ignored, an
-    empty table gives an empty one.
+    64-bit hashes. score comes from probes of the filter alone. base_score has exact counts: those of the ``often_words`` most
+    frequent words are broadcast, the other words' join by bucket. The filter is broadcast in rounds of at most ``round_mb``; each
+    round writes the levels it found, and these meet at the end. Words not seen in training get the smoothed mass of a count of zero.
+    Repeated rows are scored each, extra columns ignored, an empty table gives an empty one.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, context_buckets = buckets or max(16, 4 * partitions), max(16, 2 * partitions)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold("doc_id", folds) == held_out).alias("held_out"))
+    texts, size = docs.agg(F.coalesce(F.count_if(~F.col("held_out")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # a bucket's work is one task's, so buckets grow with the texts
+    buckets, context_buckets = buckets or max(16, 4 * partitions, size // BUCKET_BYTES), max(16, 2 * partitions, size // BUCKET_BYTES // 4)
     counted = save(count_ngrams(docs.where(~F.col("held_out")).select("text"), buckets, context_buckets), "ngrams")
     contexts = save(context_parts(counted, buckets), "contexts")
-    n, v, often, often_counts = word_totals(counted.where(F.col("kind") == COUNTS), often_words)
-    end = mix(np.array([END]))
+    counts = save(counted.where(F.col("kind") == COUNTS), "words")
+    n, v, often, often_counts = word_totals(counts, often_words)
     parts = counted.where(F.col("kind") == FILTER).select("bucket", "blob").unionByName(contexts.select("bucket", "blob"))
     sizes = {r.bucket: r.size for r in parts.select("bucket", F.length("blob").alias("size")).collect()}
-    rounds, room = [[]], round_mb << 20
-    for b, size in sorted(sizes.items()):
-        if rounds[-1] and size > room:
-            rounds.append([])
-            room = round_mb << 20
-        rounds[-1].append(b)
-        room -= size
-    found = docs.withColumn("levels", F.lit(None).cast("binary"))
+    rounds = grouped(sizes, round_mb << 20)
+    if len(rounds) > 1:
+        docs = save(docs.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    found = []
     for k, own in enumerate(rounds):
-        table = parts.where(F.col("bucket").between(own[0], own[-1])).toArrow() if own else None
         begin, size = np.zeros(buckets + context_buckets, np.int64), np.zeros(buckets + context_buckets, np.int64)
-        names = table.column("bucket").to_pylist() if own else []
-        lengths = np.array([sizes[b] // 8 for b in names], np.int64)
-        begin[names], size[names] = np.cumsum(lengths) - lengths, lengths
-        words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("blob")]) if own else np.zeros(0, np.uint64)
-        model = Model(words, begin, size, bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping)
-        texts = int(model.exact(end)[0])
-        sent = spark.sparkContext.broadcast(model)
-        del words, model, table
+        lengths = np.array([sizes[b] // 8 for b in own], np.int64)
+        begin[own], size[own] = np.cumsum(lengths) - lengths, lengths
+        words = np.empty(int(lengths.sum()), np.uint64)
+        for some in grouped({b: sizes[b] for b in own}, COLLECT_BYTES) if own else ():
+            table = parts.where(F.col("bucket").between(some[0], some[-1])).toArrow()
+            for b, blob in zip(table.column("bucket").to_pylist(), table.column("blob"), strict=True):
+                words[begin[b] : begin[b] + size[b]] = np.frombuffer(blob.as_buffer(), np.uint64)
+            del table
+        sent = spark.sparkContext.broadcast(Model(words, begin, size, bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping, texts))
+        del words
         if k + 1 < len(rounds):
-            found = save(found.mapInArrow(probing(sent), found.schema), "levels")
-    scored = save(found.mapInArrow(scoring(sent, buckets, texts), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, kind int, blob binary"), "scores")
-    rare = scored.where("rid is null").select("bucket", "kind", "blob").unionByName(counted.where(F.col("kind") == COUNTS))
+            found.append(save(docs.select("rid", "text").mapInArrow(probing(sent), "rid long, levels binary"), "levels"))
+        else:
+            scored = save(docs.mapInArrow(scoring(sent, buckets, len(rounds) == 1), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, levels binary, bucket int, kind int, blob binary"), "scores")
+        sent.destroy()
+    drop(counted)
+    drop(contexts)
+    rows = scored.where("rid is not null")
+    if found:
+        drop(docs)
+        levels = rows.select("rid", "levels")
+        for table in found:
+            levels = levels.unionByName(table)
+        levels = levels.groupBy("rid").agg(F.collect_list("levels").alias("levels"))
+        rows = rows.drop("score").join(levels.mapInArrow(summing(n, v, texts, damping), "rid long, score double"), "rid")
+    rare = scored.where("rid is null").select("bucket", "kind", "blob").unionByName(counts)
     more = rare.groupBy("bucket").applyInArrow(rare_counts(n, v), "rid long, base double, n_known long").groupBy("rid").agg(F.sum("base").alias("more"), F.sum("n_known").alias("more_known"))
-    return (
-        scored.where("rid is not null")
-        .join(more, "rid", "left")
-        .select(
-            "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
-        )
+    return rows.join(more, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
 
 
+def grouped(sizes: dict[int, int], room: int) -> list[list[int]]:
+    """The buckets in order, in groups of up to ``room`` bytes; one group at least."""
+    out, left = [[]], room
+    for b, size in sorted(sizes.items()):
+        if out[-1] and size > left:
+            out.append([])
+            left = room
+        out[-1].append(b)
+        left -= size
+    return out
+
+
 def word_totals(counts: DataFrame, often_words: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     """Number of tokens and of distinct words, and the words, at most ``often_words``, of the greatest counts, sorted by key."""
 
@@ -360,27 +377,37 @@ def word_totals(counts: DataFrame, often_words: int) -> tuple[int, int, np.ndarr
 
 
 def probing(sent):
-    """Adds a round's levels to each text's."""
+    """The levels that a round's part of the filter gives the tokens of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 token, one, two, first = sequence(Words(part.column("text")))
-                found = sent.value.levels(token, one, two, old_levels(part, first))
-                out = [np.ascontiguousarray(found[:, s:e]).tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
-                yield part.set_column(part.schema.get_field_index("levels"), "levels", pa.array(out, pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column("rid"), by_text(sent.value.levels(token, one, two), first)], ["rid", "levels"])
 
     return run
 
 
-def old_levels(part: pa.RecordBatch, first: np.ndarray) -> np.ndarray | None:
-    if part.column("levels").null_count:
-        return None
-    return np.concatenate([np.frombuffer(x, np.int8).reshape(5, -1) for x in part.column("levels").to_pylist()], axis=1).copy()
+def by_text(levels: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(levels[:, s:e]).tobytes() for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())
+
+
+def summing(n: int, v: int, texts: int, damping: tuple[float, float]):
+    """Scores from the levels of all rounds; each token's n-grams are in one round's parts, so levels add up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = []
+            for rounds in batch.column("levels").to_pylist():
+                levels = sum(np.frombuffer(x, np.int8).reshape(5, -1) for x in rounds)
+                score.append(float(log_probability(np.array([0, levels.shape[1]]), levels, n, v, texts, damping).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(score, pa.float64())], ["rid", "score"])
+
+    return run
 
 
-def scoring(sent, buckets: int, texts: int, flush: int = 1 << 19):
-    """Scores of each text, with the base score over frequent words, and by bucket the rare words that the rest of it needs."""
+def scoring(sent, buckets: int, whole: bool, flush: int = 1 << 19):
+    """Scores of each text (levels, if not ``whole``), with the base score over frequent words, and by bucket the rare words that the rest of it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rid, held = sent.value, TaskContext.get().partitionId() << 36, []
@@ -388,7 +415,7 @@ def scoring(sent, buckets: int, texts: int, flush: int = 1 << 19):
 
         def rows(**columns) -> pa.RecordBatch:
             size = len(next(iter(columns.values())))
-            types = {"rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
+            types = {"rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "levels": pa.binary(), "bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
             return pa.RecordBatch.from_arrays([columns[c] if c in columns and isinstance(columns[c], pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()], list(types))
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -403,15 +430,14 @@ def scoring(sent, buckets: int, texts: int, flush: int = 1 << 19):
         for batch in batches:
             for part in slices(batch, "text"):
                 token, one, two, first = sequence(Words(part.column("text")))
-                levels = model.levels(token, one, two, old_levels(part, first))
+                levels = model.levels(token, one, two)
                 exact = model.exact(mix(token))
-                score = np.add.reduceat(model.log_probability(token, first, levels, exact, texts), first[:-1])
                 own = np.where(exact > 0, np.log10((exact + 0.1) / denominator), 0.0)
-                names = rid + np.arange(part.num_rows)
+                names = rid + np.arange(part.num_rows) if whole else part.column("rid").to_numpy()
                 rid += part.num_rows
                 yield rows(
                     rid=names, doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=np.diff(first), n_known=np.add.reduceat((exact > 0).astype(np.int64), first[:-1]),
-                    base=np.add.reduceat(own, first[:-1]), score=score,
+                    base=np.add.reduceat(own, first[:-1]), **({"score": np.add.reduceat(model.log_probability(first, levels), first[:-1])} if whole else {"levels": by_text(levels, first)}),
                 )
                 rare = np.flatnonzero(exact == 0)
                 held.append((mix(token[rare]), np.repeat(names, np.diff(first))[rare]))
