@@ -3,7 +3,10 @@
 A line is the set of its words, ordered by rarity. Two lines of Jaccard 0.8 or more share a word among the rarest of each (prefix filter),
 have sizes within that ratio (length filter), and the shared word's places leave room for enough others (positional filter). A first
 round of postings with 128-bit sketches finds the lines that can have a match at all; a second moves only their whole word sets, verifies
-Jaccard and keeps, for each line, whether an earlier one matches, so pairs are never emitted.
+Jaccard and keeps, for each line, whether an earlier one matches, so pairs are never emitted. Words that very many lines
+have among their rarest are left to the second round, which deals their lines into cells, one for each pair of chunks.
+
+Words and lines stand for their 64-bit hashes; postings of the first round carry 40 bits of these, which can add candidates only.
 """
 
 from __future__ import annotations
@@ -19,13 +22,17 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom_filter
 from .lm import COUNTS, blobs, bucket_edges, counted_sorted, decoded, encoded, merged, word_totals
-from .scratch import save
+from .scratch import drop, save, unused
 from .tokens import Lookup, Words, mix, prefix_sums, slices, span_hashes
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
 SCHEMA = "bucket int, kind int, blob binary"
-POSTING, FIRST, REMOVED, CANDIDATE = range(4)
+POSTING, FIRST, REMOVED, CANDIDATE, HOT = range(5)
+#: Hot words that may be broadcast, of 16 bytes each: the most frequent; lines of the others meet in one task.
+HOT_WORDS = 1 << 16
+#: Bytes of text for each bucket beyond those that the session's partitions give.
+BUCKET_BYTES = 64 << 20
 
 
 def least(size: np.ndarray) -> np.ndarray:
@@ -160,7 +167,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
     def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         names = np.concatenate(held)
         held.clear()
-        yield blobs(list(encoded(*counted_sorted(names), buckets, COUNTS)))
+        yield blobs(list(encoded(*counted_sorted(names), bucket_edges(buckets), COUNTS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -179,15 +186,18 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, SCHEMA).groupBy("bucket").applyInArrow(merge, SCHEMA)
 
 
-def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 17, buckets: int | None = None, bloom_mb: int = 8) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 17, buckets: int | None = None, bloom_mb: int = 8, hot_rows: int = 8192) -> DataFrame:
     """(doc_id, line): lines with at least ``min_words`` distinct words whose Jaccard with a line at an earlier place is 0.8 or more.
 
     Places are ordered by doc_id and line number; lines of one place (a repeated row's) don't remove each other.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    _, _, often, counts = word_totals(save(count_words(docs, buckets), "words"), often_words)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = buckets or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    counted = save(count_words(docs, buckets), "words")
+    _, _, often, counts = word_totals(counted, often_words)
+    drop(counted)
     rank = np.argsort(np.lexsort((often, counts))).astype(np.uint64)
     table = spark.sparkContext.broadcast((Lookup(often), rank))
     edges = bucket_edges(buckets)
@@ -241,7 +251,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
             own = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
             later = order[(doc[order] != doc[own]) | (number[order] != number[own])]
             gone.append(np.stack([doc[later], number[later]]))
-        found = np.zeros(0, np.uint64)
+        found, hot = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
         if held[POSTING]:
             columns = []
             for blob in held[POSTING]:
@@ -257,12 +267,19 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
             new = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (name[order][1:] != name[order][:-1])])
             token, name, size, place, low, high = (x[order[new]] for x in (token, name, size, place, low, high))
             matched = np.zeros(len(token), bool)
-            for i, j in pairs(token, size, place):
+            names, where, n = np.unique(token, return_inverse=True, return_counts=True)
+            many = n[where] > hot_rows
+            matched[many] = True  # the second round tells
+            hot = np.stack([names[n > hot_rows].view(np.int64), n[n > hot_rows]])
+            token, name, size, place, low, high = (x[np.argsort(many, kind="stable")] for x in (token, name, size, place, low, high))
+            matched = np.sort(matched)
+            few = len(many) - int(many.sum())
+            for i, j in pairs(token[:few], size[:few], place[:few]):
                 total = size[i] + size[j]
                 near = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= total - 2 * overlap(total)
                 matched[i[near]] = matched[j[near]] = True
             found = np.unique(name[matched])
-        out = [(bucket, CANDIDATE, found.tobytes())]
+        out = [(bucket, CANDIDATE, found.tobytes()), (bucket, HOT, hot.tobytes())]
         if gone:
             out.append((bucket, REMOVED, np.concatenate(gone, axis=1).tobytes()))
         return pa.Table.from_batches([blobs(out)])
@@ -270,6 +287,23 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
     met = save(docs.mapInArrow(post, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA), "met")
     again = spark.sparkContext.broadcast(bloom_filter(met.where(F.col("kind") == CANDIDATE).mapInArrow(unfold(1, ("key",)), "key long"), bloom_mb))
 
+    hottest = met.where(F.col("kind") == HOT).mapInArrow(unfold(2, ("token", "n")), "token long, n long").orderBy(F.desc("n"), "token").limit(HOT_WORDS).toArrow().sort_by("token")
+    split = spark.sparkContext.broadcast((hottest.column("token").to_numpy(), -(-hottest.column("n").to_numpy() // hot_rows)))
+
+    def dealt(token: np.ndarray, owner: np.ndarray, place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Postings with their side: those of a hot word go to the cells of their chunk with each chunk, where two sides (0, 1) meet; -1 else."""
+        words, chunks = split.value
+        if not len(words):
+            return token, owner, place, np.full(len(token), -1)
+        short = (token >> np.uint64(24)).view(np.int64)
+        at = np.minimum(np.searchsorted(words, short), len(words) - 1)
+        n = np.where(words[at] == short, chunks[at], 1)
+        row = np.repeat(np.arange(len(token)), n)
+        own, other = (name % n.astype(np.uint64)).astype(np.int64)[row], np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        cell = np.where(n[row] > 1, mix(token[row] ^ mix((low.astype(np.uint64) << np.uint64(32)) | (high + 1).astype(np.uint64))), token[row])
+        return cell, owner[row], place[row], np.where(low == high, -1, (own == high).astype(np.int64))
+
     def repost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -279,7 +313,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
                 enough = size >= min_words
                 key, size, one = key[np.repeat(enough, size)], size[enough], one[enough]
                 flat, owner, place = prefixes(size)
-                token = mix(key[flat])
+                token, owner, place, side = dealt(mix(key[flat]), owner, place, lines.name[one][owner])
                 begin = np.cumsum(size) - size
                 order, cuts = bucketed(token)
                 out = []
@@ -288,7 +322,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
                     own, line = np.unique(owner[o], return_inverse=True)
                     at = one[own]
                     head = np.stack([lines.name[at].view(np.int64), doc_id[lines.doc[at]], lines.number[at], size[own]])
-                    body = np.stack([token[o].view(np.int64), line, place[o]])
+                    body = np.stack([token[o].view(np.int64), line, place[o], side[o]])
                     out.append((b, len(own), np.int64(len(o)).tobytes() + head.tobytes() + body.tobytes() + key[ranges(begin[own], size[own])].tobytes()))
                     if len(out) == 32:
                         yield blobs(out)
@@ -301,22 +335,24 @@ def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 1
         for m, blob in zip(rows.column("kind").to_pylist(), rows.column("blob"), strict=True):
             flat = np.frombuffer(blob.as_buffer(), np.int64)
             n, flat = int(flat[0]), flat[1:]
-            body = flat[4 * m : 4 * m + 3 * n].reshape(3, n)
+            body = flat[4 * m : 4 * m + 4 * n].reshape(4, n)
             heads.append(flat[: 4 * m].reshape(4, m))
-            bodies.append(body + np.array([[0], [lines], [0]]))
-            sets.append(flat[4 * m + 3 * n :].view(np.uint64))
+            bodies.append(body + np.array([[0], [lines], [0], [0]]))
+            sets.append(flat[4 * m + 4 * n :].view(np.uint64))
             lines += m
         head, body, flat = np.concatenate(heads, axis=1), np.concatenate(bodies, axis=1), np.concatenate(sets)
         del heads, bodies, sets
         begin = np.cumsum(head[3]) - head[3]
-        token, line, place = body[0], body[1], body[2]
+        token, line, place, side = body
         order = np.lexsort((head[2][line], head[1][line], head[0][line], head[3][line], token.view(np.uint64)))
-        token, line, place = token[order], line[order], place[order]
+        token, line, place, side = token[order], line[order], place[order], side[order]
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (head[0][line[1:]] != head[0][line[:-1]])])
-        token, line, place = token[new], line[new], place[new]
+        token, line, place, side = token[new], line[new], place[new], side[new]
         _, doc, number, size = head[:, line]
         begin, before = begin[line], np.zeros(len(line), bool)
         for i, j in pairs(token, size, place):
+            apart = (side[i] < 0) | (side[i] != side[j])
+            i, j = i[apart], j[apart]
             earlier = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (number[i] < number[j]))
             later_first = (doc[j] < doc[i]) | ((doc[i] == doc[j]) & (number[j] < number[i]))
             old, new = np.where(earlier, i, j)[earlier | later_first], np.where(earlier, j, i)[earlier | later_first]
@@ -364,30 +400,31 @@ def shared_words(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, a: np.nd
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, bloom_mb: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, bloom_mb: int = 8, hot_rows: int = 8192) -> DataFrame:
     """All columns of ``docs``, with text without the removed lines, n_lines and n_removed.
 
     Lines are cut at line feeds; those with fewer than ``min_words`` distinct words always stay. A line goes if any line at an earlier place
     (doc_id, line number) has Jaccard 0.8 or more with it, whether that one stays or not. Null texts stay null with 0 lines, empty
     ones have one empty line; documents without a doc_id are left alone. Rows repeated under an id lose the same lines.
-    Columns named like the new ones are replaced; an empty table gives an empty one. Only documents that lose lines, and those
+    Columns named like the new ones are replaced; an empty table gives an empty one. A word with over ``hot_rows`` lines is split. Only documents that lose lines, and those
     that the Bloom filter takes for such, are shuffled to meet their lists.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = save(removed_lines(docs, min_words, bloom_mb=bloom_mb), "gone")
-    lists = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
+    numbers, touched, key = unused([*docs.columns, "n_lines", "n_removed"], "gone", "touched", "gone_id")
+    gone = save(removed_lines(docs, min_words, bloom_mb=bloom_mb, hot_rows=hot_rows), "gone")
+    lists = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(numbers))
     sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(gone.select(F.col("doc_id").alias("key")), bloom_mb))
 
     @F.pandas_udf("boolean")
-    def touched(doc_id: pd.Series) -> pd.Series:
+    def may_lose(doc_id: pd.Series) -> pd.Series:
         return pd.Series(sent.value.has(doc_id.fillna(0).to_numpy(np.int64).view(np.uint64)) & doc_id.notna().to_numpy())
 
-    marked = docs.withColumn("__touched", touched(F.col("doc_id").cast("long")))
+    marked = docs.withColumn(touched, may_lose(F.col("doc_id").cast("long")))
     lines = F.split("text", "\n", -1)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    alone = marked.where(~F.col("__touched")).withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0).cast("long"))
-    met = marked.where("__touched").join(lists.hint("shuffle_hash"), "doc_id", "left").withColumn("n_lines", n_lines)
-    met = met.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i.cast("long"))), "\n")))
-    met = met.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
+    alone = marked.where(~F.col(touched)).withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0).cast("long"))
+    met = marked.where(touched).join(lists.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(key), "left").withColumn("n_lines", n_lines)
+    met = met.withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i.cast("long"))), "\n")))
+    met = met.withColumn("n_removed", F.coalesce(F.size(numbers), F.lit(0)).cast("long")).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
     columns = [*docs.columns, "n_lines", "n_removed"]
     return alone.select(*columns).unionByName(met.select(*columns))

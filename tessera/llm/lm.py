@@ -71,9 +71,14 @@ def bucket_edges(buckets: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
 
-def encoded(names: np.ndarray, counts: np.ndarray, buckets: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
+def context_edges(buckets: int) -> np.ndarray:
+    """Bounds of buckets of unmixed keys, between contexts: what follows the same words is in one bucket."""
+    return bucket_edges(buckets) & np.uint64(0xFFFFFFFF00000000)
+
+
+def encoded(names: np.ndarray, counts: np.ndarray, edges: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, kind, blob) of sorted keys with counts; bytes of one place lie together, which the shuffle's compression likes."""
-    cut = np.concatenate([[0], np.searchsorted(names, bucket_edges(buckets)), [len(names)]])
+    cut = np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
     for b in np.flatnonzero(np.diff(cut)).tolist():
         s = slice(cut[b], cut[b + 1])
         yield b, kind, names[s].view(np.uint8).reshape(-1, 8).T.tobytes() + counts[s].astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -133,9 +138,10 @@ def counted_sorted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 1 << 21) -> DataFrame:
-    """(bucket, kind, blob): by bucket a filter part, the exact word counts, and by bucket of contexts the discounted counts that follow.
+    """(bucket, kind, blob): by bucket a filter part, the exact word counts, and by bucket of contexts the discounted counts that follow a word.
 
-    Contexts have half as many buckets as n-grams, since each bucket of n-grams emits a blob for each bucket of contexts.
+    Trigrams are dealt by the two words before, so what follows these adds up in their bucket and goes into its part. Bigrams are dealt
+    one by one, since a frequent word has very many; their sums by the word before meet in ``context_parts``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +152,9 @@ def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int
                 names = np.concatenate(held[kind])
                 held[kind].clear()
                 rows = []
-                for row in encoded(*counted_sorted(names), buckets, kind):
+                if kind == TRI:
+                    names = unmix(names)
+                for row in encoded(*counted_sorted(names), context_edges(buckets) if kind == TRI else bucket_edges(buckets), kind):
                     rows.append(row)
                     if len(rows) == 64:
                         yield blobs(rows)
@@ -167,20 +175,21 @@ def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int
             yield from out()
 
     def merge(group: tuple, rows: pa.Table) -> pa.Table:
-        bucket, found, out, sums = group[0].as_py(), [], [], []
+        bucket, found, out = group[0].as_py(), [], []
         for kind in (UNI, BI, TRI):
-            parts = [decoded(b) for k, b in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True) if k == kind]
-            names, counts = merged(parts)
+            names, counts = merged([decoded(b) for k, b in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True) if k == kind])
             if kind == UNI:
                 out.append((bucket, COUNTS, names.tobytes() + counts.tobytes()))
-                found.append((kind, names, counts))
-                continue
+            elif kind == BI:
+                out += encoded(*merged([(after(names, AFTER_1), 4 * counts - round(4 * DISCOUNT))]), bucket_edges(context_buckets), AFTER)
+            else:
+                head = np.flatnonzero(np.diff(names >> np.uint64(32), prepend=~names[:1] >> np.uint64(32)))
+                sums = np.add.reduceat(4 * counts - round(4 * DISCOUNT), head) if len(head) else counts
+                names = mix(names)
+                found.append((AFTER, after(names[head], AFTER_2), sums))
             found.append((kind, names, counts))
-            context = AFTER_1 if kind == BI else AFTER_2
-            sums.append((after(names, context), 4 * counts - round(4 * DISCOUNT)))
-        out += encoded(*merged(sums), context_buckets, AFTER)
         out.append((bucket, FILTER, filter_part(found)))
-        del found, sums
+        del found
         give_back()
         return pa.Table.from_batches([blobs(out)])
 
@@ -189,7 +198,7 @@ def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int
 
 
 def context_parts(counted: DataFrame, buckets: int) -> DataFrame:
-    """Filter parts of the contexts' discounted totals, numbered after the n-grams' parts."""
+    """Filter parts of the discounted totals after single words, numbered after the n-grams' parts."""
 
     def merge(group: tuple, rows: pa.Table) -> pa.Table:
         sums = merged([decoded(b) for b in rows.column("blob").to_pylist()])
@@ -217,10 +226,21 @@ class Model:
     damping: tuple[float, float]
     texts: int = 0
 
+    def part(self, key: np.ndarray, kind: int) -> np.ndarray:
+        """The part of the filter that each key would be in."""
+        if kind == TRI:
+            return np.searchsorted(context_edges(len(self.edges) + 1), unmix(key), "right")
+        if kind != AFTER:
+            return np.searchsorted(self.edges, key, "right")
+        plain = unmix(key)  # its upper half is that of AFTER_1's or of AFTER_2's number
+        own = np.searchsorted(self.context_edges, key, "right") + len(self.edges) + 1
+        pair = np.searchsorted(context_edges(len(self.edges) + 1), (plain ^ _SALT[AFTER_2]) << np.uint64(32), "right")
+        return np.where(plain >> np.uint64(32) == _SALT[AFTER_2] >> np.uint64(32), pair, own)
+
     def probe(self, key: np.ndarray, kind: int) -> np.ndarray:
         """The level of each key: probes of 1, 2, ... until the first miss; 0 for keys of parts that another round holds."""
         found = np.zeros(len(key), np.int8)
-        part = np.searchsorted(self.context_edges, key, "right") + len(self.edges) + 1 if kind == AFTER else np.searchsorted(self.edges, key, "right")
+        part = self.part(key, kind)
         active = np.flatnonzero(self.size[part] > 0)
         q = 1
         while len(active):
@@ -294,8 +314,9 @@ def score_texts(
     parts = counted.where(F.col("kind") == FILTER).select("bucket", "blob").unionByName(contexts.select("bucket", "blob"))
     sizes = {r.bucket: r.size for r in parts.select("bucket", F.length("blob").alias("size")).collect()}
     rounds = grouped(sizes, round_mb << 20)
-    if len(rounds) > 1:
-        docs = save(docs.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    # rows that are alike have the same levels, so these are named by what the row holds
+    docs = docs.withColumn("name", F.xxhash64("doc_id", "text")).withColumn("more", F.xxhash64("text", F.lit(1)))
+    spark.sparkContext._jvm.System.gc()  # files of shuffles that nothing refers to go when the driver collects garbage
     found = []
     for k, own in enumerate(rounds):
         begin, size = np.zeros(buckets + context_buckets, np.int64), np.zeros(buckets + context_buckets, np.int64)
@@ -310,25 +331,24 @@ def score_texts(
         sent = spark.sparkContext.broadcast(Model(words, begin, size, bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping, texts))
         del words
         if k + 1 < len(rounds):
-            found.append(save(docs.select("rid", "text").mapInArrow(probing(sent), "rid long, levels binary"), "levels"))
+            found.append(save(docs.select("name", "more", "text").mapInArrow(probing(sent), "name long, more long, levels binary"), "levels"))
         else:
-            scored = save(docs.mapInArrow(scoring(sent, buckets, len(rounds) == 1), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, levels binary, bucket int, kind int, blob binary"), "scores")
+            scored = save(docs.mapInArrow(scoring(sent, buckets, len(rounds) == 1), "rid long, name long, more long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, levels binary, bucket int, kind int, blob binary"), "scores")
         sent.destroy()
     drop(counted)
     drop(contexts)
     rows = scored.where("rid is not null")
     if found:
-        drop(docs)
-        levels = rows.select("rid", "levels")
+        levels = rows.select("name", "more", "levels")
         for table in found:
             levels = levels.unionByName(table)
-        levels = levels.groupBy("rid").agg(F.collect_list("levels").alias("levels"))
-        rows = rows.drop("score").join(levels.mapInArrow(summing(n, v, texts, damping), "rid long, score double"), "rid")
+        levels = levels.groupBy("name", "more").agg(F.collect_set("levels").alias("levels"))
+        rows = rows.drop("score").join(levels.mapInArrow(highest(n, v, texts, damping), "name long, more long, score double"), ["name", "more"])
     rare = scored.where("rid is null").select("bucket", "kind", "blob").unionByName(counts)
-    more = rare.groupBy("bucket").applyInArrow(rare_counts(n, v), "rid long, base double, n_known long").groupBy("rid").agg(F.sum("base").alias("more"), F.sum("n_known").alias("more_known"))
-    return rows.join(more, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+    known = rare.groupBy("bucket").applyInArrow(rare_counts(n, v), "rid long, base double, n_known long").groupBy("rid").agg(F.sum("base").alias("rare_base"), F.sum("n_known").alias("rare_known"))
+    return rows.join(known, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
     )
 
 
@@ -383,7 +403,7 @@ def probing(sent):
         for batch in batches:
             for part in slices(batch, "text"):
                 token, one, two, first = sequence(Words(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("rid"), by_text(sent.value.levels(token, one, two), first)], ["rid", "levels"])
+                yield pa.RecordBatch.from_arrays([part.column("name"), part.column("more"), by_text(sent.value.levels(token, one, two), first)], ["name", "more", "levels"])
 
     return run
 
@@ -392,16 +412,16 @@ def by_text(levels: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.array([np.ascontiguousarray(levels[:, s:e]).tobytes() for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())
 
 
-def summing(n: int, v: int, texts: int, damping: tuple[float, float]):
-    """Scores from the levels of all rounds; each token's n-grams are in one round's parts, so levels add up."""
+def highest(n: int, v: int, texts: int, damping: tuple[float, float]):
+    """Scores from the levels of all rounds; each token's n-grams are in one round's parts and have level 0 in the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = []
             for rounds in batch.column("levels").to_pylist():
-                levels = sum(np.frombuffer(x, np.int8).reshape(5, -1) for x in rounds)
+                levels = np.maximum.reduce([np.frombuffer(x, np.int8).reshape(5, -1) for x in rounds])
                 score.append(float(log_probability(np.array([0, levels.shape[1]]), levels, n, v, texts, damping).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(score, pa.float64())], ["rid", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("more"), pa.array(score, pa.float64())], ["name", "more", "score"])
 
     return run
 
@@ -415,14 +435,14 @@ def scoring(sent, buckets: int, whole: bool, flush: int = 1 << 19):
 
         def rows(**columns) -> pa.RecordBatch:
             size = len(next(iter(columns.values())))
-            types = {"rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "levels": pa.binary(), "bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
+            types = {"rid": pa.int64(), "name": pa.int64(), "more": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "levels": pa.binary(), "bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
             return pa.RecordBatch.from_arrays([columns[c] if c in columns and isinstance(columns[c], pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()], list(types))
 
         def out() -> Iterator[pa.RecordBatch]:
             names, where = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(names, kind="stable")
-            found = list(encoded(names[order], where[order], buckets, TAIL))
+            found = list(encoded(names[order], where[order], bucket_edges(buckets), TAIL))
             if found:
                 b, kind, blob = zip(*found, strict=True)
                 yield rows(bucket=list(b), kind=list(kind), blob=list(blob))
@@ -433,10 +453,10 @@ def scoring(sent, buckets: int, whole: bool, flush: int = 1 << 19):
                 levels = model.levels(token, one, two)
                 exact = model.exact(mix(token))
                 own = np.where(exact > 0, np.log10((exact + 0.1) / denominator), 0.0)
-                names = rid + np.arange(part.num_rows) if whole else part.column("rid").to_numpy()
+                names = rid + np.arange(part.num_rows)
                 rid += part.num_rows
                 yield rows(
-                    rid=names, doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=np.diff(first), n_known=np.add.reduceat((exact > 0).astype(np.int64), first[:-1]),
+                    rid=names, name=part.column("name"), more=part.column("more"), doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=np.diff(first), n_known=np.add.reduceat((exact > 0).astype(np.int64), first[:-1]),
                     base=np.add.reduceat(own, first[:-1]), **({"score": np.add.reduceat(model.log_probability(first, levels), first[:-1])} if whole else {"levels": by_text(levels, first)}),
                 )
                 rare = np.flatnonzero(exact == 0)
