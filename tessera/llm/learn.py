@@ -18,10 +18,10 @@ def fold(doc_id: str, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, held_out: int) -> DataFrame:
     """``docs`` with label: at most ``per_class`` labelled rows of each class, in hash order, none from the held-out fold.
 
-    Only the chosen ids, bounded by that parameter, are broadcast; texts are not shuffled. Labels other than 0 and 1 don't count; rows
-    that repeat an id count once.
+    Only the chosen ids, bounded by that parameter, are broadcast; texts are not shuffled. Labels other than 0 and 1 don't count; of
+    contradicting ones the greater does.
     """
-    usable = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != held_out)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    usable = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = None
     for value in (0, 1):
         part = usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -35,18 +35,19 @@ def class_rate(labels: DataFrame, label: str, folds: int, held_out: int) -> floa
     return (ones + 1) / (n + 2)
 
 
-def sum_tables(parts: DataFrame, salts: int = 32) -> np.ndarray:
-    """The sum of tables that tasks emit as (slice int, salt int, cells binary of float64), put together on the driver.
+def sum_tables(parts: DataFrame, kind: type, salts: int = 32) -> list[tuple[int, np.ndarray]]:
+    """(slice, cells): the sums of tables that tasks emit as (slice int, salt int, cells binary of ``kind``), collected on the driver.
 
-    The tables' size is a parameter of the model, not of the data. Sums are made in two rounds, so no task gets all partitions' slices.
+    The tables' size is a parameter of the model, not of the data. Sums are made in two rounds, so no task gets all partitions' slices;
+    they leave a task as doubles.
     """
 
-    def add(key: tuple[str, ...]):
+    def add(key: tuple[str, ...], kind: type):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple, np.ndarray] = {}
             for batch in batches:
                 for k, cells in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), batch.column("cells").to_pylist(), strict=True):
-                    sums[k] = sums[k] + np.frombuffer(cells) if k in sums else np.frombuffer(cells)
+                    sums[k] = sums[k] + np.frombuffer(cells, kind) if k in sums else np.frombuffer(cells, kind).astype(np.float64)
             if sums:
                 keys = list(sums)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array([sums[k].tobytes() for k in keys])], ["slice", "salt", "cells"])
@@ -54,9 +55,9 @@ def sum_tables(parts: DataFrame, salts: int = 32) -> np.ndarray:
         return run
 
     schema = "slice int, salt int, cells binary"
-    once = parts.withColumn("salt", F.pmod("salt", F.lit(salts))).repartition("slice", "salt").mapInArrow(add(("slice", "salt")), schema)
-    rows = once.repartition("slice").mapInArrow(add(("slice",)), schema).select("slice", "cells").collect()
-    return np.concatenate([np.frombuffer(r.cells) for r in sorted(rows, key=lambda r: r.slice)]) if rows else np.zeros(0)
+    once = parts.withColumn("salt", F.pmod("salt", F.lit(salts))).repartition("slice", "salt").mapInArrow(add(("slice", "salt"), kind), schema)
+    rows = once.repartition("slice").mapInArrow(add(("slice",), np.float64), schema).select("slice", "cells").collect()
+    return [(r.slice, np.frombuffer(r.cells)) for r in rows]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

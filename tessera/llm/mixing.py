@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import drop, save
+from .scratch import drop, save, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -33,9 +33,9 @@ def size_class(size: str) -> Column:
     return kind
 
 
-def keyed(df: DataFrame) -> DataFrame:
+def source_key(df: DataFrame) -> dict[str, Column]:
     source = F.col("source").cast("string") if "source" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("__name", F.coalesce(source, F.lit(""))).withColumn("__null", source.isNull())
+    return {"__name": F.coalesce(source, F.lit("")), "__null": source.isNull()}
 
 
 def place(doc_id: str, seed: int) -> Column:
@@ -93,7 +93,7 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
         state = state.withColumn("need", F.col("need") + F.col("part") * F.col(f"size{c}"))
         for last in [False] * (PASSES - 1) + [True]:
             width /= BINS
-            some = with_sources(sized.where(F.col("class") == c), state.where("need > 0").select(*_KEY, cut)).where(F.col(cut).isNotNull())
+            some = with_sources(sized.where(F.col("class") == c), state.where("need > 0").select(*_KEY, cut), _KEY).where(F.col(cut).isNotNull())
             sums = some.withColumn("bin", F.floor((F.col("u") - F.col(cut)) / F.lit(width))).where(F.col("bin").between(0, BINS - 1))
             sums = sums.groupBy(*_KEY, "bin").agg(F.sum("size").alias("tokens"))
             running = sums.withColumn("upto", F.sum("tokens").over(Window.partitionBy(*_KEY).orderBy("bin"))).join(state.select(*_KEY, "need"), _KEY)
@@ -107,15 +107,14 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
             whole = F.lit(last) & F.col("bin").isNotNull() & (left * 2 >= F.col("tokens"))
             moved = F.col(cut) + F.coalesce(F.col("bin") + F.when(whole, 1).otherwise(0), F.lit(BINS)) * width
             new = new.withColumn(cut, F.when(F.col("need") > 0, moved).otherwise(F.col(cut))).withColumn("need", left - F.when(whole, F.col("tokens")).otherwise(0))
-            new = save(new.drop("spent", "bin", "tokens"), "cuts")
-            state = new
+            state = save(new.drop("spent", "bin", "tokens"), "cuts")
     return state
 
 
-def with_sources(df: DataFrame, sources: DataFrame) -> DataFrame:
+def with_sources(df: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
     if sources.count() <= BROADCAST_SOURCES:
-        return df.join(F.broadcast(sources), _KEY, "left")
-    return df.join(sources, _KEY, "left")
+        return df.join(F.broadcast(sources), key, "left")
+    return df.join(sources, key, "left")
 
 
 def mixed(
@@ -128,14 +127,19 @@ def mixed(
     hash of doc_id, so reruns agree; rows repeated under an id get the same. Each source's words come within about half a
     short document of its target. Columns named like the new ones are replaced. An empty table gives an empty one.
     """
-    docs = keyed(docs.drop("size", "source_size", "target", "rate", "copies"))
-    sized = docs.select(*_KEY, word_count("text").alias("size"), place("doc_id", seed).alias("u"))
+    docs = docs.drop("size", "source_size", "target", "rate", "copies")
+    source = source_key(docs)
+    sized = docs.select(*(x.alias(name) for name, x in source.items()), word_count("text").alias("size"), place("doc_id", seed).alias("u"))
     sized = save(sized.withColumn("class", size_class("size")), "sizes")
     sums = [F.coalesce(F.sum(F.when(F.col("class") == c, F.col("size"))), F.lit(0)).alias(f"size{c}") for c in range(len(CLASSES))]
     sources = save(sized.groupBy(*_KEY).agg(F.sum("size").alias("source_size"), *sums), "sources")
     dual = multipliers(targets(sources.select(*_KEY, "source_size"), weights, share, most))
     state = thresholds(sized, dual.join(sources.drop("source_size"), _KEY))
-    cuts = [f"cut{c}" for c in range(len(CLASSES))]
-    out = with_sources(docs, state.select(*_KEY, "source_size", "target", F.exp("lam").alias("rate"), "base", *cuts)).withColumn("size", word_count("text"))
-    cut = F.element_at(F.array(*cuts), size_class("size") + 1)
-    return out.withColumn("copies", F.least(F.col("base") + F.when(place("doc_id", seed) < cut, 1).otherwise(0), F.lit(int(most)))).drop(*_KEY, "base", *cuts)
+    drop(sized)
+    inner = [*_KEY, "base", *(f"cut{c}" for c in range(len(CLASSES)))]
+    own = dict(zip(inner, unused([*docs.columns, "size", "source_size", "target", "rate", "copies"], *inner), strict=True))
+    state = state.select(*(F.col(c).alias(own[c]) for c in inner), "source_size", "target", F.exp("lam").alias("rate"))
+    key = [own[c] for c in _KEY]
+    out = with_sources(docs.withColumns({own[c]: x for c, x in source.items()}), state, key).withColumn("size", word_count("text"))
+    cut = F.element_at(F.array(*(own[f"cut{c}"] for c in range(len(CLASSES)))), size_class("size") + 1)
+    return out.withColumn("copies", F.least(F.col(own["base"]) + F.when(place("doc_id", seed) < cut, 1).otherwise(0), F.lit(int(most)))).drop(*own.values())

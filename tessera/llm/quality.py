@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled by document, then a two-layer network with calibrated probabilities.
 
-A word's entry is its shape (case, marks at its end, whether it repeats the word before) and a hash. Random indexing gives each
-neighbour a fixed sparse ternary vector by its class and sums these over the corpus for each entry; the sums, scaled to unit
-length, are the word vectors.
+Every word (letter case and marks included) has a fixed sparse ternary index vector, made from its hash. A word's vector is the sum, over the
+corpus, of the index vectors of its neighbours and of its own shape (case, marks, digits, whether it repeats the word before), scaled to
+unit length. Sums are kept by hash in a table of ``ENTRIES`` rows.
 """
 
 from __future__ import annotations
@@ -15,18 +15,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .learn import Adam, class_rate, fold, labelled_sample, sigmoid, sum_tables, temperature
-from .tokens import Words, slices
+from .scratch import unused
+from .tokens import Words, mix, slices
 
-SHAPES, HASHES, CLASSES, DIM = 48, 256, 256, 48
-ENTRIES, SLICE = SHAPES * HASHES, 256
+ENTRIES, SLICE, DIM, NONZERO = 1 << 16, 256, 48, 6
 
 _UPPER, _LOWER, _DIGIT, _MARK = ((np.isin(np.arange(256), np.frombuffer(chars, np.uint8))) for chars in (bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 
-def entries(words: Words, hashes: np.ndarray) -> np.ndarray:
-    """The table entry of each word: shape * HASHES + hash."""
+def shapes(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """A number under 48 for each word's case, marks, digits, and whether it repeats the word before."""
     sums = [np.concatenate([[0], np.cumsum(kind[words.data])]) for kind in (_UPPER, _LOWER, _DIGIT, _MARK)]
     upper, lower, digit, mark = (s[words.end] - s[words.start] for s in sums)
     case = np.where((upper > 0) & (lower == 0), 2, np.where(upper > 0, 1, 0))  # 2: no small letters
@@ -35,55 +36,57 @@ def entries(words: Words, hashes: np.ndarray) -> np.ndarray:
     repeats = np.zeros(len(hashes), np.int64)
     if len(hashes) > 1:
         repeats[1:] = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
-    shape = ((case * 3 + marks) * 2 + repeats) * 2 + (digit > 0)
-    return shape * HASHES + (hashes % np.uint64(HASHES)).astype(np.int64)
+    return ((case * 3 + marks) * 2 + repeats) * 2 + (digit > 0)
 
 
-def index_vectors(seed: int) -> np.ndarray:
-    """Sparse ternary vectors of the neighbour classes: six entries of each are +1 or -1."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((CLASSES + SHAPES, DIM))
-    for row in out:
-        row[rng.choice(DIM, 6, replace=False)] = rng.choice([-1.0, 1.0], 6)
-    return out
+def index_vectors(keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(NONZERO, keys): places and signs of the entries of each key's index vector."""
+    salt = np.arange(1, NONZERO + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    x = mix(keys[None, :] + salt)
+    return ((x >> np.uint64(8)) % np.uint64(DIM)).astype(np.int64), np.where(x & np.uint64(1), 1.0, -1.0)
 
 
 def word_vectors(docs: DataFrame, seed: int) -> np.ndarray:
-    """(ENTRIES, DIM) unit vectors from the whole corpus: sums of the index vectors of both neighbours."""
-    index = index_vectors(seed)
+    """(ENTRIES, DIM) unit vectors from the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(ENTRIES * (CLASSES + SHAPES), np.int64)
+        table = np.zeros(ENTRIES * DIM)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"), lower=False)
                 h = words.hashes()
-                own = entries(words, h)
-                near = ((h >> np.uint64(32)) % np.uint64(CLASSES)).astype(np.int64)
-                together = np.flatnonzero(words.doc[1:] == words.doc[:-1]) if len(own) > 1 else np.zeros(0, np.int64)
-                for a, b in ((together, together + 1), (together + 1, together)):
-                    for other in (near[b], CLASSES + own[b] // HASHES):
-                        keys, n = np.unique(own[a] * (CLASSES + SHAPES) + other, return_counts=True)
-                        seen[keys] += n
-        table = seen.reshape(ENTRIES, -1) @ index
-        if seen.any():
-            blocks = [table[i : i + SLICE].astype(np.float64).tobytes() for i in range(0, ENTRIES, SLICE)]
+                if not len(h):
+                    continue
+                to = (h % np.uint64(ENTRIES)).astype(np.int64) * DIM
+                together = np.flatnonzero(words.doc[1:] == words.doc[:-1])
+                every = np.arange(len(h))
+                context = [(together, together + 1, h), (together + 1, together, h), (every, every, ~shapes(words, h).astype(np.uint64))]
+                for own, other, keys in context:
+                    names, inverse = np.unique(keys, return_inverse=True)
+                    place, sign = index_vectors(names, seed)
+                    for p, s in zip(place, sign, strict=True):
+                        table += np.bincount(to[own] + p[inverse[other]], s[inverse[other]], minlength=len(table))
+        blocks = table.astype(np.int32).reshape(ENTRIES // SLICE, -1)
+        some = np.flatnonzero(blocks.any(1))
+        if len(some):
             salt = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([salt] * len(blocks), pa.int32()), pa.array(blocks)], ["slice", "salt", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([salt] * len(some), pa.int32()), pa.array([blocks[b].tobytes() for b in some])], ["slice", "salt", "cells"])
 
-    total = sum_tables(docs.select(F.col("text").cast("string")).mapInArrow(run, "slice int, salt int, cells binary"))
-    total = total.reshape(-1, DIM) if len(total) else np.zeros((ENTRIES, DIM))
-    return total / np.maximum(np.sqrt((total * total).sum(1)), 1e-12)[:, None]
+    total = np.zeros((ENTRIES // SLICE, SLICE * DIM))
+    for at, cells in sum_tables(docs.select(F.col("text").cast("string")).mapInArrow(run, "slice int, salt int, cells binary"), np.int32):
+        total[at] = cells
+    total = total.reshape(-1, DIM)
+    return (total / np.maximum(np.sqrt((total * total).sum(1)), 1e-12)[:, None]).astype(np.float32)
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Each text's mean word vector, with the log of its number of words."""
     words = Words(column, lower=False)
-    own = entries(words, words.hashes())
+    own = (words.hashes() % np.uint64(ENTRIES)).astype(np.int64)
     out = np.zeros((len(column), DIM + 1))
     some = np.flatnonzero(words.count)
     if len(some):
-        out[some, :DIM] = np.add.reduceat(vectors[own], words.first[some], axis=0) / words.count[some, None]
+        out[some, :DIM] = np.add.reduceat(vectors[own], words.first[some], axis=0, dtype=np.float64) / words.count[some, None]
     out[:, DIM] = np.log1p(words.count) / 10
     return out
 
@@ -143,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, seed: int = 4
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     sample = labelled_sample(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels, "quality", per_class, 3, 1)
-    rows = sample.mapInArrow(run, "doc_id long, label int, x binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = sample.mapInArrow(run, "doc_id long, label int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
     x = np.stack([np.frombuffer(r.x) for r in rows]) if rows else np.zeros((0, DIM + 1))
     return vectors, train(x, np.array([r.label for r in rows], dtype=float), class_rate(labels, "quality", 3, 1), seed=seed)
 
@@ -152,20 +155,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 6000, th
     """All columns of ``docs`` with held_out, score and predicted.
 
     score is the probability that the quality label is 1, from the text alone; null and empty texts get the network's score of no words.
-    Labels of the held-out fold (crc32 of the id modulo 3 is 1) are never read. Without labelled rows of both classes every score is
+    Labels of the held-out fold (crc32 of the id modulo 3 is 1) are never read; of contradicting labels of one id the greater counts, and
+    of repeated rows of a labelled id one, the same in every run. Without labelled rows of both classes every score is
     the prior. Repeated rows are scored each; columns named like the new ones are replaced. An empty table gives an empty one.
     """
     fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class, seed))
+    kept = docs.drop("held_out", "score", "predicted")
+    (text,) = unused(kept.columns, "whole_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = fitted.value
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 19):
-                score = net.scores(pooled(part.column("__text"), vectors))
-                keep = [i for i, name in enumerate(part.schema.names) if name != "__text"]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + [pa.array(score)], [part.schema.names[i] for i in keep] + ["score"])
+            for part in slices(batch, text, 1 << 19):
+                score = net.scores(pooled(part.column(text), vectors))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "score"])
 
-    kept = docs.drop("held_out", "score", "predicted")
-    schema = kept.schema.add("score", "double")
-    scored = kept.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
+    scored = kept.withColumn(text, F.col("text").cast("string")).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("held_out", fold("doc_id", 3) == 1).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -40,3 +40,14 @@ def drop(df: DataFrame) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that no column of a table has, letter case aside."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -154,8 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_words: i
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     sample = labelled_sample(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang")), labels, "toxic", per_class, 3, 1)
-    rows = sample.mapInArrow(run, "doc_id long, label int, lang string, cells binary").where(F.length("cells") <= most_words * 4 * (1 + len(PREFIXES))).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    cells = [np.frombuffer(c, np.int32).reshape(-1, 1 + len(PREFIXES)) for c in rows.column("cells").to_pylist()]
+    rows = sample.mapInArrow(run, "doc_id long, label int, lang string, cells binary").where(F.length("cells") <= most_words * 4 * (1 + len(PREFIXES))).groupBy("doc_id").agg(F.min(F.struct("cells", "lang", "label")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
+    cells = [np.frombuffer(c.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for c in rows.column("cells")]  # not copied
     return train(cells, rows.column("label").to_numpy().astype(float), rows.column("lang").to_pylist(), class_rate(labels, "toxic", 3, 1), seed=seed)
 
 
@@ -164,7 +164,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 3000, t
 
     score is the probability that the label toxic is 1, from the whole text alone; null and empty texts get the network's score of
     no words. The threshold calibrated for the row's language serves ``flagged`` only; languages with few labelled rows, and null, take
-    ``threshold``. Labels of the held-out fold (crc32 of the id modulo 3 is 1) are never read. Without labelled rows of both
+    ``threshold``. Labels of the held-out fold (crc32 of the id modulo 3 is 1) are never read; of contradicting labels of one id the
+    greater counts, and of repeated rows of a labelled id one, the same in every run. Without labelled rows of both
     classes every score is the prior. Repeated rows are scored each; extra columns are ignored; an empty table gives an empty one.
     """
     fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class, seed=seed))
