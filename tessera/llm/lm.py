@@ -55,11 +55,17 @@ def sequence(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return token, one, two, first
 
 
-def keys(token: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mixed 64-bit keys of the tokens and their bigrams and trigrams; in the latter two, the upper half names the words before."""
+def plain_keys(token: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of bigrams and trigrams, whose upper half names the words before."""
     low = token >> np.uint64(32)
     upper = np.uint64(0xFFFFFFFF00000000)
-    return mix(token), mix((mix(one ^ _SALT[BI]) & upper) | low), mix((mix(mix(two) + one ^ _SALT[TRI]) & upper) | low)
+    return (mix(one ^ _SALT[BI]) & upper) | low, (mix(mix(two) + one ^ _SALT[TRI]) & upper) | low
+
+
+def keys(token: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixed 64-bit keys of the tokens and their bigrams and trigrams."""
+    pair, triple = plain_keys(token, one, two)
+    return mix(token), mix(pair), mix(triple)
 
 
 def after(key: np.ndarray, kind: int) -> np.ndarray:
@@ -68,12 +74,13 @@ def after(key: np.ndarray, kind: int) -> np.ndarray:
 
 
 def bucket_edges(buckets: int) -> np.ndarray:
-    return np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    """Where buckets begin among 64-bit numbers: between numbers of different upper halves, so that unmixed keys of one context stay together."""
+    return np.array([-(-(b << 32) // buckets) << 32 for b in range(1, buckets)], np.uint64)
 
 
-def context_edges(buckets: int) -> np.ndarray:
-    """Bounds of buckets of unmixed keys, between contexts: what follows the same words is in one bucket."""
-    return bucket_edges(buckets) & np.uint64(0xFFFFFFFF00000000)
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each number, by the same bounds."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def encoded(names: np.ndarray, counts: np.ndarray, edges: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
@@ -108,8 +115,8 @@ def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def spots(key: np.ndarray, kind: int, q: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word, among ``words`` of its part, and the bits in it of each (key, level)."""
     x = mix(key + np.uint64(int(_SALT[kind]) * (2 * q + 1) % (1 << 64)))
-    mask = np.zeros(len(x), np.uint64)
-    for k in range(BITS_SET):
+    mask = np.uint64(1) << (x & np.uint64(63))
+    for k in range(1, BITS_SET):
         mask |= np.uint64(1) << ((x >> np.uint64(6 * k)) & np.uint64(63))
     return ((x >> np.uint64(32)) * words >> np.uint64(32)).astype(np.int64), mask
 
@@ -154,7 +161,7 @@ def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int
                 rows = []
                 if kind == TRI:
                     names = unmix(names)
-                for row in encoded(*counted_sorted(names), context_edges(buckets) if kind == TRI else bucket_edges(buckets), kind):
+                for row in encoded(*counted_sorted(names), bucket_edges(buckets), kind):
                     rows.append(row)
                     if len(rows) == 64:
                         yield blobs(rows)
@@ -228,26 +235,27 @@ class Model:
 
     def part(self, key: np.ndarray, kind: int) -> np.ndarray:
         """The part of the filter that each key would be in."""
-        if kind == TRI:
-            return np.searchsorted(context_edges(len(self.edges) + 1), unmix(key), "right")
+        n = len(self.edges) + 1
         if kind != AFTER:
-            return np.searchsorted(self.edges, key, "right")
+            return bucket_of(unmix(key) if kind == TRI else key, n)
         plain = unmix(key)  # its upper half is that of AFTER_1's or of AFTER_2's number
-        own = np.searchsorted(self.context_edges, key, "right") + len(self.edges) + 1
-        pair = np.searchsorted(context_edges(len(self.edges) + 1), (plain ^ _SALT[AFTER_2]) << np.uint64(32), "right")
-        return np.where(plain >> np.uint64(32) == _SALT[AFTER_2] >> np.uint64(32), pair, own)
+        pair = plain >> np.uint64(32) == _SALT[AFTER_2] >> np.uint64(32)
+        return np.where(pair, bucket_of((plain ^ _SALT[AFTER_2]) << np.uint64(32), n), n + bucket_of(key, len(self.context_edges) + 1))
 
-    def probe(self, key: np.ndarray, kind: int) -> np.ndarray:
+    def probe(self, key: np.ndarray, kind: int, part: np.ndarray | None = None) -> np.ndarray:
         """The level of each key: probes of 1, 2, ... until the first miss; 0 for keys of parts that another round holds."""
         found = np.zeros(len(key), np.int8)
-        part = self.part(key, kind)
-        active = np.flatnonzero(self.size[part] > 0)
-        q = 1
-        while len(active):
-            at, mask = spots(key[active], kind, q, self.size[part[active]].astype(np.uint64))
-            hit = (self.words[self.begin[part[active]] + at] & mask) == mask
-            active = active[hit]
-            found[active] = q
+        part = self.part(key, kind) if part is None else part
+        size = self.size[part]
+        active = np.flatnonzero(size)
+        if len(active) < len(key):
+            key, part, size = key[active], part[active], size[active]
+        begin, size, left, q = self.begin[part], size.astype(np.uint64), np.arange(len(key)), 1
+        while len(left):
+            at, mask = spots(key, kind, q, size)
+            hit = (self.words[begin + at] & mask) == mask
+            left, key, begin, size = left[hit], key[hit], begin[hit], size[hit]
+            found[active[left]] = q
             q += 1
         return found
 
@@ -257,8 +265,13 @@ class Model:
 
     def levels(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """(5, tokens): levels of the word, bigram, trigram, and of what follows either context; 0 for what other rounds hold."""
-        w, b, t = keys(token, one, two)
-        return np.stack([self.probe_distinct(w, UNI), self.probe(b, BI), self.probe(t, TRI), self.probe_distinct(after(b, AFTER_1), AFTER), self.probe(after(t, AFTER_2), AFTER)])
+        pair, triple = plain_keys(token, one, two)
+        part = bucket_of(triple, len(self.edges) + 1)  # what follows two words is in the part of the trigrams
+        context = (pair >> np.uint64(32)) ^ _SALT[AFTER_1]
+        names, inverse = np.unique(context, return_inverse=True)
+        return np.stack(
+            [self.probe_distinct(mix(token), UNI), self.probe(mix(pair), BI), self.probe(mix(triple), TRI, part), self.probe(mix(names), AFTER)[inverse], self.probe(mix((triple >> np.uint64(32)) ^ _SALT[AFTER_2]), AFTER, part)]
+        )
 
     def exact(self, key: np.ndarray) -> np.ndarray:
         """Counts of frequent words, 0 for others."""
@@ -291,7 +304,7 @@ def log_probability(first: np.ndarray, levels: np.ndarray, n: int, v: int, texts
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 128, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
+    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 96, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 

@@ -77,6 +77,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa
 
 def give_back() -> None:
     """Workers outlive their tasks: what a batch or a group has left free goes back to the system."""
+    pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
 
