@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
 from tessera.functions import texts as X
 from tessera.operators import evaluation, grounding, privacy, retrieval, timeline
+from tessera.registry import ORACLE_SQL, QUERIES, query, table
 from tessera.plans.query_plan import Aggregate, Computed, Filter, QueryPlan, Sort, execute, profile
 from tessera.sources.sections import pages_to_markdown, url_allowed
 from tessera.sources.sinks import full_markdown, markdown_rows, safe_cells
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def plan_query(name: str, source: str, plan: QueryPlan, sql: str, position: list[str] | None = None) -> None:
     QUERIES[name] = lambda spark, d: execute(table(spark, d, source), plan, position)
     ORACLE_SQL[name] = sql
@@ -118,17 +97,18 @@ def chart_bounds(spark, d):
 
 def _written(df: DataFrame) -> DataFrame:
     """Order prices in five notations, by key."""
-    whole, cents = F.floor("o_totalprice").cast("bigint"), F.lpad(F.round((F.col("o_totalprice") - F.floor("o_totalprice")) * 100).cast("int").cast("string"), 2, "0")
+    total = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    whole, cents = F.floor(total / 100).cast("bigint"), F.lpad((total % 100).cast("string"), 2, "0")
     grouped = lambda mark: F.regexp_replace(whole.cast("string"), r"(?<=[0-9])(?=(?:[0-9]{3})+$)", mark)
     k = F.col("o_orderkey") % 5
     text = (
         F.when(k == 0, F.concat(whole.cast("string"), F.lit("."), cents)).when(k == 1, F.concat(whole.cast("string"), F.lit(","), cents)).when(k == 2, F.concat(grouped(" "), F.lit(","), cents))
         .when(k == 3, F.concat(grouped(","), F.lit("."), cents, F.lit(" %"))).otherwise(F.concat(F.lit("−"), grouped("."), F.lit(","), cents))
     )
-    return df.where("round((o_totalprice - floor(o_totalprice)) * 100) < 100").select("o_orderkey", text.alias("written"))
+    return df.select("o_orderkey", text.alias("written"))
 
 
-@query("select o_orderkey, round(case when o_orderkey % 5 = 4 then -o_totalprice else o_totalprice end, 2) as value from orders where round((o_totalprice - floor(o_totalprice)) * 100) < 100")
+@query("select o_orderkey, round(case when o_orderkey % 5 = 4 then -o_totalprice else o_totalprice end, 2) as value from orders")
 def numbers_read(spark, d):
     return _written(table(spark, d, "orders")).select("o_orderkey", F.round(N.read_number(F.col("written")), 2).alias("value"))
 
@@ -347,7 +327,7 @@ def timeline_checked(spark, d):
 @query("with s as (select case o_orderkey % 3 when 0 then 'verified' when 1 then 'date_not_in_source' else 'invalid_date' end as status from orders) select coalesce(status, 'total') as status, count(*) as n from s group by rollup (status)")
 def timeline_counts(spark, d):
     checked = timeline.verify_events(*_order_events(table(spark, d, "orders")))
-    return checked.rollup("status").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("status", F.lit("total")).alias("status"), "n")
+    return timeline.status_counts(checked)
 
 
 @query("select o_orderkey, extract(year from o_orderdate)::int as y, extract(month from o_orderdate)::int as m, extract(day from o_orderdate)::int as d from orders")
@@ -366,6 +346,25 @@ def year_islands(spark, d):
     return e.withColumn("new", (~F.lag("y").over(w).eqNullSafe(F.col("y"))).cast("int")).withColumn("island", F.sum("new").over(w)).groupBy("o_custkey").agg(F.max("island").alias("islands"))
 
 
+@query(
+    "with e as (select o_custkey as s, o_orderkey as place, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then '1901-02-03' else 'soon' end as iso, o_orderkey % 3 as k from orders), "
+    "y as (select *, case when k = 2 then 'Undated' else substr(iso, 1, 4) end as year, row_number() over (partition by s order by k = 2, rpad(iso, 10, '-'), place) as n from e), "
+    "c as (select *, (year is distinct from lag(year) over (partition by s order by n))::int as new from y) select s as set_id, place, year, sum(new) over (partition by s order by n)::bigint as \"group\" from c"
+)
+def timeline_by_year(spark, d):
+    checked = timeline.verify_events(*_order_events(table(spark, d, "orders")))
+    return timeline.year_groups(checked).select("set_id", "place", "year", "group")
+
+
+@query(
+    "with e as (select o_custkey as s, o_orderkey % 3 as k from orders), n as (select s, count_if(k = 0) || ' of ' || count(*) || ' dates verified in the cited passage.' as note from e group by 1) "
+    "select s as set_id, case k when 0 then 'verified' when 1 then 'date not in the passage' else 'not a date' end as \"check\", note, count(*) as n from e join n using (s) group by 1, 2, 3"
+)
+def timeline_exported(spark, d):
+    checked = timeline.verify_events(*_order_events(table(spark, d, "orders")))
+    return timeline.export_rows(checked).groupBy("set_id", "check", "note").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -453,3 +452,6 @@ def nations_as_markdown(spark, d):
 @query("select n_regionkey::bigint as doc_id, string_agg('## ' || n_name || chr(10) || chr(10) || 'Nation number ' || n_nationkey, chr(10) || chr(10) order by n_nationkey) as full_markdown, sum(length('## ' || n_name || '  Nation number ' || n_nationkey) + 2)::bigint - 2 as character_count from nation group by 1")
 def full_markdown_by_region(spark, d):
     return full_markdown(_nation_sections(spark, d)).withColumn("character_count", F.col("character_count").cast("bigint"))
+
+
+from tessera import catalogue_answers, catalogue_library  # noqa: E402, F401 - they register more queries

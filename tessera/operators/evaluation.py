@@ -84,3 +84,38 @@ def retrieval_recall(targets: DataFrame, ranked: DataFrame, ks: tuple[int, ...]
     per = met.groupBy("query_id", "doc_id", "locator", "pattern", *by).agg(*(F.max((hit & (F.col("rank") <= k)).cast("double")).alias(f"k{k}") for k in ks))
     per = per.groupBy("query_id", *by).agg(*(F.avg(f"k{k}").alias(f"k{k}") for k in ks))
     return per.groupBy(*by).agg(F.count(F.lit(1)).alias("questions"), *(F.round(F.avg(f"k{k}"), 3).alias(f"recall_at_{k}") for k in ks))
+
+
+def run_metrics() -> list[Column]:
+    """The whole set of a run's measures: means over the rows they apply to, errors left out, to three places; null where none applies.
+
+    Rows have category, error, score, correct, precision, abstained, unsupported (count), derived, prompt_leak, citations, citation_hit, seconds.
+    """
+    good, kind = F.col("error").isNull(), F.col("category")
+    answerable, truth = kind != "unanswerable", lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    mean = lambda x, when=None: F.round(F.avg(F.when(good if when is None else good & when, x)), 3)
+    return [
+        F.count(F.lit(1)).alias("cases"), F.count_if(~good).alias("errors"), mean(F.col("score")).alias("overall"), mean(truth(F.col("correct")), kind == "detail").alias("detail_accuracy"),
+        mean(F.col("score"), kind == "list").alias("list_recall"), mean(F.col("precision"), kind == "list").alias("list_precision"), mean(truth(F.col("correct")), kind == "unanswerable").alias("abstention_accuracy"),
+        mean(truth(F.col("abstained") & (F.col("score") == 0)), answerable).alias("false_abstention_rate"), mean(truth(F.col("unsupported") > 0), ~F.coalesce("derived", F.lit(False))).alias("unsupported_number_rate"),
+        mean(truth(F.col("prompt_leak"))).alias("prompt_leak_rate"), mean(truth(F.col("citations") > 0), answerable).alias("citation_rate"), mean(truth(F.col("citation_hit")), answerable).alias("citation_accuracy"),
+        mean(F.col("seconds")).alias("seconds_mean"), F.round(F.coalesce(F.sum(F.when(good, F.col("seconds"))), F.lit(0.0)), 1).alias("seconds_total"),
+    ]
+
+
+def run_groups(rows: DataFrame) -> DataFrame:
+    """(key, measures): every row counts once under each of seven keys made of strategy, languages and difficulty."""
+    s, c, q, d = (F.col(x) for x in ("strategy", "corpus_language", "question_language", "difficulty"))
+    level = F.coalesce(d, F.lit("standard"))
+    mode = F.when(c == q, "same").otherwise("cross")
+    keys = [F.lit("all"), F.concat(F.lit("strategy="), s), F.concat(F.lit("corpus="), c), F.concat_ws("/", s, c, mode), F.concat(q, F.lit("->"), c), F.concat(F.lit("difficulty="), level), F.concat(s, F.lit("/difficulty="), level)]
+    return rows.withColumn("key", F.explode(F.array(*keys))).groupBy("key").agg(*run_metrics())
+
+
+def scored_again(saved: DataFrame, questions: DataFrame) -> DataFrame:
+    """Saved answers scored by the present rules: rows without an error whose question still exists; answers and times stay as they are.
+
+    ``questions`` has question_id, category, accept, items, universe, difficulty and derived.
+    """
+    fresh = ["score", "correct", "abstained", "found", "missed", "extra", "precision", "prompt_leak", "category", "accept", "items", "universe", "difficulty", "derived"]
+    return score_answers(saved.where("error is null").drop(*fresh).join(questions, "question_id"))

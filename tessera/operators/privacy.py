@@ -86,6 +86,36 @@ def _occurrences(item: Column) -> Column:
     return F.concat(F.lit("(?iU)"), F.when(item.rlike(word), r"(?<!\w)").otherwise(""), quoted, F.when(item.rlike(r"(?U)[\p{L}\p{N}]$"), r"(?!\w)").otherwise(""))
 
 
+# What a proposal of no category is by its form.
+_NAME = "^[A-Z\u00c0-\u00dd][a-z\u00df-\u00ff'-]+(?: [A-Z\u00c0-\u00dd][a-z\u00df-\u00ff'-]+){1,3}$"
+_NUMBER = "^[A-Z]{0,3}-?[0-9]{2,}[A-Z]?$"
+
+
+def merge_findings(found: DataFrame, proposed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, category, text, count, detected_by): pattern findings and the proposals that hold.
+
+    ``proposed`` has key, place, category and text. A proposal is dropped if it is shorter than two characters, known already, or
+    not in the document as a whole word; one of category other becomes a person or a number by its form, and a single capitalised
+    word of it is dropped. It is written and counted as it stands in the document.
+    """
+    item = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    named = proposed.select(key, "place", "category", item.alias("item")).where(F.length("item") >= 2).withColumn("folded", F.lower("item"))
+    other = F.col("category") == "other"
+    kind = F.when(other & F.col("item").rlike(_NAME), "person").when(other & F.col("item").rlike(_NUMBER), "id_number").otherwise(F.col("category"))
+    alone = other & (kind == "other") & ~F.col("item").rlike(r"(?U)\s") & F.col("item").rlike(r"^\p{Lu}")
+    named = named.withColumn("category", kind).where(~alone)
+    named = named.join(found.select(key, F.lower("text").alias("folded")).distinct(), [key, "folded"], "left_anti")
+    met = named.join(docs.select(key, F.col(text).alias("__text")), key).withColumn("hits", F.regexp_extract_all("__text", _occurrences(F.col("item")), F.lit(0))).where(F.size("hits") > 0)
+    first = met.groupBy(key, F.lower(F.get("hits", F.lit(0))).alias("folded")).agg(F.min_by(F.struct("category", F.get("hits", F.lit(0)).alias("text"), F.size("hits").cast("long").alias("count")), "place").alias("f"))
+    new = first.select(key, "f.category", "f.text", "f.count", F.lit("proposal").alias("detected_by"))
+    return found.select(key, "category", "text", "count", F.lit("pattern").alias("detected_by")).unionByName(new)
+
+
+def findings_order() -> list[Column]:
+    """By category, the most frequent first."""
+    return [F.col("category"), F.desc("count"), F.col("text")]
+
+
 def redact(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, mapping): every whole-word occurrence of a document's items, the longest first, replaced by the item's own
     replacement or a placeholder numbered by category. ``items`` has key, text, category, replacement and place (order given)."""

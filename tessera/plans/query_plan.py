@@ -7,16 +7,19 @@ from __future__ import annotations
 
 import ast
 import datetime
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.numbers import number_literal
+from tessera.functions.numbers import number_literal, read_number
 
 MAX_EXPRESSION = 300
+OPERATIONS = ("==", "!=", ">", ">=", "<", "<=", "contains", "not_contains", "starts_with", "in")
+FUNCTIONS = ("count", "sum", "avg", "min", "max")
 
 
 class PlanError(ValueError):
@@ -77,9 +80,20 @@ def resolve_column(name: str, columns: list[str], what: str = "plan") -> str:
     raise PlanError(f"Unknown column in {what}: {name!r}. Available: {', '.join(columns)}")
 
 
+def _text(df: DataFrame, column: str) -> Column:
+    """A cell as text: doubles below 1e16 in plain decimals, as they are written by hand."""
+    x = F.col(f"`{column}`")
+    if not isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(x.cast("double").cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(x.cast("string").contains("E") & (F.abs(x) < 1e16) & (F.abs(x) >= 1e-4), plain).otherwise(x.cast("string"))
+
+
 def _number(df: DataFrame, column: str) -> Column:
-    """A column as an operand: numbers only, booleans, text and dates give null."""
+    """A column as an operand: numbers, and those that cells of text write; booleans, other text and dates give null."""
     kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return read_number(F.col(f"`{column}`"), False)
     if isinstance(kind, T.DecimalType):
         return F.col(f"`{column}`").cast("double")
     return F.col(f"`{column}`") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
@@ -135,7 +149,7 @@ def condition(df: DataFrame, f: Filter) -> Column:
     all else as lower-cased text; timestamps compare as their ISO text does, natively.
     """
     column, kind = F.col(f"`{f.column}`"), df.schema[f.column].dataType
-    text = F.coalesce(F.lower(column.cast("string")), F.lit(""))
+    text = F.coalesce(F.lower(_text(df, f.column)), F.lit(""))
     if f.op == "in":
         return text.isin([w.strip().lower() for w in f.value.split(",")])
     if f.op in ("contains", "not_contains"):
@@ -153,7 +167,7 @@ def condition(df: DataFrame, f: Filter) -> Column:
                 return F.lit(op == "!=")
             op = {">": ">=", "<=": "<"}.get(op, op)
     else:
-        left, right = F.lower(column.cast("string")), F.lit(f.value.lower())
+        left, right = F.lower(_text(df, f.column)), F.lit(f.value.lower())
     if op == "!=":
         return ~left.eqNullSafe(right)
     test = {"==": left == right, ">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}
@@ -162,6 +176,33 @@ def condition(df: DataFrame, f: Filter) -> Column:
     return test[op] & column.isNotNull()
 
 
+def plan_from_json(text: str) -> QueryPlan:
+    """A plan as JSON, in a code fence or among other words or not; unknown keys, operations and functions are refused."""
+    found = re.search(r"\{.*\}", text, re.DOTALL)
+    try:
+        raw = json.loads(found[0] if found else text)
+    except json.JSONDecodeError as error:
+        raise PlanError("The plan is no JSON.") from error
+
+    def made(kind: type, data: object):
+        names = {f.name for f in fields(kind)}
+        if not isinstance(data, dict) or set(data) - names:
+            raise PlanError(f"Unknown keys for {kind.__name__}: {sorted(set(data) - names) if isinstance(data, dict) else data}")
+        try:
+            return kind(**data)
+        except TypeError as error:
+            raise PlanError(f"Incomplete {kind.__name__}: {data}") from error
+
+    plan = made(QueryPlan, raw)
+    for name, kind in {"computed": Computed, "filters": Filter, "aggregates": Aggregate, "sort": Sort}.items():
+        setattr(plan, name, [made(kind, x) for x in getattr(plan, name)])
+    if any(f.op not in OPERATIONS for f in plan.filters) or any(a.func not in FUNCTIONS for a in plan.aggregates):
+        raise PlanError("Unknown operation or function in the plan.")
+    if plan.group_by and not plan.aggregates:
+        plan.group_by = ""
+    return plan
+
+
 def _moment(text: str) -> datetime.datetime | None:
     try:
         return datetime.datetime.fromisoformat(text.strip())
@@ -232,3 +273,21 @@ def profile(df: DataFrame) -> DataFrame:
         number = x.cast("double") if kind == "number" else F.lit(None).cast("double")
         parts.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_if(x.isNull()).alias("missing"), F.min(number).alias("low"), F.max(number).alias("high"), F.approx_count_distinct(x).alias("about_distinct")))
     return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+
+
+def profile_values(df: DataFrame, position: list[str], most: int = 12) -> DataFrame:
+    """(column, values) of the text columns with at most ``most`` distinct values: these, in the order in which they first appear."""
+    order = F.struct(*(F.col(f"`{c}`") for c in position))
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    cells = df.select(order.alias("__at"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in texts))).alias("c"))
+    firsts = cells.where("c.value is not null").groupBy("c.column", "c.value").agg(F.min("__at").alias("at"))
+    ranked = firsts.withColumn("n", F.row_number().over(Window.partitionBy("column").orderBy("at", "value"))).where(F.col("n") <= most + 1)
+    listed = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("values"))
+    return listed.where(F.col("n") <= most).select("column", "values")
+
+
+def chart_series(df: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame]:
+    """The points (x as text, y) with a number, and (top, bottom, span, points) of their axis, which holds zero."""
+    points = df.select(F.col(f"`{resolve_column(x, df.columns, 'chart')}`").cast("string").alias("x"), _number(df, resolve_column(y, df.columns, "chart")).cast("double").alias("y")).where(F.col("y").isNotNull() & ~F.isnan("y"))
+    top, bottom = F.greatest(F.max("y"), F.lit(0.0)), F.least(F.min("y"), F.lit(0.0))
+    return points, points.agg(top.alias("top"), bottom.alias("bottom"), (top - bottom).alias("span"), F.count(F.lit(1)).alias("points"))

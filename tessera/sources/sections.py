@@ -306,3 +306,21 @@ def url_allowed(url):
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     private = host.rlike(r"^(localhost|.*\.local|.*\.localhost|0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|22[4-9]\.|23[0-9]\.|\[?(::1|f[cd]|fe80))")
     return F.coalesce(url.rlike("(?i)^https?://") & (host != "") & ~private & F.try_parse_url(url, F.lit("USERINFO")).isNull(), F.lit(False))
+
+
+def is_loopback(url):
+    """Whether an address is this machine's own: localhost, 127.x.x.x or ::1."""
+    host = F.lower(F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), r"^\[|\]$", ""))
+    return host.isin("localhost", "::1") | host.rlike(r"^127\.(?:[0-9]{1,3}\.){2}[0-9]{1,3}$")
+
+
+def pasted(texts: DataFrame) -> DataFrame:
+    """Sections of pasted texts (doc_id, text): one each; empty ones get an error."""
+    full = F.trim(F.coalesce("text", F.lit(""))) != ""
+    return texts.select("doc_id", F.lit(1).alias("section_id"), F.lit("Text").alias("title"), F.lit("Text").alias("locator"), F.when(full, F.col("text")).alias("markdown"), F.when(~full, "The text is empty.").alias("error"))
+
+
+def markdown_headings(text, most: int = 50):
+    """The first heading lines of a Markdown text, without their marks."""
+    lines = F.filter(F.split(text, r"\R"), lambda x: x.rlike(r"^#{1,6}\s+\S"))
+    return F.transform(F.slice(lines, 1, most), lambda x: F.trim(F.regexp_replace(x, r"^#+\s+", "")))

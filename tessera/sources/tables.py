@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import decimal_comma_vote, read_number
 
 
-def typed(raw: DataFrame, separator: str = ",", share: float = 0.8) -> DataFrame:
-    """Text columns of which at least ``share`` of the filled cells are numbers become doubles; the others stay text.
+def typed(raw: DataFrame, separator: str = ",") -> DataFrame:
+    """Text columns whose filled cells are all numbers become doubles; in the others each number is written plainly and text stays.
 
     The column's own spellings decide whether the comma is its decimal mark; without evidence a file separated by semicolons has
-    decimal commas and one separated by commas doesn't. One aggregation over the data finds all of this.
+    decimal commas and one separated by commas doesn't. One aggregation over the data finds all of this. No filled cell is lost:
+    a mixed column (7, 007, n/a) stays text, and plans read the numbers in it.
     """
     fallback = {";": True, ",": False}.get(separator)
-    votes = raw.agg(*(decimal_comma_vote(F.col(f"`{c}`")).alias(c) for c in raw.columns)).first()
-    comma = {c: fallback if votes[c] is None else votes[c] for c in raw.columns}
-    filled = {c: F.trim(F.col(f"`{c}`")) != "" for c in raw.columns}
-    numbers = {c: read_number(F.col(f"`{c}`"), comma[c]) for c in raw.columns}
-    counts = raw.agg(*(F.struct(F.count_if(filled[c]).alias("n"), F.count_if(numbers[c].isNotNull()).alias("k")).alias(c) for c in raw.columns)).first()
-    return raw.select(*((numbers[c] if counts[c].n and counts[c].k >= share * counts[c].n else F.when(filled[c], F.col(f"`{c}`"))).alias(c) for c in raw.columns))
+    facts = []
+    for c in raw.columns:
+        x = F.col(f"`{c}`")
+        rest = lambda comma, x=x: F.count_if((F.trim(x) != "") & read_number(x, comma).isNull())  # noqa: E731 - cells that are no numbers
+        facts.append(F.struct(decimal_comma_vote(x).alias("vote"), F.count_if(F.trim(x) != "").alias("filled"), *(rest(k).alias(name) for name, k in (("comma", True), ("dot", False), ("none", None)))).alias(c))
+    found, out = raw.agg(*facts).first(), []
+    for c in raw.columns:
+        x, fact = F.col(f"`{c}`"), found[c]
+        comma = fallback if fact.vote is None else fact.vote
+        number, rest = read_number(x, comma), {True: fact.comma, False: fact.dot, None: fact.none}[comma]
+        whole = number == F.floor(number)
+        shown = F.when(whole & (F.abs(number) < 1e15), F.floor(number).cast("bigint").cast("string")).otherwise(number.cast("string"))
+        out.append((number if fact.filled and not rest else F.when(number.isNotNull(), shown).when(F.trim(x) != "", x)).alias(c))
+    return raw.select(*out)
 
 
 def read_table(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     raw = spark.read.option("header", True).option("sep", separator).option("multiLine", True).option("ignoreLeadingWhiteSpace", True).csv(path)
     return typed(raw, separator)
+
+
+def table_info(df: DataFrame, rows: int = 5, position: list[str] | None = None) -> tuple[list[str], int, DataFrame]:
+    """Columns, number of rows, and the first rows by ``position`` (any, if not given)."""
+    first = df.orderBy(*position) if position else df
+    return df.columns, df.count(), first.limit(rows)
