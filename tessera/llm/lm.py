@@ -259,19 +259,31 @@ class Model:
             q += 1
         return found
 
-    def probe_distinct(self, key: np.ndarray, kind: int) -> np.ndarray:
-        names, inverse = np.unique(key, return_inverse=True)
-        return self.probe(names, kind)[inverse]
+    def here(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the keys whose part this round holds, and these parts."""
+        some = np.flatnonzero(self.size[part])
+        return (some, part[some]) if len(some) < len(part) else (some, part)
 
     def levels(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """(5, tokens): levels of the word, bigram, trigram, and of what follows either context; 0 for what other rounds hold."""
+        out = np.zeros((5, len(token)), np.int8)
         pair, triple = plain_keys(token, one, two)
-        part = bucket_of(triple, len(self.edges) + 1)  # what follows two words is in the part of the trigrams
-        context = (pair >> np.uint64(32)) ^ _SALT[AFTER_1]
-        names, inverse = np.unique(context, return_inverse=True)
-        return np.stack(
-            [self.probe_distinct(mix(token), UNI), self.probe(mix(pair), BI), self.probe(mix(triple), TRI, part), self.probe(mix(names), AFTER)[inverse], self.probe(mix((triple >> np.uint64(32)) ^ _SALT[AFTER_2]), AFTER, part)]
-        )
+        n = len(self.edges) + 1
+        word, mixed = mix(token), mix(pair)
+        some, _ = self.here(bucket_of(word, n))
+        names, inverse = np.unique(word[some], return_inverse=True)
+        out[0, some] = self.probe(names, UNI)[inverse]
+        some, part = self.here(bucket_of(mixed, n))
+        out[1, some] = self.probe(mixed[some], BI, part)
+        some, part = self.here(bucket_of(triple, n))  # what follows two words is in the part of the trigrams
+        key = triple[some]
+        out[2, some] = self.probe(mix(key), TRI, part)
+        out[4, some] = self.probe(mix((key >> np.uint64(32)) ^ _SALT[AFTER_2]), AFTER, part)
+        context = mix((pair >> np.uint64(32)) ^ _SALT[AFTER_1])
+        some, _ = self.here(n + bucket_of(context, len(self.context_edges) + 1))
+        names, inverse = np.unique(context[some], return_inverse=True)
+        out[3, some] = self.probe(names, AFTER)[inverse]
+        return out
 
     def exact(self, key: np.ndarray) -> np.ndarray:
         """Counts of frequent words, 0 for others."""
@@ -352,10 +364,10 @@ def score_texts(
     drop(contexts)
     rows = scored.where("rid is not null")
     if found:
-        levels = rows.select("name", "more", "levels")
+        levels = rows.select("name", "more", "levels", "n_tokens")
         for table in found:
-            levels = levels.unionByName(table)
-        levels = levels.groupBy("name", "more").agg(F.collect_set("levels").alias("levels"))
+            levels = levels.unionByName(table, allowMissingColumns=True)
+        levels = levels.groupBy("name", "more").agg(F.collect_set("levels").alias("levels"), F.max("n_tokens").alias("n_tokens"))
         rows = rows.drop("score").join(levels.mapInArrow(highest(n, v, texts, damping), "name long, more long, score double"), ["name", "more"])
     rare = scored.where("rid is null").select("bucket", "kind", "blob").unionByName(counts)
     known = rare.groupBy("bucket").applyInArrow(rare_counts(n, v), "rid long, base double, n_known long").groupBy("rid").agg(F.sum("base").alias("rare_base"), F.sum("n_known").alias("rare_known"))
@@ -422,7 +434,8 @@ def probing(sent):
 
 
 def by_text(levels: np.ndarray, first: np.ndarray) -> pa.Array:
-    return pa.array([np.ascontiguousarray(levels[:, s:e]).tobytes() for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())
+    """Each text's levels, compressed: most are 0 where several rounds share the filter."""
+    return pa.array([pa.compress(np.ascontiguousarray(levels[:, s:e]), "zstd", asbytes=True) for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())
 
 
 def highest(n: int, v: int, texts: int, damping: tuple[float, float]):
@@ -431,8 +444,8 @@ def highest(n: int, v: int, texts: int, damping: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = []
-            for rounds in batch.column("levels").to_pylist():
-                levels = np.maximum.reduce([np.frombuffer(x, np.int8).reshape(5, -1) for x in rounds])
+            for rounds, size in zip(batch.column("levels").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
+                levels = np.maximum.reduce([np.frombuffer(pa.decompress(x, 5 * size, "zstd"), np.int8).reshape(5, -1) for x in rounds])
                 score.append(float(log_probability(np.array([0, levels.shape[1]]), levels, n, v, texts, damping).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("more"), pa.array(score, pa.float64())], ["name", "more", "score"])
 
