@@ -7,8 +7,10 @@ by executors, one at a time; only their parsed sections go on.
 from __future__ import annotations
 
 import csv
+import datetime
 import html.parser
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -161,28 +163,74 @@ def _attr(e: ElementTree.Element, name: str) -> str | None:
     return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
 
 
+def _relations(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """(kind, path) of what a part of an Office file refers to, by the reference's id."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return {}
+    path = lambda t: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{folder}/{t}")
+    return {r.get("Id"): (r.get("Type", "").rpartition("/")[2], path(r.get("Target", ""))) for r in _xml(z, rels)}
+
+
+# Numbers of the formats that show days (and times), or times alone.
+DAYS, TIMES = {14, 15, 16, 17, 22, *range(27, 37), *range(50, 59)}, {18, 19, 20, 21, 45, 46, 47}
+
+
+def _date_styles(z: zipfile.ZipFile) -> dict[int, str]:
+    """Which of a workbook's cell styles show a number as a date or as a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return {}
+    root, out = _xml(z, "xl/styles.xml"), {}
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode") or "").lower() for f in _all(root, "numFmt")}
+    for k, style in enumerate(x for group in _all(root, "cellXfs") for x in group):
+        number = int(style.get("numFmtId") or 0)
+        shown = own.get(number, "")
+        if number in DAYS or re.search("[yd]", shown):
+            out[k] = "date"
+        elif number in TIMES or re.search("[hs]", shown):
+            out[k] = "time"
+    return out
+
+
+def _cell_number(text: str, shown: str | None, epoch: datetime.datetime) -> str:
+    """A cell's number as text: dates and times in ISO form, whole numbers without a fraction."""
+    try:
+        value = float(text)
+    except ValueError:
+        return text
+    if shown:
+        moment = epoch + datetime.timedelta(seconds=round(value * 86400, 3))
+        return moment.isoformat(sep=" ") if shown == "date" else moment.time().isoformat()
+    return str(int(value)) if value.is_integer() and abs(value) < 1e15 else text
+
+
 def read_xlsx(data: bytes) -> list[Section]:
     """A section for each sheet with cached values; empty rows and trailing empty columns are left out."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = ["".join(t.text or "" for t in _all(si, "t")) for si in _all(_xml(z, "xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in z.namelist() else []
-    targets = {_attr(r, "Id"): r.get("Target") for r in _xml(z, "xl/_rels/workbook.xml.rels")}
+    book, parts, dates = _xml(z, "xl/workbook.xml"), _relations(z, "xl/workbook.xml"), _date_styles(z)
+    early = any(p.get("date1904") in ("1", "true") for p in _all(book, "workbookPr"))
+    epoch = datetime.datetime(1904, 1, 1) if early else datetime.datetime(1899, 12, 30)
     out = []
-    for sheet in _all(_xml(z, "xl/workbook.xml"), "sheet"):
-        target = targets[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+    for sheet in _all(book, "sheet"):
         grid = []
-        for row in _all(_xml(z, target.lstrip("/") if target.startswith("/") else f"xl/{target}"), "row"):
+        for row in _all(_xml(z, parts[_attr(sheet, "id")][1]), "row"):
             cells: dict[int, str] = {}
             for c in _all(row, "c"):
-                letters = re.match("[A-Z]*", c.get("r") or "")[0]
                 at = 0
-                for x in letters:
+                for x in re.match("[A-Z]*", c.get("r") or "")[0]:
                     at = at * 26 + ord(x) - 64
                 v = next(_all(c, "v"), None)
-                text = "".join(t.text or "" for t in _all(c, "t")) if c.get("t") == "inlineStr" else "" if v is None else v.text or ""
-                if c.get("t") == "s":
+                text, kind = "" if v is None else v.text or "", c.get("t") or "n"
+                if kind == "inlineStr":
+                    text = "".join(t.text or "" for t in _all(c, "t"))
+                elif kind == "s":
                     text = shared[int(text)]
-                elif c.get("t") == "b":
+                elif kind == "b":
                     text = "TRUE" if text == "1" else "FALSE"
+                elif kind == "n":
+                    text = _cell_number(text, dates.get(int(c.get("s") or 0)), epoch)
                 cells[at - 1 if at else len(cells)] = text
             if any(t.strip() for t in cells.values()):
                 grid.append([cells.get(k, "") for k in range(max(cells) + 1)])
@@ -195,8 +243,30 @@ def read_xlsx(data: bytes) -> list[Section]:
     return out
 
 
+def _own_text(e: ElementTree.Element) -> str:
+    """The text of a paragraph or cell, without the text boxes that hang on it."""
+    if _local(e) in ("txbxContent", "Fallback"):
+        return ""
+    return "\t" if _local(e) == "tab" and not len(e) else (e.text or "" if _local(e) == "t" else "") + "".join(map(_own_text, e))
+
+
+def _boxes(e: ElementTree.Element) -> Iterator[str]:
+    """The paragraphs of text boxes; the copy for old programs is passed over."""
+    for child in e:
+        if _local(child) == "txbxContent":
+            yield from filter(None, (_own_text(p).strip() for p in _all(child, "p")))
+        elif _local(child) != "Fallback":
+            yield from _boxes(child)
+
+
+def _cell_texts(row: ElementTree.Element) -> list[str]:
+    """The cells of a table's row; what a merged cell covers below its first row is empty."""
+    covered = lambda c: any(_attr(m, "val") in (None, "continue") for m in _all(c, "vMerge"))
+    return ["" if covered(c) else " ".join(filter(None, (_own_text(p).strip() for p in _all(c, "p")))) for c in row if _local(c) == "tc"]
+
+
 def read_docx(data: bytes) -> list[Section]:
-    """Paragraphs, lists and tables in order; a heading of the first two levels begins a section."""
+    """Paragraphs, text boxes, lists and tables in order; a heading of the first two levels begins a section."""
     z = zipfile.ZipFile(io.BytesIO(data))
     styles = {_attr(s, "styleId"): _attr(next(_all(s, "name")), "val") for s in _all(_xml(z, "word/styles.xml"), "style") if any(_all(s, "name"))} if "word/styles.xml" in z.namelist() else {}
     sections: list[tuple[str, list[str]]] = [("Document", [])]
@@ -204,7 +274,7 @@ def read_docx(data: bytes) -> list[Section]:
     def walk(parent: ElementTree.Element) -> None:
         for e in parent:
             if _local(e) == "p":
-                text = "".join("\t" if _local(t) == "tab" else t.text or "" for t in e.iter() if _local(t) in ("t", "tab")).strip()
+                text = _own_text(e).strip()
                 style = next((styles.get(_attr(s, "val"), _attr(s, "val")) or "" for s in _all(e, "pStyle")), "").lower()
                 level = 1 if style == "title" else int(m[1]) if (m := re.search(r"heading\s*(\d)", style)) else 0
                 if text and 0 < level <= 2:
@@ -219,8 +289,9 @@ def read_docx(data: bytes) -> list[Section]:
                         sections[-1][1].append(item)
                 elif text:
                     sections[-1][1].append(text)
+                sections[-1][1].extend(dict.fromkeys(_boxes(e)))
             elif _local(e) == "tbl":
-                rows = [["".join(t.text or "" for t in _all(c, "t")) for c in r if _local(c) == "tc"] for r in e if _local(r) == "tr"]
+                rows = [_cell_texts(r) for r in e if _local(r) == "tr"]
                 if rows and any(rows[0]):
                     sections[-1][1].append("\n".join(table_lines(rows)))
             elif _local(e) in ("sdt", "sdtContent", "body"):
@@ -233,19 +304,58 @@ def read_docx(data: bytes) -> list[Section]:
     return out
 
 
+def chart_table(root: ElementTree.Element) -> str:
+    """The data of a native chart as a Markdown table: a row for each category (or x value), a column for each series."""
+
+    def points(e: ElementTree.Element, name: str) -> list[str]:
+        found = {int(p.get("idx")): next((v.text or "" for v in _all(p, "v")), "") for x in e if _local(x) == name for p in _all(x, "pt")}
+        return [found.get(k, "") for k in range(max(found, default=-1) + 1)]
+
+    number = lambda t: _cell_number(t, None, datetime.datetime.min)
+    tables, title = [], " ".join(t.text or "" for x in list(_all(root, "title"))[:1] for t in _all(x, "t")).strip()
+    for plot in (x for area in _all(root, "plotArea") for x in area if _local(x).endswith("Chart")):
+        series = [x for x in plot if _local(x) == "ser"]
+        if not series:
+            continue
+        head = points(series[0], "cat")
+        first = "Category" if head else "X"
+        head = head or [number(t) for t in points(series[0], "xVal")]
+        values = [[number(t) for t in points(x, "val") or points(x, "yVal")] for x in series]
+        names = [next((v.text or "" for v in _all(tx, "v")), "") if (tx := next((t for t in x if _local(t) == "tx"), None)) is not None else "" for x in series]
+        size = max(len(head), *map(len, values))
+        rows = [[head[k] if k < len(head) else str(k + 1), *(v[k] if k < len(v) else "" for v in values)] for k in range(size)]
+        tables.append("\n".join(table_lines([[first, *(n or f"Series {i}" for i, n in enumerate(names, 1))], *rows])))
+    return "\n\n".join([f"### Chart: {title}" if title else "### Chart", *tables]) if tables else ""
+
+
+def _xml_text(shape: ElementTree.Element) -> str:
+    return "\n".join(filter(None, ("".join(t.text or "" for t in _all(p, "t")).strip() for p in _all(shape, "p"))))
+
+
+def _slides(z: zipfile.ZipFile) -> list[str]:
+    """The slides' parts in the order of the presentation; by their numbers if it doesn't say."""
+    numbered = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    if "ppt/presentation.xml" not in z.namelist():
+        return numbered
+    parts = _relations(z, "ppt/presentation.xml")
+    listed = [parts[i][1] for s in _all(_xml(z, "ppt/presentation.xml"), "sldId") if (i := next((v for k, v in s.attrib.items() if k.endswith("}id")), None)) in parts]
+    return listed or numbered
+
+
 def read_pptx(data: bytes) -> list[Section]:
-    """A section for each slide: shapes from top to bottom, bullets by level, tables."""
+    """A section for each slide: shapes from top to bottom, bullets by level, tables, data of charts, notes, number of pictures."""
     z = zipfile.ZipFile(io.BytesIO(data))
-    names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    names = _slides(z)
     out = []
     for k, name in enumerate(names, 1):
-        shapes = []
+        shapes, parts = [], _relations(z, name)
         for shape in (e for e in _xml(z, name).iter() if _local(e) in ("sp", "graphicFrame")):
             off = next(_all(shape, "off"), None)
             place = (int(off.get("y")), int(off.get("x"))) if off is not None else (0, 0)
             if _local(shape) == "graphicFrame":
                 rows = [["".join(t.text or "" for t in _all(c, "t")) for c in _all(r, "tc")] for r in _all(shape, "tr")]
-                text = "\n".join(table_lines(rows)) if rows else ""
+                charts = [parts[_attr(c, "id")][1] for c in _all(shape, "chart") if _attr(c, "id") in parts]
+                text = "\n".join(table_lines(rows)) if rows else "\n\n".join(filter(None, (chart_table(_xml(z, c)) for c in charts)))
             else:
                 lines = [("  " * int((next(_all(p, "pPr"), None) or {}).get("lvl", 0) if next(_all(p, "pPr"), None) is not None else 0), "".join(t.text or "" for t in _all(p, "t")).strip()) for p in _all(shape, "p")]
                 text = "\n".join(f"{indent}- {t}" for indent, t in lines if t)
@@ -254,8 +364,14 @@ def read_pptx(data: bytes) -> list[Section]:
                 shapes.append((not title, place, text.removeprefix("- ") if title else text))
         shapes.sort(key=lambda s: s[:2])
         title = shapes[0][2] if shapes and not shapes[0][0] else f"Slide {k}"
-        body = "\n\n".join(("## " if not s[0] else "") + s[2] for s in shapes)
-        out.append((title, f"Slide {k}", body))
+        body = [("## " if not s[0] else "") + s[2] for s in shapes]
+        for kind, path in parts.values():
+            if kind == "notesSlide":
+                spoken = [_xml_text(x) for x in _all(_xml(z, path), "sp") if any((_attr(ph, "type") or "body") == "body" for ph in _all(x, "ph"))]
+                body += ["### Speaker notes\n\n" + t for t in spoken if t]
+        pictures = sum(1 for _ in _all(_xml(z, name), "pic"))
+        body += [f"_({pictures} image(s) on this slide, not interpreted)_"] * (pictures > 0)
+        out.append((title, f"Slide {k}", "\n\n".join(body)))
     if not any(b for _, _, b in out):
         raise ValueError("The deck holds no text.")
     return out
