@@ -454,4 +454,4 @@ def full_markdown_by_region(spark, d):
     return full_markdown(_nation_sections(spark, d)).withColumn("character_count", F.col("character_count").cast("bigint"))
 
 
-from tessera import catalogue_answers, catalogue_library  # noqa: E402, F401 - they register more queries
+from tessera import catalogue_answers, catalogue_library, catalogue_texts  # noqa: E402, F401 - they register more queries

@@ -30,7 +30,7 @@ NOTATIONS = [
     (r"[0-9]+,[0-9]+", "", ",", "any"),
     (r"[0-9]+\.[0-9]+", "", ".", "any"),
 ]
-#: Spellings that show a column's decimal mark.
+# Spellings that show a column's decimal mark.
 COMMA_SHOWN = [r"[0-9],[0-9]{1,2}$", r"[0-9],[0-9]{4,}$", r"[0-9]\.[0-9]{3},[0-9]+$", r"^[0-9]{1,3}(?:\.[0-9]{3}){2,}$"]
 DOT_SHOWN = [r"[0-9]\.[0-9]{1,2}$", r"[0-9]\.[0-9]{4,}$", r"[0-9],[0-9]{3}\.[0-9]+$", r"^[0-9]{1,3}(?:,[0-9]{3}){2,}$"]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import close, number_tokens, readings
 
+# How a citation mark is written (digits are 0-9 alone, since Java's \\d means other signs in Unicode mode).
 CITATION = r"\[S([0-9]+)(?:\s+[^\]:]{1,60})?\s*[:\-–]\s*([^\]]{1,80})\]"
 
 # Phrases by which an answer says that the documents don't hold something, English and Finnish.
@@ -36,6 +37,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+# The patterns in the next four functions are fixed values too: which line and mark forms count.
 def repair_citations(text: Column) -> Column:
     """[words](S1: Page 3) becomes words [S1: Page 3]."""
     return F.regexp_replace(text, r"\[([^\]\n]{1,400})\]\(\s*(S[0-9]+[^)\n]{0,80}?)\s*\)", r"$1 [$2]")

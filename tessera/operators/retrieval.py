@@ -22,10 +22,34 @@ STOP_WORDS = (
 MARKERS = {"en": "the and of to is was in for with that are by".split(), "fi": "ja on oli ovat ei että sekä mukaan vuonna joka jonka myös kanssa tai".split()}
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits of two characters or more, but for stop words; CJK characters one by one."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+"), F.lit(0))
-    return F.filter(found, lambda w: ((F.length(w) > 1) | w.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")) & ~w.isin(STOP_WORDS))
+_WORD, _CJK = r"[\p{L}\p{N}]+", r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+#: Finnish words of this length or more are also indexed by their first letters, since endings and compounds change the rest.
+LONG_WORD, PREFIX = 8, 6
+
+
+def tokens(text: Column, language: Column | None = None) -> Column:
+    """Lower-cased runs of letters and digits of two characters or more, but for stop words; CJK characters one by one.
+
+    Where ``language`` is fi, a long word is followed by ~ and its first letters.
+    """
+    low = F.lower(text)
+    plain = F.filter(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+    by_sign = F.regexp_extract_all(low, F.lit(_CJK + r"|[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+"), F.lit(0))
+    found = F.when(low.rlike(_CJK), F.filter(by_sign, lambda w: ((F.length(w) > 1) | w.rlike(_CJK)) & ~w.isin(STOP_WORDS))).otherwise(plain)  # most texts have no such sign
+    if language is None:
+        return found
+    longer = F.flatten(F.transform(found, lambda w: F.when(F.length(w) >= LONG_WORD, F.array(w, F.concat(F.lit("~"), F.substring(w, 1, PREFIX)))).otherwise(F.array(w))))
+    return F.when(language == "fi", longer).otherwise(found)
+
+
+def query_terms(text: Column) -> Column:
+    """A question's distinct terms in either language, in order; none means that there is nothing to search for."""
+    return F.array_distinct(F.concat(tokens(text), tokens(text, F.lit("fi"))))
+
+
+def indexed_text(title: Column, text: Column) -> Column:
+    """What of a passage is searched: its section's title, if there is one, and its text."""
+    return F.concat_ws("\n", F.nullif(title, F.lit("")), text)
 
 
 def among(words: list[str]) -> Callable[[Column], Column]:
