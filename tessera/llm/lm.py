@@ -8,12 +8,13 @@ interpolated with absolute discounting from the probed counts.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,6 +218,30 @@ def context_parts(counted: DataFrame, buckets: int) -> DataFrame:
     return counted.where(F.col("kind") == AFTER).groupBy("bucket").applyInArrow(merge, "bucket int, kind int, blob binary")
 
 
+MARK = b"filter of levels"
+
+
+def filter_room(n: int) -> tuple[bytearray, np.ndarray]:
+    """Room for a filter of ``n`` words and the words in it, placed so that they are aligned in the file of a broadcast of this room."""
+    head = pickle.dumps(bytearray(b"\xff" * (1 << 16)), pickle.HIGHEST_PROTOCOL).index(b"\xff" * 64)
+    pad = -(head + len(MARK)) % 8
+    room = bytearray(pad + len(MARK) + 8 * n)
+    room[pad : pad + len(MARK)] = MARK
+    return room, np.frombuffer(room, np.uint64, n, pad + len(MARK))
+
+
+def shared_filter(sent: Broadcast, n: int) -> np.ndarray:
+    """The words of a broadcast filter, mapped from the broadcast's file: the workers of an executor have one copy. If it can't be mapped
+    (it is encrypted), it is loaded."""
+    path = getattr(sent, "_path", None)
+    if path:
+        with open(path, "rb") as f:
+            at = f.read(256).find(MARK)
+        if at >= 0 and n:
+            return np.memmap(path, np.uint64, "r", at + len(MARK), (n,))
+    return np.frombuffer(sent.value, np.uint64, n, sent.value.index(MARK) + len(MARK))
+
+
 @dataclass
 class Model:
     """What workers get: filter parts of one round, exact counts of frequent words, and totals."""
@@ -316,7 +341,7 @@ def log_probability(first: np.ndarray, levels: np.ndarray, n: int, v: int, texts
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 96, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
+    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 160, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
@@ -347,19 +372,22 @@ def score_texts(
         begin, size = np.zeros(buckets + context_buckets, np.int64), np.zeros(buckets + context_buckets, np.int64)
         lengths = np.array([sizes[b] // 8 for b in own], np.int64)
         begin[own], size[own] = np.cumsum(lengths) - lengths, lengths
-        words = np.empty(int(lengths.sum()), np.uint64)
+        room, words = filter_room(int(lengths.sum()))
         for some in grouped({b: sizes[b] for b in own}, COLLECT_BYTES) if own else ():
             table = parts.where(F.col("bucket").between(some[0], some[-1])).toArrow()
             for b, blob in zip(table.column("bucket").to_pylist(), table.column("blob"), strict=True):
                 words[begin[b] : begin[b] + size[b]] = np.frombuffer(blob.as_buffer(), np.uint64)
             del table
-        sent = spark.sparkContext.broadcast(Model(words, begin, size, bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping, texts))
+        n_words, none = len(words), np.zeros(0, np.uint64)
         del words
+        sent = spark.sparkContext.broadcast(room), spark.sparkContext.broadcast(Model(none, begin, size, bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping, texts)), n_words
+        del room
         if k + 1 < len(rounds):
             found.append(save(docs.select("name", "more", "text").mapInArrow(probing(sent), "name long, more long, levels binary"), "levels"))
         else:
             scored = save(docs.mapInArrow(scoring(sent, buckets, len(rounds) == 1), "rid long, name long, more long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, levels binary, bucket int, kind int, blob binary"), "scores")
-        sent.destroy()
+        sent[0].destroy()
+        sent[1].destroy()
     drop(counted)
     drop(contexts)
     rows = scored.where("rid is not null")
@@ -421,14 +449,19 @@ def word_totals(counts: DataFrame, often_words: int) -> tuple[int, int, np.ndarr
     return sum(r.total for r in rows), sum(r.number for r in rows), found[0].view(np.uint64)[order], found[1][order]
 
 
-def probing(sent):
+def received(sent: tuple[Broadcast, Broadcast, int]) -> Model:
+    return replace(sent[1].value, words=shared_filter(sent[0], sent[2]))
+
+
+def probing(sent: tuple[Broadcast, Broadcast, int]):
     """The levels that a round's part of the filter gives the tokens of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(sent)
         for batch in batches:
             for part in slices(batch, "text"):
                 token, one, two, first = sequence(Words(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("name"), part.column("more"), by_text(sent.value.levels(token, one, two), first)], ["name", "more", "levels"])
+                yield pa.RecordBatch.from_arrays([part.column("name"), part.column("more"), by_text(model.levels(token, one, two), first)], ["name", "more", "levels"])
 
     return run
 
@@ -452,11 +485,11 @@ def highest(n: int, v: int, texts: int, damping: tuple[float, float]):
     return run
 
 
-def scoring(sent, buckets: int, whole: bool, flush: int = 1 << 19):
+def scoring(sent: tuple[Broadcast, Broadcast, int], buckets: int, whole: bool, flush: int = 1 << 19):
     """Scores of each text (levels, if not ``whole``), with the base score over frequent words, and by bucket the rare words that the rest of it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rid, held = sent.value, TaskContext.get().partitionId() << 36, []
+        model, rid, held = received(sent), TaskContext.get().partitionId() << 36, []
         denominator = model.n + 0.1 * (model.v + 1)
 
         def rows(**columns) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.lm import AFTER, AFTER_1, AFTER_2, BI, COUNTS, FILTER, TRI, VALUE, Model, after, bucket_edges, context_parts, count_ngrams, keys, score_texts, sequence, word_totals
+from tessera.llm.lm import AFTER, AFTER_1, AFTER_2, BI, COUNTS, FILTER, TRI, VALUE, Model, after, bucket_edges, context_parts, count_ngrams, filter_room, keys, score_texts, sequence, shared_filter, word_totals
 from tessera.llm.scratch import read
 from tessera.llm.tokens import Words
 from tests.llm.test_operators import words
@@ -94,3 +94,19 @@ def test_rounds_agree(spark, sf_dir):
     docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, None), (7, "")], docs.schema)).cache()
     key = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 6), round(r.base_score, 6), r.n_known) for r in df.collect())
     assert key(score_texts(docs, buckets=2)) == key(score_texts(docs, buckets=2, round_mb=0)) == key(score_texts(docs, buckets=2, often_words=5))
+
+
+def test_filter_is_mapped_from_the_broadcast(spark):
+    room, words = filter_room(50_000)
+    words[:] = np.arange(50_000, dtype=np.uint64)
+    sent = spark.sparkContext.broadcast(room)
+
+    def look(_):
+        found = shared_filter(sent, 50_000)
+        yield type(found).__name__, int(found.sum()), bool(found.flags.aligned)
+
+    assert spark.sparkContext.parallelize([1], 1).mapPartitions(look).collect() == [("memmap", 50_000 * 49_999 // 2, True)]
+    small, words = filter_room(3)
+    words[:] = 7
+    sent = spark.sparkContext.broadcast(small)
+    assert shared_filter(sent, 3).tolist() == [7, 7, 7] and shared_filter(sent, 0).tolist() == []
