@@ -15,13 +15,19 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def usable_labels(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """(doc_id, label): labels 0 and 1 outside the held-out fold, one for each id; of contradicting ones the greater."""
+    some = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != held_out))
+    return some.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, held_out: int) -> DataFrame:
     """``docs`` with label: at most ``per_class`` labelled rows of each class, in hash order, none from the held-out fold.
 
     Only the chosen ids, bounded by that parameter, are broadcast; texts are not shuffled. Labels other than 0 and 1 don't count; of
     contradicting ones the greater does.
     """
-    usable = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    usable = usable_labels(labels, label, folds, held_out)
     chosen = None
     for value in (0, 1):
         part = usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -31,7 +37,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 def class_rate(labels: DataFrame, label: str, folds: int, held_out: int) -> float:
     """The share of label 1 over all labelled rows that may be learned from."""
-    n, ones = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != held_out)).agg(F.count(F.lit(1)), F.coalesce(F.sum(label), F.lit(0))).first()
+    n, ones = usable_labels(labels, label, folds, held_out).agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     return (ones + 1) / (n + 2)
 
 

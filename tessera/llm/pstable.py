@@ -127,7 +127,8 @@ def near_vectors(
         if found is None:
             return
         rows, groups = found
-        low, high, chunk, left, right = (rows.column(c).to_numpy() for c in ("low", "high", "chunk", "left", "right"))
+        chunk, left, right = (rows.column(c).to_numpy() for c in ("chunk", "left", "right"))
+        low, high = (rows.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))  # bits of signed numbers are counted without their sign
         hit = np.zeros(rows.num_rows, bool)
         for b, n in groups:
             s = slice(b, b + n)
