@@ -12,37 +12,56 @@ from tessera.llm.lines import dedup_lines
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
-from tessera.llm.scratch import read, scratch_path
+from tessera.llm.scratch import read, scratch_path, unused
 from tessera.llm.simhash import simhash_components
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality classifier accepts."""
+    """Keeps documents that the quality classifier accepts.
+
+    Null and empty texts get the score of no words and stay or go by it; rows repeated under an id are judged each by their own text. An
+    empty table gives an empty one.
+    """
     return quality_scores(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that match an earlier one; a document that had words and has none left goes."""
+    """Takes out lines that match an earlier one; a document that had words and has none left goes.
+
+    Null texts stay null, blank lines stay, documents without an id are left alone; rows repeated under an id lose the same lines.
+    n_chars, if there is such a column, is counted anew for changed texts.
+    """
     done = dedup_lines(docs, min_words=1)
     done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates."""
+    """Keeps the document of the smallest id of each group of near-duplicates.
+
+    Null and empty texts are one group, with all texts of the same fingerprint; rows repeated under the kept id stay as often as they
+    came, and so do rows without an id.
+    """
     groups = simhash_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents, so that the sources' words meet the target weights."""
+    """Repeats or leaves out documents, so that the sources' words meet the target weights.
+
+    A null source is one of its own, last; texts without words count for nothing and are taken by their source's rate alone; a document is
+    taken 0, 1 or 2 times, fixed by its id, and rows repeated under an id alike.
+    """
     taken = mixed(docs).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    (copy,) = unused(taken.columns, "copy")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all into sequences of 2048 tokens."""
+    """Packs all into sequences of 2048 tokens; null and empty texts are their end mark alone, longer texts are cut into pieces."""
     return pack(docs)
 
 
