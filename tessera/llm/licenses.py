@@ -38,13 +38,15 @@ SENTENCES = [
     ("MITNOTICE", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("ASIS", r"(the|this) software is provided as is, without warranty of any kind, express or implied.*"),
     ("NOLIAB", r"in no event shall .* be liable for any .*"),
+    ("OBSDPERM", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("ISCPERM", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.*"),
     ("ISCASIS", r"the software is provided as is and the author disclaims all warranties.*"),
     ("BSDREF", r"((this work|this file|this software) is )?(licensed|released|distributed) under the (?P<bsd>[23])-clause bsd license"),
     ("BSDPRE", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:?.*"),
     ("BSDSRC", r"(1. )?redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("BSDBIN", r"(2. )?redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
-    ("BSDEND", r"(3. )?neither the name .* may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDAD", r"(3. )?all advertising materials mentioning features or use of this software must display the following acknowledgement:? this product includes software developed by .*"),
+    ("BSDEND", r"([34]. )?neither the name .* may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSDASIS", r"this software is provided by .* as is and any express or implied warranties.* are disclaimed"),
     ("GPLREF", r"((this (work|file|software|program)) is )?(licensed|released|distributed) under the gnu (?P<g>lesser |library |affero )?general public license,? (version )?v?(?P<gv>\d(\.\d)?)(?P<gp> or later)?"),
     ("GPLFREE", r"(this program|this library|this file|.{1,60}) is free software[:;] you can redistribute it and/or modify it under the terms of the gnu (?P<gf>lesser |library |affero )?general public license as published by the free software foundation[,;] (either version (?P<gfv>\d(\.\d)?) of the license, or \(at your option\) any later version|version (?P<gfo>\d(\.\d)?) of the license)"),
@@ -53,6 +55,19 @@ SENTENCES = [
     ("GPLCOPY", r"you should have received a copy of the gnu (lesser |library |affero )?general public license along with .*"),
     ("MPLREF", r"this source code form is subject to the terms of the mozilla public license, (v\. ?|version )(?P<mv>\d\.\d)"),
     ("MPLCOPY", r"if a copy of the mpl was not distributed with this file, you can obtain one at .*"),
+    ("UNLANY", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or noncommercial, and by any means"),
+    ("ZLIBASIS", r"this software is provided as-is, without any express or implied warranty"),
+    ("ZLIBLIAB", r"in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("ZLIBPERM", r"permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:?"),
+    ("BOOSTREF", r"((this work|this file|this software) is )?(licensed|released|distributed) under the boost software license, version (?P<bv>\d\.\d)"),
+    ("BOOSTPERM", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license \(the software\) to use, reproduce, display, distribute, execute, and transmit the software.*"),
+    ("WTFPL", r"(0. )?you just do what the fuck you want to"),
+    ("EPLREF", r"this program and the accompanying materials are made available under the terms of the eclipse public license,? (v\. ?|version )?(?P<ev>\d\.\d).*"),
+    ("CDDLREF", r"the contents of this file are subject to the terms of the common development and distribution license.*"),
+    ("GFDLREF", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license, version (?P<fv>\d\.\d).*"),
+    ("OFLREF", r"this font software is licensed under the sil open font license, version (?P<ov>\d\.\d)"),
+    ("ARTREF", r"((this work|this file|this software) is )?(licensed|released|distributed) under the (terms of the )?artistic license,? (version )?(?P<arv>\d\.\d)"),
+    ("CC0WAIVE", r"to the extent possible under law, .* waived all copyright and related or neighboring rights to .*"),
     ("COPYRIGHT", r"copyright (\(c\) |© )?.*\d{4}.*"),
     ("RIGHTS", r"all rights reserved"),
 ]
@@ -64,6 +79,8 @@ _WILD, _OPEN = {name for name, p in SENTENCES if ".*" in p or ".{" in p}, {name
 
 #: Ordered rules, identifiers in sequence and the licence; braces take a sentence's parameters.
 RULES = [
+    (("BSDPRE", "BSDSRC", "BSDBIN", "BSDAD", "BSDEND", "BSDASIS", "NOLIAB"), "BSD-4-Clause"),
+    (("BSDPRE", "BSDSRC", "BSDBIN", "BSDAD", "BSDEND", "BSDASIS"), "BSD-4-Clause"),
     (("BSDPRE", "BSDSRC", "BSDBIN", "BSDEND", "BSDASIS", "NOLIAB"), "BSD-3-Clause"),
     (("BSDPRE", "BSDSRC", "BSDBIN", "BSDEND", "BSDASIS"), "BSD-3-Clause"),
     (("BSDPRE", "BSDSRC", "BSDBIN", "BSDASIS", "NOLIAB"), "BSD-2-Clause"),
@@ -76,6 +93,10 @@ RULES = [
     (("MITPERM", "MITNOTICE", "ASIS"), "MIT"),
     (("ISCPERM", "ISCASIS", "NOLIAB"), "ISC"),
     (("ISCPERM", "ISCASIS"), "ISC"),
+    (("OBSDPERM", "ISCASIS", "NOLIAB"), "0BSD"),
+    (("OBSDPERM", "ISCASIS"), "0BSD"),
+    (("ZLIBASIS", "ZLIBLIAB", "ZLIBPERM"), "Zlib"),
+    (("PUBDOM", "UNLANY"), "Unlicense"),
     (("MPLREF", "MPLCOPY"), "MPL-{mv}"),
     (("GPLFREE",), "{gf}GPL-{gfv}{gfo}"),
     (("APACHEREF",), "Apache-{av}"),
@@ -85,6 +106,15 @@ RULES = [
     (("MITREF",), "MIT"),
     (("CCBY",), "CC-{cc}-{ccv}"),
     (("CCLONG",), "CC-{ccl}-{cclv}"),
+    (("BOOSTREF",), "BSL-{bv}"),
+    (("BOOSTPERM",), "BSL-1.0"),
+    (("WTFPL",), "WTFPL"),
+    (("EPLREF",), "EPL-{ev}"),
+    (("CDDLREF",), "CDDL-1.0"),
+    (("GFDLREF",), "GFDL-{fv}"),
+    (("OFLREF",), "OFL-{ov}"),
+    (("ARTREF",), "Artistic-{arv}"),
+    (("CC0WAIVE",), "CC0-1.0"),
     (("PUBDOM",), "Public-Domain"),
     (("SPDX",), "SPDX:{spdx}"),
 ]
