@@ -118,7 +118,7 @@ def document_lines(spark, d):
 
 @query(
     "with s as (select doc_id, length(coalesce(text, ''))::bigint as n, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::bigint as w from documents), t as (select *, w > 900 as r, case when w / 3 <= 900 then 0 when w / 5 <= 900 then 1 when w / 8 <= 900 then 2 else 3 end as attempt from s) "
-    "select doc_id, case when r then 'retrieval' else 'full' end as strategy, case when r then [12000, 7200, 4320, 2592][attempt + 1] end as budget, not r or w / 8 <= 900 or w / 13 <= 900 as fits from t"
+    "select doc_id, case when r then 'retrieval' else 'full' end as strategy, case when r then [12000, 7200, 4320, 2591][attempt + 1] end as budget, not r or w / 8 <= 900 or w / 13 <= 900 as fits from t"
 )
 def context_strategies(spark, d):
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+"), F.lit(0))).cast("long")

@@ -18,6 +18,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     safe_cells(df).write.option("header", True).csv(path)
 
 
+def write_text(df: DataFrame, path: str, column: str = "text", ending: str = "md") -> None:
+    """Texts as files, one row after another in each; the files end in ``ending`` (md or txt)."""
+    df.select(F.coalesce(F.col(column), F.lit("")).alias("value")).write.option("extension", ending).text(path)
+
+
 def markdown_rows(df: DataFrame, name: str = "line") -> DataFrame:
     """One Markdown table line for each row."""
     return df.select(markdown_row([F.col(f"`{c}`") for c in df.columns]).alias(name))
