@@ -341,7 +341,7 @@ def log_probability(first: np.ndarray, levels: np.ndarray, n: int, v: int, texts
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 160, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
+    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 192, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
@@ -355,8 +355,8 @@ def score_texts(
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold("doc_id", folds) == held_out).alias("held_out"))
     texts, size = docs.agg(F.coalesce(F.count_if(~F.col("held_out")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    # a bucket's work is one task's, so buckets grow with the texts
-    buckets, context_buckets = buckets or max(16, 4 * partitions, size // BUCKET_BYTES), max(16, 2 * partitions, size // BUCKET_BYTES // 4)
+    # a bucket's work is one task's, so buckets grow with the texts; those of single words, which every bucket writes to, with the words alone
+    buckets, context_buckets = buckets or max(16, 4 * partitions, size // BUCKET_BYTES), max(16, size // BUCKET_BYTES // 64)
     counted = save(count_ngrams(docs.where(~F.col("held_out")).select("text"), buckets, context_buckets), "ngrams")
     contexts = save(context_parts(counted, buckets), "contexts")
     counts = save(counted.where(F.col("kind") == COUNTS), "words")
