@@ -250,9 +250,9 @@ def runs_side_by_side(spark, d):
     return suites.side_by_side(_cases(spark, d).groupBy("run").agg(*evaluation.run_metrics()), ["run0", "run1", "run2"], _SHOWN)
 
 
-@query("select event_id, case when value is null then '-' when value >= 60 then printf('%.1f min', value / 60) else printf('%.0f s', value) end as duration from events")
+@query("select event_id, case when v is null then '-' when v >= 60 then printf('%.1f min', v / 60) else printf('%.0f s', v) end as duration from (select event_id, value + 0.00137 as v from events)")
 def durations(spark, d):
-    return table(spark, d, "events").select("event_id", suites.duration(F.col("value")).alias("duration"))
+    return table(spark, d, "events").select("event_id", suites.duration(F.col("value") + 0.00137).alias("duration"))
 
 
 @query(

@@ -83,12 +83,12 @@ def library_ready(spark, d):
 def _chosen(spark, d) -> tuple[DataFrame, DataFrame]:
     """Line items as passages of their part's document, chosen for the order's question."""
     item = table(spark, d, "lineitem")
-    passages = item.select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("doc_id"), (F.col("l_linenumber") * 1000 + F.col("l_quantity").cast("int")).alias("order"), F.concat(F.lit("Part "), (F.col("l_quantity") % 3).cast("int").cast("string")).alias("locator"), F.col("l_linestatus").alias("text"))
+    passages = item.select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("doc_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_quantity").cast("int") * 10_000 + F.col("l_partkey") % 10_000).alias("order"), F.concat(F.lit("Part "), (F.col("l_quantity") % 3).cast("int").cast("string")).alias("locator"), F.col("l_linestatus").alias("text"))
     suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_suppkey").alias("index"), F.concat(F.col("s_name"), F.lit('"x"')).alias("name"))
     return passages, suppliers
 
 
-_CHOSEN = "with p as (select l_orderkey as q, l_suppkey as s, l_linenumber * 1000 + l_quantity::int as o, 'Part ' || (l_quantity % 3)::int as loc, l_linestatus as text from lineitem), "
+_CHOSEN = "with p as (select l_orderkey as q, l_suppkey as s, l_linenumber * 1000000 + l_quantity::int * 10000 + l_partkey % 10000 as o, 'Part ' || (l_quantity % 3)::int as loc, l_linestatus as text from lineitem), "
 
 
 @query(
