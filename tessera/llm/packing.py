@@ -7,6 +7,7 @@ tasks of their own, between which elites migrate.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,15 +35,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+def cuts_at_words(settings: dict) -> bool:
+    """Whether a vocabulary file's settings are those that ``WordIds`` makes use of."""
+    kinds = [n["type"] for n in (settings.get("normalizer") or {}).get("normalizers", [])]
+    steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = steps[0].get("pattern", {}).get("Regex", "") if steps else ""
+    special = tuple(t["content"] for t in settings.get("added_tokens") or ())
+    words = pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and [p["type"] for p in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space")
+    return kinds == ["NFC", "Replace", "Lowercase"] and words and special == _SPECIAL
+
+
 class WordIds:
     """Ids of whole texts by a word-level BPE vocabulary file, from the ids of their distinct fragments.
 
     The vocabulary's own pre-tokeniser never joins across white space, nor a letter with a mark other than an apostrophe, so texts
-    are cut there, and each distinct fragment is encoded once. Texts with a special token's string go to the tokeniser whole.
+    are cut there, and each distinct fragment is encoded once. Texts with a special token's string go to the tokeniser whole, and so do
+    all texts where the vocabulary's settings aren't those (lower case, words, single digits, marks).
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.table, self.known = Tokenizer.from_file(path), byte_letters(), {}
+        self.by_fragment = cuts_at_words(json.loads(self.tokenizer.to_str()))
 
     def fragment(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
@@ -54,6 +67,9 @@ class WordIds:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each text ended by id 0, and the texts' offsets among them."""
+        if not self.by_fragment:
+            own = [np.array([*self.tokenizer.encode(text or "", add_special_tokens=False).ids, 0], np.uint32) for text in column.to_pylist()]
+            return np.concatenate(own) if own else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
         data, offsets = utf8(column)
         inside = ~SPACE[data]
         letter = _LETTER[data]

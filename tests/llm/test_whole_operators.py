@@ -1,11 +1,14 @@
 """Planted pairs, cut groups, several shards, blocks and rounds, clashing names and contradicting labels: one small parameter each."""
 
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm.lines import dedup_lines
 from tessera.llm.mixing import mixed
@@ -131,3 +134,15 @@ def test_mixing_reaches_targets_on_rows_with_ids_repeated(spark, sf_dir):
     for r in rows:
         copies[r.doc_id].add(r.copies)
     assert len(rows) == both.count() and all(len(c) == 1 for c in copies.values())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_with_other_vocabularies(spark, name):
+    path = public_tokenizers.path(name)
+    encode = Tokenizer.from_file(path)
+    texts = ["Two  words, it's 1234 Ärger.", None, "", "<|endoftext|> inside", "é " * 900]
+    out = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=path, capacity=512).collect()
+    for d, text in enumerate(texts):
+        ids = [*encode.encode(text or "", add_special_tokens=False).ids, 0]
+        got = sorted((r.piece, r.length, r.ids_crc32) for r in out if r.doc_id == d)
+        assert got == [(k, min(512, len(ids) - s), zlib.crc32(np.array(ids[s : s + 512], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 512))]
