@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .pstable import matrix, vectors
 from .scratch import save
 
-LEAF = 32
+LEAF = 128
 #: Most tasks that a search is dealt to; each takes whole shards.
 MOST_TASKS = 1 << 14
 #: Pruning factors to choose from.
@@ -130,13 +131,12 @@ def build_index(df: DataFrame, key: str, column: str, shard_rows: int, seed: int
     return save(points.groupBy("shard", "dim").applyInArrow(trees, "shard int, dim int, ids binary, vecs binary, order binary, nodes binary"), "vptrees")
 
 
-def share_found(x: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: np.ndarray, asked: np.ndarray, k: int, factor: float) -> tuple[float, float]:
-    """Recall of a tree's search for some of its own points, against all distances, and the share of points compared."""
-    near, whole = (Nearest(x[asked], ids[asked], k) for _ in range(2))
+def share_found(x: np.ndarray, ids: np.ndarray, order: np.ndarray, nodes: np.ndarray, asked: np.ndarray, exact: np.ndarray, factor: float) -> tuple[float, float]:
+    """Recall of a tree's search for some of its own points, against their ``exact`` nearest, and the share of points compared."""
+    near = Nearest(x[asked], ids[asked], exact.shape[1])
     search(x, ids, order, nodes, near, factor)
-    whole.offer(np.arange(len(asked)), x, ids)
-    hits = sum(len(np.intersect1d(a, b)) for a, b in zip(near.found, whole.found, strict=True))
-    return hits / max(1, len(asked) * min(k, len(ids) - 1)), near.compared / max(1, len(asked) * len(ids))
+    hits = sum(len(np.intersect1d(a, b)) for a, b in zip(near.found, exact, strict=True))
+    return hits / max(1, len(asked) * min(exact.shape[1], len(ids) - 1)), near.compared / max(1, len(asked) * len(ids))
 
 
 def sample_factor(index: DataFrame, k: int, recall: float, sample: int = 128, seed: int = 42) -> float:
@@ -151,7 +151,9 @@ def sample_factor(index: DataFrame, k: int, recall: float, sample: int = 128, se
                 ids, order, nodes = np.frombuffer(tree["ids"], np.int64), np.frombuffer(tree["order"], np.int64), np.frombuffer(tree["nodes"], np.float64).reshape(-1, 6)
                 x = np.frombuffer(tree["vecs"], np.float64).reshape(len(ids), -1)
                 asked = np.random.default_rng(seed).permutation(len(ids))[:sample]
-                good = [f for f in FACTORS if share_found(x, ids, order, nodes, asked, k, f)[0] >= recall]
+                whole = Nearest(x[asked], ids[asked], k)
+                whole.offer(np.arange(len(asked)), x, ids)
+                good = takewhile(lambda f: share_found(x, ids, order, nodes, asked, whole.found, f)[0] >= recall, FACTORS)
                 yield pa.RecordBatch.from_arrays([pa.array([max(good, default=1.0)], pa.float64())], ["factor"])
 
     first = index.orderBy("shard", "dim").limit(1).mapInArrow(run, "factor double").first()
