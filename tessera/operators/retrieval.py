@@ -76,23 +76,28 @@ def passages(sections: DataFrame, target_words: int = 180, overlap: int = 1) ->
     unless these reach the target. Sections need doc_id, section_id, locator and markdown; order counts within a document.
     """
     n_words = lambda b: F.size(F.filter(F.split(b, r"(?U)\s+"), lambda w: w != ""))
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("buffer"), F.lit(0).alias("n"))
-
-    def step(s: Column, b: Column) -> Column:
-        size = n_words(b)
-        full = (F.size(s["buffer"]) > 0) & (s["n"] + size > target_words)
-        kept = F.slice(s["buffer"], F.greatest(F.size(s["buffer"]) - overlap + 1, F.lit(1)), overlap) if overlap else F.array().cast("array<string>")
-        kept_words = F.aggregate(kept, F.lit(0), lambda a, x: a + n_words(x))
-        fits = kept_words < target_words
-        begin, begin_words = F.when(fits, kept).otherwise(F.array().cast("array<string>")), F.when(fits, kept_words).otherwise(F.lit(0))
+    none, cut = F.array().cast("array<int>"), "array<struct<begin:int,end:int>>"
+    state = F.struct(F.array().cast(cut).alias("done"), F.lit(0).alias("begin"), F.lit(0).alias("n"), none.alias("last"))
+
+    def step(s: Column, x: Column) -> Column:
+        """Places of the blocks alone are carried along, with the sizes of the last ``overlap`` in the open passage."""
+        full = (x["i"] > s["begin"]) & (s["n"] + x["size"] > target_words)
+        kept = F.aggregate(s["last"], F.lit(0), lambda a, n: a + n)
+        fits = kept < target_words
+        begin = F.when(~full, s["begin"]).when(fits, x["i"] - F.size(s["last"])).otherwise(x["i"])
+        before = F.when(full & ~fits, none).otherwise(s["last"])
+        last = F.concat(before, F.array(x["size"]))
         return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["buffer"]))).otherwise(s["done"]).alias("done"),
-            F.concat(F.when(full, begin).otherwise(s["buffer"]), F.array(b)).alias("buffer"),
-            (F.when(full, begin_words).otherwise(s["n"]) + size).alias("n"),
-        )
-
-    packed = F.aggregate(blocks(F.col("markdown")), state, step, lambda s: F.when(F.size(s["buffer"]) > 0, F.concat(s["done"], F.array(s["buffer"]))).otherwise(s["done"]))
-    out = sections.select("doc_id", "section_id", "locator", F.posexplode(F.transform(packed, lambda p: F.trim(F.array_join(p, "\n\n")))).alias("place", "text"))
+            F.when(full, F.concat(s["done"], F.array(F.struct(s["begin"].alias("begin"), x["i"].alias("end"))))).otherwise(s["done"]).alias("done"), begin.alias("begin"),
+            (F.when(~full, s["n"]).when(fits, kept).otherwise(0) + x["size"]).alias("n"), F.when(F.size(last) > overlap, F.slice(last, F.size(last) - overlap + 1, overlap)).otherwise(last).alias("last"),
+        )
+
+    sized = sections.select("doc_id", "section_id", "locator", blocks(F.col("markdown")).alias("parts"))
+    sizes = F.transform("parts", lambda b, i: F.struct(i.alias("i"), n_words(b).alias("size")))
+    rest = lambda s: F.when(F.size("parts") > 0, F.concat(s["done"], F.array(F.struct(s["begin"].alias("begin"), F.size("parts").alias("end"))))).otherwise(s["done"])
+    packed = sized.withColumn("cuts", F.aggregate(sizes, state, step, rest))
+    texts = F.transform("cuts", lambda c: F.trim(F.array_join(F.slice("parts", c["begin"] + 1, c["end"] - c["begin"]), "\n\n")))
+    out = packed.select("doc_id", "section_id", "locator", F.posexplode(texts).alias("place", "text"))
     return out.withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_id", "place")) - 1).drop("place")
 
 
