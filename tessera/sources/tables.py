@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import decimal_comma_vote, read_number
+from tessera.functions.texts import markdown_row
 
 
 def typed(raw: DataFrame, separator: str = ",") -> DataFrame:
@@ -41,3 +42,28 @@ def table_info(df: DataFrame, rows: int = 5, position: list[str] | None = None)
     """Columns, number of rows, and the first rows by ``position`` (any, if not given)."""
     first = df.orderBy(*position) if position else df
     return df.columns, df.count(), first.limit(rows)
+
+
+def csv_sections(spark: SparkSession, path: str, separator: str = ",", rows_each: int = 100) -> DataFrame:
+    """(path, section_id, title, locator, markdown) of CSV files of the same columns, in sections of ``rows_each`` rows as Markdown tables.
+
+    For large files, which Spark splits (so cells hold no line breaks): rows are counted by split, and numbered from the splits before
+    theirs. Blank rows are left out; a file of a header alone has one section. ``sources.sections`` reads small files of any form.
+    """
+    raw = spark.read.option("header", True).option("sep", separator).csv(path)
+    names = raw.columns
+    rows = raw.select(*(F.col(f"`{c}`") for c in names), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"))
+    rows = rows.where(" or ".join(f"trim(coalesce(`{c}`, '')) <> ''" for c in names))
+    splits = rows.groupBy("__path", "__split").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__path").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(Window.partitionBy("__path"))
+    place = F.row_number().over(Window.partitionBy("__path", "__split").orderBy("__id"))
+    numbered = rows.withColumn("place", place).join(splits.select("__path", "__split", before.alias("before"), total.alias("total")), ["__path", "__split"]).withColumn("number", F.col("before") + F.col("place") - 1)
+    line = markdown_row([F.col(f"`{c}`") for c in names])
+    by_section = numbered.withColumn("section", F.floor(F.col("number") / rows_each)).groupBy("__path", "section", "total").agg(F.sort_array(F.collect_list(F.struct("number", line.alias("line")))).alias("lines"))
+    head = "| " + " | ".join(c.replace("|", "\\|") for c in names) + " |\n|" + " --- |" * len(names)
+    locator = F.concat(F.lit("Rows "), (F.col("section") * rows_each + 1).cast("string"), F.lit("-"), F.least((F.col("section") + 1) * rows_each, F.col("total")).cast("string"))
+    found = by_section.select(F.col("__path").alias("path"), (F.col("section") + 1).cast("int").alias("section_id"), locator.alias("locator"), F.concat(F.lit(head + "\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("markdown"))
+    files = spark.read.format("binaryFile").load(path).select("path")
+    alone = files.join(found.select("path").distinct(), "path", "left_anti").select("path", F.lit(1).alias("section_id"), F.lit("Header only").alias("locator"), F.lit(head).alias("markdown"))
+    return found.unionByName(alone).select("path", "section_id", F.col("locator").alias("title"), "locator", "markdown")

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans.query_plan import Aggregate, Filter, PlanError, QueryPlan, chart_series, execute, plan_from_json, profile_values
-from tessera.sources.sections import read_docx, read_pptx, read_xlsx
-from tessera.sources.tables import read_table, table_info
+from tessera.sources.sections import read_csv, read_docx, read_pptx, read_xlsx
+from tessera.sources.tables import csv_sections, read_table, table_info
 
 R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -98,3 +98,20 @@ def test_values_and_chart(spark):
     points, axis = chart_series(df, "t", "v")
     assert points.count() == 2 and tuple(axis.first()) == (2.0, -1.0, 3.0, 2)
     assert points.where(F.col("y") == 2).first().x == "x"
+
+
+def test_large_csv_files_by_splits(spark, tmp_path):
+    for name, n in (("a", 257), ("b", 100), ("c", 0)):
+        (tmp_path / f"{name}.csv").write_text("id;value\n" + "".join(f"{i};x|{i}\n" + (";\n" if i % 50 == 7 else "") for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = {}
+        for r in csv_sections(spark, str(tmp_path), ";").collect():
+            found[r.path.rsplit("/", 1)[1], r.section_id] = (r.locator, r.markdown)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {k: v[0] for k, v in found.items()} == {("a.csv", 1): "Rows 1-100", ("a.csv", 2): "Rows 101-200", ("a.csv", 3): "Rows 201-257", ("b.csv", 1): "Rows 1-100", ("c.csv", 1): "Header only"}
+    for (name, section), (locator, markdown) in found.items():
+        if name != "c.csv":
+            want = {s[1]: s[2] for s in read_csv((tmp_path / name).read_bytes())}
+            assert want[locator] == markdown
