@@ -32,7 +32,7 @@ AFTER = AFTER_1
 #: Off each count seen, of one too; a multiple of a quarter, so that what follows a context adds up in whole quarters.
 DISCOUNT = 0.75
 #: Bytes of text for each bucket of n-grams, and bytes of the filter that the driver collects at once.
-BUCKET_BYTES, COLLECT_BYTES = 8 << 20, 16 << 20
+BUCKET_BYTES, COLLECT_BYTES = 4 << 20, 16 << 20
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 #: Values that level 0, 1, 2, ... stand for: the geometric middle of the integers that have it.
 VALUE = np.concatenate([[0.0], [float(np.exp(np.log(ints).mean())) if len(ints := np.arange(np.ceil(LEVEL_BASE ** (q - 1)), LEVEL_BASE**q)) else LEVEL_BASE ** (q - 1) for q in range(1, 25)], LEVEL_BASE ** (np.arange(25, LEVELS + 1) - 0.5)])
@@ -145,7 +145,7 @@ def counted_sorted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[head], np.diff(head, append=len(names))
 
 
-def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 1 << 21) -> DataFrame:
+def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 3 << 19) -> DataFrame:
     """(bucket, kind, blob): by bucket a filter part, the exact word counts, and by bucket of contexts the discounted counts that follow a word.
 
     Trigrams are dealt by the two words before, so what follows these adds up in their bucket and goes into its part. Bigrams are dealt
@@ -341,7 +341,7 @@ def log_probability(first: np.ndarray, levels: np.ndarray, n: int, v: int, texts
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 192, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
+    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 384, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
