@@ -32,7 +32,7 @@ AFTER = AFTER_1
 #: Off each count seen, of one too; a multiple of a quarter, so that what follows a context adds up in whole quarters.
 DISCOUNT = 0.75
 #: Bytes of text for each bucket of n-grams, and bytes of the filter that the driver collects at once.
-BUCKET_BYTES, COLLECT_BYTES = 4 << 20, 16 << 20
+BUCKET_BYTES, COLLECT_BYTES = 4 << 20, 8 << 20
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 #: Values that level 0, 1, 2, ... stand for: the geometric middle of the integers that have it.
 VALUE = np.concatenate([[0.0], [float(np.exp(np.log(ints).mean())) if len(ints := np.arange(np.ceil(LEVEL_BASE ** (q - 1)), LEVEL_BASE**q)) else LEVEL_BASE ** (q - 1) for q in range(1, 25)], LEVEL_BASE ** (np.arange(25, LEVELS + 1) - 0.5)])
@@ -377,7 +377,8 @@ def score_texts(
             table = parts.where(F.col("bucket").between(some[0], some[-1])).toArrow()
             for b, blob in zip(table.column("bucket").to_pylist(), table.column("blob"), strict=True):
                 words[begin[b] : begin[b] + size[b]] = np.frombuffer(blob.as_buffer(), np.uint64)
-            del table
+            del table, blob
+            give_back()
         n_words, none = len(words), np.zeros(0, np.uint64)
         del words
         sent = spark.sparkContext.broadcast(room), spark.sparkContext.broadcast(Model(none, begin, size, bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping, texts)), n_words
