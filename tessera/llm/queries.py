@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .decontaminate import contamination
 from .licenses import scan_licences
 from .lines import dedup_lines
 from .lm import score_texts
@@ -16,8 +18,10 @@ from .pstable import near_vectors
 from .quality import quality_scores
 from .scratch import read
 from .simhash import simhash_components
+from .spelling import variants, word_counts
 from .toxicity import toxicity_scores
 from .vptree import nearest
+from .whitening import whitening_table
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +66,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_table(read(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(word_counts(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_toxicity": op2_toxicity,
@@ -73,7 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_spelling": op13_spelling,
 }
 
-#: Hashing, searching and training have no equivalent in SQL; tests/llm compares these queries with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries hash, search or train, for which SQL has no equivalent; tests/llm compares them with brute force.
+ORACLE_SQL: dict[str, str] = {"op12_decontamination": oracles.DECONTAMINATION, "op13_spelling": oracles.SPELLING}
