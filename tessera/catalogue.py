@@ -224,7 +224,7 @@ def term_statistics(spark, d):
     docs = _documents_as_passages(spark, d)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(retrieval.inverse_frequency(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(
@@ -236,7 +236,7 @@ def term_statistics(spark, d):
     "ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored where score > 0) select query_id, rank::int as rank, doc_id, floor(score * 10000 + 0.5) / 10000 as score from ranked where rank <= 8"
 )
 def bm25_top(spark, d):
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(retrieval.tokens(F.col("text"))).alias("terms"))
     hits = retrieval.bm25(queries, _documents_as_passages(spark, d), 8)
     return hits.select("query_id", "rank", "doc_id", (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
 
@@ -255,7 +255,7 @@ def passages(spark, d):
 @query()
 def passages_for_questions(spark, d):
     chunks = retrieval.passages(_paragraphed(spark, d)).withColumn("tokens", retrieval.tokens(F.col("text")))
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(retrieval.tokens(F.col("text"))).alias("terms"))
     return retrieval.fill_budget(retrieval.with_neighbours(retrieval.bm25(queries, chunks, 8), chunks))
 
 
@@ -454,4 +454,4 @@ def full_markdown_by_region(spark, d):
     return full_markdown(_nation_sections(spark, d)).withColumn("character_count", F.col("character_count").cast("bigint"))
 
 
-from tessera import catalogue_answers, catalogue_library, catalogue_texts  # noqa: E402, F401 - they register more queries
+from tessera import catalogue_answers, catalogue_index, catalogue_joins, catalogue_library, catalogue_texts  # noqa: E402, F401 - they register more queries

@@ -118,12 +118,28 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) < 1e-6 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
 
 
-def unsupported_numbers(answer: Column, known: Column) -> Column:
-    """Tokens of an answer none of whose readings is close to one of ``known`` (array<double>); citation marks, list numbers and
-    whole numbers up to 12 don't count."""
+def checked_tokens(answer: Column) -> Column:
+    """Numbers of an answer that a source must hold, as written, in order: citation marks, list numbers and whole numbers up to 12 don't count."""
     text = F.regexp_replace(F.regexp_replace(answer, r"\[S[0-9]+[^\]]{0,100}\]", " "), r"(?mU)^\s*[0-9]+[.)]\s", " ")
     small = lambda v: (v == F.floor(v)) & (v <= 12)
-    return F.filter(
-        number_tokens(text),
-        lambda t: ~F.forall(readings(t), small) & ~F.exists(readings(t), lambda v: F.exists(known, lambda k: close(v, k))),
-    )
+    return F.filter(number_tokens(text), lambda t: ~F.forall(readings(t), small))
+
+
+def unsupported_numbers(answer: Column, known: Column) -> Column:
+    """Tokens of an answer none of whose readings is close to one of ``known`` (array<double>, a short one; ``grounding.unsupported`` joins)."""
+    return F.filter(checked_tokens(answer), lambda t: ~F.exists(readings(t), lambda v: F.exists(known, lambda k: close(v, k))))
+
+
+#: Width of a band; two close numbers differ by little more than half of it on the bands' scale.
+BAND = 2e-6
+
+
+def band(v: Column) -> Column:
+    """The band of a number, as a long: even steps up to 1, logarithmic ones above, so that close numbers lie in the same band or in neighbours."""
+    scaled = F.when(F.abs(v) <= 1, v).otherwise(F.signum(v) * (1 + F.log(F.abs(v))))
+    return F.floor(scaled / BAND)
+
+
+def bands(v: Column) -> Column:
+    """The bands in which numbers close to ``v`` lie."""
+    return F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(v) + i)

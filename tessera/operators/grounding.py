@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import number_tokens, readings, unsupported_numbers
+from tessera.functions.numbers import band, bands, checked_tokens, close, number_tokens, readings
 from tessera.functions.texts import CITATION, citation_coverage, citation_marks, is_refusal, plain, strip_thinking
 
 
@@ -46,9 +46,25 @@ def citation_stats(citations: DataFrame) -> DataFrame:
     return citations.groupBy("answer_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("found").alias("resolved"), F.transform(F.sort_array(missing), lambda x: x["marker"]).alias("unresolved"))
 
 
-def known_numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, known array<double>): every reading of every number in the texts of a key."""
-    return texts.select(key, F.explode(number_tokens(F.col(text))).alias("t")).distinct().select(key, F.explode(readings(F.col("t"))).alias("v")).groupBy(key).agg(F.sort_array(F.collect_set("v")).alias("known"))
+def numbers_of(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, band, known): a row for every reading of every number in the texts of a key, each once."""
+    found = texts.select(key, F.explode(number_tokens(F.col(text))).alias("t")).distinct().select(key, F.explode(readings(F.col("t"))).alias("known"))
+    return found.distinct().withColumn("band", band(F.col("known")))
+
+
+def unsupported(answers: DataFrame, sections: DataFrame) -> DataFrame:
+    """(answer_id, place, token): numbers of answers that neither the question nor a section of the answer's documents holds, in order.
+
+    Readings meet known numbers by document and band, so no answer's or document's numbers come together in one row; answers need answer_id,
+    answer, question and doc_ids. Null texts hold no numbers; documents listed twice count once.
+    """
+    tokens = answers.select("answer_id", "doc_ids", "question", F.posexplode(checked_tokens(F.coalesce("answer", F.lit("")))).alias("place", "token"))
+    read = tokens.select("answer_id", "doc_ids", "place", F.explode(readings(F.col("token"))).alias("v")).select("*", F.explode(bands(F.col("v"))).alias("band"))
+    near = close(F.col("v"), F.col("known"))
+    in_documents = read.select("answer_id", "place", "v", "band", F.explode(F.array_distinct("doc_ids")).alias("doc_id")).join(numbers_of(sections, "doc_id", "markdown"), ["doc_id", "band"]).where(near)
+    in_questions = read.join(numbers_of(answers, "answer_id", "question"), ["answer_id", "band"]).where(near)
+    held = in_documents.select("answer_id", "place").unionByName(in_questions.select("answer_id", "place")).distinct()
+    return tokens.select("answer_id", "place", "token").join(held, ["answer_id", "place"], "left_anti")
 
 
 def check_answers(answers: DataFrame, sections: DataFrame, most_listed: int = 8) -> DataFrame:
@@ -58,13 +74,12 @@ def check_answers(answers: DataFrame, sections: DataFrame, most_listed: int = 8)
     source, or a citation of no section), not_in_documents (a refusal without citations), partly_cited, ok.
     """
     prepared = answers.withColumn("answer", strip_thinking(F.coalesce("answer", F.lit(""))))
-    texts = prepared.select("answer_id", F.explode("doc_ids").alias("doc_id")).join(sections.select("doc_id", F.col("markdown").alias("text")), "doc_id").select("answer_id", "text")
-    texts = texts.unionByName(prepared.select("answer_id", F.coalesce("question", F.lit("")).alias("text")))
+    missing = unsupported(prepared, sections).groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("missing"))
     stats = citation_stats(resolve_citations(prepared, sections))
-    out = prepared.join(known_numbers(texts, "answer_id", "text"), "answer_id", "left").join(stats, "answer_id", "left")
+    out = prepared.join(missing, "answer_id", "left").join(stats, "answer_id", "left")
     none = F.array().cast("array<string>")
     out = (
-        out.withColumn("unsupported", F.array_distinct(unsupported_numbers(F.col("answer"), F.coalesce("known", F.array().cast("array<double>")))))
+        out.withColumn("unsupported", F.coalesce(F.array_distinct(F.transform("missing", lambda x: x["token"])), none))
         .withColumn("unresolved", F.coalesce("unresolved", none))
         .withColumn("statements", citation_coverage(F.col("answer")))
         .withColumn("uncited", F.transform(F.filter("statements", lambda s: ~s["cited"]), lambda s: s["text"]))

@@ -101,13 +101,24 @@ def passages(sections: DataFrame, target_words: int = 180, overlap: int = 1) ->
     return out.withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_id", "place")) - 1).drop("place")
 
 
+def inverse_frequency(n: Column, df: Column) -> Column:
+    """A term's weight: it stands in ``df`` of ``n`` passages."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def bm25_part(weight: Column, tf: Column, length: Column, average: float) -> Column:
+    """What a term of that weight adds to a passage's score; more for higher ``tf`` and for shorter passages."""
+    return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, top_k: int = 8) -> DataFrame:
     """(query_id, rank, doc_id, order, score): the ``top_k`` best passages with a positive score; ties keep the passages' order.
 
-    ``queries`` has query_id and terms (array<string>), ``chunks`` doc_id, order and tokens. Only tokens that some query has are
-    shuffled, counted by passage first; lengths come along, so the passages are read once.
+    ``queries`` has query_id and terms (array<string>; a term given twice counts twice), ``chunks`` doc_id, order and tokens. Only tokens
+    that some query has are shuffled, counted by passage first. The passages are read once for their number and length and once for
+    their tokens; for repeated searches ``inverted.PassageIndex`` reads neither.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = asked.select("term").distinct()
     small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
@@ -116,8 +127,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, top_k: int = 8) -> DataFrame:
     postings = chunks.select("doc_id", "order", length, F.explode("tokens").alias("term")).join(hint(wanted), "term", "left_semi")
     postings = postings.groupBy("doc_id", "order", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
+    weighted = asked.join(df, "term").withColumn("idf", F.col("times") * inverse_frequency(F.lit(n), F.col("df")))
+    part = bm25_part(F.col("idf"), F.col("tf"), F.col("length"), average)
     scored = postings.join(hint(weighted), "term").groupBy("query_id", "doc_id", "order").agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "order")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "order", "score")
