@@ -20,8 +20,8 @@ from .scratch import drop, save
 
 #: Random signs of a sketch, and the standard deviations that a pair at the least cosine may differ in more of them than expected.
 SIGNS, SLACK = 128, 6.0
-#: Tables that a bucket's number has room for; thousands of billions of vectors stay below it.
-MOST_TABLES = 1024
+#: Tables that a bucket's number has room for; more are an error.
+MOST_TABLES = 1 << 19
 
 
 def collision_rate(distance: float, width: float) -> float:
@@ -36,7 +36,10 @@ def table_shape(n: int, cosine: float, width: float, recall: float, strangers: i
     reach the recall at the least cosine that links."""
     near, far = collision_rate(math.sqrt(2 - 2 * cosine), width), collision_rate(math.sqrt(2), width)
     k = max(2, math.ceil(math.log(max(n / strangers, 2)) / -math.log(far)))
-    return k, min(MOST_TABLES, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k))))
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
+    if tables > MOST_TABLES:
+        raise ValueError(f"a recall of {recall} takes {tables} tables of {n} vectors, more than {MOST_TABLES}: choose a wider step, a lower recall or more strangers in a bucket")
+    return k, tables
 
 
 def differing_signs(cosine: float) -> int:
@@ -87,14 +90,18 @@ def sketches(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def in_cells(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int]]] | None:
-    """A task's rows in order of cell and rep, and (begin, rows) of the cells that hold two or more."""
+    """A task's rows in order of cell, bucket, length of vector and rep, and (begin, rows) of those equal in the first three that are two or more."""
     own = list(batches)
     if not own:
         return None
-    rows = pa.Table.from_batches(own).sort_by([("cell", "ascending"), ("rep", "ascending")]).combine_chunks()
-    cell = rows.column("cell").to_numpy()
-    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    size = np.diff(np.append(begin, len(cell)))
+    rows = pa.Table.from_batches(own).sort_by([(c, "ascending") for c in ("cell", "bucket", "dim", "rep")]).combine_chunks()
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for c in ("cell", "bucket", "dim"):
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, rows.num_rows))
     return rows, list(zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True))
 
 
@@ -118,9 +125,9 @@ def near_vectors(
         for part, dim, x in by_length(batches):
             codes, signs = bucket_codes(x, k, tables, width, seed), sketches(x, seed)
             table = np.tile(np.arange(tables), len(x))
-            bucket = (dim % (1 << 13) << 50) | (table << 40) | (codes.ravel().astype(np.int64) & 0xFFFFFFFF)
+            bucket = (dim % (1 << 11) << 51) | (table << 32) | (codes.ravel().astype(np.int64) & 0xFFFFFFFF)  # lengths that meet here are told apart by dim
             rep = np.repeat(part.column("rep").to_numpy(), tables)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(bucket), *(pa.array(np.repeat(s, tables)) for s in signs.T)], ["rep", "bucket", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.full(len(rep), dim, np.int32)), pa.array(bucket), *(pa.array(np.repeat(s, tables)) for s in signs.T)], ["rep", "dim", "bucket", "low", "high"])
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = in_cells(batches)
@@ -138,11 +145,11 @@ def near_vectors(
             np.fill_diagonal(near, False)
             hit[s] = near.any(1)
         if hit.any():
-            yield from rows.filter(pa.array(hit)).select(["rep", "bucket", "cell", "chunk", "left", "right"]).to_batches()
+            yield from rows.filter(pa.array(hit)).select(["rep", "dim", "bucket", "cell", "chunk", "left", "right"]).to_batches()
 
-    signed = reps.select("rep", "vec").mapInArrow(sketched, "rep long, bucket long, low long, high long")
+    signed = reps.select("rep", "vec").mapInArrow(sketched, "rep long, dim int, bucket long, low long, high long")
     dealt = cells(signed, "bucket", "rep", group_rows)
-    near = save(dealt.repartition("cell").mapInArrow(suspects, "rep long, bucket long, cell long, chunk int, left int, right int"), "suspects")
+    near = save(dealt.repartition("cell").mapInArrow(suspects, "rep long, dim int, bucket long, cell long, chunk int, left int, right int"), "suspects")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, x in by_length(batches):
@@ -157,10 +164,8 @@ def near_vectors(
         for b, n in groups:
             part = rows.slice(b, n).combine_chunks()
             vec = part.column("vec").combine_chunks()
-            if len(np.unique(np.diff(vec.offsets.to_numpy()))) > 1:
-                continue  # a clash of cell hashes between lengths
             rep, copies, chunk = (part.column(c).to_numpy() for c in ("rep", "copies", "chunk"))
-            left, right, table = part.column("left")[0].as_py(), part.column("right")[0].as_py(), (part.column("bucket")[0].as_py() >> 40) & 1023
+            left, right, table = part.column("left")[0].as_py(), part.column("right")[0].as_py(), (part.column("bucket")[0].as_py() >> 32) & (MOST_TABLES - 1)
             x = matrix(vec)
             codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int32).reshape(n, -1)
             norm = np.sqrt((x * x).sum(1))

@@ -82,6 +82,25 @@ def test_planted_near_vectors(spark, group_rows):
     assert np.mean([got[i].component_id == root[i] for i in got]) > 0.95
 
 
+def test_near_vectors_of_clashing_lengths(spark):
+    """Lengths that share a bucket's number, and so a cell, link as each would alone, in whole and in cut buckets."""
+    rng = np.random.default_rng(2)
+    short = [np.array([np.cos(t), np.sin(t)]) for t in rng.uniform(0, 6.28, 60)]
+    long = [np.concatenate([rng.standard_normal(3) * 0.05 + 1, np.zeros(2 + 2048 - 3)]) for _ in range(24)]
+    row = lambda k, x: (k, [float(v) for v in x])
+    a, b = [row(i, x) for i, x in enumerate(short)], [row(100 + i, x) for i, x in enumerate(long)]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = lambda rows, most: {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame(rows), group_rows=most).collect()}
+    for most in (1024, 16):
+        assert links(a + b, most) == links(a, most) | links(b, most)
+
+
+def test_too_many_tables_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.pstable.MOST_TABLES", 2)
+    with pytest.raises(ValueError, match="tables"):
+        near_vectors(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "vec_id long, embedding array<double>"))
+
+
 def test_nearest_in_several_shards_and_blocks(spark, sf_dir):
     df = read(spark, sf_dir, "embeddings").where("vec_id < 400").cache()
     asked = df.where("vec_id % 20 = 0")
