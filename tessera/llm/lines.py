@@ -186,7 +186,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, SCHEMA).groupBy("bucket").applyInArrow(merge, SCHEMA)
 
 
-def removed_lines(docs: DataFrame, min_words: int = 5, often_words: int = 1 << 17, buckets: int | None = None, bloom_mb: int = 8, hot_rows: int = 8192) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = 1, often_words: int = 1 << 17, buckets: int | None = None, bloom_mb: int = 8, hot_rows: int = 8192) -> DataFrame:
     """(doc_id, line): lines with at least ``min_words`` distinct words whose Jaccard with a line at an earlier place is 0.8 or more.
 
     Places are ordered by doc_id and line number; lines of one place (a repeated row's) don't remove each other.
@@ -400,7 +400,7 @@ def shared_words(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, a: np.nd
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, bloom_mb: int = 8, hot_rows: int = 8192) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 1, bloom_mb: int = 8, hot_rows: int = 8192) -> DataFrame:
     """All columns of ``docs``, with text without the removed lines, n_lines and n_removed.
 
     Lines are cut at line feeds; those with fewer than ``min_words`` distinct words always stay. A line goes if any line at an earlier place
@@ -410,7 +410,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, bloom_mb: int = 8, hot_rows
     that the Bloom filter takes for such, are shuffled to meet their lists.
     """
     docs = docs.drop("n_lines", "n_removed")
-    numbers, touched, key = unused([*docs.columns, "n_lines", "n_removed"], "gone", "touched", "gone_id")
+    numbers, touched, key, cut = unused([*docs.columns, "n_lines", "n_removed"], "gone", "touched", "gone_id", "cut")
     gone = save(removed_lines(docs, min_words, bloom_mb=bloom_mb, hot_rows=hot_rows), "gone")
     lists = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(numbers))
     sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(gone.select(F.col("doc_id").alias("key")), bloom_mb))
@@ -424,7 +424,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, bloom_mb: int = 8, hot_rows
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     alone = marked.where(~F.col(touched)).withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0).cast("long"))
     met = marked.where(touched).join(lists.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(key), "left").withColumn("n_lines", n_lines)
-    met = met.withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i.cast("long"))), "\n")))
+    met = met.withColumn(cut, F.when(F.col(numbers).isNotNull(), lines))  # cut once; the lines that stay are found by one pass over both lists
+    stays = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(cut).cast("long") - 1), F.col(numbers))
+    met = met.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(F.col(cut), i.cast("int"))), "\n")))
     met = met.withColumn("n_removed", F.coalesce(F.size(numbers), F.lit(0)).cast("long")).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
     columns = [*docs.columns, "n_lines", "n_removed"]
     return alone.select(*columns).unionByName(met.select(*columns))

@@ -3,6 +3,7 @@
 import corpus_pipeline
 
 from tessera.llm import queries
+from tessera.llm.lines import dedup_lines
 from tessera.llm.scratch import read
 from tests.llm.test_operators import brute_removed
 
@@ -30,3 +31,13 @@ def test_short_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()} == LEFT
     stage = dict(corpus_pipeline.STAGES)["line_dedup"]
     assert {r.doc_id: r.text for r in stage(spark, docs, str(tmp_path)).collect()} == {d: t for d, t in LEFT.items() if t.split() or d == 4}
+
+
+def test_long_text_that_loses_most_lines(spark):
+    """One text of 20,000 lines, of which all but a few stand in earlier documents too, and one line that stands in every document."""
+    common = "this very line stands in all of the documents"
+    own = [f"{' '.join(f'{c}{i}' for c in 'abcdefg')}" for i in range(20000)]
+    rows = [(d, "\n".join([common, *own[d * 200 : d * 200 + 200]])) for d in range(99)] + [(99, "\n".join([*own, common]))]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99].text == "\n".join(own[19800:]) and got[99].n_removed == 19801 and got[0].n_removed == 0
+    assert all(got[d].n_removed == 1 for d in range(1, 99))
