@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.folders import delete, exists
+
 from .retrieval import BROADCAST_ROWS, bm25_part, inverse_frequency
 
 #: Parts that a folder's rows are dealt to when they are written.
@@ -37,6 +39,7 @@ class PassageIndex:
         often as they come; passages without tokens count in the averages alone."""
         found = self.segments()
         number = found.agg(F.coalesce(F.max("segment"), F.lit(-1)) + 1).first()[0] if found is not None else 0
+        delete(self.spark, f"{self.path}/postings/segment={number}")  # what an append that failed has left
         length = F.greatest(F.size("tokens"), F.lit(1))
         n, total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
         parts = max(1, -(-n // (8 * SLOT)))
@@ -54,8 +57,7 @@ class PassageIndex:
 
     def segments(self) -> DataFrame | None:
         """(segment, passages, length) of the segments that were written whole; None before the first."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/counts")
-        if not where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        if not exists(self.spark, f"{self.path}/counts"):
             return None
         return self.spark.read.schema("passages long, length long, segment int").parquet(f"{self.path}/counts")
 

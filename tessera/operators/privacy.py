@@ -57,25 +57,31 @@ def claimed_matches(text: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("category", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _matches(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [dict(zip(("category", "text", "start", "end"), m, strict=True)) for m in claimed_matches(t or "")])
+_FINDING = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("category", "text", "context")]))
+
+
+def in_context(text: str, start: int, end: int, reach: int = 40) -> str:
+    """A match with ``reach`` characters around it, on one line."""
+    a, b = max(start - reach, 0), min(end + reach, len(text))
+    return ("…" if a else "") + text[a:b].replace("\n", " ") + ("…" if b < len(text) else "")
+
+
+@F.pandas_udf(_FINDING)
+def _findings(texts: pd.Series) -> pd.Series:
+    """Matches with their surroundings, in order: texts stay behind."""
+    return texts.map(lambda t: [{"category": c, "text": found, "context": in_context(t, a, b)} for c, found, a, b in claimed_matches(t or "")])
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, category, text, count, context): findings by distinct text, letter case aside, written and classed as they first appear.
 
-    Only texts with a digit or an @ go to Python; the others can't hold a finding.
+    Only texts with a digit or an @ go to Python; the others can't hold a finding. What comes back is the findings and their contexts.
     """
-    some = docs.where(F.col(text).rlike("[0-9@]")).select(key, F.col(text).alias("__text"))
-    hits = some.withColumn("m", _matches("__text")).where(F.size("m") > 0).select(key, "__text", F.posexplode("m").alias("place", "m"))
-    start = F.greatest(F.col("m.start") - 40, F.lit(0))
-    end = F.least(F.col("m.end") + 40, F.length("__text"))
-    snippet = F.concat(F.when(start > 0, "…").otherwise(""), F.replace(F.substring(F.col("__text"), start + 1, end - start), F.lit("\n"), F.lit(" ")), F.when(end < F.length("__text"), "…").otherwise(""))
+    some = docs.where(F.col(text).rlike("[0-9@]")).select(key, _findings(F.col(text)).alias("found"))
+    hits = some.select(key, F.posexplode("found").alias("place", "f"))
     return (
-        hits.select(key, "place", "m.category", "m.text", snippet.alias("context"))
-        .groupBy(key, F.lower("text").alias("__folded"))
-        .agg(F.min_by(F.struct("category", "text", "context"), "place").alias("f"), F.count(F.lit(1)).alias("count"))
+        hits.groupBy(key, F.lower("f.text").alias("__folded"))
+        .agg(F.min_by("f", "place").alias("f"), F.count(F.lit(1)).alias("count"))
         .select(key, "f.category", "f.text", "count", "f.context")
     )
 
