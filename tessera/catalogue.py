@@ -142,9 +142,9 @@ def unsupported_numbers(spark, d):
 # --- texts ---------------------------------------------------------------------------------------------------------------------------
 
 
-@query("select doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as n_words, trim(regexp_replace(lower(text[:200]), '[^a-z0-9]+', ' ', 'g')) as plain from documents")
+@query("select doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as n_words, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as plain from documents")
 def text_plain(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("bigint").alias("n_words"), X.plain(F.substring("text", 1, 200)).alias("plain"))
+    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("bigint").alias("n_words"), X.plain(F.col("text")).alias("plain"))
 
 
 @query("select doc_id, length(plain) as n_chars, md5(plain) as digest from (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as plain from documents)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import inverted, retrieval
+from tessera.operators import inverted, retrieval, suites
 from tessera.operators.inverted import PassageIndex
 from tessera.registry import query, table
 from tessera.sources.shared import shared_path
@@ -74,3 +74,31 @@ def retrieval_path(spark, d):
     chunks = inverted.searchable(_whole(spark, d).drop("tokens"), F.col("source"))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.query_terms(F.col("text")).alias("terms"))
     return _rounded(_index(spark, chunks, F.lit(True)).search(queries, 8, shared_path(spark, "search")))
+
+
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '')"
+
+
+@query(
+    f"with c as (select doc_id, {_TOKENS} as tokens from (select doc_id, coalesce(text, '') as text from documents)), q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({_TOKENS}) as term from benchmark) group by 1, 2), " + _RANKED
+    + f", i as (select item_id, array_to_string({_WORDS}[1:6], ' ') as start, coalesce({_LANGUAGE}, 'other') as language from benchmark where len({_WORDS}) >= 6), w as (select doc_id, {_WORDS} as w from documents), "
+    "d as (select distinct doc_id, array_to_string(w[k : k + 5], ' ') as start from (select doc_id, w, unnest(range(1, len(w) - 4)) as k from w)), wanted as (select item_id, language, doc_id from i join d using (start)), "
+    "best as (select wanted.item_id, language, min(rank) as rank from wanted left join ranked on query_id = item_id and ranked.doc_id = wanted.doc_id and rank <= 8 group by 1, 2) "
+    "select language, count(*) as questions, round(avg((coalesce(rank, 99) <= 1)::int), 3) as recall_at_1, round(avg((coalesce(rank, 99) <= 3)::int), 3) as recall_at_3, round(avg((coalesce(rank, 99) <= 5)::int), 3) as recall_at_5, "
+    "round(avg((coalesce(rank, 99) <= 4)::int), 3) as context_recall, 0::bigint as fallbacks from best group by 1"
+)
+def retrieval_matrix_ranked(spark, d):
+    """Recall of the index's own ranks: items ask, and documents in which an item's first six words stand must be found; four passages are sent."""
+    items, docs = table(spark, d, "benchmark"), _whole(spark, d)
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), "[ \\t\\n\\r]+"), lambda w: w != "")
+    starts = items.select(F.col("item_id").alias("query_id"), F.coalesce(retrieval.language(F.col("text")), F.lit("other")).alias("language"), words(F.col("text")).alias("w"))
+    starts = starts.where(F.size("w") >= 6).select("query_id", "language", F.array_join(F.slice("w", 1, 6), " ").alias("start"))
+    in_docs = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 6)
+    in_docs = in_docs.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 5)).alias("k")).select("doc_id", F.array_join(F.slice("w", F.col("k"), F.lit(6)), " ").alias("start"))
+    wanted = starts.join(in_docs, "start").select("query_id", "language", "doc_id").distinct()
+    wanted = wanted.select("query_id", "language", F.lit("passage").alias("label"), F.array().cast("array<string>").alias("patterns"), "doc_id", F.lit("Text").alias("locator"))
+    queries = items.select(F.col("item_id").alias("query_id"), retrieval.tokens(F.col("text")).alias("terms"))
+    at = shared_path(spark, "hits")
+    _index(spark, docs, F.lit(True)).search(queries, 8, shared_path(spark, "search")).write.parquet(at)
+    ranked = spark.read.parquet(at).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").select("query_id", "rank", "doc_id", F.lit("Text").alias("locator"), "text")
+    return suites.recall(wanted, ranked, ranked.where("rank <= 4").drop("rank"), ["language"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.model_json import json_problems
 from tessera.operators import grounding
 from tessera.registry import query, table
 
@@ -23,3 +24,21 @@ def numbers_in_no_source(spark, d):
     answers = docs.join(items.select(F.col("item_id").alias("doc_id"), bare(F.col("text")).alias("question")), "doc_id", "left")
     answers = answers.select(F.col("doc_id").alias("answer_id"), bare(F.col("text")).alias("answer"), "question", near.alias("doc_ids"))
     return grounding.unsupported(answers, docs.select("doc_id", bare(F.col("text")).alias("markdown"))).select(F.col("answer_id").alias("doc_id"), "place", "token")
+
+
+
+@query(
+    "select event_id, case when event_id % 13 = 0 then ['$: no JSON'] else list_concat(case when event_id % 7 = 0 then ['$.note: extra'] else [] end, case when event_id % 3 = 0 then ['$.user: missing'] else [] end, "
+    "case when event_id % 5 = 0 then ['$.value: no number'] else [] end, case when event_id % 11 = 0 then ['$.tags[1].name: no string', '$.tags[1].id: missing'] else [] end) end as problems from events"
+)
+def model_json_problems(spark, d):
+    """Events written as a model's JSON, some with keys missing, added or of the wrong kind, or cut off, against a schema of three levels."""
+    e = F.col("event_id")
+    tag = lambda bad: F.struct(F.when(~bad, F.col("event_type")).alias("name"), F.when(~bad, F.lit(1)).alias("id"))
+    second = F.when(e % 11 == 0, F.lit('{"name":5}')).otherwise(F.to_json(tag(F.lit(False))))
+    value = F.when(e % 5 == 0, F.concat(F.lit('"'), F.col("value").cast("string"), F.lit('"'))).otherwise(F.coalesce(F.col("value").cast("decimal(18,2)").cast("string"), F.lit("0")))
+    parts = [F.concat(F.lit('"kind":"'), F.col("event_type"), F.lit('"')), F.when(e % 3 != 0, F.concat(F.lit('"user":'), F.col("user_id").cast("string"))), F.concat(F.lit('"value":'), value), F.when(e % 7 == 0, F.lit('"note":null'))]
+    tags = F.concat(F.lit('"tags":['), F.to_json(tag(F.lit(False))), F.lit(","), second, F.lit("]"))
+    text = F.concat(F.lit("{"), F.concat_ws(",", *parts, tags), F.when(e % 13 == 0, F.lit("")).otherwise(F.lit("}")))
+    schema = {"kind": "string", "user": "integer", "value": "number", "tags": [{"name": "string", "id": "integer"}], "comment?": "string?"}
+    return table(spark, d, "events").select("event_id", json_problems(text, schema).alias("problems"))

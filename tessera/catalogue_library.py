@@ -231,11 +231,13 @@ def markdown_as_latex(spark, d):
     return markdown.latex(markdown.blocks(_marked(spark, d)))
 
 
-@query("with l as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from documents where text is not null) select doc_id, count_if(regexp_matches(line, '^[-*+]\\s+'))::bigint as bullets from l group by 1 having bullets > 0")
+@query(
+    "with l as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where text is not null), "
+    "f as (select *, sum(starts_with(line, '```')::int) over (partition by doc_id order by n) as fences from l) select doc_id, count_if(regexp_matches(line, '^[-*+]\\s+'))::bigint as bullets from f where fences % 2 = 0 group by 1 having bullets > 0"
+)
 def bullets_by_document(spark, d):
-    """Items of lists in whole documents, without those that stand in code."""
-    docs = table(spark, d, "documents").where("text not like '%```%'")
-    found = markdown.blocks(docs).where("kind = 'bullets'")
+    """Items of lists in whole documents, but for those that stand in code."""
+    found = markdown.blocks(table(spark, d, "documents")).where("kind = 'bullets'")
     return found.groupBy("doc_id").agg(F.sum(F.size("items")).alias("bullets"))
 
 

@@ -51,13 +51,15 @@ def passages_of_single_lines(spark, d):
 
 
 def _hits(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Line items as hits of their order among the items of their part, by place in order."""
-    item = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 50).alias("doc_id"), (F.col("o_orderkey") % 40).cast("int").alias("order"), F.col("o_orderkey").cast("int").alias("rank")).where("doc_id < 10")
-    return item.groupBy("query_id", "doc_id", "order").agg(F.min("rank").alias("rank")), spark.range(400).select((F.col("id") % 10).alias("doc_id"), (F.floor(F.col("id") / 10)).cast("int").alias("order"), F.repeat(F.lit("x"), (F.col("id") % 37).cast("int") + 1).alias("text"))
+    """Orders as hits of customers on one of their line items, which are the passages."""
+    key = F.col("o_orderkey")
+    hits = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), key.alias("doc_id"), (key % 7 + 1).cast("int").alias("order"), (key % 1000).cast("int").alias("rank"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("order"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("text"))
+    return hits.groupBy("query_id", "doc_id", "order").agg(F.min("rank").alias("rank")), items.groupBy("doc_id", "order").agg(F.max("text").alias("text"))
 
 
 _HITS = (
-    "with h as (select o_custkey as q, o_orderkey % 50 as d, (o_orderkey % 40)::int as o, min(o_orderkey)::int as rank from orders where o_orderkey % 50 < 10 group by 1, 2, 3), c as (select id % 10 as d, (id // 10)::int as o, (id % 37 + 1)::int as size from range(400) t(id)), "
+    "with h as (select o_custkey as q, o_orderkey as d, (o_orderkey % 7 + 1)::int as o, min(o_orderkey % 1000)::int as rank from orders group by 1, 2, 3), c as (select l_orderkey as d, l_linenumber::int as o, max(l_quantity::int) as size from lineitem group by 1, 2), "
     "n as (select distinct q, h.d, c.o, c.size from h join c on h.d = c.d and abs(h.o - c.o) <= 1), r as (select n.*, coalesce(h.rank, 2147483647) as rank from n left join h using (q, d, o)) "
 )
 

@@ -7,10 +7,14 @@ language, or null). corpora: language, doc, doc_id, locator, markdown, a row for
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.texts import matches
+from tessera.operators.evaluation import first_per_category
+from tessera.sources.folders import delete
 
 _EVIDENCE = "array<struct<doc:string,locator:string,locators:map<string,string>>>"
 SUITE = (
@@ -43,6 +47,25 @@ def counts(questions: DataFrame) -> DataFrame:
     return questions.cube("category", "difficulty").agg(F.count(F.lit(1)).alias("questions"), F.count_if("cross").alias("cross"))
 
 
+def documents_by_language(documents: DataFrame) -> DataFrame:
+    """(language, docs array): the documents that have a file in each language, in the suite's order."""
+    each = documents.select("doc", "place", F.explode("files").alias("language", "file"))
+    return each.groupBy("language").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "doc"))), lambda x: x["doc"]).alias("docs"))
+
+
+def selected(questions: DataFrame, categories: list[str] | None = None, ids: list[str] | None = None, difficulties: list[str] | None = None, per_category: int | None = None) -> DataFrame:
+    """The questions of a run: of these categories, ids and difficulties (all, where none are given), the first few of each category."""
+    for column, values in (("category", categories), ("question_id", ids), ("difficulty", difficulties)):
+        questions = questions.where(F.col(column).isin(values)) if values else questions
+    return first_per_category(questions, per_category) if per_category else questions
+
+
+def case_order(languages: list[str], strategies: list[str]) -> list[Column]:
+    """The order in which cases run: by documents' language, strategy, questions in it before those in others, and place, so that a model reads the same documents in a row."""
+    at = lambda values, c: F.array_position(F.array(*(F.lit(v) for v in values)), F.col(c))
+    return [at(languages, "corpus_language"), at(strategies, "strategy"), F.col("corpus_language") != F.col("question_language"), F.col("place")]
+
+
 def estimated_cases(questions: DataFrame, difficulties: list[str], languages: int, strategies: int, cross: bool, per_category: int | None = None) -> DataFrame:
     """(cases): how many cases a run would have."""
     kept = questions.where(F.col("difficulty").isin(difficulties)).withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy("place")))
@@ -151,6 +174,53 @@ def saved_runs(spark: SparkSession, path: str) -> DataFrame:
     return runs.where(F.col("id").rlike("^[A-Za-z0-9_.-]+$")).orderBy(F.desc("started_at"), "id")
 
 
+def delete_run(spark: SparkSession, path: str, run_id: str) -> None:
+    """Deletes a saved run; KeyError if the name is no plain id or no such run is there."""
+    if not re.fullmatch("[A-Za-z0-9_.-]+", run_id) or not delete(spark, f"{path}/{run_id}.json"):
+        raise KeyError(run_id)
+
+
+# Measures of a run by their labels, in order.
+MEASURES = {
+    "overall": "Overall", "detail_accuracy": "Small details", "list_recall": "Similar items: recall", "list_precision": "Similar items: precision", "abstention_accuracy": "Says 'not in documents'",
+    "false_abstention_rate": "Wrongly says 'not found'", "unsupported_number_rate": "Answers with invented numbers", "citation_accuracy": "Cites the right location", "prompt_leak_rate": "Copies prompt text into the answer",
+}
+
+
+def run_tables(summaries: DataFrame, runs: list[str]) -> DataFrame:
+    """(key, text): for each group of cases a Markdown table with a row per measure and a column per run that has the group, in the order of ``runs``.
+
+    ``summaries`` has run, key and the measures of ``evaluation.run_metrics``.
+    """
+    values = [(label, percent(F.col(c))) for c, label in MEASURES.items()]
+    values += [("Seconds per question", F.coalesce(F.col("seconds_mean").cast("string"), F.lit("None"))), ("Time to complete", duration(F.col("seconds_total"))), ("Cases", F.col("cases").cast("string"))]
+    place = F.array_position(F.array(*(F.lit(r) for r in runs)), F.col("run"))
+    column = summaries.where(F.col("run").isin(runs)).select("key", F.struct(place.alias("place"), "run", F.array(*(v for _, v in values)).alias("values")).alias("column"))
+    columns = F.sort_array(F.collect_list("column"))
+    row = lambda first, of: F.concat(F.lit(f"| {first} | "), F.array_join(F.transform("columns", of), " | "), F.lit(" |"))
+    lines = [row("Metric", lambda c: c["run"]), F.concat(F.lit("|---|"), F.repeat(F.lit("---:|"), F.size("columns")))]
+    value = lambda i: lambda c: F.get(c["values"], F.lit(i))
+    lines += [row(label, value(i)) for i, (label, _) in enumerate(values)]
+    return column.groupBy("key").agg(columns.alias("columns")).select("key", F.concat_ws("\n", *lines).alias("text"))
+
+
+def retrieval_table(rows: DataFrame) -> DataFrame:
+    """(place, line): the lines of a Markdown table of recalls, by the order of ``rows`` (place, stemming, tier, question_language, corpus, recall_at_1, -3, -5,
+    context_recall, share_of_corpus_sent)."""
+    head = ["| Retrieval | Tier | Question -> documents | Recall@1 | Recall@3 | Recall@5 | Passage reached the model | Share of corpus sent |", "|---|---|---|---:|---:|---:|---:|---:|"]
+    kind = F.when(F.col("stemming"), "language-aware").otherwise("plain BM25")
+    cells = [kind, F.coalesce("tier", F.lit("standard")), F.concat(F.upper("question_language"), F.lit(" -> "), F.upper("corpus")), *(percent(F.col(c)) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "context_recall", "share_of_corpus_sent"))]
+    top = rows.sparkSession.createDataFrame([(i - 2, line) for i, line in enumerate(head)], "place int, line string")
+    return top.unionByName(rows.select(F.col("place").cast("int").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
+
+
+def summary_line() -> Column:
+    """One run's measures in a line, of the columns of ``evaluation.run_metrics``."""
+    p = lambda c: percent(F.col(c))
+    parts = [("overall ", p("overall")), (" | details ", p("detail_accuracy")), (" | lists recall ", p("list_recall")), (" precision ", p("list_precision")), (" | not-in-documents ", p("abstention_accuracy")), (" | unsupported numbers ", p("unsupported_number_rate")), (" | citations correct ", p("citation_accuracy"))]
+    return F.concat(*(x for label, v in parts for x in (F.lit(label), v)), F.lit(" | "), F.coalesce(F.col("seconds_mean").cast("string"), F.lit("None")), F.lit(" s/question | "), duration(F.col("seconds_total")), F.lit(" in total"))
+
+
 def verdict(error: Column, correct: Column, category: Column, score: Column) -> Column:
     """error, right, a list's share found, or wrong."""
     share = F.concat(F.floor(100 * score + 0.5).cast("int").cast("string"), F.lit(" %"))

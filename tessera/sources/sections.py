@@ -24,7 +24,10 @@ SCHEMA = "path string, section_id int, title string, locator string, markdown st
 Section = tuple[str, str, str]  # title, locator, markdown
 
 # Elements that hold no content.
-NOISE = {"script", "style", "noscript", "template", "svg", "iframe", "form", "button", "input", "select", "nav", "footer", "header", "aside", "dialog", "head"}
+NOISE = {"script", "style", "noscript", "template", "svg", "canvas", "textarea", "iframe", "form", "button", "input", "select", "nav", "footer", "header", "aside", "dialog", "head"}
+# Words in a container's id, class or role that mark it as navigation or advertising.
+_ASIDE = re.compile(r"\b(nav|menu|sidebar|footer|cookie|banner|advert|ads?|breadcrumb|popup|modal)\b", re.IGNORECASE)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "area", "base", "col", "embed", "track", "wbr"}
 
 
@@ -46,17 +49,29 @@ def table_lines(rows: list[list[str]]) -> list[str]:
 
 
 class _Html(html.parser.HTMLParser):
-    """Visible text as Markdown blocks; main or article is preferred where there is one."""
+    """Visible text as Markdown blocks; main or article is preferred where there is one.
+
+    Containers named like navigation go when they close, unless a paragraph, a table or one of the upper headings stood in them.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.blocks, self.open, self.hidden, self.row, self.rows = "", [], [], 0, None, None
         self.main: list[int] = []
+        self.described: dict[str, str] = {}
+        self.aside: list[list] = []  # open containers that may go: how many elements are open, the first block, whether they hold content
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if tag == "meta":
+            self.described.setdefault((a.get("name") or a.get("property") or "").lower(), (a.get("content") or "").strip())
+        if tag in ("h1", "h2", "h3", "p", "table") and not self.hidden:
+            for x in self.aside:
+                x[2] = True
         if tag not in _VOID:
-            hidden = (tag in NOISE and tag != "head") or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display:\s*none", a.get("style") or "") is not None
+            hidden = (tag in NOISE and tag != "head") or "hidden" in a or a.get("aria-hidden") == "true" or _UNSEEN.search(a.get("style") or "") is not None
+            if tag in ("div", "section", "ul") and _ASIDE.search(" ".join(a.get(k) or "" for k in ("id", "class", "role"))):
+                self.aside.append([len(self.open), len(self.blocks), False])
             self.open.append((tag, hidden))
             self.hidden += hidden
         if tag in ("main", "article") and not self.main:
@@ -86,11 +101,19 @@ class _Html(html.parser.HTMLParser):
             while True:
                 name, hidden = self.open.pop()
                 self.hidden -= hidden
+                if self.aside and self.aside[-1][0] == len(self.open):
+                    self.leave_aside()
                 if name == tag:
                     break
         if tag in ("p", "div", "li", "section") or re.fullmatch("h[1-6]", tag):
             self.blocks.append("")
 
+    def leave_aside(self):
+        _, first, content = self.aside.pop()
+        if not content:
+            del self.blocks[first:]
+            self.main = [] if self.main and self.main[0] >= first else self.main
+
     def handle_data(self, data):
         if self.open and self.open[-1][0] == "title":
             self.title += data
@@ -106,13 +129,14 @@ class _Html(html.parser.HTMLParser):
 
 
 def html_to_markdown(text: str) -> tuple[str, str]:
-    """(title, Markdown) of a page's visible content."""
+    """(title, Markdown) of a page's visible content, or of its description where it shows none."""
     page = _Html()
     page.feed(text)
     page.close()
     blocks = page.blocks[page.main[0] : page.main[1] if page.main[1] >= 0 else None] if page.main else page.blocks
     kept = [b.strip() for b in blocks if b.strip() and b.strip() not in ("-", "#", "##", "###")]
-    return page.title.strip(), "\n\n".join(kept)
+    described = page.described.get("description") or page.described.get("og:description") or ""
+    return page.title.strip(), "\n\n".join(kept) or described
 
 
 def read_text(data: bytes) -> list[Section]:
