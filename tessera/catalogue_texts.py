@@ -161,6 +161,19 @@ def statements_covered(spark, d):
     return covered.select("n_nationkey", F.transform("c", lambda x: x["text"]).alias("statements"), F.transform("c", lambda x: x["cited"]).alias("cited"))
 
 
+@query(
+    "with c as (select c_custkey, c_custkey % 4 as k, 'The customer ' || c_name || ' pays bills in time' as a, 'Its balance is ' || c_custkey || ' in our books' as b from customer) "
+    "select c_custkey, [a || case when k = 1 then ' [S1: Page ' || c_custkey || '].' else '.' end, b || case when k = 2 then ' [S2: Row 5]' else '' end || '.'] as statements, [k = 1, k in (2, 3)] as cited from c"
+)
+def statements_cited(spark, d):
+    """Statements with a citation of their own, with one that stands alone in the next line, and without any."""
+    k, key, n = F.col("c_custkey") % 4, F.col("c_custkey").cast("string"), F.col("c_name")
+    first = F.concat(F.lit("# Customer\n\n- The customer "), n, F.lit(" pays bills in time"), F.when(k == 1, F.concat(F.lit(" [S1: Page "), key, F.lit("]"))).otherwise(""), F.lit("."))
+    second = F.concat(F.lit("\nIts balance is "), key, F.lit(" in our books"), F.when(k == 2, " [S2: Row 5]").otherwise(""), F.lit("."), F.when(k == 3, "\n[S1: Page 1], [S3: Sheet].").otherwise(""), F.lit("\nSo much for this:\n\nToo short."))
+    covered = table(spark, d, "customer").select("c_custkey", X.citation_coverage(F.concat(first, second)).alias("c"))
+    return covered.select("c_custkey", F.transform("c", lambda x: x["text"]).alias("statements"), F.transform("c", lambda x: x["cited"]).alias("cited"))
+
+
 @query("select n_nationkey, 'One of the many lands in ' || n_name || chr(10) || 'a | ' || n_name || ' |' as listed from nation")
 def answer_lists(spark, d):
     return _answer(spark, d).select("n_nationkey", F.regexp_replace(X.listed_text(F.col("answer")), "(?m)^ ", "").alias("listed"))

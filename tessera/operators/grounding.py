@@ -25,6 +25,14 @@ def match_tier(locator: Column, section: Column, title: Column, markdown: Column
     )
 
 
+def best_sections(asked: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, locator, section_id, resolved_locator): the section that each distinct (doc_id, locator) names best; those that name none are left out."""
+    have = sections.select("doc_id", "section_id", F.col("locator").alias("resolved_locator"), "title", "markdown")
+    near = asked.select("doc_id", "locator").distinct().join(have, "doc_id").withColumn("tier", match_tier(F.col("locator"), F.col("resolved_locator"), F.col("title"), F.col("markdown"))).where("tier is not null")
+    best = near.groupBy("doc_id", "locator").agg(F.min_by(F.struct("section_id", "resolved_locator"), F.struct("tier", "section_id")).alias("b"))
+    return best.select("doc_id", "locator", "b.section_id", "b.resolved_locator")
+
+
 def resolve_citations(answers: DataFrame, sections: DataFrame) -> DataFrame:
     """(answer_id, marker, place, source_index, locator, doc_id, section_id, resolved_locator, found) of each distinct mark.
 
@@ -34,10 +42,8 @@ def resolve_citations(answers: DataFrame, sections: DataFrame) -> DataFrame:
     marks = answers.select("answer_id", "doc_ids", F.posexplode(citation_marks(F.col("answer"))).alias("place", "marker"))
     marks = marks.withColumn("source_index", F.regexp_extract("marker", CITATION, 1).try_cast("int")).withColumn("locator", F.trim(F.regexp_extract("marker", CITATION, 2)))
     marks = marks.withColumn("doc_id", F.when(F.col("source_index") >= 1, F.get("doc_ids", F.col("source_index") - 1))).drop("doc_ids")
-    have = sections.select("doc_id", "section_id", F.col("locator").alias("resolved_locator"), "title", "markdown")
-    near = marks.select("doc_id", "locator").distinct().join(have, "doc_id").withColumn("tier", match_tier(F.col("locator"), F.col("resolved_locator"), F.col("title"), F.col("markdown"))).where("tier is not null")
-    best = near.groupBy("doc_id", "locator").agg(F.min_by(F.struct("section_id", "resolved_locator"), F.struct("tier", "section_id")).alias("b"))
-    return marks.join(best, ["doc_id", "locator"], "left").select("answer_id", "marker", "place", "source_index", "locator", "doc_id", "b.section_id", "b.resolved_locator", F.col("b").isNotNull().alias("found"))
+    best = best_sections(marks.select("doc_id", "locator"), sections).withColumn("found", F.lit(True))
+    return marks.join(best, ["doc_id", "locator"], "left").select("answer_id", "marker", "place", "source_index", "locator", "doc_id", "section_id", "resolved_locator", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def citation_stats(citations: DataFrame) -> DataFrame:

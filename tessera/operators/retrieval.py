@@ -70,7 +70,7 @@ def blocks(markdown: Column) -> Column:
 
 
 def passages(sections: DataFrame, target_words: int = 180, overlap: int = 1) -> DataFrame:
-    """(doc_id, section_id, locator, order, text): blocks of a section packed up to ``target_words``.
+    """(doc_id, section_id, locator, order, text, and title, if sections have one): blocks of a section packed up to ``target_words``.
 
     A block over the target stands alone; each passage but a section's first begins with the last ``overlap`` blocks of the one before,
     unless these reach the target. Sections need doc_id, section_id, locator and markdown; order counts within a document.
@@ -92,12 +92,13 @@ def passages(sections: DataFrame, target_words: int = 180, overlap: int = 1) ->
             (F.when(~full, s["n"]).when(fits, kept).otherwise(0) + x["size"]).alias("n"), F.when(F.size(last) > overlap, F.slice(last, F.size(last) - overlap + 1, overlap)).otherwise(last).alias("last"),
         )
 
-    sized = sections.select("doc_id", "section_id", "locator", blocks(F.col("markdown")).alias("parts"))
+    kept = ["doc_id", "section_id", "locator", *(["title"] if "title" in sections.columns else [])]
+    sized = sections.select(*kept, blocks(F.col("markdown")).alias("parts"))
     sizes = F.transform("parts", lambda b, i: F.struct(i.alias("i"), n_words(b).alias("size")))
     rest = lambda s: F.when(F.size("parts") > 0, F.concat(s["done"], F.array(F.struct(s["begin"].alias("begin"), F.size("parts").alias("end"))))).otherwise(s["done"])
     packed = sized.withColumn("cuts", F.aggregate(sizes, state, step, rest))
     texts = F.transform("cuts", lambda c: F.trim(F.array_join(F.slice("parts", c["begin"] + 1, c["end"] - c["begin"]), "\n\n")))
-    out = packed.select("doc_id", "section_id", "locator", F.posexplode(texts).alias("place", "text"))
+    out = packed.select(*kept, F.posexplode(texts).alias("place", "text"))
     return out.withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_id", "place")) - 1).drop("place")
 
 

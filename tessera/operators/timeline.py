@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grounding import best_sections
+
 # Month names (Finnish by their stems) and words that don't tell events apart.
 EN_MONTHS = "january february march april may june july august september october november december".split()
 FI_MONTHS = "tammikuu helmikuu maaliskuu huhtikuu toukokuu kesäkuu heinäkuu elokuu syyskuu lokakuu marraskuu joulukuu".split()
@@ -102,11 +106,20 @@ def _figures(hay: Column) -> Column:
     return F.array_distinct(F.concat(years, days))
 
 
+def with_sections(events: DataFrame, sections: DataFrame) -> DataFrame:
+    """Events (set_id, place, doc_id, locator) with the section_id that the locator names in the cited document, as citations are resolved; null if none.
+
+    ``sections`` has doc_id, section_id, locator, title and markdown.
+    """
+    best = best_sections(events.select("doc_id", "locator"), sections)
+    return events.join(best.select("doc_id", "locator", "section_id"), ["doc_id", "locator"], "left")
+
+
 def verify_events(events: DataFrame, sections: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Events with iso, precision, status and where they were found; the first of each (set_id, iso, title) stays.
 
     ``events`` has set_id, place, date, date_text, title, detail, quote, doc_id (the cited document, null if the number names none) and
-    section_id (the cited section, null if unresolved); ``sections`` doc_id, section_id, title, markdown; ``members`` (set_id, doc_id)
+    section_id (the cited section, null if unresolved) or, in its place, locator, which ``with_sections`` resolves; ``sections`` doc_id, section_id, title, markdown; ``members`` (set_id, doc_id)
     the documents of each set (those that its events cite, if not given). A date not beside its event in the cited section
     is looked for in the other sections of that document, in order; in all documents of the set where the event names none.
 
@@ -114,6 +127,7 @@ def verify_events(events: DataFrame, sections: DataFrame, members: DataFrame | N
     month; a date that was written without its year meets the others of its documents too, if they hold these words.
     """
     squeezed = lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"(?U)\s+", " "))
+    events = events if "section_id" in events.columns else with_sections(events, sections)
     cited = events.where("doc_id is not null").select("set_id", F.col("doc_id").alias("at_doc"))
     members = cited.distinct() if members is None else members.select("set_id", F.col("doc_id").alias("at_doc")).union(cited).distinct()
     asked = events.withColumn("parsed", F.coalesce(parse_iso(F.col("date")), parse_date_text(F.col("date_text")))).withColumn("said", squeezed(F.col("date_text")))
@@ -122,8 +136,14 @@ def verify_events(events: DataFrame, sections: DataFrame, members: DataFrame | N
     year, day = F.col("parsed.y").cast("string"), F.concat(F.col("parsed.d").cast("string"), F.lit("."), F.col("parsed.m").cast("string"), F.lit("."))
     loose = F.when((F.length("said") >= 4) & ~F.col("said").contains(year), ANY)
     scoped = scoped.withColumn("key", F.explode_outer(F.array_compact(F.array(year, day, loose))))
-    cut = sections.select(F.col("doc_id").alias("at_doc"), F.col("section_id").alias("at"), stems(F.col("title")).alias("heading_stems"), F.explode(paragraph_units(F.col("markdown"))).alias("unit"))
-    cut = cut.withColumn("hay", squeezed(F.col("unit"))).withColumn("unit_stems", stems(F.col("unit"))).withColumn("key", F.explode(F.array_append(_figures(F.col("hay")), F.lit(ANY))))
+    placed = sections.select(F.col("doc_id").alias("at_doc"), F.col("section_id").alias("at"), "title", "markdown")
+    loose_docs = scoped.where(F.col("key") == ANY).select("at_doc").distinct()  # most sets have no such date, and no paragraph is kept for them then
+
+    def paragraphs(of: DataFrame, keys: Callable[[Column], Column]) -> DataFrame:
+        cut = of.select("at_doc", "at", stems(F.col("title")).alias("heading_stems"), F.explode(paragraph_units(F.col("markdown"))).alias("unit")).withColumn("hay", squeezed(F.col("unit")))
+        return cut.withColumn("unit_stems", stems(F.col("unit"))).withColumn("key", F.explode(keys(F.col("hay"))))
+
+    cut = paragraphs(placed, _figures).unionByName(paragraphs(placed.join(loose_docs, "at_doc", "left_semi"), lambda hay: F.array(F.lit(ANY))))
     met = scoped.join(cut, ["at_doc", "key"], "left").withColumn("dated", F.col("unit").isNotNull() & ((F.col("key") != ANY) | F.col("hay").contains(F.col("said"))) & has_date(F.col("hay"), F.col("said"), F.col("parsed")))
     met = met.withColumn("near", F.col("dated") & beside(F.col("unit"), F.col("unit_stems"), F.col("quote_stems"), F.col("event_stems"), F.col("heading_stems")))
     named = F.col("at_doc").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("section_id"))

@@ -229,14 +229,13 @@ def _cell_number(text: str, shown: str | None, epoch: datetime.datetime) -> str:
     return str(int(value)) if value.is_integer() and abs(value) < 1e15 else text
 
 
-def read_xlsx(data: bytes) -> list[Section]:
-    """A section for each sheet with cached values; empty rows and trailing empty columns are left out."""
+def sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
+    """(name, rows of equal width) of a workbook's sheets with cached values; empty rows and trailing empty columns are left out."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = ["".join(t.text or "" for t in _all(si, "t")) for si in _all(_xml(z, "xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in z.namelist() else []
     book, parts, dates = _xml(z, "xl/workbook.xml"), _relations(z, "xl/workbook.xml"), _date_styles(z)
     early = any(p.get("date1904") in ("1", "true") for p in _all(book, "workbookPr"))
     epoch = datetime.datetime(1904, 1, 1) if early else datetime.datetime(1899, 12, 30)
-    out = []
     for sheet in _all(book, "sheet"):
         grid = []
         for row in _all(_xml(z, parts[_attr(sheet, "id")][1]), "row"):
@@ -258,10 +257,13 @@ def read_xlsx(data: bytes) -> list[Section]:
                 cells[at - 1 if at else len(cells)] = text
             if any(t.strip() for t in cells.values()):
                 grid.append([cells.get(k, "") for k in range(max(cells) + 1)])
-        if grid:
-            width = max(max((k + 1 for k, t in enumerate(r) if t.strip()), default=0) for r in grid)
-            name = sheet.get("name")
-            out.append((name, f"Sheet: {name}", "\n".join(table_lines([(r + [""] * width)[:width] for r in grid]))))
+        width = max((max((k + 1 for k, t in enumerate(r) if t.strip()), default=0) for r in grid), default=0)
+        yield sheet.get("name"), [(r + [""] * width)[:width] for r in grid]
+
+
+def read_xlsx(data: bytes) -> list[Section]:
+    """A section for each sheet that holds cells, as a Markdown table."""
+    out = [(name, f"Sheet: {name}", "\n".join(table_lines(grid))) for name, grid in sheets(data) if grid]
     if not out:
         raise ValueError("The workbook holds no cells.")
     return out

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import decimal_comma_vote, read_number
 from tessera.functions.texts import markdown_row
 
+from .sections import sheets
+
 
 def typed(raw: DataFrame, separator: str = ",") -> DataFrame:
     """Text columns whose filled cells are all numbers become doubles; in the others each number is written plainly and text stays.
@@ -38,6 +43,40 @@ def read_table(spark: SparkSession, path: str, separator: str = ",") -> DataFram
     return typed(raw, separator)
 
 
+def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, place, number, cells): rows of the workbooks below ``path``, sheets and rows counted from 0; an empty sheet has one row with null cells."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, data in zip(frame["path"], frame["content"], strict=True):
+                for place, (sheet, grid) in enumerate(sheets(data)):
+                    yield pd.DataFrame({"path": name, "sheet": sheet, "place": place, "number": range(max(len(grid), 1)), "cells": grid or [None]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, sheet string, place int, number int, cells array<string>")
+
+
+def sheet_names(spark: SparkSession, path: str) -> DataFrame:
+    """(path, place, sheet, rows): the sheets of workbooks with their numbers of rows, the header's too."""
+    return workbook_rows(spark, path).groupBy("path", "place", "sheet").agg(F.count("cells").alias("rows"))
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A workbook's sheet of that name (its first with cells, if none is given) as a typed table; ValueError if there is no such sheet or no cell.
+
+    Columns are named by the first row: unnamed ones and repeated names by their place.
+    """
+    rows = workbook_rows(spark, path).where("cells is not null")
+    head = (rows if sheet is None else rows.where(F.col("sheet") == sheet)).where("number = 0").orderBy("place").first()
+    if head is None:
+        raise ValueError(f"The workbook has no sheet {sheet} with cells." if sheet else "The workbook holds no cells.")
+    names: list[str] = []
+    for i, name in enumerate(head.cells, 1):
+        names.append(name.strip() if name.strip() and name.strip().lower() not in (n.lower() for n in names) else f"column {i}")
+    body = rows.where((F.col("place") == head.place) & (F.col("number") > 0))
+    return typed(body.select(*(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names))), "")
+
+
 def table_info(df: DataFrame, rows: int = 5, position: list[str] | None = None) -> tuple[list[str], int, DataFrame]:
     """Columns, number of rows, and the first rows by ``position`` (any, if not given)."""
     first = df.orderBy(*position) if position else df

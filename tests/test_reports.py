@@ -83,3 +83,62 @@ def test_json_problems(spark):
     rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", json_problems(F.col("t"), schema).alias("p")).collect()
     assert {r.t: r.p for r in rows} == texts | {None: ["$: no JSON"]}
     assert spark.createDataFrame([('["a",1]',)], "t string").select(json_problems(F.col("t"), ["string"])).first()[0] == ["$[1]: no string"]
+
+
+def test_passages_by_brute_force(spark, sf_dir):
+    """Blocks packed one by one at 180 words with one block of overlap, over all documents, titles kept."""
+    import re
+
+    from tessera.operators import retrieval
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sections = docs.select("doc_id", F.lit(1).alias("section_id"), F.lit("Text").alias("locator"), F.col("source").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("markdown"))
+    want = {}
+    for r in sections.collect():
+        blocks = [b.strip("\n") for b in re.split(r"\n[ \t]*\n(?:[ \t]*\n)*", r.markdown or "") if b.strip()]
+        packed, held = [], []
+        size = lambda bs: sum(len(b.split()) for b in bs)
+        for b in blocks:
+            if held and size(held) + size([b]) > 180:
+                packed.append(held)
+                held = held[-1:] if size(held[-1:]) < 180 else []
+            held = [*held, b]
+        packed += [held] if held else []
+        want.update({(r.doc_id, i): ("\n\n".join(p).strip(), r.title) for i, p in enumerate(packed)})
+    got = {(r.doc_id, r.order): (r.text.strip(), r.title) for r in retrieval.passages(sections).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0].split() == want[k][0].split() for k in got)
+
+
+def test_sheets_as_tables(spark, tmp_path):
+    from tests.test_readers import R, relations, zipped
+
+    from tessera.sources.tables import read_sheet, sheet_names
+
+    s = f'xmlns="s" {R}'
+    text = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    number = lambda at, v: f'<c r="{at}"><v>{v}</v></c>'
+    one = f"<row>{text('A1', 'Site')}{text('B1', 'Output')}{text('C1', 'site')}</row><row>{text('A2', 'North')}{number('B2', '5')}</row><row/><row>{text('A3', 'South')}{number('B3', '6.5')}{text('C3', 'x')}</row>"
+    sheet = lambda rows: f"<worksheet {s}><sheetData>{rows}</sheetData></worksheet>"
+    names = "".join(f'<sheet name="{n}" r:id="{k}"/>' for n, k in (("Empty", "a"), ("Data", "b"), ("Other", "c")))
+    book = {"xl/workbook.xml": f"<workbook {s}><sheets>{names}</sheets></workbook>", "xl/_rels/workbook.xml.rels": relations(**{k: ("worksheet", f"worksheets/{k}.xml") for k in "abc"})}
+    book |= {"xl/worksheets/a.xml": sheet(""), "xl/worksheets/b.xml": sheet(one), "xl/worksheets/c.xml": sheet(f"<row>{text('A1', 'n')}</row>")}
+    path = tmp_path / "book.xlsx"
+    path.write_bytes(zipped(book))
+    assert [(r.sheet, r.rows) for r in sheet_names(spark, str(path)).orderBy("place").collect()] == [("Empty", 0), ("Data", 3), ("Other", 1)]
+    df = read_sheet(spark, str(path))
+    assert df.dtypes == [("Site", "string"), ("Output", "double"), ("column 3", "string")] and sorted(map(tuple, df.collect()), key=str) == [("North", 5.0, None), ("South", 6.5, "x")]
+    assert read_sheet(spark, str(path), "Other").columns == ["n"] and read_sheet(spark, str(path), "Other").count() == 0
+    for bad in ("Empty", "Nowhere"):
+        with pytest.raises(ValueError, match=bad):
+            read_sheet(spark, str(path), bad)
+
+
+def test_events_by_locator(spark):
+    """A cited locator is resolved to a section before its date is looked for."""
+    from tessera.operators import timeline
+
+    sections = spark.createDataFrame([(1, 1, "Page 1", "", "On 3 May 2020 the goods left."), (1, 2, "Page 2", "", "Nothing here.")], "doc_id long, section_id int, locator string, title string, markdown string")
+    rows = [(7, 0, "2020-05-03", "", "Goods", "left", "the goods left", 1, "page 1"), (7, 1, "2020-05-03", "3 May", "Goods again", "left", "the goods left", 1, "p. 9"), (7, 2, "2021-01-01", "", "Other", "x", "y", 1, "Page 2")]
+    events = spark.createDataFrame(rows, "set_id int, place int, date string, date_text string, title string, detail string, quote string, doc_id long, locator string")
+    got = {r.place: (r.status, r.section_id) for r in timeline.verify_events(events, sections).collect()}
+    assert got == {0: ("verified", 1), 1: ("verified", 1), 2: ("date_not_in_source", 2)}
