@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_path
+
 K1, B = 1.5, 0.75
 #: Distinct query terms, and rows of (query, term), that may be broadcast; beyond these Spark picks the join.
 BROADCAST_ROWS = 200_000
@@ -115,21 +117,26 @@ def bm25_part(weight: Column, tf: Column, length: Column, average: float) -> Col
 def bm25(queries: DataFrame, chunks: DataFrame, top_k: int = 8) -> DataFrame:
     """(query_id, rank, doc_id, order, score): the ``top_k`` best passages with a positive score; ties keep the passages' order.
 
-    ``queries`` has query_id and terms (array<string>; a term given twice counts twice), ``chunks`` doc_id, order and tokens. Only tokens
-    that some query has are shuffled, counted by passage first. The passages are read once for their number and length and once for
-    their tokens; for repeated searches ``inverted.PassageIndex`` reads neither.
+    ``queries`` has query_id and terms (array<string>; a term given twice counts twice), ``chunks`` doc_id, order and tokens. Tokens are
+    made once: those that some query has are counted by passage and written to the shared folder, with a row for each passage's length.
+    For repeated searches ``inverted.PassageIndex`` reads no tokens at all.
     """
+    spark = chunks.sparkSession
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = asked.select("term").distinct()
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
     small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
-    n, average = chunks.agg(F.count(F.lit(1)), F.avg(F.greatest(F.size("tokens"), F.lit(1)))).first()
     length = F.greatest(F.size("tokens"), F.lit(1)).alias("length")
-    postings = chunks.select("doc_id", "order", length, F.explode("tokens").alias("term")).join(hint(wanted), "term", "left_semi")
-    postings = postings.groupBy("doc_id", "order", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    each = chunks.select("doc_id", "order", length, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("tokens", F.array().cast("array<string>")))).alias("term"))
+    each = each.join(hint(wanted), "term", "left").where("wanted or term is null")
+    path = shared_path(spark, "postings")
+    each.groupBy("doc_id", "order", "term", "length").agg(F.count(F.lit(1)).alias("tf")).write.parquet(path)
+    counted = spark.read.parquet(path)
+    postings = counted.where("term is not null")
+    n, average = counted.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.try_divide(F.sum(F.col("length") * F.col("tf")), F.sum("tf"))).first()
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").withColumn("idf", F.col("times") * inverse_frequency(F.lit(n), F.col("df")))
-    part = bm25_part(F.col("idf"), F.col("tf"), F.col("length"), average)
+    part = bm25_part(F.col("idf"), F.col("tf"), F.col("length"), average or 1.0)
     scored = postings.join(hint(weighted), "term").groupBy("query_id", "doc_id", "order").agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "order")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "order", "score")
