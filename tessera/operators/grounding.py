@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import band, bands, checked_tokens, close, number_tokens, readings
-from tessera.functions.texts import CITATION, citation_coverage, citation_marks, is_refusal, plain, strip_thinking
+from tessera.functions.texts import CITATION, backed_statement, best_evidence, citation_coverage, citation_marks, is_refusal, plain, strip_thinking
 
 
 def match_tier(locator: Column, section: Column, title: Column, markdown: Column) -> Column:
@@ -46,6 +46,14 @@ def resolve_citations(answers: DataFrame, sections: DataFrame) -> DataFrame:
     return marks.join(best, ["doc_id", "locator"], "left").select("answer_id", "marker", "place", "source_index", "locator", "doc_id", "section_id", "resolved_locator", F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def cited_evidence(answers: DataFrame, citations: DataFrame, sections: DataFrame) -> DataFrame:
+    """(answer_id, marker, doc_id, section_id, statement, evidence): what each resolved mark backs in its answer, and the block (and row of a table) of the
+    cited section that shares most with it, as ``texts.best_evidence`` finds it. Unresolved marks are left out."""
+    backed = citations.where("found").join(answers.select("answer_id", "answer"), "answer_id").withColumn("statement", backed_statement(F.col("answer"), F.col("marker")))
+    met = backed.join(sections.select("doc_id", "section_id", "markdown"), ["doc_id", "section_id"])
+    return met.select("answer_id", "marker", "doc_id", "section_id", "statement", best_evidence(F.col("markdown"), F.col("statement")).alias("evidence"))
+
+
 def citation_stats(citations: DataFrame) -> DataFrame:
     """(answer_id, total, resolved, unresolved array in order of appearance)."""
     missing = F.collect_list(F.when(~F.col("found"), F.struct("place", "marker")))
@@ -62,8 +70,12 @@ def unsupported(answers: DataFrame, sections: DataFrame) -> DataFrame:
     """(answer_id, place, token): numbers of answers that neither the question nor a section of the answer's documents holds, in order.
 
     Readings meet known numbers by document and band, so no answer's or document's numbers come together in one row; answers need answer_id,
-    answer, question and doc_ids. Null texts hold no numbers; documents listed twice count once.
+    answer, question and doc_ids. What is expected (``expected``, patterns such as num:5; if there is such a column) may be in an answer too,
+    since a computed number stands in no document. Null texts hold no numbers; documents listed twice count once.
     """
+    if "expected" in answers.columns:
+        numbers = F.transform(F.filter("expected", lambda p: p.startswith("num:")), lambda p: F.substring(p, 5, 400))
+        answers = answers.withColumn("question", F.concat_ws(" ", "question", F.array_join(numbers, " ")))
     tokens = answers.select("answer_id", "doc_ids", "question", F.posexplode(checked_tokens(F.coalesce("answer", F.lit("")))).alias("place", "token"))
     read = tokens.select("answer_id", "doc_ids", "place", F.explode(readings(F.col("token"))).alias("v")).select("*", F.explode(bands(F.col("v"))).alias("band"))
     near = close(F.col("v"), F.col("known"))

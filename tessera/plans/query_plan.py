@@ -20,6 +20,7 @@ from tessera.functions.numbers import number_literal, read_number
 MAX_EXPRESSION = 300
 OPERATIONS = ("==", "!=", ">", ">=", "<", "<=", "contains", "not_contains", "starts_with", "in")
 FUNCTIONS = ("count", "sum", "avg", "min", "max")
+CHARTS = ("none", "bar", "line")
 
 
 class PlanError(ValueError):
@@ -56,6 +57,15 @@ class Sort:
     descending: bool = True
 
 
+@dataclass
+class Chart:
+    """What to draw of the result: none, bar or line, by a column of names and one of numbers."""
+
+    type: str = "none"
+    x: str = ""
+    y: str = ""
+
+
 @dataclass
 class QueryPlan:
     computed: list[Computed] = field(default_factory=list)
@@ -65,6 +75,7 @@ class QueryPlan:
     select: list[str] = field(default_factory=list)
     sort: list[Sort] = field(default_factory=list)
     limit: int = 0
+    chart: Chart = field(default_factory=Chart)
 
 
 def resolve_column(name: str, columns: list[str], what: str = "plan") -> str:
@@ -196,6 +207,9 @@ def plan_from_json(text: str) -> QueryPlan:
     plan = made(QueryPlan, raw)
     for name, kind in {"computed": Computed, "filters": Filter, "aggregates": Aggregate, "sort": Sort}.items():
         setattr(plan, name, [made(kind, x) for x in getattr(plan, name)])
+    plan.chart = made(Chart, plan.chart) if isinstance(plan.chart, dict) else plan.chart
+    if not isinstance(plan.chart, Chart) or plan.chart.type not in CHARTS:
+        raise PlanError("Unknown kind of chart in the plan.")
     if any(f.op not in OPERATIONS for f in plan.filters) or any(a.func not in FUNCTIONS for a in plan.aggregates):
         raise PlanError("Unknown operation or function in the plan.")
     if plan.group_by and not plan.aggregates:
@@ -222,6 +236,27 @@ def aggregate(df: DataFrame, a: Aggregate) -> Column:
     return made[a.func].alias(a.name)
 
 
+def normalised(plan: QueryPlan, columns: list[str]) -> QueryPlan:
+    """The plan with all its columns named as the table (of ``columns``) and its own results name them: PlanError for unknown ones, but a chart of unknown
+    columns is no chart. A group without aggregates is dropped. Of a grouped result the table's other columns can be named too."""
+    known = [*columns, *(c.name for c in plan.computed if c.name not in columns)]
+    key = resolve_column(plan.group_by, known, "group_by") if plan.group_by and plan.aggregates else ""
+    aggregates = [Aggregate(a.func, resolve_column(a.column, known, "aggregate") if a.func != "count" or a.column else "", a.alias) for a in plan.aggregates]
+    results = [a.name for a in aggregates]
+    shown = [key, *results, *(c for c in known if c != key)] if key else results or known
+    named = lambda names, where, what: [resolve_column(n, where, what) for n in names]
+    chart = plan.chart
+    if chart.type != "none":
+        try:
+            chart = Chart(chart.type, *named([chart.x, chart.y], shown, "chart"))
+        except PlanError:
+            chart = Chart()
+    return QueryPlan(
+        plan.computed, [Filter(resolve_column(f.column, known, "filter"), f.op, f.value) for f in plan.filters], key, aggregates, named(plan.select, shown, "select"),
+        [Sort(resolve_column(x.column, shown, "sort"), x.descending) for x in plan.sort], plan.limit, chart,
+    )
+
+
 def execute(df: DataFrame, plan: QueryPlan, position: list[str] | None = None) -> DataFrame:
     """The plan's result. ``position`` names columns that give the rows' order in their source: it settles ties of the sort, the order of
     groups and the first member whose values non-aggregated columns take. Without it these are any.

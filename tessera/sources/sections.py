@@ -6,6 +6,7 @@ by executors, one at a time; only their parsed sections go on.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import datetime
 import html.parser
@@ -32,11 +33,26 @@ _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "area", "base", "
 
 
 def decode(data: bytes) -> str:
+    """A file's text: by its byte-order mark, as UTF-8, as UTF-16 where every other byte is zero (as of Latin letters), else by Windows' or ISO's Latin alphabet."""
+    marks = {codecs.BOM_UTF32_LE: "utf-32", codecs.BOM_UTF32_BE: "utf-32", codecs.BOM_UTF16_LE: "utf-16", codecs.BOM_UTF16_BE: "utf-16"}
+    wide = next((name for mark, name in marks.items() if data.startswith(mark)), None)
+    if wide is None and len(data) % 2 == 0 and data and max(data[k::2].count(0) for k in (0, 1)) > 0.4 * len(data) / 2 and min(data[k::2].count(0) for k in (0, 1)) == 0:
+        wide = "utf-16-be" if data[0::2].count(0) else "utf-16-le"
+    if wide:
+        try:
+            return data.decode(wide)
+        except UnicodeDecodeError:
+            pass
     for name in ("utf-8-sig", "utf-8"):
         try:
             return data.decode(name)
         except UnicodeDecodeError:
             continue
+    if any(0x80 <= b <= 0x9F for b in set(data)):  # signs in Windows' alphabet, controls in ISO's
+        try:
+            return data.decode("cp1252")
+        except UnicodeDecodeError:
+            pass
     return data.decode("latin-1")
 
 
@@ -229,15 +245,15 @@ def _cell_number(text: str, shown: str | None, epoch: datetime.datetime) -> str:
     return str(int(value)) if value.is_integer() and abs(value) < 1e15 else text
 
 
-def sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
-    """(name, rows of equal width) of a workbook's sheets with cached values; empty rows and trailing empty columns are left out."""
+def sheets(data: bytes) -> Iterator[tuple[str, list[list[str]], int]]:
+    """(name, rows of equal width, number of formulas) of a workbook's sheets with cached values; empty rows and trailing empty columns are left out."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = ["".join(t.text or "" for t in _all(si, "t")) for si in _all(_xml(z, "xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in z.namelist() else []
     book, parts, dates = _xml(z, "xl/workbook.xml"), _relations(z, "xl/workbook.xml"), _date_styles(z)
     early = any(p.get("date1904") in ("1", "true") for p in _all(book, "workbookPr"))
     epoch = datetime.datetime(1904, 1, 1) if early else datetime.datetime(1899, 12, 30)
     for sheet in _all(book, "sheet"):
-        grid = []
+        grid, formulas = [], 0
         for row in _all(_xml(z, parts[_attr(sheet, "id")][1]), "row"):
             cells: dict[int, str] = {}
             for c in _all(row, "c"):
@@ -245,6 +261,7 @@ def sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
                 for x in re.match("[A-Z]*", c.get("r") or "")[0]:
                     at = at * 26 + ord(x) - 64
                 v = next(_all(c, "v"), None)
+                formulas += next(_all(c, "f"), None) is not None
                 text, kind = "" if v is None else v.text or "", c.get("t") or "n"
                 if kind == "inlineStr":
                     text = "".join(t.text or "" for t in _all(c, "t"))
@@ -258,12 +275,12 @@ def sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
             if any(t.strip() for t in cells.values()):
                 grid.append([cells.get(k, "") for k in range(max(cells) + 1)])
         width = max((max((k + 1 for k, t in enumerate(r) if t.strip()), default=0) for r in grid), default=0)
-        yield sheet.get("name"), [(r + [""] * width)[:width] for r in grid]
+        yield sheet.get("name"), [(r + [""] * width)[:width] for r in grid], formulas
 
 
 def read_xlsx(data: bytes) -> list[Section]:
     """A section for each sheet that holds cells, as a Markdown table."""
-    out = [(name, f"Sheet: {name}", "\n".join(table_lines(grid))) for name, grid in sheets(data) if grid]
+    out = [(name, f"Sheet: {name}", "\n".join(table_lines(grid))) for name, grid, _ in sheets(data) if grid]
     if not out:
         raise ValueError("The workbook holds no cells.")
     return out

@@ -44,21 +44,22 @@ def read_table(spark: SparkSession, path: str, separator: str = ",") -> DataFram
 
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, place, number, cells): rows of the workbooks below ``path``, sheets and rows counted from 0; an empty sheet has one row with null cells."""
+    """(path, sheet, place, number, cells, formulas): rows of the workbooks below ``path``, sheets and rows counted from 0, with the sheet's number of formulas, whose
+    cached values are read; an empty sheet has one row with null cells. All rows are read, however many."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
-                for place, (sheet, grid) in enumerate(sheets(data)):
-                    yield pd.DataFrame({"path": name, "sheet": sheet, "place": place, "number": range(max(len(grid), 1)), "cells": grid or [None]})
+                for place, (sheet, grid, formulas) in enumerate(sheets(data)):
+                    yield pd.DataFrame({"path": name, "sheet": sheet, "place": place, "number": range(max(len(grid), 1)), "cells": grid or [None], "formulas": formulas})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, sheet string, place int, number int, cells array<string>")
+    return files.mapInPandas(run, "path string, sheet string, place int, number int, cells array<string>, formulas int")
 
 
 def sheet_names(spark: SparkSession, path: str) -> DataFrame:
-    """(path, place, sheet, rows): the sheets of workbooks with their numbers of rows, the header's too."""
-    return workbook_rows(spark, path).groupBy("path", "place", "sheet").agg(F.count("cells").alias("rows"))
+    """(path, place, sheet, rows, formulas): the sheets of workbooks with their numbers of rows, the header's too, and of formulas."""
+    return workbook_rows(spark, path).groupBy("path", "place", "sheet").agg(F.count("cells").alias("rows"), F.max("formulas").alias("formulas"))
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:

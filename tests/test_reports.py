@@ -117,14 +117,14 @@ def test_sheets_as_tables(spark, tmp_path):
     s = f'xmlns="s" {R}'
     text = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
     number = lambda at, v: f'<c r="{at}"><v>{v}</v></c>'
-    one = f"<row>{text('A1', 'Site')}{text('B1', 'Output')}{text('C1', 'site')}</row><row>{text('A2', 'North')}{number('B2', '5')}</row><row/><row>{text('A3', 'South')}{number('B3', '6.5')}{text('C3', 'x')}</row>"
+    one = f"<row>{text('A1', 'Site')}{text('B1', 'Output')}{text('C1', 'site')}</row><row>{text('A2', 'North')}{number('B2', '5')}</row><row/><row>{text('A3', 'South')}{number('B3', '6.5').replace('<v>', '<f>B2+1.5</f><v>')}{text('C3', 'x')}</row>"
     sheet = lambda rows: f"<worksheet {s}><sheetData>{rows}</sheetData></worksheet>"
     names = "".join(f'<sheet name="{n}" r:id="{k}"/>' for n, k in (("Empty", "a"), ("Data", "b"), ("Other", "c")))
     book = {"xl/workbook.xml": f"<workbook {s}><sheets>{names}</sheets></workbook>", "xl/_rels/workbook.xml.rels": relations(**{k: ("worksheet", f"worksheets/{k}.xml") for k in "abc"})}
     book |= {"xl/worksheets/a.xml": sheet(""), "xl/worksheets/b.xml": sheet(one), "xl/worksheets/c.xml": sheet(f"<row>{text('A1', 'n')}</row>")}
     path = tmp_path / "book.xlsx"
     path.write_bytes(zipped(book))
-    assert [(r.sheet, r.rows) for r in sheet_names(spark, str(path)).orderBy("place").collect()] == [("Empty", 0), ("Data", 3), ("Other", 1)]
+    assert [(r.sheet, r.rows, r.formulas) for r in sheet_names(spark, str(path)).orderBy("place").collect()] == [("Empty", 0, 0), ("Data", 3, 1), ("Other", 1, 0)]
     df = read_sheet(spark, str(path))
     assert df.dtypes == [("Site", "string"), ("Output", "double"), ("column 3", "string")] and sorted(map(tuple, df.collect()), key=str) == [("North", 5.0, None), ("South", 6.5, "x")]
     assert read_sheet(spark, str(path), "Other").columns == ["n"] and read_sheet(spark, str(path), "Other").count() == 0
@@ -142,3 +142,40 @@ def test_events_by_locator(spark):
     events = spark.createDataFrame(rows, "set_id int, place int, date string, date_text string, title string, detail string, quote string, doc_id long, locator string")
     got = {r.place: (r.status, r.section_id) for r in timeline.verify_events(events, sections).collect()}
     assert got == {0: ("verified", 1), 1: ("verified", 1), 2: ("date_not_in_source", 2)}
+
+
+def test_encodings():
+    from tessera.sources.sections import decode
+
+    text = "Päivä: 5 € – “yes”"
+    for name in ("utf-8", "utf-8-sig", "utf-16", "utf-32", "cp1252"):
+        assert decode(text.encode(name)) == text
+    assert decode("plain words".encode("utf-16-le")) == decode("plain words".encode("utf-16-be")) == "plain words"
+    assert decode("äö".encode("latin-1")) == "äö" and decode(b"") == "" and decode(b"\x81\x8d") == "\x81\x8d"
+
+
+def test_plans_are_normalised():
+    from tessera.plans.query_plan import Aggregate, Chart, Computed, Filter, PlanError, QueryPlan, Sort, normalised, plan_from_json
+
+    columns = ["Region name", "units", "price"]
+    plan = QueryPlan([Computed("total", "units * price")], [Filter("UNITS", ">", "1")], "region", [Aggregate("sum", "Total"), Aggregate("count", alias="amount")], ["region_name", "sum total"], [Sort("Amount")], 3, Chart("bar", "region", "SUM_total"))
+    done = normalised(plan, columns)
+    assert (done.filters[0].column, done.group_by, done.select, done.sort[0].column, done.chart) == ("units", "Region name", ["Region name", "sum_total"], "amount", Chart("bar", "Region name", "sum_total"))
+    assert normalised(QueryPlan(group_by="region", chart=Chart("line", "units", "nothing")), columns) == QueryPlan()
+    assert normalised(QueryPlan(aggregates=[Aggregate("avg", "price")], chart=Chart("bar", "units", "avg_price")), columns).chart == Chart()
+    with pytest.raises(PlanError, match="select"):
+        normalised(QueryPlan(select=["weight"]), columns)
+    assert plan_from_json('{"chart": {"type": "line", "x": "a", "y": "b"}}').chart == Chart("line", "a", "b")
+    for bad in ('{"chart": {"type": "pie"}}', '{"chart": {"kind": "bar"}}', '{"chart": 5}'):
+        with pytest.raises(PlanError):
+            plan_from_json(bad)
+
+
+def test_expected_numbers_and_cited_evidence(spark):
+    from tessera.operators import grounding
+
+    sections = spark.createDataFrame([(10, 1, "Page 1", "", "Intro.\n\nThe mill made 40 tonnes of paper in 2021.\n\n| Site | Output |\n| --- | --- |\n| North | 15 |\n| South | 25 |")], "doc_id long, section_id int, locator string, title string, markdown string")
+    answers = spark.createDataFrame([(1, "In 2021 the mill made 40 tonnes of paper [S1: Page 1]. South had 25 of output [S1: page 1]. The difference is 999 [S1: Nowhere].", "?", [10], ["num:999", "re:x"])], "answer_id int, answer string, question string, doc_ids array<long>, expected array<string>")
+    assert [r.token for r in grounding.unsupported(answers, sections).collect()] == [] and [r.token for r in grounding.unsupported(answers.drop("expected"), sections).collect()] == ["999"]
+    found = grounding.cited_evidence(answers, grounding.resolve_citations(answers, sections), sections).collect()
+    assert {(r.marker, r.evidence.block, r.evidence.row) for r in found} == {("[S1: Page 1]", 1, None), ("[S1: page 1]", 2, 1)}
