@@ -18,7 +18,7 @@ from .retrieval import BROADCAST_ROWS, bm25_part, inverse_frequency
 #: Parts that a folder's rows are dealt to when they are written.
 PARTS = 8
 #: Passages of a slot, for about eight length classes.
-SLOT = 128
+SLOT = 16
 #: Slots that are scored first for a threshold, and what rounding may hide.
 FIRST_SLOTS, ROUNDING = 3, 2e-6
 
