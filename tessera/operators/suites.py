@@ -204,21 +204,30 @@ def run_tables(summaries: DataFrame, runs: list[str]) -> DataFrame:
     return column.groupBy("key").agg(columns.alias("columns")).select("key", F.concat_ws("\n", *lines).alias("text"))
 
 
+# The head of the table of recalls.
+RECALL_HEAD = ["| Retrieval | Tier | Question -> documents | Recall@1 | Recall@3 | Recall@5 | Passage reached the model | Share of corpus sent |", "|---|---|---|---:|---:|---:|---:|---:|"]
+
+
 def retrieval_table(rows: DataFrame) -> DataFrame:
     """(place, line): the lines of a Markdown table of recalls, by the order of ``rows`` (place, stemming, tier, question_language, corpus, recall_at_1, -3, -5,
     context_recall, share_of_corpus_sent)."""
-    head = ["| Retrieval | Tier | Question -> documents | Recall@1 | Recall@3 | Recall@5 | Passage reached the model | Share of corpus sent |", "|---|---|---|---:|---:|---:|---:|---:|"]
     kind = F.when(F.col("stemming"), "language-aware").otherwise("plain BM25")
     cells = [kind, F.coalesce("tier", F.lit("standard")), F.concat(F.upper("question_language"), F.lit(" -> "), F.upper("corpus")), *(percent(F.col(c)) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "context_recall", "share_of_corpus_sent"))]
-    top = rows.sparkSession.createDataFrame([(i - 2, line) for i, line in enumerate(head)], "place int, line string")
+    top = rows.sparkSession.createDataFrame([(i - 2, line) for i, line in enumerate(RECALL_HEAD)], "place int, line string")
     return top.unionByName(rows.select(F.col("place").cast("int").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
 
 
+# What stands before each measure in a run's summary line.
+SUMMARY = [
+    ("overall ", "overall"), (" | details ", "detail_accuracy"), (" | lists recall ", "list_recall"), (" precision ", "list_precision"), (" | not-in-documents ", "abstention_accuracy"),
+    (" | unsupported numbers ", "unsupported_number_rate"), (" | citations correct ", "citation_accuracy"),
+]
+
+
 def summary_line() -> Column:
     """One run's measures in a line, of the columns of ``evaluation.run_metrics``."""
-    p = lambda c: percent(F.col(c))
-    parts = [("overall ", p("overall")), (" | details ", p("detail_accuracy")), (" | lists recall ", p("list_recall")), (" precision ", p("list_precision")), (" | not-in-documents ", p("abstention_accuracy")), (" | unsupported numbers ", p("unsupported_number_rate")), (" | citations correct ", p("citation_accuracy"))]
-    return F.concat(*(x for label, v in parts for x in (F.lit(label), v)), F.lit(" | "), F.coalesce(F.col("seconds_mean").cast("string"), F.lit("None")), F.lit(" s/question | "), duration(F.col("seconds_total")), F.lit(" in total"))
+    shares = [x for label, c in SUMMARY for x in (F.lit(label), percent(F.col(c)))]
+    return F.concat(*shares, F.lit(" | "), F.coalesce(F.col("seconds_mean").cast("string"), F.lit("None")), F.lit(" s/question | "), duration(F.col("seconds_total")), F.lit(" in total"))
 
 
 def verdict(error: Column, correct: Column, category: Column, score: Column) -> Column:
