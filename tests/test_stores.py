@@ -115,3 +115,30 @@ def test_personal_data_by_brute_force(spark, sf_dir):
                 first[3] += 1
     got = {(r.doc_id, r.text.lower()): [r.category, r.text, r.context, r["count"]] for r in privacy.scan(df).collect()}
     assert got == want and {c for c, *_ in got.values()} == {c for c, _ in privacy.PATTERNS}
+
+
+def test_redaction_by_brute_force(spark, sf_dir):
+    """All findings of all documents, and proposals beside them, replaced one by one: the longest first, whole words alone, numbered by category."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = privacy.scan(docs).select("doc_id", "text", "category", F.lit(None).cast("string").alias("replacement"), F.xxhash64("text").alias("place"))
+    first = docs.where("text is not null").select("doc_id", F.regexp_extract("text", r"[A-Za-z]{5,}", 0).alias("text"), F.lit("person").alias("category"), F.when(F.col("doc_id") % 2 == 0, " XX ").alias("replacement"), F.lit(0).cast("long").alias("place"))
+    items = found.unionByName(first)
+    own = {}
+    for r in items.collect():
+        if r.text.strip():
+            own.setdefault(r.doc_id, []).append(r)
+    want = {}
+    for doc, text in [tuple(r) for r in docs.collect()]:
+        count, by = {}, []
+        for r in sorted(own.get(doc, []), key=lambda r: (-len(r.text.strip()), r.place)):
+            given, label = (r.replacement or "").strip(), privacy.PLACEHOLDERS.get(r.category, r.category)
+            if not given:
+                count[label] = count.get(label, 0) + 1
+            by.append((r.text.strip(), given or f"[{label}-{count[label]}]"))
+        for item, new in by:
+            a = r"(?<!\w)" if item[0].isalnum() else ""
+            b = r"(?!\w)" if item[-1].isalnum() else ""
+            text = re.sub(a + re.escape(item) + b, lambda _, new=new: new, text, flags=re.IGNORECASE)
+        want[doc] = text
+    got = {r.doc_id: r.text for r in privacy.redact(docs, items).collect()}
+    assert got == want and sum("[" in (t or "") for t in got.values()) > 3
