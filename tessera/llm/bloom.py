@@ -1,6 +1,7 @@
-"""A Bloom filter of a fixed size over long keys: built by slices in tasks, broadcast to narrow what later passes move.
+"""A Bloom filter over long keys: built by slices in tasks, broadcast to narrow what later passes move.
 
-It only saves work. A key it wrongly reports costs time, never a result, so its size is a parameter and needs no bound on the keys.
+It has 16 bits for each key, counted before, up to a size that is a parameter, so what is broadcast is bounded. It only saves work: a key it
+wrongly reports costs time, never a result, so keys beyond that size are no error.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .tokens import mix
 
 SLICES = 64
+#: Bits of the filter for each key.
+BITS = 16
 
 
 class Bloom:
@@ -37,9 +40,9 @@ class Bloom:
         return (self.words[(key % np.uint64(SLICES)).astype(np.int64), at] & mask) == mask
 
 
-def bloom_filter(keys: DataFrame, megabytes: int = 8) -> Bloom:
-    """The filter of the long column ``key``."""
-    words = megabytes * (1 << 17) // SLICES
+def bloom_filter(keys: DataFrame, megabytes: int = 64) -> Bloom:
+    """The filter of the long column ``key``, of at most ``megabytes``."""
+    words = max(1, min(megabytes << 17, max(1 << 14, keys.count() * BITS // 64)) // SLICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, Bloom] = {}

@@ -6,17 +6,23 @@ round of postings with 128-bit sketches finds the lines that can have a match at
 Jaccard and keeps, for each line, whether an earlier one matches, so pairs are never emitted. Words that very many lines
 have among their rarest are left to the second round, which deals their lines into cells, one for each pair of chunks.
 
-Words and lines stand for their 64-bit hashes; postings of the first round carry 40 bits of these, which can add candidates only.
+No key's rows meet in one task of the first round: a task sends a line on once for each window of many lines, whatever number of its
+texts hold it, and postings of words that the corpus has very often are salted; their lines are candidates at once.
+
+Words and lines stand for their 64-bit hashes, and lines of equal hashes for equal lines; postings of the first round carry 40 bits of
+these. Two lines of equal 40 bits under one word are one posting, which finds what either alone would find with other lines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +34,13 @@ from .tokens import Lookup, Words, mix, prefix_sums, slices, span_hashes
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
 SCHEMA = "bucket int, kind int, blob binary"
-POSTING, FIRST, REMOVED, CANDIDATE, HOT = range(5)
-#: Hot words that may be broadcast, of 16 bytes each: the most frequent; lines of the others meet in one task.
-HOT_WORDS = 1 << 16
+POSTING, FIRST, REMOVED, CANDIDATE, HOT, SALTED = range(6)
+#: Hot words that are broadcast at once, of 16 bytes each; more of them take more passes, each over a range of the words' hashes.
+HOT_WORDS = 1 << 20
+#: Occurrences in the corpus, as a multiple of the postings that make a word hot, above which its postings are salted.
+SALT_FROM = 16
+#: Distinct lines that a task knows before it sends their first places on.
+WINDOW_LINES = 1 << 19
 #: Bytes of text for each bucket beyond those that the session's partitions give.
 BUCKET_BYTES = 64 << 20
 
@@ -186,10 +196,39 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, SCHEMA).groupBy("bucket").applyInArrow(merge, SCHEMA)
 
 
-def removed_lines(docs: DataFrame, min_words: int = 1, often_words: int = 1 << 17, buckets: int | None = None, bloom_mb: int = 8, hot_rows: int = 8192) -> DataFrame:
+class Window:
+    """The lines, with the earliest place of each, that a task has met since it last began anew."""
+
+    def __init__(self) -> None:
+        self.names, self.doc, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each line is or would be, and whether it is known."""
+        at = np.searchsorted(self.names, name)
+        known = at < len(self.names)
+        known[known] = self.names[at[known]] == name[known]
+        return at, known
+
+    def add(self, at: np.ndarray, name: np.ndarray, doc: np.ndarray, number: np.ndarray) -> None:
+        """New lines, each once and sorted, at the places ``find`` gave."""
+        self.names, self.doc, self.number = np.insert(self.names, at, name), np.insert(self.doc, at, doc), np.insert(self.number, at, number)
+
+    def meet(self, at: np.ndarray, doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Other places of known lines: whether each is the earliest now, and the (doc, number) of whichever is later than the other."""
+        own, held = np.stack([doc, number]), np.stack([self.doc[at], self.number[at]])
+        earlier = (doc < held[0]) | ((doc == held[0]) & (number < held[1]))
+        self.doc[at[earlier]], self.number[at[earlier]] = doc[earlier], number[earlier]
+        return earlier, np.where(earlier, held, own)[:, (own != held).any(0)]
+
+
+def removed_lines(
+    docs: DataFrame, min_words: int = 1, often_words: int = 1 << 17, buckets: int | None = None, bloom_mb: int = 64, hot_rows: int = 8192, hot_words: int = HOT_WORDS, window_lines: int = WINDOW_LINES
+) -> DataFrame:
     """(doc_id, line): lines with at least ``min_words`` distinct words whose Jaccard with a line at an earlier place is 0.8 or more.
 
-    Places are ordered by doc_id and line number; lines of one place (a repeated row's) don't remove each other.
+    Places are ordered by doc_id and line number; lines of one place (a repeated row's) don't remove each other. The result is a written
+    table. The filter of candidates has 16 bits for each up to ``bloom_mb``; with more of them, more sets move than need to, and the
+    result stays. Up to ``hot_words`` hot words are broadcast at once; with more, the texts are read once more for each such number.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
@@ -199,6 +238,7 @@ def removed_lines(docs: DataFrame, min_words: int = 1, often_words: int = 1 << 1
     _, _, often, counts = word_totals(counted, often_words)
     drop(counted)
     rank = np.argsort(np.lexsort((often, counts))).astype(np.uint64)
+    salts = spark.sparkContext.broadcast(-(-np.sort(counts) // (SALT_FROM * hot_rows)))  # by rank
     table = spark.sparkContext.broadcast((Lookup(often), rank))
     edges = bucket_edges(buckets)
 
@@ -207,40 +247,64 @@ def removed_lines(docs: DataFrame, min_words: int = 1, often_words: int = 1 << 1
         cut = np.concatenate([[0], np.searchsorted(key[order], edges), [len(key)]])
         return order, [(b, slice(int(cut[b]), int(cut[b + 1]))) for b in np.flatnonzero(np.diff(cut)).tolist()]
 
+    def salts_of(key: np.ndarray) -> np.ndarray:
+        """Into how many parts the postings of a set's words are dealt; words outside the frequent ones have fewer than any of these."""
+        if not len(salts.value):
+            return np.ones(len(key), np.int64)
+        often = key >> np.uint64(63) > 0
+        return np.where(often, salts.value[np.where(often, (key >> np.uint64(40)) & np.uint64((1 << 23) - 1), 0).astype(np.int64)], 1)
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window = Window()
+
+        def gone(doc: np.ndarray, number: np.ndarray) -> list[tuple[int, int, bytes]]:
+            order, cuts = bucketed(mix(doc.view(np.uint64)))
+            return [(b, REMOVED, np.stack([doc[order[s]], number[order[s]]]).tobytes()) for b, s in cuts]
+
+        def first() -> pa.RecordBatch:
+            places = np.stack([window.names.view(np.int64), window.doc, window.number])
+            order, cuts = bucketed(window.names)
+            return blobs([(b, FIRST, places[:, order[s]].tobytes()) for b, s in cuts])
+
         for batch in batches:
             for part in slices(batch, "text", 3 << 19):
-                out = []
                 lines, doc_id = Lines.of(part.column("text")), part.column("doc_id").to_numpy()
-                one, _ = lines.earliest(doc_id, np.arange(len(lines.name)))
-                key, size = lines.sets(one, *table.value)
+                one, later = lines.earliest(doc_id, np.arange(len(lines.name)))
+                at, known = window.find(lines.name[one])
+                again, fresh = one[known], one[~known]
+                key, size = lines.sets(fresh, *table.value)
                 enough = size >= min_words
-                keep = np.repeat(enough, size)
-                kept_names = lines.name[one[enough]]
-                some = np.flatnonzero(np.isin(lines.name, kept_names))
-                one, later = lines.earliest(doc_id, some)
-                order, cuts = bucketed(lines.name[one])
-                for b, s in cuts:
-                    at = one[order[s]]
-                    out.append((b, FIRST, np.stack([lines.name[at].view(np.int64), doc_id[lines.doc[at]], lines.number[at]]).tobytes()))
-                order, cuts = bucketed(mix(doc_id[lines.doc[later]].view(np.uint64)))
-                for b, s in cuts:
-                    at = later[order[s]]
-                    out.append((b, REMOVED, np.stack([doc_id[lines.doc[at]], lines.number[at]]).tobytes()))
-                key, size = key[keep], size[enough]
+                _, beaten = window.meet(at[known], doc_id[lines.doc[again]], lines.number[again])
+                new = fresh[enough]
+                window.add(at[~known][enough], lines.name[new], doc_id[lines.doc[new]], lines.number[new])
+                later = later[window.find(lines.name[later])[1]]
+                out = gone(np.concatenate([beaten[0], doc_id[lines.doc[later]]]), np.concatenate([beaten[1], lines.number[later]]))
+                name, key, size = lines.name[new], key[np.repeat(enough, size)], size[enough]
                 low, high = sketches(key, size)
                 flat, owner, place = prefixes(size)
-                token = mix(key[flat])
-                order, cuts = bucketed(token)
+                token, parts = mix(key[flat]), salts_of(key[flat])
+                salted = parts > 1
+                order, cuts = bucketed(token[~salted])
+                order = np.flatnonzero(~salted)[order]
                 for b, s in cuts:
                     o = order[s]
                     w = owner[o]
-                    out.append((b, POSTING, b"".join(planes(x, n) for x, n in zip((token[o] >> np.uint64(24), kept_names[w] >> np.uint64(24), size[w], place[o], low[w], high[w]), _WIDTHS, strict=True))))
+                    out.append((b, POSTING, b"".join(planes(x, n) for x, n in zip((token[o] >> np.uint64(24), name[w] >> np.uint64(24), size[w], place[o], low[w], high[w]), _WIDTHS, strict=True))))
+                token, owner, parts = token[salted], owner[salted], parts[salted]
+                order, cuts = bucketed(mix(token ^ mix(name[owner] % parts.astype(np.uint64))))
+                for b, s in cuts:
+                    o = order[s]
+                    out.append((b, SALTED, np.stack([token[o] >> np.uint64(24), name[owner[o]] >> np.uint64(24)]).tobytes()))
                 if out:
                     yield blobs(out)
+                if len(window.names) >= window_lines:
+                    yield first()
+                    window = Window()
+        if len(window.names):
+            yield first()
 
     def meet(group: tuple, rows: pa.Table) -> pa.Table:
-        held: dict[int, list[bytes]] = {POSTING: [], FIRST: [], REMOVED: []}
+        held: dict[int, list[bytes]] = {POSTING: [], FIRST: [], REMOVED: [], SALTED: []}
         for kind, blob in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True):
             held[kind].append(blob)
         bucket, gone = group[0].as_py(), [np.frombuffer(b, np.int64).reshape(2, -1) for b in held[REMOVED]]
@@ -279,6 +343,14 @@ def removed_lines(docs: DataFrame, min_words: int = 1, often_words: int = 1 << 1
                 near = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= total - 2 * overlap(total)
                 matched[i[near]] = matched[j[near]] = True
             found = np.unique(name[matched])
+        if held[SALTED]:
+            token, name = np.concatenate([np.frombuffer(b, np.uint64).reshape(2, -1) for b in held[SALTED]], axis=1)
+            order = np.lexsort((name, token))
+            token, name = token[order], name[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (name[1:] != name[:-1])])
+            names, n = np.unique(token[new], return_counts=True)
+            hot = np.concatenate([hot, np.stack([names.view(np.int64), n])], axis=1)
+            found = np.union1d(found, name[new])
         out = [(bucket, CANDIDATE, found.tobytes()), (bucket, HOT, hot.tobytes())]
         if gone:
             out.append((bucket, REMOVED, np.concatenate(gone, axis=1).tobytes()))
@@ -286,16 +358,24 @@ def removed_lines(docs: DataFrame, min_words: int = 1, often_words: int = 1 << 1
 
     met = save(docs.mapInArrow(post, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA), "met")
     again = spark.sparkContext.broadcast(bloom_filter(met.where(F.col("kind") == CANDIDATE).mapInArrow(unfold(1, ("key",)), "key long"), bloom_mb))
-
-    hottest = met.where(F.col("kind") == HOT).mapInArrow(unfold(2, ("token", "n")), "token long, n long").orderBy(F.desc("n"), "token").limit(HOT_WORDS).toArrow().sort_by("token")
-    split = spark.sparkContext.broadcast((hottest.column("token").to_numpy(), -(-hottest.column("n").to_numpy() // hot_rows)))
-
-    def dealt(token: np.ndarray, owner: np.ndarray, place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Postings with their side: those of a hot word go to the cells of their chunk with each chunk, where two sides (0, 1) meet; -1 else."""
-        words, chunks = split.value
+    hot = met.where(F.col("kind") == HOT).mapInArrow(unfold(2, ("token", "n")), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows)
+    hot = save(hot, "hot")
+    passes = max(1, -(-hot.count() // hot_words))
+
+    def split_words(turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hot words of a pass and the number of chunks of each."""
+        own = hot.where(F.shiftright(F.col("token") * passes, 40) == turn).toArrow().sort_by("token")
+        return own.column("token").to_numpy(), -(-own.column("n").to_numpy() // hot_rows)
+
+    def dealt(split: tuple[np.ndarray, np.ndarray], turn: int, token: np.ndarray, owner: np.ndarray, place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A pass's postings with their side: those of a hot word go to the cells of their chunk with each chunk, where two sides (0, 1) meet; -1 else."""
+        words, chunks = split
+        short = (token >> np.uint64(24)).view(np.int64)
+        if passes > 1:
+            own = (short * passes) >> 40 == turn
+            token, owner, place, name, short = token[own], owner[own], place[own], name[own], short[own]
         if not len(words):
             return token, owner, place, np.full(len(token), -1)
-        short = (token >> np.uint64(24)).view(np.int64)
         at = np.minimum(np.searchsorted(words, short), len(words) - 1)
         n = np.where(words[at] == short, chunks[at], 1)
         row = np.repeat(np.arange(len(token)), n)
@@ -304,16 +384,26 @@ def removed_lines(docs: DataFrame, min_words: int = 1, often_words: int = 1 << 1
         cell = np.where(n[row] > 1, mix(token[row] ^ mix((low.astype(np.uint64) << np.uint64(32)) | (high + 1).astype(np.uint64))), token[row])
         return cell, owner[row], place[row], np.where(low == high, -1, (own == high).astype(np.int64))
 
-    def repost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def repost(sent: Broadcast, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window = Window()
         for batch in batches:
             for part in slices(batch, "text"):
                 lines, doc_id = Lines.of(part.column("text")), part.column("doc_id").to_numpy()
                 one, _ = lines.earliest(doc_id, np.flatnonzero(again.value.has(lines.name >> np.uint64(24))))
+                if len(window.names) >= window_lines:
+                    window = Window()
+                at, known = window.find(lines.name[one])  # a line goes on once, and again only with an earlier place
+                earlier, _ = window.meet(at[known], doc_id[lines.doc[one[known]]], lines.number[one[known]])
+                new = one[~known]
+                window.add(at[~known], lines.name[new], doc_id[lines.doc[new]], lines.number[new])
+                goes = ~known
+                goes[known] = earlier
+                one = one[goes]
                 key, size = lines.sets(one, *table.value)
                 enough = size >= min_words
                 key, size, one = key[np.repeat(enough, size)], size[enough], one[enough]
                 flat, owner, place = prefixes(size)
-                token, owner, place, side = dealt(mix(key[flat]), owner, place, lines.name[one][owner])
+                token, owner, place, side = dealt(sent.value, turn, mix(key[flat]), owner, place, lines.name[one][owner])
                 begin = np.cumsum(size) - size
                 order, cuts = bucketed(token)
                 out = []
@@ -369,8 +459,17 @@ def removed_lines(docs: DataFrame, min_words: int = 1, often_words: int = 1 << 1
         return pa.table({"doc_id": gone[0], "line": gone[1]})
 
     schema = "doc_id long, line long"
-    similar = docs.mapInArrow(repost, SCHEMA).groupBy("bucket").applyInArrow(verify, schema)
-    return met.where(F.col("kind") == REMOVED).mapInArrow(unfold(2, ("doc_id", "line")), schema).unionByName(similar)
+    found = [met.where(F.col("kind") == REMOVED).mapInArrow(unfold(2, ("doc_id", "line")), schema)]
+    for turn in range(passes):
+        sent = spark.sparkContext.broadcast(split_words(turn))
+        similar = docs.mapInArrow(partial(repost, sent, turn), SCHEMA).groupBy("bucket").applyInArrow(verify, schema)
+        found.append(similar if passes == 1 else save(similar, "similar"))
+        if passes > 1:
+            sent.destroy()
+    gone = save(reduce(DataFrame.unionByName, found), "gone")
+    for done in (met, hot, *(found[1:] if passes > 1 else [])):
+        drop(done)
+    return gone
 
 
 def unfold(n: int, names: tuple[str, ...]):
@@ -400,7 +499,7 @@ def shared_words(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, a: np.nd
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 1, bloom_mb: int = 8, hot_rows: int = 8192) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 1, bloom_mb: int = 64, hot_rows: int = 8192) -> DataFrame:
     """All columns of ``docs``, with text without the removed lines, n_lines and n_removed.
 
     Lines are cut at line feeds; those with fewer than ``min_words`` distinct words always stay. A line goes if any line at an earlier place
@@ -411,7 +510,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 1, bloom_mb: int = 8, hot_rows
     """
     docs = docs.drop("n_lines", "n_removed")
     numbers, touched, key, cut = unused([*docs.columns, "n_lines", "n_removed"], "gone", "touched", "gone_id", "cut")
-    gone = save(removed_lines(docs, min_words, bloom_mb=bloom_mb, hot_rows=hot_rows), "gone")
+    gone = removed_lines(docs, min_words, bloom_mb=bloom_mb, hot_rows=hot_rows)
     lists = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(numbers))
     sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(gone.select(F.col("doc_id").alias("key")), bloom_mb))
 
