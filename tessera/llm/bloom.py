@@ -1,6 +1,6 @@
 """A Bloom filter over long keys: built by slices in tasks, broadcast to narrow what later passes move.
 
-It has 16 bits for each key, counted before, up to a size that is a parameter, so what is broadcast is bounded. It only saves work: a key it
+It has 32 bits for each key, counted before, up to a size that is a parameter, so what is broadcast is bounded. It only saves work: a key it
 wrongly reports costs time, never a result, so keys beyond that size are no error.
 """
 
@@ -17,7 +17,7 @@ from .tokens import mix
 
 SLICES = 64
 #: Bits of the filter for each key.
-BITS = 16
+BITS = 32
 
 
 class Bloom:
@@ -40,9 +40,9 @@ class Bloom:
         return (self.words[(key % np.uint64(SLICES)).astype(np.int64), at] & mask) == mask
 
 
-def bloom_filter(keys: DataFrame, megabytes: int = 64) -> Bloom:
-    """The filter of the long column ``key``, of at most ``megabytes``."""
-    words = max(1, min(megabytes << 17, max(1 << 14, keys.count() * BITS // 64)) // SLICES)
+def bloom_filter(keys: DataFrame, megabytes: int = 64, count: int | None = None) -> Bloom:
+    """The filter of the long column ``key``, of at most ``megabytes``; ``count`` is the number of keys or somewhat more, if that is known."""
+    words = max(1, min(megabytes << 17, max(1 << 14, (keys.count() if count is None else count) * BITS // 64)) // SLICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, Bloom] = {}

@@ -42,7 +42,9 @@ SALT_FROM = 16
 #: Distinct lines that a task knows before it sends their first places on.
 WINDOW_LINES = 1 << 19
 #: Bytes of text for each bucket beyond those that the session's partitions give.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
+#: Bytes of text whose lines are worked on at once.
+SLICE_BYTES = 2 << 20
 
 
 def least(size: np.ndarray) -> np.ndarray:
@@ -227,13 +229,13 @@ def removed_lines(
     """(doc_id, line): lines with at least ``min_words`` distinct words whose Jaccard with a line at an earlier place is 0.8 or more.
 
     Places are ordered by doc_id and line number; lines of one place (a repeated row's) don't remove each other. The result is a written
-    table. The filter of candidates has 16 bits for each up to ``bloom_mb``; with more of them, more sets move than need to, and the
+    table. The filter of candidates has 32 bits for each up to ``bloom_mb``; with more of them, more sets move than need to, and the
     result stays. Up to ``hot_words`` hot words are broadcast at once; with more, the texts are read once more for each such number.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = buckets or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    buckets = buckets or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     counted = save(count_words(docs, buckets), "words")
     _, _, often, counts = word_totals(counted, often_words)
     drop(counted)
@@ -267,7 +269,7 @@ def removed_lines(
             return blobs([(b, FIRST, places[:, order[s]].tobytes()) for b, s in cuts])
 
         for batch in batches:
-            for part in slices(batch, "text", 3 << 19):
+            for part in slices(batch, "text", SLICE_BYTES):
                 lines, doc_id = Lines.of(part.column("text")), part.column("doc_id").to_numpy()
                 one, later = lines.earliest(doc_id, np.arange(len(lines.name)))
                 at, known = window.find(lines.name[one])
@@ -357,7 +359,9 @@ def removed_lines(
         return pa.Table.from_batches([blobs(out)])
 
     met = save(docs.mapInArrow(post, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA), "met")
-    again = spark.sparkContext.broadcast(bloom_filter(met.where(F.col("kind") == CANDIDATE).mapInArrow(unfold(1, ("key",)), "key long"), bloom_mb))
+    candidates = met.where(F.col("kind") == CANDIDATE)
+    n = candidates.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)) / 8).first()[0]
+    again = spark.sparkContext.broadcast(bloom_filter(candidates.mapInArrow(unfold(1, ("key",)), "key long"), bloom_mb, int(n)))
     hot = met.where(F.col("kind") == HOT).mapInArrow(unfold(2, ("token", "n")), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows)
     hot = save(hot, "hot")
     passes = max(1, -(-hot.count() // hot_words))
@@ -387,7 +391,7 @@ def removed_lines(
     def repost(sent: Broadcast, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = Window()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 lines, doc_id = Lines.of(part.column("text")), part.column("doc_id").to_numpy()
                 one, _ = lines.earliest(doc_id, np.flatnonzero(again.value.has(lines.name >> np.uint64(24))))
                 if len(window.names) >= window_lines:
