@@ -12,6 +12,8 @@ from tessera.sources.shared import shared_path
 K1, B = 1.5, 0.75
 #: Distinct query terms, and rows of (query, term), that may be broadcast; beyond these Spark picks the join.
 BROADCAST_ROWS = 200_000
+#: Pairs of a query and a passage, and tokens, that one part holds at most about.
+SCORES, TOKENS = 250_000, 1_000_000
 
 # Words too common to rank by, English and Finnish.
 STOP_WORDS = (
@@ -25,6 +27,8 @@ MARKERS = {"en": "the and of to is was in for with that are by".split(), "fi": "
 
 
 _WORD, _CJK = r"[\p{L}\p{N}]+", r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+#: All signs of _CJK are among these; a plain range is looked through much faster than scripts.
+_HIGH = r"[\x{1100}-\x{10FFFF}]"
 #: Finnish words of this length or more are also indexed by their first letters, since endings and compounds change the rest.
 LONG_WORD, PREFIX = 8, 6
 
@@ -37,7 +41,7 @@ def tokens(text: Column, language: Column | None = None) -> Column:
     low = F.lower(text)
     plain = F.filter(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
     by_sign = F.regexp_extract_all(low, F.lit(_CJK + r"|[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+"), F.lit(0))
-    found = F.when(low.rlike(_CJK), F.filter(by_sign, lambda w: ((F.length(w) > 1) | w.rlike(_CJK)) & ~w.isin(STOP_WORDS))).otherwise(plain)  # most texts have no such sign
+    found = F.when(low.rlike(_HIGH) & low.rlike(_CJK), F.filter(by_sign, lambda w: ((F.length(w) > 1) | w.rlike(_CJK)) & ~w.isin(STOP_WORDS))).otherwise(plain)  # most texts have no such sign
     if language is None:
         return found
     longer = F.flatten(F.transform(found, lambda w: F.when(F.length(w) >= LONG_WORD, F.array(w, F.concat(F.lit("~"), F.substring(w, 1, PREFIX)))).otherwise(F.array(w))))
@@ -114,29 +118,43 @@ def bm25_part(weight: Column, tf: Column, length: Column, average: float) -> Col
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(doc_id, order, length, terms array<struct<term, tf>>): a passage's distinct tokens with their counts, made within its row, so nothing is shuffled."""
+    length = F.greatest(F.size("tokens"), F.lit(1)).cast("int").alias("length")
+    listed = chunks.select("doc_id", "order", length, F.sort_array(F.coalesce("tokens", F.array().cast("array<string>"))).alias("listed"))
+    ends = listed.withColumn("ends", F.array_compact(F.transform("listed", lambda w, i: F.when(~w.eqNullSafe(F.get("listed", i + 1)), i))))
+    terms = F.transform("ends", lambda e, i: F.struct(F.get("listed", e).alias("term"), (e - F.coalesce(F.get("ends", i - 1), F.lit(-1))).cast("int").alias("tf")))
+    return ends.select("doc_id", "order", "length", terms.alias("terms"))
+
+
+def parts_for(rows: float, of: int) -> int:
+    """Into how many parts rows are dealt, ``of`` in each."""
+    return int(min(max(-(-rows // of), 1), 10_000))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, top_k: int = 8) -> DataFrame:
     """(query_id, rank, doc_id, order, score): the ``top_k`` best passages with a positive score; ties keep the passages' order.
 
     ``queries`` has query_id and terms (array<string>; a term given twice counts twice), ``chunks`` doc_id, order and tokens. Tokens are
-    made once: those that some query has are counted by passage and written to the shared folder, with a row for each passage's length.
+    made once: their counts by passage are written to the shared folder, a row for each passage. A passage's row moves once for the counts of terms and once
+    for its scores, which are summed and ranked where it lies: only each part's ``top_k`` move on.
     For repeated searches ``inverted.PassageIndex`` reads no tokens at all.
     """
     spark = chunks.sparkSession
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
     small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
-    length = F.greatest(F.size("tokens"), F.lit(1)).alias("length")
-    each = chunks.select("doc_id", "order", length, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("tokens", F.array().cast("array<string>")))).alias("term"))
-    each = each.join(hint(wanted), "term", "left").where("wanted or term is null")
     path = shared_path(spark, "postings")
-    each.groupBy("doc_id", "order", "term", "length").agg(F.count(F.lit(1)).alias("tf")).write.parquet(path)
+    term_counts(chunks).write.parquet(path)
     counted = spark.read.parquet(path)
-    postings = counted.where("term is not null")
-    n, average = counted.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.try_divide(F.sum(F.col("length") * F.col("tf")), F.sum("tf"))).first()
+    n, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(parts_for(n * queries.count(), SCORES), parts_for(total, TOKENS))
+    each = counted.repartition(parts, "doc_id", "order").select("doc_id", "order", "length", F.inline("terms"))
+    each = each.join(hint(asked.select("term").distinct()), "term", "left_semi")
+    postings = each.groupBy("doc_id", "order", "length", "term").agg(F.sum("tf").alias("tf"))  # repeated passages
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").withColumn("idf", F.col("times") * inverse_frequency(F.lit(n), F.col("df")))
-    part = bm25_part(F.col("idf"), F.col("tf"), F.col("length"), average or 1.0)
+    part = bm25_part(F.col("idf"), F.col("tf"), F.col("length"), total / n if n else 1.0)
     scored = postings.join(hint(weighted), "term").groupBy("query_id", "doc_id", "order").agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "order")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "order", "score")
