@@ -6,6 +6,8 @@ boolean, any; ``string?`` and the like may be null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,22 +22,35 @@ def _kind(v: Column) -> Column:
     return F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("")), "^[A-Z]*", 0)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, not wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _problem(path: Column, what: str) -> Column:
     return F.array(F.concat(path, F.lit(f": {what}")))
 
 
+def _inside(schema: Schema, path: Column) -> Callable[[Column], Column]:
+    return lambda v: _problems(v, schema, path)
+
+
 def _problems(v: Column, schema: Schema, path: Column) -> Column:
     none = F.expr(_NONE)
     if isinstance(schema, dict):
-        inner = F.try_variant_get(v, "$", "map<string,variant>")
-        keys = F.array_sort(F.map_keys(inner))
         wanted = {k.removesuffix("?"): (s, k.endswith("?")) for k, s in schema.items()}
-        extra = F.transform(F.array_except(keys, F.array(*(F.lit(k) for k in wanted)).cast("array<string>")), lambda k: F.concat(path, F.lit("."), k, F.lit(": extra")))
-        parts = [extra]
-        for k, (s, optional) in wanted.items():
-            at = F.concat(path, F.lit(f".{k}"))
-            parts.append(F.when(F.array_contains(keys, k), _problems(F.element_at(inner, k), s, at)).otherwise(none if optional else _problem(at, "missing")))
-        return F.when(_kind(v) == "OBJECT", F.concat(*parts)).otherwise(_problem(path, "no object"))
+
+        def of(m: Column) -> Column:
+            inner, keys = m["inner"], F.array_sort(F.map_keys(m["inner"]))
+            extra = F.transform(F.array_except(keys, F.array(*(F.lit(k) for k in wanted)).cast("array<string>")), lambda k: F.concat(path, F.lit("."), k, F.lit(": extra")))
+            parts = [extra]
+            for k, (s, optional) in wanted.items():
+                at = F.concat(path, F.lit(f".{k}"))
+                own = _once(F.element_at(inner, k), _inside(s, at))
+                parts.append(F.when(F.map_contains_key(inner, F.lit(k)), own).otherwise(none if optional else _problem(at, "missing")))
+            return F.concat(*parts)
+
+        return F.when(_kind(v) == "OBJECT", _once(F.struct(F.try_variant_get(v, "$", "map<string,variant>").alias("inner")), of)).otherwise(_problem(path, "no object"))
     if isinstance(schema, list):
         each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _problems(x, schema[0], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
         return F.when(_kind(v) == "ARRAY", F.flatten(each)).otherwise(_problem(path, "no list"))
@@ -53,5 +68,4 @@ def json_problems(text: Column, schema: Schema) -> Column:
 
     Texts that are no JSON, null ones too, have one problem. Of keys given twice in one object the whole text is refused.
     """
-    v = F.try_parse_json(text)
-    return F.when(v.isNull(), _problem(F.lit("$"), "no JSON")).otherwise(_problems(v, schema, F.lit("$")))
+    return _once(F.try_parse_json(text), lambda v: F.when(v.isNull(), _problem(F.lit("$"), "no JSON")).otherwise(_problems(v, schema, F.lit("$"))))

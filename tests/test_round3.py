@@ -4,8 +4,11 @@ import re
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from tessera import catalogue
-from tessera.operators import retrieval
+from tessera.functions.model_json import json_problems
+from tessera.operators import markdown, retrieval
 from tessera.operators.inverted import PassageIndex
 
 
@@ -37,3 +40,21 @@ def test_counts_of_terms_in_a_row(spark):
     rows = [(1, 0, ["b", "a", "b", "é", "b"]), (2, 0, []), (3, 0, None), (4, 0, ["x"])]
     got = retrieval.term_counts(spark.createDataFrame(rows, "doc_id long, order int, tokens array<string>")).collect()
     assert {r.doc_id: (r.length, [tuple(t) for t in r.terms]) for r in got} == {1: (5, [("a", 1), ("b", 3), ("é", 1)]), 2: (1, []), 3: (1, []), 4: (1, [("x", 1)])}
+
+
+def test_model_json_is_parsed_once(spark):
+    schema = {"a": "string", "b": [{"c": "integer"}], "d?": "any"}
+    assert json_problems(F.col("t"), schema)._jc.toString().count("parse_json") == 1
+    rows = spark.createDataFrame([('{"a":1,"b":[{"c":1},{"c":"x","e":2}]}',), ("[",), (None,), ("3",), ('{"b":null,"d":{}}',)], "t string")
+    assert [r.p for r in rows.select(json_problems(F.col("t"), schema).alias("p")).collect()] == [
+        ["$.a: no string", "$.b[1].e: extra", "$.b[1].c: no integer"], ["$: no JSON"], ["$: no JSON"], ["$: no object"], ["$.a: missing", "$.b: no list"],
+    ]
+
+
+def test_markdown_parts_follow_the_texts(spark, monkeypatch):
+    """Windows over lines run in parts by the texts' size, not by how many bytes a shuffle has packed."""
+    monkeypatch.setattr(markdown, "PART", 1000)
+    docs = spark.createDataFrame([(d, "# Title\n\n- one\n- two") for d in range(100)], "doc_id long, text string")
+    found = markdown.blocks(docs)
+    assert "hashpartitioning(doc_id" in (plan := found._jdf.queryExecution().toString()) and "REPARTITION_BY_NUM" in plan
+    assert found.count() == 200
