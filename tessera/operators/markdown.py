@@ -9,6 +9,8 @@ from tessera.functions.texts import row_cells
 
 RULE = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$"
 _INLINE = r"\*\*[^*]+\*\*|__[^_]+__|`[^`]+`|\*[^*\s][^*]*\*|_[^_\s][^_]*_"
+#: Characters of text whose lines one part holds about: the windows' memory is that of a part, however large the input is.
+PART = 4_000_000
 _LEVELS = ("section", "subsection", "subsubsection", "paragraph", "subparagraph", "subparagraph")
 
 
@@ -24,6 +26,8 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     A table needs a line of dashes after its first; text between ``` lines is code. Blank lines and rules only divide.
     """
+    size = docs.agg(F.coalesce(F.sum(F.length(text) + 100), F.lit(0))).first()[0]  # a document has its lines' rows besides
+    docs = docs.select(key, text).repartition(max(1, -(-size // PART)), key)
     lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("n", "line")).withColumn("bare", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
     order = Window.partitionBy(key).orderBy("n")
     lines = lines.withColumn("fence", F.col("bare").startswith("```")).withColumn("open", F.sum(F.col("fence").cast("int")).over(order) % 2 == 1)
