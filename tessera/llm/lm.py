@@ -2,20 +2,23 @@
 
 Training texts' n-grams up to order three are counted exactly. Every count, of one too, enters the filter as its logarithmic level q: the n-gram is inserted
 with each of 1..q, and a lookup probes 1, 2, ... until the first miss. The filter is built in parts, one for each bucket of n-grams, in the
-tasks that count the bucket, and parts are broadcast to the workers in rounds of bounded size. Probabilities are
-interpolated with absolute discounting from the probed counts.
+tasks that count the bucket. A small filter is broadcast; to the parts of a larger one the n-grams of all texts are dealt by bucket, each once a
+chunk of texts, and the levels found go back to the chunk. Probabilities are interpolated with absolute discounting from the probed counts.
 """
 
 from __future__ import annotations
 
+import gc
 import pickle
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learn import fold
@@ -33,6 +36,8 @@ AFTER = AFTER_1
 DISCOUNT = 0.75
 #: Bytes of text for each bucket of n-grams, and bytes of the filter that the driver collects at once.
 BUCKET_BYTES, COLLECT_BYTES = 4 << 20, 8 << 20
+#: N-grams are counted in so many ranges of buckets, and texts probe in so many slices, one after the other: shuffles hold a share of the keys.
+RANGES, TEXT_SLICES = 2, 4
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 #: Values that level 0, 1, 2, ... stand for: the geometric middle of the integers that have it.
 VALUE = np.concatenate([[0.0], [float(np.exp(np.log(ints).mean())) if len(ints := np.arange(np.ceil(LEVEL_BASE ** (q - 1)), LEVEL_BASE**q)) else LEVEL_BASE ** (q - 1) for q in range(1, 25)], LEVEL_BASE ** (np.arange(25, LEVELS + 1) - 0.5)])
@@ -145,13 +150,20 @@ def counted_sorted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[head], np.diff(head, append=len(names))
 
 
-def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 3 << 19) -> DataFrame:
+def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int = 3 << 19, own: tuple[int, int] | None = None) -> DataFrame:
     """(bucket, kind, blob): by bucket a filter part, the exact word counts, and by bucket of contexts the discounted counts that follow a word.
+    Only buckets from ``own[0]`` to below ``own[1]``, if that is given.
 
     Trigrams are dealt by the two words before, so what follows these adds up in their bucket and goes into its part. Bigrams are dealt
     one by one, since a frequent word has very many; their sums by the word before meet in ``context_parts``.
     """
 
+    least, beyond = own or (0, buckets)
+
+    def inside(names: np.ndarray) -> np.ndarray:
+        at = bucket_of(names, buckets)
+        return names[(at >= least) & (at < beyond)]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], []]
 
@@ -160,8 +172,6 @@ def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int
                 names = np.concatenate(held[kind])
                 held[kind].clear()
                 rows = []
-                if kind == TRI:
-                    names = unmix(names)
                 for row in encoded(*counted_sorted(names), bucket_edges(buckets), kind):
                     rows.append(row)
                     if len(rows) == 64:
@@ -173,9 +183,11 @@ def count_ngrams(docs: DataFrame, buckets: int, context_buckets: int, flush: int
         size = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for own, names in zip(held, keys(*sequence(Words(part.column("text")))[:3]), strict=True):
-                    own.append(names)
-                size += len(held[0][-1])
+                token, one, two, _ = sequence(Words(part.column("text")))
+                pair, triple = plain_keys(token, one, two)
+                for some, names in zip(held, (mix(token), mix(pair), triple), strict=True):
+                    some.append(inside(names))
+                size += len(token)
                 if size >= flush:
                     yield from out()
                     size = 0
@@ -341,14 +353,13 @@ def log_probability(first: np.ndarray, levels: np.ndarray, n: int, v: int, texts
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 192, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
+    docs: DataFrame, folds: int = 10, held_out: int = 0, often_words: int = 1 << 20, round_mb: int = 32, damping: tuple[float, float] = (8.0, 1.0), buckets: int | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
     Texts (null: empty) of the fold ``held_out`` (crc32 of the id as text, modulo ``folds``) are not learned from. Words are told apart by
-    64-bit hashes. score comes from probes of the filter alone. base_score has exact counts: those of the ``often_words`` most
-    frequent words are broadcast, the other words' join by bucket. The filter is broadcast in rounds of at most ``round_mb``; each
-    round writes the levels it found, and these meet at the end. Words not seen in training get the smoothed mass of a count of zero.
+    64-bit hashes. score comes from probes of the filter alone. A filter of at most ``round_mb`` is broadcast, with exact counts of the ``often_words`` most
+    frequent words for base_score, whose other words join by bucket. Keys of the texts go to the parts of a larger one. Words not seen in training get the smoothed mass of a count of zero.
     Repeated rows are scored each, extra columns ignored, an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -357,55 +368,219 @@ def score_texts(
     texts, size = docs.agg(F.coalesce(F.count_if(~F.col("held_out")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     # a bucket's work is one task's, so buckets grow with the texts; those of single words, which every bucket writes to, with the words alone
     buckets, context_buckets = buckets or max(16, 4 * partitions, size // BUCKET_BYTES), max(16, size // BUCKET_BYTES // 64)
-    counted = save(count_ngrams(docs.where(~F.col("held_out")).select("text"), buckets, context_buckets), "ngrams")
+    tables = []
+    for k in range(RANGES):
+        own = k * buckets // RANGES, (k + 1) * buckets // RANGES
+        tables.append(save(count_ngrams(docs.where(~F.col("held_out")).select("text"), buckets, context_buckets, own=own), "ngrams"))
+        free_shuffles(spark)
+    counted = reduce(DataFrame.unionByName, tables)
     contexts = save(context_parts(counted, buckets), "contexts")
     counts = save(counted.where(F.col("kind") == COUNTS), "words")
-    n, v, often, often_counts = word_totals(counts, often_words)
     parts = counted.where(F.col("kind") == FILTER).select("bucket", "blob").unionByName(contexts.select("bucket", "blob"))
     sizes = {r.bucket: r.size for r in parts.select("bucket", F.length("blob").alias("size")).collect()}
-    rounds = grouped(sizes, round_mb << 20)
-    # rows that are alike have the same levels, so these are named by what the row holds
-    docs = docs.withColumn("name", F.xxhash64("doc_id", "text")).withColumn("more", F.xxhash64("text", F.lit(1)))
-    spark.sparkContext._jvm.System.gc()  # files of shuffles that nothing refers to go when the driver collects garbage
-    found = []
-    for k, own in enumerate(rounds):
-        begin, size = np.zeros(buckets + context_buckets, np.int64), np.zeros(buckets + context_buckets, np.int64)
-        lengths = np.array([sizes[b] // 8 for b in own], np.int64)
-        begin[own], size[own] = np.cumsum(lengths) - lengths, lengths
-        room, words = filter_room(int(lengths.sum()))
-        for some in grouped({b: sizes[b] for b in own}, COLLECT_BYTES) if own else ():
-            table = parts.where(F.col("bucket").between(some[0], some[-1])).toArrow()
-            for b, blob in zip(table.column("bucket").to_pylist(), table.column("blob"), strict=True):
-                words[begin[b] : begin[b] + size[b]] = np.frombuffer(blob.as_buffer(), np.uint64)
-            del table, blob
-            give_back()
-        n_words, none = len(words), np.zeros(0, np.uint64)
-        del words
-        sent = spark.sparkContext.broadcast(room), spark.sparkContext.broadcast(Model(none, begin, size, bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping, texts)), n_words
-        del room
-        if k + 1 < len(rounds):
-            found.append(save(docs.select("name", "more", "text").mapInArrow(probing(sent), "name long, more long, levels binary"), "levels"))
-        else:
-            scored = save(docs.mapInArrow(scoring(sent, buckets, len(rounds) == 1), "rid long, name long, more long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, levels binary, bucket int, kind int, blob binary"), "scores")
-        sent[0].destroy()
-        sent[1].destroy()
-    drop(counted)
-    drop(contexts)
-    rows = scored.where("rid is not null")
-    if found:
-        levels = rows.select("name", "more", "levels", "n_tokens")
-        for table in found:
-            levels = levels.unionByName(table, allowMissingColumns=True)
-        levels = levels.groupBy("name", "more").agg(F.collect_set("levels").alias("levels"), F.max("n_tokens").alias("n_tokens"))
-        rows = rows.drop("score").join(levels.mapInArrow(highest(n, v, texts, damping), "name long, more long, score double"), ["name", "more"])
+    sent = sum(sizes.values()) <= round_mb << 20
+    n, v, often, often_counts = word_totals(counts, often_words if sent else 0)
+    if sent:
+        scored = by_broadcast(docs, parts, sizes, counts, Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), bucket_edges(buckets), bucket_edges(context_buckets), often, often_counts, n, v, damping, texts))
+    else:
+        scored = by_chunks(docs, parts, counts, buckets, context_buckets, n, v, texts, damping)
+    for table in (*tables, contexts):
+        drop(table)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Files of shuffles that nothing refers to go when the driver collects garbage; what the last call returned is held until the next one."""
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def by_broadcast(docs: DataFrame, parts: DataFrame, sizes: dict[int, int], counts: DataFrame, model: Model) -> DataFrame:
+    """Scores from a filter that the workers get as a whole; counts of words that aren't among the frequent ones join by bucket."""
+    spark, own, buckets, n, v = docs.sparkSession, sorted(sizes), len(model.edges) + 1, model.n, model.v
+    begin, size = (np.zeros(buckets + len(model.context_edges) + 1, np.int64) for _ in range(2))
+    lengths = np.array([sizes[b] // 8 for b in own], np.int64)
+    begin[own], size[own] = np.cumsum(lengths) - lengths, lengths
+    room, words = filter_room(int(lengths.sum()))
+    for some in grouped(sizes, COLLECT_BYTES) if own else ():
+        table = parts.where(F.col("bucket").between(some[0], some[-1])).toArrow()
+        for b, blob in zip(table.column("bucket").to_pylist(), table.column("blob"), strict=True):
+            words[begin[b] : begin[b] + size[b]] = np.frombuffer(blob.as_buffer(), np.uint64)
+        del table, blob
+        give_back()
+    n_words = len(words)
+    del words
+    sent = spark.sparkContext.broadcast(room), spark.sparkContext.broadcast(replace(model, begin=begin, size=size)), n_words
+    del room
+    scored = save(docs.mapInArrow(scoring(sent, buckets), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, kind int, blob binary"), "scores")
+    sent[0].destroy()
+    sent[1].destroy()
     rare = scored.where("rid is null").select("bucket", "kind", "blob").unionByName(counts)
     known = rare.groupBy("bucket").applyInArrow(rare_counts(n, v), "rid long, base double, n_known long").groupBy("rid").agg(F.sum("base").alias("rare_base"), F.sum("n_known").alias("rare_known"))
-    return rows.join(known, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
+    return scored.where("rid is not null").join(known, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score"
     )
 
 
+def by_chunks(docs: DataFrame, parts: DataFrame, counts: DataFrame, buckets: int, context_buckets: int, n: int, v: int, texts: int, damping: tuple[float, float]) -> DataFrame:
+    """Scores from a filter that stays where it is: the keys of a chunk of texts go to their parts, and the levels come back to the chunk.
+
+    What is moved grows with the texts alone, and no task holds more than a bucket or a chunk.
+    """
+    kept = parts.withColumn("kind", F.lit(FILTER)).unionByName(counts.select("bucket", "blob", "kind")).select(F.col("bucket").cast("long"), F.lit(None).cast("long").alias("chunk"), "kind", "blob")
+    cut, found = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(TEXT_SLICES)), []
+    for k in range(TEXT_SLICES):
+        asked = docs.where(cut == k).mapInArrow(asking(buckets, context_buckets), _ASKED)
+        answered = asked.unionByName(kept).groupBy("bucket").applyInArrow(answering(), _ASKED)
+        scored = answered.groupBy("chunk").applyInArrow(chunk_scores(n, v, texts, damping), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        found.append(save(scored, "scores"))
+        del asked, answered, scored
+        free_shuffles(docs.sparkSession)
+    return reduce(DataFrame.unionByName, found)
+
+
+TEXTS = 13
+_ASKED = "bucket long, chunk long, kind int, blob binary"
+
+
+def asked_rows(bucket: list[int], chunk: list[int], kind: list[int], blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "chunk", "kind", "blob"])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers with bytes of one place together, which the shuffle's compression likes."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(blobs: list[bytes], kind: type) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T) for b in blobs]).view(kind).ravel() if blobs else np.zeros(0, kind)
+
+
+def chunk_keys(token: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """What tokens are looked up by: words, bigrams, trigrams (which their context goes with), and the contexts of one word."""
+    pair, triple = plain_keys(token, one, two)
+    yield UNI, mix(token)
+    yield BI, mix(pair)
+    yield AFTER, mix((pair >> np.uint64(32)) ^ _SALT[AFTER_1])
+    del pair
+    yield TRI, triple
+
+
+def asking(buckets: int, context_buckets: int, flush: int = 1 << 20):
+    """Rows of chunks of texts: by bucket the distinct keys that are looked up there, and the chunk's texts under a number of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size, sink, writer, held = TaskContext.get().partitionId() << 32, 0, None, None, {}
+        edges = {kind: bucket_edges(context_buckets if kind == AFTER else buckets) for kind in (UNI, BI, AFTER, TRI)}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            writer.close()
+            yield asked_rows([-1 - chunk], [chunk], [TEXTS], [sink.getvalue().to_pybytes()])
+            for kind in list(held):
+                names, _ = counted_sorted(np.concatenate(held.pop(kind)))
+                at = np.concatenate([[0], np.searchsorted(names, edges[kind]), [len(names)]])
+                some = np.flatnonzero(np.diff(at))
+                for few in np.array_split(some, -(-len(some) // 64)):
+                    yield asked_rows((few + (buckets if kind == AFTER else 0)).tolist(), [chunk] * len(few), [kind] * len(few), [planes(names[at[b] : at[b + 1]]) for b in few.tolist()])
+            give_back()
+
+        for batch in batches:
+            for part in slices(batch.select(["doc_id", "held_out", "text"]), "text"):
+                if writer is None:
+                    writer = pa.ipc.new_stream(sink := pa.BufferOutputStream(), part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                writer.write_batch(part)
+                token, one, two, _ = sequence(Words(part.column("text")))
+                for kind, names in chunk_keys(token, one, two):
+                    held.setdefault(kind, []).append(counted_sorted(names)[0] if kind in (UNI, AFTER) else names)
+                size += len(token)
+                if size >= flush:
+                    yield from out()
+                    chunk, size, writer = chunk + 1, 0, None
+        if size:
+            yield from out()
+
+    return run
+
+
+def answering():
+    """A bucket's keys meet its part of the filter: levels in the keys' order, with exact counts for words and the level of its context for each trigram."""
+
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        bucket, chunk, kind, blob = (rows.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "blob"))
+        if group[0].as_py() < 0:
+            return rows
+        by = {k: [i for i, x in enumerate(kind) if x == k] for k in set(kind)}
+        words = np.frombuffer(blob[by[FILTER][0]], np.uint64) if FILTER in by else np.zeros(0, np.uint64)
+        none, out, order = np.zeros(0, np.uint64), [], []
+        part = Model(words, np.zeros(1, np.int64), np.array([len(words)]), none, none, none, none, 0, 0, (0.0, 0.0))
+        level_of = lambda key, k: part.probe(key, k, np.zeros(len(key), np.int64))
+        for k in (UNI, BI, AFTER, TRI):
+            if k not in by:
+                continue
+            own = [blob[i] for i in by[k]]
+            key, ends = unplaned(own, np.uint64), np.cumsum([len(b) // 8 for b in own])
+            if k == TRI:
+                head = np.concatenate([[True], (key[1:] ^ key[:-1]) >> np.uint64(32) != 0])
+                found = [level_of(mix(key), TRI), level_of(mix((key[head] >> np.uint64(32)) ^ _SALT[AFTER_2]), AFTER)[np.cumsum(head) - 1]]
+            else:
+                found = [level_of(key, k)]
+            if k == UNI:
+                names, number = np.frombuffer(blob[by[COUNTS][0]], np.int64).reshape(2, -1) if COUNTS in by else np.zeros((2, 0), np.int64)
+                names, at = names.view(np.uint64), np.minimum(np.searchsorted(names.view(np.uint64), key), max(len(names) - 1, 0))
+                count = np.where(names[at] == key, number[at], 0) if len(names) else np.zeros(len(key), np.int64)
+            for i, s, e in zip(by[k], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out.append(b"".join(x[s:e].tobytes() for x in found) + (planes(count[s:e]) if k == UNI else b""))
+                order.append(i)
+        del blob, rows
+        give_back()
+        return pa.Table.from_batches([asked_rows([bucket[i] for i in order], [chunk[i] for i in order], [kind[i] for i in order], out)])
+
+    return run
+
+
+def chunk_scores(n: int, v: int, texts: int, damping: tuple[float, float]):
+    """Scores of a chunk's texts, whose keys are sorted once more, from the levels that came back for them."""
+
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        kind, bucket = rows.column("kind").to_numpy(), rows.column("bucket").to_numpy()
+        blob = rows.column("blob").to_pylist()
+        of = lambda k: [blob[i] for i in np.flatnonzero(kind == k)[np.argsort(bucket[kind == k])].tolist()]
+        joined = lambda pieces: np.frombuffer(b"".join(pieces), np.int8)
+        table = pa.ipc.open_stream(of(TEXTS)[0]).read_all()
+        runs = [sequence(Words(x)) for x in table.column("text").chunks]
+        starts = np.cumsum([0, *(len(r[0]) for r in runs)])
+        firsts = [r[3] for r in runs]
+        token, one, two = (np.concatenate([r[i] for r in runs]) for i in range(3))
+        del runs
+        levels = np.zeros((5, len(token)), np.int8)
+        for k, key in chunk_keys(token, one, two):
+            names, inverse = np.unique(key, return_inverse=True)
+            got = of(k)
+            if k == UNI:
+                levels[0] = joined([b[: len(b) // 9] for b in got])[inverse]
+                exact = unplaned([b[len(b) // 9 :] for b in got], np.int64)[inverse]
+            elif k == TRI:
+                levels[2], levels[4] = (joined(x)[inverse] for x in zip(*((b[: len(b) // 2], b[len(b) // 2 :]) for b in got), strict=True))
+            else:
+                levels[1 if k == BI else 3] = joined(got)[inverse]
+            del names, inverse, key
+        n_tokens, known, base, score = [], [], [], []
+        for s, e, first in zip(starts[:-1], starts[1:], firsts, strict=True):
+            count = exact[s:e]
+            n_tokens.append(np.diff(first))
+            known.append(np.add.reduceat((count > 0).astype(np.int64), first[:-1]))
+            base.append(np.add.reduceat(np.log10((count + 0.1) / (n + 0.1 * (v + 1))), first[:-1]))
+            score.append(np.add.reduceat(log_probability(first, levels[:, s:e], n, v, texts, damping), first[:-1]))
+        out = pa.table([table.column("doc_id"), table.column("held_out"), *(pa.array(np.concatenate(x)) for x in (n_tokens, known, base, score))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        del token, one, two, levels, exact, blob, rows
+        give_back()
+        return out
+
+    return run
+
+
 def grouped(sizes: dict[int, int], room: int) -> list[list[int]]:
     """The buckets in order, in groups of up to ``room`` bytes; one group at least."""
     out, left = [[]], room
@@ -454,40 +629,8 @@ def received(sent: tuple[Broadcast, Broadcast, int]) -> Model:
     return replace(sent[1].value, words=shared_filter(sent[0], sent[2]))
 
 
-def probing(sent: tuple[Broadcast, Broadcast, int]):
-    """The levels that a round's part of the filter gives the tokens of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = received(sent)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                token, one, two, first = sequence(Words(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("name"), part.column("more"), by_text(model.levels(token, one, two), first)], ["name", "more", "levels"])
-
-    return run
-
-
-def by_text(levels: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Each text's levels, compressed: most are 0 where several rounds share the filter."""
-    return pa.array([pa.compress(np.ascontiguousarray(levels[:, s:e]), "zstd", asbytes=True) for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())
-
-
-def highest(n: int, v: int, texts: int, damping: tuple[float, float]):
-    """Scores from the levels of all rounds; each token's n-grams are in one round's parts and have level 0 in the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = []
-            for rounds, size in zip(batch.column("levels").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-                levels = np.maximum.reduce([np.frombuffer(pa.decompress(x, 5 * size, "zstd"), np.int8).reshape(5, -1) for x in rounds])
-                score.append(float(log_probability(np.array([0, levels.shape[1]]), levels, n, v, texts, damping).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("more"), pa.array(score, pa.float64())], ["name", "more", "score"])
-
-    return run
-
-
-def scoring(sent: tuple[Broadcast, Broadcast, int], buckets: int, whole: bool, flush: int = 1 << 19):
-    """Scores of each text (levels, if not ``whole``), with the base score over frequent words, and by bucket the rare words that the rest of it needs."""
+def scoring(sent: tuple[Broadcast, Broadcast, int], buckets: int, flush: int = 1 << 19):
+    """Scores of each text, with the base score over frequent words, and by bucket the rare words that the rest of it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rid, held = received(sent), TaskContext.get().partitionId() << 36, []
@@ -495,7 +638,7 @@ def scoring(sent: tuple[Broadcast, Broadcast, int], buckets: int, whole: bool, f
 
         def rows(**columns) -> pa.RecordBatch:
             size = len(next(iter(columns.values())))
-            types = {"rid": pa.int64(), "name": pa.int64(), "more": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "levels": pa.binary(), "bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
+            types = {"rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
             return pa.RecordBatch.from_arrays([columns[c] if c in columns and isinstance(columns[c], pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()], list(types))
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -516,8 +659,8 @@ def scoring(sent: tuple[Broadcast, Broadcast, int], buckets: int, whole: bool, f
                 names = rid + np.arange(part.num_rows)
                 rid += part.num_rows
                 yield rows(
-                    rid=names, name=part.column("name"), more=part.column("more"), doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=np.diff(first), n_known=np.add.reduceat((exact > 0).astype(np.int64), first[:-1]),
-                    base=np.add.reduceat(own, first[:-1]), **({"score": np.add.reduceat(model.log_probability(first, levels), first[:-1])} if whole else {"levels": by_text(levels, first)}),
+                    rid=names, doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=np.diff(first), n_known=np.add.reduceat((exact > 0).astype(np.int64), first[:-1]),
+                    base=np.add.reduceat(own, first[:-1]), score=np.add.reduceat(model.log_probability(first, levels), first[:-1]),
                 )
                 rare = np.flatnonzero(exact == 0)
                 held.append((mix(token[rare]), np.repeat(names, np.diff(first))[rare]))

@@ -110,3 +110,12 @@ def test_filter_is_mapped_from_the_broadcast(spark):
     words[:] = 7
     sent = spark.sparkContext.broadcast(small)
     assert shared_filter(sent, 3).tolist() == [7, 7, 7] and shared_filter(sent, 0).tolist() == []
+
+
+def test_large_filters_are_not_broadcast(spark, sf_dir, monkeypatch):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").limit(60).cache()
+    docs.count()
+    sent = []
+    monkeypatch.setattr("pyspark.core.context.SparkContext.broadcast", lambda self, value: sent.append(value) or 1 / 0)
+    got = score_texts(docs, round_mb=0).count()
+    assert got == 60 and not sent  # rounds over the whole table, one for each piece of the filter, aren't needed
