@@ -15,6 +15,14 @@ from tessera.llm.quality import quality_scores
 from tessera.llm.scratch import read, scratch_path, unused
 from tessera.llm.simhash import simhash_components
 
+#: Rows are whole texts: batches for Python end at so many bytes (Arrow's own limits are 10,000 rows and 64 MB, in the JVM and again in Python).
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's limit; it holds when a stage's result is written."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier accepts.
@@ -22,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts get the score of no words and stay or go by it; rows repeated under an id are judged each by their own text. An
     empty table gives an empty one.
     """
+    small_batches(spark)
     return quality_scores(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
 
 
@@ -31,6 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null, blank lines stay, documents without an id are left alone; rows repeated under an id lose the same lines.
     n_chars, if there is such a column, is counted anew for changed texts.
     """
+    small_batches(spark)
     done = dedup_lines(docs, min_words=1)
     done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
@@ -44,6 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts are one group, with all texts of the same fingerprint; rows repeated under the kept id stay as often as they
     came, and so do rows without an id.
     """
+    small_batches(spark)
     groups = simhash_components(docs)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -62,6 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all into sequences of 2048 tokens; null and empty texts are their end mark alone, longer texts are cut into pieces."""
+    small_batches(spark)
     return pack(docs)
 
 

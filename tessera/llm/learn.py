@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Slices of a table in a batch that leaves a task.
+SENT = 16
+
 
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
@@ -52,11 +55,15 @@ def sum_tables(parts: DataFrame, kind: type, salts: int = 32) -> list[tuple[int,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple, np.ndarray] = {}
             for batch in batches:
-                for k, cells in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), batch.column("cells").to_pylist(), strict=True):
-                    sums[k] = sums[k] + np.frombuffer(cells, kind) if k in sums else np.frombuffer(cells, kind).astype(np.float64)
-            if sums:
-                keys = list(sums)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array([sums[k].tobytes() for k in keys])], ["slice", "salt", "cells"])
+                rows, cells = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True)), batch.column("cells")
+                for k, value in zip(rows, cells, strict=True):
+                    if k not in sums:
+                        sums[k] = np.zeros(len(value.as_buffer()) // np.dtype(kind).itemsize)
+                    sums[k] += np.frombuffer(value.as_buffer(), kind)
+            keys = list(sums)
+            for at in range(0, len(keys), SENT):
+                few = keys[at : at + SENT]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in few], pa.int32()), pa.array([0] * len(few), pa.int32()), pa.array([sums.pop(k).tobytes() for k in few])], ["slice", "salt", "cells"])
 
         return run
 

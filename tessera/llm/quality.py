@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .learn import Adam, class_rate, fold, labelled_sample, sigmoid, sum_tables, temperature
+from .learn import SENT, Adam, class_rate, fold, labelled_sample, sigmoid, sum_tables, temperature
 from .scratch import unused
 from .tokens import Words, mix, slices
 
 ENTRIES, SLICE, DIM, NONZERO = 1 << 16, 256, 48, 6
+#: Words whose vectors are gathered at once.
+BLOCK = 1 << 14
 
 _UPPER, _LOWER, _DIGIT, _MARK = ((np.isin(np.arange(256), np.frombuffer(chars, np.uint8))) for chars in (bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
@@ -50,7 +52,7 @@ def word_vectors(docs: DataFrame, seed: int) -> np.ndarray:
     """(ENTRIES, DIM) unit vectors from the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(ENTRIES * DIM)
+        table = np.zeros(ENTRIES * DIM, np.int32)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"), lower=False)
@@ -63,14 +65,15 @@ def word_vectors(docs: DataFrame, seed: int) -> np.ndarray:
                 context = [(together, together + 1, h), (together + 1, together, h), (every, every, ~shapes(words, h).astype(np.uint64))]
                 for own, other, keys in context:
                     names, inverse = np.unique(keys, return_inverse=True)
+                    row, key = to[own], inverse[other]
                     place, sign = index_vectors(names, seed)
-                    for p, s in zip(place, sign, strict=True):
-                        table += np.bincount(to[own] + p[inverse[other]], s[inverse[other]], minlength=len(table))
-        blocks = table.astype(np.int32).reshape(ENTRIES // SLICE, -1)
+                    for p, s in zip(place, sign.astype(np.int32), strict=True):
+                        np.add.at(table, row + p[key], s[key])  # in place: the table is far larger than a part's words
+        blocks = table.reshape(ENTRIES // SLICE, -1)
         some = np.flatnonzero(blocks.any(1))
-        if len(some):
-            salt = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([salt] * len(some), pa.int32()), pa.array([blocks[b].tobytes() for b in some])], ["slice", "salt", "cells"])
+        salt = TaskContext.get().partitionId()
+        for few in np.array_split(some, -(-len(some) // SENT)) if len(some) else ():
+            yield pa.RecordBatch.from_arrays([pa.array(few.astype(np.int32)), pa.array([salt] * len(few), pa.int32()), pa.array([blocks[b].tobytes() for b in few])], ["slice", "salt", "cells"])
 
     total = np.zeros((ENTRIES // SLICE, SLICE * DIM))
     for at, cells in sum_tables(docs.select(F.col("text").cast("string")).mapInArrow(run, "slice int, salt int, cells binary"), np.int32):
@@ -85,8 +88,17 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     own = (words.hashes() % np.uint64(ENTRIES)).astype(np.int64)
     out = np.zeros((len(column), DIM + 1))
     some = np.flatnonzero(words.count)
-    if len(some):
-        out[some, :DIM] = np.add.reduceat(vectors[own], words.first[some], axis=0, dtype=np.float64) / words.count[some, None]
+    first, end = words.first[some], words.first[some + 1]
+    k = 0
+    while k < len(some):
+        to = max(k + 1, int(np.searchsorted(end, first[k] + BLOCK, "right")))
+        if end[to - 1] - first[k] <= BLOCK:
+            out[some[k:to], :DIM] = np.add.reduceat(vectors[own[first[k] : end[to - 1]]], first[k:to] - first[k], axis=0, dtype=np.float64)
+        else:  # a long text alone
+            for at in range(first[k], end[k], BLOCK):
+                out[some[k], :DIM] += vectors[own[at : min(at + BLOCK, end[k])]].sum(0, dtype=np.float64)
+        k = to
+    out[some, :DIM] /= words.count[some, None]
     out[:, DIM] = np.log1p(words.count) / 10
     return out
 

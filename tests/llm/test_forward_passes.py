@@ -1,6 +1,7 @@
 """The classifiers word by word and position by position, and the pipeline's stages against slow versions of their rules."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import quality, toxicity
+from tessera.llm import learn, quality, toxicity
 from tessera.llm.scratch import read, save
 from tessera.llm.tokens import Words
 from tests.llm.test_operators import SPACE, brute_fingerprint, components
@@ -152,3 +153,45 @@ def test_packing_stage_by_tokens(stages):
         held.sort()
         assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 2048
     assert len(bins) <= 1 + 1.02 * sum(r.length for r in rows) / 2048
+
+
+def test_quality_gathers_vectors_in_blocks(monkeypatch):
+    """Pooling holds the vectors of a block of words, not of a slice or a long text, and blocks don't change the means."""
+    vectors = np.random.default_rng(3).standard_normal((quality.ENTRIES, quality.DIM)).astype(np.float32)
+    long = pa.array(["a b c " * 60_000, None, "x y"])
+    quality.pooled(long, vectors)  # tables of powers stay
+    tracemalloc.start()
+    whole = quality.pooled(long, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    texts = pa.array(["", "a b c d e f g", "a b c d e f g h i", None, "one", "x " * 15, "q r"])
+    got = quality.pooled(texts, vectors)
+    assert quality.pooled(long, vectors)[2] == pytest.approx(whole[2])
+    for row, text in zip(got, texts.to_pylist(), strict=True):
+        ws = said(text)
+        own = [vectors[int(Words(pa.array([w]), lower=False).hashes()[0]) % quality.ENTRIES] for w in ws]
+        assert row[: quality.DIM] == pytest.approx(np.mean(own, axis=0, dtype=np.float64) if ws else np.zeros(quality.DIM))
+
+
+def test_tables_leave_tasks_in_small_batches(spark):
+    """sum_tables adds up all parts' slices, more of them than a batch takes."""
+    n = 3 * learn.SENT + 1
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([k] * n, pa.int32()), pa.array([np.array([s, k], np.int32).tobytes() for s in range(n)])], ["slice", "salt", "cells"])
+
+    sums = dict(learn.sum_tables(spark.range(40).mapInArrow(run, "slice int, salt int, cells binary"), np.int32))
+    assert {s: x.tolist() for s, x in sums.items()} == {s: [40 * s, 780] for s in range(n)}
+
+
+def test_stages_bound_batches_by_bytes(spark, sf_dir):
+    """A stage's tasks get batches of few bytes, however long the texts are."""
+    docs = spark.createDataFrame([(k, "word " * 400_000, "en", "a", 2_000_000) for k in range(24)], read(spark, sf_dir, "documents").schema).coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    corpus_pipeline.packing(spark, docs, sf_dir)
+    size = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").agg(F.max("n")).first()[0]
+    assert size <= corpus_pipeline.BATCH_BYTES + (4 << 20)
