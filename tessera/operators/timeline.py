@@ -82,8 +82,8 @@ def stems(text: Column) -> Column:
 
 def paragraph_units(markdown: Column) -> Column:
     """Paragraphs as one line each; every row of a table by itself."""
-    lines = lambda b: F.filter(F.split(b, r"\R"), lambda x: F.trim(x) != "")
-    one = F.transform(F.split(markdown, r"\n\s*\n"), lambda b: F.when(F.forall(lines(b), lambda x: F.ltrim(x).startswith("|")), lines(b)).otherwise(F.array(F.array_join(lines(b), " "))))
+    blocks = F.transform(F.split(markdown, r"\n\s*\n"), lambda b: F.filter(F.split(b, r"\R"), lambda x: F.trim(x) != ""))  # a block's lines are cut once, not wherever they are used
+    one = F.transform(blocks, lambda lines: F.when(F.forall(lines, lambda x: F.ltrim(x).startswith("|")), lines).otherwise(F.array(F.array_join(lines, " "))))
     return F.filter(F.flatten(one), lambda u: u != "")
 
 

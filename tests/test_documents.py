@@ -162,3 +162,11 @@ def test_stream_of_documents(spark, tmp_path):
     for _ in range(2):
         scan_stream(stream, privacy.scan, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a@b.fi"]
+
+
+def test_paragraph_units_cut_lines_once(spark):
+    units = timeline.paragraph_units(F.col("t"))
+    assert str(units).count("\\R") == 1
+    rows = ["One\nline.\n\n| a | b |\n| 1 | 2 |\n \n| no table\nat all\r\n\n\n  \n\nlast", "", None]
+    got = [r.u for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").orderBy("k").select(units.alias("u")).collect()]
+    assert got == [["One line.", "| a | b |", "| 1 | 2 |", "| no table at all", "last"], [], None]
