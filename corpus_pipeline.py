@@ -16,7 +16,7 @@ from tessera.llm.scratch import read, scratch_path, unused
 from tessera.llm.simhash import simhash_components
 
 #: Rows are whole texts: batches for Python end at so many bytes (Arrow's own limits are 10,000 rows and 64 MB, in the JVM and again in Python).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial, reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .bloom import bloom_filter
 from .lm import COUNTS, blobs, bucket_edges, counted_sorted, decoded, encoded, merged, word_totals
 from .scratch import drop, save, unused
-from .tokens import Lookup, Words, mix, prefix_sums, slices, span_hashes
+from .tokens import Lookup, Words, mix, prefix_sums, slices, span_hashes, tidied
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
@@ -45,6 +46,8 @@ WINDOW_LINES = 1 << 19
 BUCKET_BYTES = 32 << 20
 #: Bytes of text whose lines are worked on at once.
 SLICE_BYTES = 2 << 20
+#: Words that a task counts before it sends the counts on.
+COUNTED = 1 << 22
 
 
 def least(size: np.ndarray) -> np.ndarray:
@@ -145,6 +148,19 @@ def unplaned(blob: memoryview, count: int, n: int) -> np.ndarray:
 _WIDTHS = (5, 5, 4, 4, 8, 8)
 
 
+def postings(blobs: list[pa.Buffer]) -> list[np.ndarray]:
+    """The columns of blobs of postings, each filled in place."""
+    n = [len(blob) // sum(_WIDTHS) for blob in blobs]
+    columns, at = [np.zeros(sum(n), np.uint64) for _ in _WIDTHS], 0
+    for blob, m in zip(blobs, n, strict=True):
+        view, begin = memoryview(blob), 0
+        for column, width in zip(columns, _WIDTHS, strict=True):
+            column[at : at + m] = unplaned(view[begin : begin + m * width], m, width)
+            begin += m * width
+        at += m
+    return columns
+
+
 def sketches(key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit parities of the sets: sets differ in at least as many words as their sketches in bits."""
     bit = mix(key)
@@ -162,8 +178,10 @@ def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, block: int = 1
     keys = (group << 32) | size
     short = np.flatnonzero(place < size - -(-2 * NUM * size // (NUM + DEN)) + 1)
     low = np.searchsorted(keys[short], (group << 32) | least(size))
-    high = np.searchsorted(short, np.arange(len(token)))
-    n = np.maximum(high - low, 0)
+    del group, keys
+    n = np.searchsorted(short, np.arange(len(token)))
+    n -= low
+    np.maximum(n, 0, out=n)
     upto = np.cumsum(n)
     start = 0
     while start < len(n):
@@ -175,27 +193,35 @@ def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, block: int = 1
         start = end
 
 
-def count_words(docs: DataFrame, buckets: int) -> DataFrame:
-    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        names = np.concatenate(held)
-        held.clear()
-        yield blobs(list(encoded(*counted_sorted(names), bucket_edges(buckets), COUNTS)))
+def count_words(docs: DataFrame, buckets: int, most: int = COUNTED) -> DataFrame:
+    """(bucket, kind, blob): each bucket's words with their counts."""
+
+    def out(names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for few in batched(encoded(*counted_sorted(names), bucket_edges(buckets), COUNTS), 16):
+            yield blobs(list(few))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held, n = np.empty(most, np.uint64), 0  # filled and sorted in place
         for batch in batches:
             for part in slices(batch, "text"):
-                held.append(mix(Words(part.column("text")).hashes()))
-                if sum(map(len, held)) > 1 << 22:
-                    yield from out(held)
-        if sum(map(len, held)):
-            yield from out(held)
+                names = mix(Words(part.column("text")).hashes())
+                if n + len(names) > len(held):
+                    if n:
+                        yield from out(held[:n])
+                    n = 0
+                if len(names) > len(held):  # a long text alone
+                    yield from out(names)
+                    continue
+                held[n : n + len(names)] = names
+                n += len(names)
+        if n:
+            yield from out(held[:n])
 
     def merge(group: tuple, rows: pa.Table) -> pa.Table:
-        names, counts = merged([decoded(b) for b in rows.column("blob").to_pylist()])
+        names, counts = merged([decoded(b.as_buffer()) for b in rows.column("blob")])
         return pa.Table.from_batches([blobs([(group[0].as_py(), COUNTS, names.tobytes() + counts.tobytes())])])
 
-    return docs.select("text").mapInArrow(count, SCHEMA).groupBy("bucket").applyInArrow(merge, SCHEMA)
+    return docs.select("text").mapInArrow(count, SCHEMA).groupBy("bucket").applyInArrow(tidied(merge), SCHEMA)
 
 
 class Window:
@@ -306,9 +332,8 @@ def removed_lines(
             yield first()
 
     def meet(group: tuple, rows: pa.Table) -> pa.Table:
-        held: dict[int, list[bytes]] = {POSTING: [], FIRST: [], REMOVED: [], SALTED: []}
-        for kind, blob in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True):
-            held[kind].append(blob)
+        kinds, column = rows.column("kind").to_numpy(), rows.column("blob")
+        held = {kind: [column[k].as_buffer() for k in np.flatnonzero(kinds == kind).tolist()] for kind in (POSTING, FIRST, REMOVED, SALTED)}
         bucket, gone = group[0].as_py(), [np.frombuffer(b, np.int64).reshape(2, -1) for b in held[REMOVED]]
         if held[FIRST]:
             name, doc, number = np.concatenate([np.frombuffer(b, np.int64).reshape(3, -1) for b in held[FIRST]], axis=1)
@@ -319,32 +344,26 @@ def removed_lines(
             gone.append(np.stack([doc[later], number[later]]))
         found, hot = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
         if held[POSTING]:
-            columns = []
-            for blob in held[POSTING]:
-                view, at, n = memoryview(blob), 0, len(blob) // sum(_WIDTHS)
-                row = []
-                for width in _WIDTHS:
-                    row.append(unplaned(view[at : at + n * width], n, width))
-                    at += n * width
-                columns.append(row)
-            token, name, size, place, low, high = (np.concatenate(c) for c in zip(*columns, strict=True))
-            size, place = size.astype(np.int64), place.astype(np.int64)
+            columns = postings(held[POSTING])
+            token, name, size = columns[:3]
             order = np.lexsort((name, size, token))
-            new = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (name[order][1:] != name[order][:-1])])
-            token, name, size, place, low, high = (x[order[new]] for x in (token, name, size, place, low, high))
-            matched = np.zeros(len(token), bool)
-            names, where, n = np.unique(token, return_inverse=True, return_counts=True)
-            many = n[where] > hot_rows
-            matched[many] = True  # the second round tells
+            order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (name[order][1:] != name[order][:-1])])]
+            names, n = np.unique(token[order], return_counts=True)
             hot = np.stack([names[n > hot_rows].view(np.int64), n[n > hot_rows]])
-            token, name, size, place, low, high = (x[np.argsort(many, kind="stable")] for x in (token, name, size, place, low, high))
-            matched = np.sort(matched)
-            few = len(many) - int(many.sum())
-            for i, j in pairs(token[:few], size[:few], place[:few]):
+            many = np.repeat(n > hot_rows, n)
+            found, order = name[order[many]], order[~many]  # of hot words, the second round tells
+            del token, name, size, many
+            for k in range(len(columns)):  # one column after the other: no two copies of all
+                columns[k] = columns[k][order]
+            del order
+            token, name, size, place, low, high = columns
+            size, place = size.view(np.int64), place.view(np.int64)
+            matched = np.zeros(len(token), bool)
+            for i, j in pairs(token, size, place):
                 total = size[i] + size[j]
                 near = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= total - 2 * overlap(total)
                 matched[i[near]] = matched[j[near]] = True
-            found = np.unique(name[matched])
+            found = np.union1d(found, name[matched])
         if held[SALTED]:
             token, name = np.concatenate([np.frombuffer(b, np.uint64).reshape(2, -1) for b in held[SALTED]], axis=1)
             order = np.lexsort((name, token))
@@ -358,7 +377,7 @@ def removed_lines(
             out.append((bucket, REMOVED, np.concatenate(gone, axis=1).tobytes()))
         return pa.Table.from_batches([blobs(out)])
 
-    met = save(docs.mapInArrow(post, SCHEMA).groupBy("bucket").applyInArrow(meet, SCHEMA), "met")
+    met = save(docs.mapInArrow(post, SCHEMA).groupBy("bucket").applyInArrow(tidied(meet), SCHEMA), "met")
     candidates = met.where(F.col("kind") == CANDIDATE)
     n = candidates.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)) / 8).first()[0]
     again = spark.sparkContext.broadcast(bloom_filter(candidates.mapInArrow(unfold(1, ("key",)), "key long"), bloom_mb, int(n)))
@@ -466,7 +485,7 @@ def removed_lines(
     found = [met.where(F.col("kind") == REMOVED).mapInArrow(unfold(2, ("doc_id", "line")), schema)]
     for turn in range(passes):
         sent = spark.sparkContext.broadcast(split_words(turn))
-        similar = docs.mapInArrow(partial(repost, sent, turn), SCHEMA).groupBy("bucket").applyInArrow(verify, schema)
+        similar = docs.mapInArrow(partial(repost, sent, turn), SCHEMA).groupBy("bucket").applyInArrow(tidied(verify), schema)
         found.append(similar if passes == 1 else save(similar, "similar"))
         if passes > 1:
             sent.destroy()

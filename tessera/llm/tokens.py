@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,32 @@ LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Powers of the base are products of one from each of two short tables, whatever the place: of 0 to STEP - 1 and of multiples of STEP.
+STEP = 1 << 12
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        steps = np.full(max(n, 1 << 20), _BASE if which == "up" else _BASE_INVERSE, np.uint64)
+class Powers:
+    def __init__(self, base: np.uint64):
+        self.low = self._first(base, STEP)
+        self.base, self.high = (self.low[-1:] * base)[0], np.ones(1, np.uint64)
+
+    @staticmethod
+    def _first(base: np.uint64, n: int) -> np.ndarray:
+        steps = np.full(n, base, np.uint64)
         steps[0] = 1
-        _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which][:n]
+        return np.multiply.accumulate(steps)
+
+    def upto(self, n: int) -> np.ndarray:
+        """The powers of multiples of STEP, as many as places below ``n`` need."""
+        if len(self.high) <= n // STEP:
+            self.high = self._first(self.base, n // STEP + 256)
+        return self.high
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        return self.upto(int(place.max(initial=0)) + 1)[place >> 12] * self.low[place & (STEP - 1)]
+
+
+_up, _down = Powers(_BASE), Powers(_BASE_INVERSE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +99,17 @@ def give_back() -> None:
         _trim(0)
 
 
+def tidied(merge: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """``merge`` of a group for applyInArrow, after which what it held goes back."""
+
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        out = merge(group, rows)
+        give_back()
+        return out
+
+    return run
+
+
 class Words:
     """The words of some texts: ``start`` and ``end`` of each in ``data``, ``doc`` it is in, ``count`` by document."""
 
@@ -106,14 +134,23 @@ class Words:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=total[1:])
+    own, whole = total[1:], len(data) // STEP
+    np.add(data, np.uint64(1), out=own)  # all in place: it has eight times the texts' size
+    high = _up.upto(len(data) + 1)
+    rows, rest = own[: whole * STEP].reshape(whole, STEP), own[whole * STEP :]
+    rows *= _up.low
+    rows *= high[:whole, None]
+    rest *= _up.low[: len(rest)] * high[whole]
+    np.cumsum(own, out=own)
     return total
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of byte ranges, from prefix sums of a polynomial (``total``, if at hand): the cost doesn't depend on the lengths."""
     total = prefix_sums(data) if total is None else total
-    h = (total[end] - total[start]) * _power("down", len(data) + 1)[start]
+    h = total[end]
+    h -= total[start]
+    h *= _down.at(start)
     return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(48)))
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import learn, quality, toxicity
+from tessera.llm import learn, lines, quality, tokens, toxicity
 from tessera.llm.scratch import read, save
 from tessera.llm.tokens import Words
 from tests.llm.test_operators import SPACE, brute_fingerprint, components
@@ -195,3 +195,31 @@ def test_stages_bound_batches_by_bytes(spark, sf_dir):
     corpus_pipeline.packing(spark, docs, sf_dir)
     size = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").agg(F.max("n")).first()[0]
     assert size <= corpus_pipeline.BATCH_BYTES + (4 << 20)
+
+
+def test_hashing_keeps_no_memory_of_long_texts():
+    """What a long text's hashes needed isn't kept after it; a word has one hash at any place of it."""
+    text = b"word " * 1_600_000
+    start = np.arange(0, len(text), 5)
+    data = np.frombuffer(text, np.uint8)
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        found = np.unique(tokens.span_hashes(data, start, start + 4))
+        kept = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert found.tolist() == Words(pa.array(["word"])).hashes().tolist()
+    assert kept < 1 << 20
+
+
+def test_words_are_counted_in_a_table_of_fixed_size(spark):
+    """Counts add up over tables that fill, and over a text with more words than a table takes."""
+    texts = ["a b c a", "b c d", "a " * 30, "", "e f g h i j k a", "a b c d e f"]
+    rows = lines.count_words(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), 40, most=8).collect()
+    got = {}
+    for r in rows:
+        names, counts = np.frombuffer(r.blob, np.int64).reshape(2, -1)
+        got |= dict(zip(names.view(np.uint64).tolist(), counts.tolist(), strict=True))
+    want = Counter(w for t in texts for w in t.split())
+    assert got == {int(tokens.mix(Words(pa.array([w])).hashes())[0]): n for w, n in want.items()}
